@@ -49,7 +49,7 @@ class Powers:
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
             self.n = max(n, 4096, 2 * self.n)
-            self.up, self.down = (np.multiply.accumulate(np.concatenate(([1], np.full(self.n - 1, b, np.uint64))).astype(np.uint64)) for b in (self.base, self.inverse))
+            self.up, self.down = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(self.n - 1, b, np.uint64)))) for b in (self.base, self.inverse))
         return self.up[:n], self.down[:n]
 
 
