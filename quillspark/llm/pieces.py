@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -39,16 +40,19 @@ class PieceModel:
         self.score = {p: sp.get_score(i) for p, i in self.id.items()}
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte.items()}
-        self.silent = {i for i in special if i not in self.byte_of}
+        self.plain = [bytes((b,)) if (b := self.byte_of.get(i)) is not None else b"" if i in special else p.encode() for i, p in enumerate(self.piece)]
         self.longest = max(map(len, self.id))
         tails: dict[str, set[int]] = {}
         for p in self.id:
             if len(p) > 2:
                 tails.setdefault(p[-3:], set()).add(len(p))
         self.tails = {t: sorted(n, reverse=True) for t, n in tails.items()}  # lengths of the pieces that end so
+        self.ends: dict[str, tuple[int, ...]] = {}
         assert not any(MARK in p.lstrip(MARK) for p in self.id), "a piece spans a space mark"
         self.chunk = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.open: dict[tuple[str, str], bool] = {}
+        self.after: dict[str, dict[str, bool]] = defaultdict(dict)
+        self.seams = 0
         self.past: dict[str, tuple[list[tuple[float, str, str]], bool]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -91,6 +95,7 @@ class PieceModel:
                 else:
                     j += 1
             self.open[k] = v
+        self.seams += 1
         return v
 
     def path(self, s: str):
@@ -119,8 +124,42 @@ class PieceModel:
                     done = meet
         yield self.back(last, len(s), done)
 
+    def short(self, s: str) -> list[str]:
+        """The path of a string within one window: the same recursion without commits."""
+        score, ends, after, seam, size = self.score, self.ends, self.after, self.seam, len(s)
+        last: list[str] = [""]
+        next_to = [after[""]]  # by position: the seams of the piece that ends there
+        for end in range(1, size + 1):
+            tail = s[end - 3 : end] if end > 2 else s[:end]
+            lengths = ends.get(tail)
+            if lengths is None:
+                lengths = self.lengths(tail)
+            for n in lengths:
+                at = end - n
+                if at < 0:
+                    continue
+                p = s[at:end]
+                v = next_to[at].get(p)
+                if v is None:
+                    if n > 2 and p not in score:
+                        continue
+                    v = next_to[at][p] = seam(last[at], p)
+                if v:
+                    last.append(p)
+                    next_to.append(after[p])
+                    break
+        return self.back(last, size, 0)
+
+    def lengths(self, tail: str) -> tuple[int, ...]:
+        """Lengths that a piece ending in these three characters (or fewer, at the start) may have."""
+        if len(self.ends) >= KEEP:
+            self.ends.clear()
+        n = (*self.tails.get(tail, ()), 2, 1) if tail[-2:] in self.score else (*self.tails.get(tail, ()), 1)
+        self.ends[tail] = n
+        return n
+
     @staticmethod
-    def back(last: dict[int, str], end: int, done: int) -> list[str]:
+    def back(last: dict[int, str] | list[str], end: int, done: int) -> list[str]:
         out = []
         while end > done:
             out.append(last[end])
@@ -129,7 +168,10 @@ class PieceModel:
 
     def ids_of(self, s: str) -> tuple[int, ...]:
         out: list[int] = []
-        for run in self.path(s):
+        if self.seams > KEEP:
+            self.after.clear()
+            self.seams = 0
+        for run in [self.short(s)] if len(s) < WINDOW else self.path(s):
             for p in run:
                 i = self.id.get(p)
                 out.extend([i] if i is not None else [self.byte[b] for b in p.encode("utf-8", "replace")])
@@ -150,13 +192,8 @@ class PieceModel:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        out: list[bytes] = []
-        for i in ids:
-            if (b := self.byte_of.get(i)) is not None:
-                out.append(bytes((b,)))
-            elif i not in self.silent:
-                out.append(self.piece[i].encode())
-        text = b"".join(out).decode("utf-8", "replace").replace(MARK, " ")
+        plain = self.plain
+        text = b"".join([plain[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
