@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -33,6 +33,8 @@ def ship(spark: SparkSession) -> None:
             for p in sorted(top.rglob("*.py")):
                 z.write(p, p.relative_to(top.parent))
         sc.addPyFile(str(file))
+        # texts may be long: Python workers see a few rows at a time
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,15 +58,12 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """A row-local pass, one Arrow batch at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield fn(b)
-
-    return df.mapInArrow(run, schema)
+def bounded_sample(df: DataFrame, total: int, size: int, *keys: str) -> DataFrame:
+    """At most `size` rows, those of least hash of the keys, of `total`. A first cut by hash leaves
+    little more than `size` rows in all tasks together, so the final ordering moves no more."""
+    h = F.pmod(F.xxhash64(*keys, F.lit(99)), F.lit(1 << 30))
+    share = min(1.0, (size + 4 * size**0.5 + 16) / max(1, total))
+    return df.where(h < F.lit(int(np.ceil(share * (1 << 30))))).orderBy(h, *keys).limit(size)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:

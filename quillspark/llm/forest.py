@@ -91,7 +91,7 @@ def forest_components(vectors: DataFrame, least: float = 0.98, trees: int = TREE
     linked = None
     for dim in dims:
         own = unique.where(F.size("embedding") == dim)
-        some = sample(own, SAMPLE, "rid")
+        some = sample(own, total, SAMPLE, "rid")
         depth = max(0, min(int(np.ceil(np.log2(max(1, total / LEAF)))), int(np.log2(max(1, len(some) / 8)))))
         one = links_of(own, some, dim, depth, least, trees, spill)
         linked = one if linked is None else linked.unionByName(one)

@@ -188,7 +188,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | None = None, k: in
         return spark.createDataFrame([], out)
     dim, total, bound = lengths[0]["n"], lengths[0]["count"], chi_square_bound(sure, M)
     good = good.where(F.size("embedding") == dim)
-    some = sample(good, SAMPLE, "vec_id")
+    some = sample(good, total, SAMPLE, "vec_id")
     depth = max(0, min(int(np.ceil(np.log2(max(1, total / CELL)))), int(np.log2(max(1, len(some) / 8)))))
     cells = Cells(some @ projection(dim), depth)
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 SAMPLE, SAMPLE_CHARS, TERMS, PREFIX = 9000, 20_000, 64, range(3, 9)
 THRESHOLD = 0.7
 #: Look-alike letters, and digits and signs read as letters; i, l, 1 and ! count as one.
@@ -190,8 +192,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Lexicon:
     """Learns from the labelled rows of docs that aren't held out. The sample of labels has at most
     `sample` rows of two integers, so it may be broadcast."""
-    some = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    some = bounded_sample(marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), marked.count(), sample, "doc_id")
     rows = docs.select("doc_id", "text").where(F.length("text").between(1, sample_chars)).join(F.broadcast(some), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).limit(2 * sample)
     return learn([(r["text"], int(r["toxic"] > 0)) for r in rows.collect()])
 

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 
 def usable(v: Column) -> Column:
     """Not null, not zero, and without null or non-finite components."""
@@ -20,9 +22,9 @@ def matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def sample(df: DataFrame, size: int, key: str) -> np.ndarray:
-    """At most `size` unit vectors, those of least hash, on the driver."""
-    rows = df.orderBy(F.xxhash64(key), key).limit(size).select("embedding").collect()
+def sample(df: DataFrame, total: int, size: int, key: str) -> np.ndarray:
+    """At most `size` of `total` unit vectors, those of least hash, on the driver."""
+    rows = bounded_sample(df, total, size, key).select("embedding").collect()
     return unit(np.array([r[0] for r in rows], np.float64)) if rows else np.zeros((0, 0))
 
 
