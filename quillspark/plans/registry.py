@@ -1,11 +1,173 @@
-"""All queries of the library proper, with their SQL."""
+"""All queries of the library proper."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chunks as C
+from ..operators import lines as L
+from ..operators import refs as R
+from ..operators import sections as S
+from ..operators import summaries as U
+from ..operators import tables as B
+from ..operators import terms as M
+from ..sources import sinks
+from ..sources.tables import html_to_markdown, markdown, table
+from ..streaming import events as E
+from . import oracle
+
+
+def _docs(s, d):
+    return table(s, d, "documents")
+
+
+def _md(s, d):
+    return markdown(s, d)
+
+
+def _sec(s, d):
+    return S.sections_from_markdown(markdown(s, d))
+
+
+def _typed(s, d):
+    return S.with_types(_sec(s, d))
+
+
+def _text(name, make, source=_docs):
+    """A query of doc_id and one column made of text."""
+    return name, lambda s, d: source(s, d).select("doc_id", make(F.col("text")).alias(name))
+
+
+def token_tiers(s, d):
+    x = _docs(s, d).select("lang", T.tokens(F.col("text")).alias("n"), F.size(T.sentences(F.col("text"))).alias("k"))
+    return x.groupBy("lang", T.recommend_model(F.col("n")).alias("tier")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("tokens"), F.sum("k").alias("sentences"))
+
+
+def _vectors(s, d):
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return C.chunk_facts(C.pack(_docs(s, d))).where("chunk_index = 0").join(v, "doc_id")
+
+
+def _page_md(s, d):
+    return table(s, d, "pages").select(F.col("page_id").alias("doc_id"), html_to_markdown(F.col("html")).alias("text"))
+
+
+def _names(s, d):
+    p = table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("My "), "p_name", F.lit(" (v1."), (F.col("p_partkey") % 10).cast("string"), F.lit(") [FINAL]: "), "p_brand", F.lit("/"), "p_type", F.lit(".PDF")).alias("text"))
+    return p
+
+
+def _pairs(s, d):
+    return M.cooccurrence(M.section_terms(_sec(s, d)))
+
+
+def _refs(s, d):
+    return R.references(_sec(s, d))
+
+
+def _broken(s, d):
+    return R.broken(_refs(s, d), R.targets(_sec(s, d)))
+
+
+def _resolved(s, d):
+    return R.resolved(_refs(s, d), R.targets(_sec(s, d)))
+
+
+def _scores(s, d):
+    return M.term_scores(M.section_terms(_sec(s, d)))
+
+
+def _facts(s, d):
+    return C.chunk_facts(C.pack(_md(s, d)))
+
+
+QUERIES = {
+    "token_tiers": token_tiers,
+    **dict([
+        _text("clean_text", T.clean_text), _text("fixed_text", T.fix_chars), _text("plain_text", T.strip_markdown, _md), _text("n_sentences", lambda c: F.size(T.sentences(c))), _text("keywords", T.keywords),
+        _text("rag_keywords", T.rag_keywords, _md), _text("urls", T.urls, _md), _text("emails", T.emails, _md), _text("has_toc", T.has_toc), _text("safe_name", T.safe_filename, _names), _text("folder_name", T.sanitize_folder, _names),
+        _text("anchor", T.anchor, _names), _text("trimmed", lambda c: T.trim_to_tokens(c, 100)), _text("context", lambda c: T.context(c, F.lit("json")), _md), _text("quality", T.quality), _text("repaired", L.repair_bullets, _md),
+    ]),
+    "images": lambda s, d: _md(s, d).select("doc_id", F.explode(T.images(F.col("text"))).alias("i")).select("doc_id", F.col("i.alt").alias("alt"), F.col("i.url").alias("url")),
+    "token_costs": lambda s, d: _docs(s, d).select("doc_id", T.tokens(F.col("text")).alias("tokens"), T.recommend_model(T.tokens(F.col("text"))).alias("model"), T.cost(T.tokens(F.col("text"))).alias("cost"), (T.tokens(F.col("text")) <= 4000).alias("fits")),
+    "document_ids": lambda s, d: _docs(s, d).select("doc_id", F.left(F.md5(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).cast("binary")), F.lit(12)).alias("hash")),
+    "page_markdown": lambda s, d: _page_md(s, d),
+    "header_lines": lambda s, d: L.lines(_md(s, d)).where(T.is_header(F.col("line"))).select("doc_id", "line_no", T.header_level(F.col("line")).alias("level")),
+    "table_rows": lambda s, d: L.lines(_docs(s, d)).where(T.is_table_row(F.col("line"))).select("doc_id", "line_no", T.format_table_row(F.col("line")).alias("row")),
+    "code_starts": lambda s, d: L.code_starts(_md(s, d)),
+    "bullets": lambda s, d: L.convert_bullets(_md(s, d)),
+    "doc_structure": lambda s, d: L.document_structure(_md(s, d)),
+    "doc_structure_documents": lambda s, d: L.document_structure(_docs(s, d)),
+    "fields_structured": lambda s, d: L.structured_fields(_md(s, d)),
+    "field_types": lambda s, d: L.structured_fields(_md(s, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n")),
+    "field_metadata": lambda s, d: L.structured_fields(_md(s, d)).where("rule = 0").select("doc_id", "line_no", *L.field_metadata(F.col("content"))),
+    "fields_list": lambda s, d: L.list_items(_md(s, d)),
+    "fields_generic": lambda s, d: L.generic_content(_docs(s, d)),
+    "fields_table": lambda s, d: L.table_fields(_md(s, d)),
+    "pages_fixed": lambda s, d: S.pages_fixed(_docs(s, d)),
+    "sections_by_pages": lambda s, d: S.sections_from_pages(_docs(s, d)),
+    "sections_md": lambda s, d: _sec(s, d),
+    "sections_headers": lambda s, d: S.sections_from_headers(_md(s, d)),
+    "section_types": lambda s, d: _typed(s, d).select("doc_id", "section_id", "section_type", "token_count"),
+    "section_filenames": lambda s, d: _typed(s, d).select("doc_id", "section_id", S.file_name(F.col("title"), F.col("section_type"), F.col("section_id")).alias("file")),
+    "docx_section_types": lambda s, d: _sec(s, d).select("doc_id", "section_id", S.word_section_type(F.col("title")).alias("kind")),
+    "related_by_type": lambda s, d: S.related_by_type(_typed(s, d)),
+    "related_by_mention": lambda s, d: S.related_by_mention(_typed(s, d)),
+    "document_map": lambda s, d: S.document_map(_typed(s, d)),
+    "section_files": lambda s, d: S.section_files(_typed(s, d)),
+    "section_index": lambda s, d: sinks.index_file(S.section_files(_typed(s, d))),
+    "consolidated_summary": lambda s, d: S.consolidated(_typed(s, d)),
+    "split_32k": lambda s, d: S.split_large(_docs(s, d).select("doc_id", F.lit(1).alias("section_id"), F.col("text").alias("content")), 1000, 800),
+    "md_tables": lambda s, d: B.markdown_tables(_md(s, d)),
+    "cell_types": lambda s, d: B.table_cells(_md(s, d)).select("doc_id", "row_no", "col_name", T.cell_kind(F.col("cell")).alias("kind"), T.cell_number(F.col("cell")).alias("number"), T.format_cell(F.col("cell")).alias("shown")),
+    "table_profile": lambda s, d: B.profile(B.table_cells(_md(s, d))),
+    "table_notes": lambda s, d: B.table_notes(B.profile(B.table_cells(_md(s, d)))),
+    "value_distribution": lambda s, d: B.value_distribution(B.table_cells(_md(s, d))),
+    "table_embedding": lambda s, d: B.embedding_text(B.table_cells(_md(s, d))),
+    "boundaries": lambda s, d: C.boundaries(_md(s, d)),
+    "rag_chunks": lambda s, d: C.chunk_facts(C.pack(_docs(s, d))),
+    "chunk_pages": lambda s, d: C.chunk_pages(C.pack(_docs(s, d))),
+    "chunk_plan": lambda s, d: C.chunk_plan(_typed(s, d)),
+    "chunk_sizes": lambda s, d: C.chunk_sizes(C.chunk_plan(_typed(s, d))),
+    "chunk_manifest": lambda s, d: C.manifest(C.chunk_plan(_typed(s, d))),
+    **{f"split_{how}": (lambda s, d, how=how: C.split_sections(_docs(s, d).select("doc_id", F.lit(1).alias("section_id"), F.col("text").alias("content")), how, 500)) for how in ("semantic", "structure", "rows", "tokens")},
+    **{f"fmt_{kind}": (lambda s, d, kind=kind: C.payload(_facts(s, d), kind)) for kind in ("pinecone", "chromadb", "weaviate", "qdrant", "generic")},
+    "chunk_embeddings": lambda s, d: _vectors(s, d).select("doc_id", "chunk_id", "embedding"),
+    "terms": lambda s, d: M.section_terms(_sec(s, d)).select("doc_id", "section_id", "term", M.category(F.col("term")).alias("category")),
+    "term_scores": lambda s, d: _scores(s, d),
+    "cooccurrence": lambda s, d: _pairs(s, d),
+    "term_degrees": lambda s, d: M.degrees(_pairs(s, d)),
+    "term_graph_edges": lambda s, d: M.graph(_scores(s, d), _pairs(s, d))[1],
+    "term_graph_nodes": lambda s, d: M.graph(_scores(s, d), _pairs(s, d))[0],
+    "concept_defs": lambda s, d: M.concept_definitions(_sec(s, d)),
+    "definition_links": lambda s, d: M.definition_links(_scores(s, d), M.concept_definitions(_sec(s, d))),
+    "glossary_top": lambda s, d: B.most_frequent(_scores(s, d).where("score >= 5"), ["doc_id"], [F.desc("score"), "term"], 20).select("doc_id", "term", "score", "rank"),
+    "category_top": lambda s, d: B.most_frequent(_scores(s, d).groupBy("category", "term").agg(F.sum("frequency").alias("n")), ["category"], [F.desc("n"), "term"], 10),
+    "references": _refs,
+    "refs_urls": lambda s, d: R.url_facts(_refs(s, d)),
+    "refs_resolved": _resolved,
+    "refs_broken": _broken,
+    "refs_concepts": lambda s, d: R.concept_links(_refs(s, d), _scores(s, d)),
+    "link_map": lambda s, d: R.link_map(_resolved(s, d).unionByName(_refs(s, d).where("type = 'url'"))),
+    "xref_stats": lambda s, d: R.statistics(_refs(s, d), _broken(s, d)),
+    "document_type_vote": lambda s, d: U.document_type(_sec(s, d)),
+    "themes": lambda s, d: U.themes(_sec(s, d)),
+    "technical_depth": lambda s, d: U.technical_depth(_sec(s, d)),
+    "structure_type": lambda s, d: U.structure_type(_typed(s, d)),
+    "key_sections": lambda s, d: U.key_sections(_typed(s, d)),
+    "key_sentence": lambda s, d: _sec(s, d).select("doc_id", "section_id", U.key_sentence(F.col("content")).alias("sentence")),
+    "endpoints": lambda s, d: U.endpoints(_sec(s, d)),
+    "security_sentences": lambda s, d: U.security_sentences(_sec(s, d)),
+    "integration_steps": lambda s, d: U.steps(_sec(s, d)),
+    "summaries": lambda s, d: U.all_summaries(_typed(s, d)),
+    "events_hourly": lambda s, d: E.hourly(table(s, d, "events")),
+}
+
 
 def queries() -> dict:
-    return {}
+    return QUERIES
 
 
 def oracles() -> dict:
-    return {}
+    return {k: v for k, v in oracle.sql().items() if k in QUERIES}
