@@ -71,15 +71,15 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, in the columns of docs: whole repetitions as they are, and the fractional one
     as a run of whole words, joined by one space, of seeded place. n_chars counts the new text."""
-    sized = docs.withColumn("_size", words(F.col("text"))).withColumn("_key", seed_key(docs))
-    goal = stash(targets(docs.groupBy("source").agg(F.sum(words(F.col("text"))).alias("source_size")))).withColumnsRenamed({"source": "_source", "source_size": "_all", "target": "_target"})
-    took = taken(F.col("_size"), F.col("_all"), F.col("_target"), F.col("_key"))
-    d = sized.join(goal, sized["source"].eqNullSafe(F.col("_source"))).withColumn("_took", took).where("_took > 0")
-    d = d.withColumn("_part", F.col("_took") % F.col("_size")).withColumn("_whole", F.floor(F.col("_took") / F.col("_size")).cast("int"))
-    d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole") + F.when(F.col("_part") > 0, 1).otherwise(0))))
-    start = F.floor(seeded(F.col("_key"), "place") * (F.col("_size") - F.col("_part") + 1)).cast("int")
-    run = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), start + 1, F.col("_part").cast("int")), " ")
-    partial = F.col("_copy") > F.col("_whole")
+    sized = docs.withColumn("__qs_size", words(F.col("text"))).withColumn("__qs_key", seed_key(docs))
+    goal = stash(targets(docs.groupBy("source").agg(F.sum(words(F.col("text"))).alias("source_size")))).withColumnsRenamed({"source": "__qs_source", "source_size": "__qs_all", "target": "__qs_target"})
+    took = taken(F.col("__qs_size"), F.col("__qs_all"), F.col("__qs_target"), F.col("__qs_key"))
+    d = sized.join(goal, sized["source"].eqNullSafe(F.col("__qs_source"))).withColumn("__qs_took", took).where("__qs_took > 0")
+    d = d.withColumn("__qs_part", F.col("__qs_took") % F.col("__qs_size")).withColumn("__qs_whole", F.floor(F.col("__qs_took") / F.col("__qs_size")).cast("int"))
+    d = d.withColumn("__qs_copy", F.explode(F.sequence(F.lit(1), F.col("__qs_whole") + F.when(F.col("__qs_part") > 0, 1).otherwise(0))))
+    start = F.floor(seeded(F.col("__qs_key"), "place") * (F.col("__qs_size") - F.col("__qs_part") + 1)).cast("int")
+    run = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), start + 1, F.col("__qs_part").cast("int")), " ")
+    partial = F.col("__qs_copy") > F.col("__qs_whole")
     d = d.withColumn("text", F.when(partial, run).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(partial, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
 MARK = "▁"
 KEEP, KEEP_LEN, WINDOW = 500_000, 64, 256
@@ -207,7 +208,7 @@ def encode_documents(docs: DataFrame, model_file: str, keep: list[str] | None =
     round_trip (the decoded ids are the text, U+2581 read as a space)."""
     keep = keep or ["doc_id"]
     d = docs.select("text", *keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[1:])
+    told = StructType().add("ids", ArrayType(IntegerType())).add("n_ids", LongType()).add("decoded_sha256", StringType()).add("round_trip", BooleanType())
 
     def run(batches):
         m = model(model_file)
@@ -220,4 +221,4 @@ def encode_documents(docs: DataFrame, model_file: str, keep: list[str] | None =
                 names=[*b.schema.names[1:], "ids", "n_ids", "decoded_sha256", "round_trip"],
             )
 
-    return d.mapInArrow(run, f"{kept}, ids array<int>, n_ids bigint, decoded_sha256 string, round_trip boolean")
+    return d.mapInArrow(run, StructType([*d.schema.fields[1:], *told.fields]))

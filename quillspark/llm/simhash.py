@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import by_group, components, group_starts, local_components, split_hot, stash, whole_groups
 
@@ -46,15 +47,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], shingle: int = 4) -> DataFrame:
     """The columns `keep` of docs and fp, the fingerprint of text as a signed bigint."""
-    d = docs.select(F.col("text").alias("_text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[1:])
+    d = docs.select(F.col("text").alias("__qs_text"), *keep)
+    schema = StructType([*d.schema.fields[1:], StructField("fp", LongType())])
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.column(0).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp)], names=[*b.schema.names[1:], "fp"])
 
-    return d.mapInArrow(run, f"{schema}, fp bigint")
+    return d.mapInArrow(run, schema)
 
 
 def trie_links(group: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,10 +153,10 @@ def keep_one(docs: DataFrame, budget: int = 4, shingle: int = 4) -> DataFrame:
     """docs with one row of each SimHash component: that of smallest doc_id, nulls last, then of
     smallest MD5 of text; of repeated rows one stays."""
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
-    keyed = docs.withColumn("_key", F.to_json(key))
-    own = stash(fingerprints(keyed.withColumn("_order", key), ["_key", "_order"], shingle))
+    keyed = docs.withColumn("__qs_key", F.to_json(key))
+    own = stash(fingerprints(keyed.select("text", F.col("__qs_key").alias("_key"), key.alias("_order")), ["_key", "_order"], shingle))
     first = stash(own.groupBy("fp").agg(F.min(F.struct("_order", "_key")).alias("first")))
     roots = fingerprint_components(first.select("fp"), budget)
     named = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    kept = named.groupBy("root").agg(F.min("first").alias("m")).select(F.col("m._key").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    kept = named.groupBy("root").agg(F.min("first").alias("m")).select(F.col("m._key").alias("__qs_key"))
+    return keyed.join(kept, "__qs_key", "left_semi").dropDuplicates(["__qs_key"]).drop("__qs_key")

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bounded_sample
 
@@ -198,17 +199,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     return learn([(r["text"], int(r["toxic"] > 0)) for r in rows.collect()])
 
 
-def score_documents(docs: DataFrame, lex: Lexicon, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and score."""
-    d = docs.select(F.col("text").alias("_text"), *keep)
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema.fields[1:])
+def score_documents(docs: DataFrame, lex: Lexicon, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns `keep` of docs and the score under `name`."""
+    d = docs.select(F.col("text").alias("__qs_text"), *keep)
+    schema = StructType([*d.schema.fields[1:], StructField(name, DoubleType())])
 
     def run(batches):
         for b in batches:
             s = pa.array([score(t, lex) for t in b.column(0).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], s], names=[*b.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], s], names=[*b.schema.names[1:], name])
 
-    return d.mapInArrow(run, kept + "score double")
+    return d.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -219,4 +220,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that score 0.7 or more."""
-    return score_documents(docs, fit(docs, labels), ["text", *[c for c in docs.columns if c != "text"]]).where(F.col("score") < THRESHOLD).select(*docs.columns)
+    return score_documents(docs, fit(docs, labels), docs.columns, "__qs_score").where(F.col("__qs_score") < THRESHOLD).drop("__qs_score")
