@@ -106,9 +106,9 @@ def list_items(docs: DataFrame) -> DataFrame:
 def generic_content(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, section, content: lines of over ten signs under the last short capital line."""
     d = docs.select("doc_id", F.transform(F.split("text", "\n", -1), T.strip).alias("ls"))
-    head = lambda x: (x != "") & (F.length(x) < 100) & (T.is_upper(x) | x.rlike(r"^[A-Z][a-z]*(?:[^A-Za-z]+[A-Z][a-z]*)*[^A-Za-z]*$")) & ~x.rlike(r"^[•\-*]")
-    heads = F.filter(F.transform("ls", lambda x, i: F.struct((i + 0).alias("i"), F.concat(x, F.lit("")).alias("h"))), lambda y: head(y["h"]))
-    d = d.select("doc_id", heads.alias("heads"), F.posexplode("ls").alias("line_no", "line")).where((F.length("line") > 10) & ~head(F.col("line")))
+    head = lambda x: (x != "") & (F.length(x) < 100) & (T.is_upper(x) | x.rlike(r"^[^\p{L}]*\p{Lu}\p{Ll}*(?:[^\p{L}]+\p{Lu}\p{Ll}*)*[^\p{L}]*$")) & ~x.rlike(r"^[•\-*]")
+    heads = F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("i"), x.alias("h"))), lambda y: head(y["h"]))
+    d = d.withColumn("heads", heads).select("doc_id", "heads", F.posexplode("ls").alias("line_no", "line")).where((F.length("line") > 10) & ~head(F.col("line")))
     above = F.filter("heads", lambda x: x["i"] < F.col("line_no"))
     return d.select("doc_id", "line_no", F.coalesce(F.replace(F.lower(F.get(above, F.size(above) - 1)["h"]), F.lit(" "), F.lit("_")), F.lit("content")).alias("section"), F.col("line").alias("content"))
 
