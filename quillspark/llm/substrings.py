@@ -165,18 +165,19 @@ def edges_of(joined: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, text_hash, spans): word ranges covered by windows that also start in a smaller document."""
     path = ["m", "h1", "h2"]
-    every = all_paths(docs, window, gram)
-    shared = every.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m")
+    every = stash(all_paths(docs, window, gram))
+    # tables on their own, so that the joins below may split the partition of a hot key
+    shared = stash(every.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m"))
     found = stash(every.join(shared, "m"))
     # compaction: equal paths are one, whose source is its smallest document
     unit = stash(found.groupBy(*path).agg(F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("source")))
     whole = found.join(unit, path).where(F.col("doc_id") > F.col("source.doc_id"))
     whole = whole.select("doc_id", "text_hash", F.col("start").alias("s"), (F.col("start") + F.col("n") + F.lit(window - 1)).alias("e"))
     # branches: different paths with one minimiser may share edges; each source tells its own
-    branching = unit.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("m")
+    branching = stash(unit.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("m"))
     places = unit.join(branching, "m").groupBy(F.col("source.doc_id").alias("doc_id"), F.col("source.text_hash").alias("text_hash")).agg(F.collect_list(F.struct("source.start", "source.n")).alias("places"))
     edges = stash(edges_of(packed(docs).join(places, ["doc_id", "text_hash"]), window))
-    first = edges.groupBy("e1", "e2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("e1", "e2", "lo")
+    first = stash(edges.groupBy("e1", "e2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("e1", "e2", "lo"))
     part = edges.join(first, ["e1", "e2"]).where("doc_id > lo").select("doc_id", "text_hash", F.col("at").alias("s"), (F.col("at") + F.lit(window)).alias("e"))
     return whole.unionByName(part).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
