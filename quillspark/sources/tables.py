@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, extension: str = "md") -> DataFrame:
     """Whole text files of one extension, with the file's facts: path, text, bytes, kb, modified."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("pathGlobFilter", f"*.{extension}").option("recursiveFileLookup", True).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("bytes"), F.round(F.col("_metadata.file_size") / 1024, 2).alias("kb"), F.col("_metadata.file_modification_time").alias("modified"))
 
 
