@@ -50,9 +50,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
+#: Narrow rows (a few numbers) in one file of the shared folder.
+FILE_ROWS = 250_000
+
+
+def stash(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors. Where
+    a bound on its (narrow) rows is known, it goes to as few files as that takes."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -142,19 +149,20 @@ def components(edges: DataFrame) -> DataFrame:
     of the nodes goes each round, chains included. Pointers are composed backwards at the end.
     Joins are plain equi-joins, whose hot keys AQE splits; groupings combine before the shuffle."""
     edges = stash(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    bound = 2 * edges.count()  # nodes, and edges ever after
     steps: list[DataFrame] = []
     while not edges.isEmpty():
         r = F.lit(len(steps))
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to")), F.struct(F.col("b").alias("node"), F.col("a").alias("to")), F.struct(F.col("a").alias("node"), F.col("a").alias("to")), F.struct(F.col("b").alias("node"), F.col("b").alias("to")))).alias("e")).select("e.*")
-        to = stash(both.groupBy("node").agg(F.min(F.struct(F.xxhash64("to", r).alias("h"), F.col("to"))).alias("m")).select("node", F.col("m.to").alias("to")))
+        to = stash(both.groupBy("node").agg(F.min(F.struct(F.xxhash64("to", r).alias("h"), F.col("to"))).alias("m")).select("node", F.col("m.to").alias("to")), bound)
         steps.append(to)
         pa_, pb_ = to.select(F.col("node").alias("a"), F.col("to").alias("pa")), to.select(F.col("node").alias("b"), F.col("to").alias("pb"))
         moved = edges.join(pa_, "a").join(pb_, "b").where("pa <> pb")
-        edges = stash(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        edges = stash(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), bound)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = steps[-1].withColumnRenamed("to", "root")
     for to in reversed(steps[:-1]):
         later = found.select(F.col("node").alias("to"), "root")
-        found = stash(to.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")))
+        found = stash(to.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")), bound)
     return found

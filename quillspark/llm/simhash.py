@@ -141,7 +141,7 @@ def fingerprint_components(distinct: DataFrame, budget: int = 4, chunk: int = 10
 def simhash_components(docs: DataFrame, budget: int = 4, shingle: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per row of docs."""
     own = stash(fingerprints(docs, ["doc_id"], shingle))
-    ids = stash(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    ids = stash(own.groupBy("fp").agg(F.min("doc_id").alias("first")), own.count())
     roots = fingerprint_components(ids.select("fp"), budget)
     named = ids.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -155,7 +155,7 @@ def keep_one(docs: DataFrame, budget: int = 4, shingle: int = 4) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
     keyed = docs.withColumn("__qs_key", F.to_json(key))
     own = stash(fingerprints(keyed.select("text", F.col("__qs_key").alias("_key"), key.alias("_order")), ["_key", "_order"], shingle))
-    first = stash(own.groupBy("fp").agg(F.min(F.struct("_order", "_key")).alias("first")))
+    first = stash(own.groupBy("fp").agg(F.min(F.struct("_order", "_key")).alias("first")), 4 * own.count())
     roots = fingerprint_components(first.select("fp"), budget)
     named = first.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = named.groupBy("root").agg(F.min("first").alias("m")).select(F.col("m._key").alias("__qs_key"))
