@@ -14,8 +14,9 @@ RANK = {"section": 0, "page": 1, "figure": 2, "table": 3, "concept": 4, "url": 5
 def references(sections: DataFrame) -> DataFrame:
     """doc_id, section_id, type, text, target: one row for each match of each pattern (patterns overlap)."""
     def hits(kind: str, p: str, g: int):
-        both = F.arrays_zip(T.find_all(F.col("content"), p, 0).alias("t"), T.find_all(F.col("content"), p, g).alias("v"))
-        return F.transform(both, lambda h: F.struct(F.lit(kind).alias("type"), h["t"].alias("text"), (F.lower(h["v"]) if kind == "concept" else h["v"]).alias("target")))
+        # one pass over the content; the group comes from the match, which is short
+        got = lambda t: F.regexp_extract(t, p, g)
+        return F.transform(T.find_all(F.col("content"), p, 0), lambda t: F.struct(F.lit(kind).alias("type"), t.alias("text"), (F.lower(got(t)) if kind == "concept" else got(t)).alias("target")))
 
     found = [hits(*r) for r in V.REFERENCES]
     r = sections.select("doc_id", "section_id", F.explode(F.concat(*found)).alias("r")).select("doc_id", "section_id", "r.type", "r.text", "r.target")
