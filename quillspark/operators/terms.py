@@ -30,18 +30,28 @@ def definition(content, term):
     return F.coalesce(*[ok(hit(p)) for p in (r"\s+is\s+([^\n]+?)\.", r"\s*:\s*([^\n]+?)\.", r"\s*-\s*([^\n]+?)\.", r"\s+refers to\s+([^\n]+?)\.", r"\s+means\s+([^\n]+?)\.")])
 
 
-def term_scores(terms: DataFrame) -> DataFrame:
-    """doc_id, term, frequency, n_sections, category, n_contexts, n_definitions, score; kept if it
-    scores over 2 or comes more than once."""
+def term_facts(terms: DataFrame) -> DataFrame:
+    """doc_id, term, frequency, n_sections, category, n_contexts, n_definitions, score, definition (of
+    the first section that has one), context (the shortest), sections (titles); kept if it scores over
+    2 or comes more than once."""
     key = F.lower("term")
-    d = terms.select("doc_id", key.alias("term"), "section_id", "title", T.context(F.col("content"), F.col("term")).alias("ctx"), definition(F.col("content"), F.col("term")).alias("def"))
-    g = d.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("frequency"), F.countDistinct("title").alias("n_sections"), F.countDistinct(F.nullif("ctx", F.lit(""))).alias("n_contexts"), F.countDistinct("def").alias("n_definitions"))
+    d = terms.select("doc_id", key.alias("term"), F.col("term").alias("form"), "section_id", "title", F.nullif(T.context(F.col("content"), F.col("term")), F.lit("")).alias("ctx"), definition(F.col("content"), F.col("term")).alias("def"))
+    g = d.groupBy("doc_id", "term").agg(
+        F.count(F.lit(1)).alias("frequency"), F.countDistinct("title").alias("n_sections"), F.countDistinct("ctx").alias("n_contexts"), F.countDistinct("def").alias("n_definitions"),
+        F.min(F.when(F.col("def").isNotNull(), F.struct("section_id", "form", "def")))["def"].alias("definition"), F.min(F.when(F.col("ctx").isNotNull(), F.struct(F.length("ctx").alias("n"), "ctx")))["ctx"].alias("context"),
+        F.array_join(F.array_sort(F.collect_set("title")), ", ").alias("sections"),
+    )
     g = g.withColumn("category", category(F.col("term")))
     bonus = F.when(F.col("category").isin("api_concepts", "security_concepts", "http_concepts"), 3.0).when(F.col("category") != "general", 1.0).otherwise(0.0)
     score = F.least(F.col("frequency") * 0.5, F.lit(5.0)) + F.least(F.col("n_sections") * 1.0, F.lit(5.0)) + bonus + F.when(F.col("n_definitions") > 0, 2.0).otherwise(0.0) + F.when(F.col("n_contexts") > 1, 1.0).otherwise(0.0)
     return g.withColumn("score", score).where((F.col("score") > 2) | (F.col("frequency") > 1))
 
 
+def term_scores(terms: DataFrame) -> DataFrame:
+    """Term facts without their texts, which Catalyst then leaves out of the sums."""
+    return term_facts(terms).drop("definition", "context", "sections")
+
+
 def cooccurrence(terms: DataFrame) -> DataFrame:
     """term_a < term_b, weight: sections that have both. A section's own sorted term list gives its pairs."""
     lists = terms.groupBy("doc_id", "section_id").agg(F.array_sort(F.collect_set(F.lower("term"))).alias("ts"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import vocab as V
 from ..sources.tables import MARKDOWN
+from . import oracle_reports
 
 
 def q(s: str) -> str:
@@ -140,7 +141,7 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         plain = f"regexp_replace({plain}, {q(p)}, '{r}', 'g')"
     url = r'https?://[^\s<>"{}|\\^`\[\]]+|www\.[^\s<>"{}|\\^`\[\]]+'
     edges = " UNION ALL ".join(f"SELECT doc_id, {name!r} AS family, {k} AS k, regexp_extract_all(text, {q(p)}) AS h, regexp_split_to_array(text, {q(p)}) AS s FROM md" for k, (name, p) in enumerate([(n, r"\n\n[A-Z]" if n == "paragraph" else p) for n, p in V.BOUNDARIES]))
-    return {
+    return oracle_reports.sql() | {
         "token_tiers": f"WITH d AS (SELECT lang, {tokens('text')} AS n, len({sentences('text')}) AS k FROM documents) SELECT lang, {model('n')} AS tier, count(*) AS documents, sum(n)::BIGINT AS tokens, sum(k)::BIGINT AS sentences FROM d GROUP BY 1, 2",
         "clean_text": f"SELECT doc_id, trim(regexp_replace({fixes.replace(chr(8211), 'zzqx').replace(chr(8212), 'zzqy')}, '\\s+', ' ', 'g')) AS clean_text FROM documents",
         "fixed_text": f"SELECT doc_id, {fixes} AS fixed_text FROM documents",

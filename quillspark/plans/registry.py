@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import text as T
+from ..operators import analysis as A
 from ..operators import chunks as C
 from ..operators import lines as L
 from ..operators import refs as R
+from ..operators import reports as P
 from ..operators import sections as S
 from ..operators import summaries as U
 from ..operators import tables as B
@@ -82,6 +85,23 @@ def _facts(s, d):
     return C.chunk_facts(C.pack(_md(s, d)))
 
 
+def _term_facts(s, d):
+    return M.term_facts(M.section_terms(_sec(s, d)))
+
+
+def _tables(s, d):
+    return A.tables_with_text(_md(s, d))
+
+
+def _links(s, d):
+    return R.link_map(_resolved(s, d).unionByName(_refs(s, d).where("type = 'url'")))
+
+
+def _sections_with(name, make):
+    """A query of one column made of each section's content."""
+    return name, lambda s, d: _sec(s, d).select("doc_id", "section_id", make(F.col("content")).alias(name))
+
+
 QUERIES = {
     "token_tiers": token_tiers,
     **dict([
@@ -149,7 +169,7 @@ QUERIES = {
     "refs_resolved": _resolved,
     "refs_broken": _broken,
     "refs_concepts": lambda s, d: R.concept_links(_refs(s, d), _scores(s, d)),
-    "link_map": lambda s, d: R.link_map(_resolved(s, d).unionByName(_refs(s, d).where("type = 'url'"))),
+    "link_map": _links,
     "xref_stats": lambda s, d: R.statistics(_refs(s, d), _broken(s, d)),
     "document_type_vote": lambda s, d: U.document_type(_sec(s, d)),
     "themes": lambda s, d: U.themes(_sec(s, d)),
@@ -161,6 +181,41 @@ QUERIES = {
     "security_sentences": lambda s, d: U.security_sentences(_sec(s, d)),
     "integration_steps": lambda s, d: U.steps(_sec(s, d)),
     "summaries": lambda s, d: U.all_summaries(_typed(s, d)),
+    "term_facts": lambda s, d: _term_facts(s, d).select("doc_id", "term", "definition", "context", "sections"),
+    "priority_concepts": lambda s, d: A.priority_concepts(_term_facts(s, d)),
+    "tables_text": _tables,
+    "important_tables": lambda s, d: A.important_tables(_tables(s, d)),
+    **dict([
+        _sections_with("section_examples", A.examples), _sections_with("technical_details", A.technical_details),
+        _sections_with("summary_brief", lambda c: A.section_summary(c, 40)), _sections_with("summary_detailed", lambda c: A.section_summary(c, 200, True)),
+    ]),
+    "top_connected": lambda s, d: A.top_connected(M.degrees(_pairs(s, d))),
+    "strong_pairs": lambda s, d: A.strong_pairs(_pairs(s, d)),
+    "category_ranks": lambda s, d: A.category_ranks(_scores(s, d)),
+    "structure_sections": lambda s, d: A.structure_sections(_docs(s, d)),
+    "field_context": lambda s, d: A.field_context(_md(s, d)),
+    "document_stats": lambda s, d: A.document_stats(_md(s, d)),
+    "page_offsets": lambda s, d: A.page_offsets(S.pages_fixed(_docs(s, d))),
+    "table_usage": lambda s, d: A.table_usage(B.profile(B.table_cells(_md(s, d)))),
+    "analyze": lambda s, d: api.analyze(_docs(s, d)),
+    "convert": lambda s, d: api.convert(_md(s, d)),
+    "glossary_md": lambda s, d: P.glossary(_term_facts(s, d)),
+    "category_glossaries": lambda s, d: P.category_glossaries(_term_facts(s, d)),
+    "xref_internal": lambda s, d: P.internal_references(_resolved(s, d)),
+    "xref_external": lambda s, d: P.external_references(_refs(s, d)),
+    "xref_broken": lambda s, d: P.broken_references(_broken(s, d)),
+    "xref_links": lambda s, d: P.link_mapping(_links(s, d)),
+    "table_files": lambda s, d: P.table_files(_tables(s, d)),
+    "tables_index": lambda s, d: P.tables_index(_tables(s, d)),
+    "chunk_files": lambda s, d: P.chunk_files(_typed(s, d), C.chunk_plan(_typed(s, d))),
+    "chunk_manifest_md": lambda s, d: P.chunk_manifest(_typed(s, d), C.chunk_plan(_typed(s, d))),
+    "summary_files": lambda s, d: P.summary_files(U.all_summaries(_typed(s, d))),
+    "summary_index": lambda s, d: P.summary_index(U.all_summaries(_typed(s, d))),
+    "word_sections": lambda s, d: P.word_sections(_sec(s, d), S.word_section_type(F.col("title"))),
+    "word_navigation": lambda s, d: P.word_navigation(_sec(s, d)),
+    "image_catalog": lambda s, d: P.image_catalog(QUERIES["images"](s, d)),
+    "master_index": lambda s, d: P.master_index(S.section_files(_typed(s, d)).unionByName(P.table_files(_tables(s, d)))),
+    "field_response": lambda s, d: P.field_response(L.structured_fields(_md(s, d))),
     "events_hourly": lambda s, d: E.hourly(table(s, d, "events")),
 }
 
