@@ -6,8 +6,8 @@ neighbouring edges of one document with the same minimiser form a path (a super-
 carried as one row: its two hashes, its document and its place. Paths whose minimiser is of one
 document only cannot repeat and go. Equal paths compact into one (nonbranching stretches that all
 their documents share) through grouping and joins; only where several different paths share a
-minimiser, branches are resolved edge by edge, once for each distinct path, whatever the number of
-its copies. Source coordinates (document, place) and a second, independent hash verify a repeat.
+minimiser, branches are resolved edge by edge, at every place of each distinct path within its source
+document, whatever the number of its copies in others. Source coordinates (document, place) and a second, independent hash verify a repeat.
 Spans of covered words go back to their documents by a join.
 
 Defined cases: null, empty and short texts have no window and keep all words; documents with a null
@@ -173,9 +173,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     unit = stash(found.groupBy(*path).agg(F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("source")))
     whole = found.join(unit, path).where(F.col("doc_id") > F.col("source.doc_id"))
     whole = whole.select("doc_id", "text_hash", F.col("start").alias("s"), (F.col("start") + F.col("n") + F.lit(window - 1)).alias("e"))
-    # branches: different paths with one minimiser may share edges; each source tells its own
+    # branches: different paths with one minimiser may share edges; each source tells its own, at
+    # every place where it has them, as `whole` covers larger documents only
     branching = stash(unit.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("m"))
-    places = unit.join(branching, "m").groupBy(F.col("source.doc_id").alias("doc_id"), F.col("source.text_hash").alias("text_hash")).agg(F.collect_list(F.struct("source.start", "source.n")).alias("places"))
+    told = unit.join(branching, "m").select(*path, F.col("source.doc_id").alias("doc_id"))
+    places = found.join(told, [*path, "doc_id"]).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("places"))
     edges = stash(edges_of(packed(docs).join(places, ["doc_id", "text_hash"]), window))
     first = stash(edges.groupBy("e1", "e2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("e1", "e2", "lo"))
     part = edges.join(first, ["e1", "e2"]).where("doc_id > lo").select("doc_id", "text_hash", F.col("at").alias("s"), (F.col("at") + F.lit(window)).alias("e"))

@@ -289,6 +289,24 @@ def test_substrings_are_brute_force(spark, docs, none):
     assert rows(substrings.dedup_substrings(none)) == [] and len(rows(substrings.dedup_substrings(docs))) == len(ROWS)
 
 
+def test_substrings_repeated_within_the_source(spark):
+    w = [f"w{k}x{random.Random(k).randint(0, 10**9)}" for k in range(400)]
+    x, y = w[:300], w[300:]
+    data = [(1, x[100:200] + y), (2, x * 3), (2, x * 2 + ["other"]), (3, x * 2)]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in data], "doc_id bigint, text string")
+    where = defaultdict(list)
+    for d, t in data:
+        for i in range(len(t) - 49):
+            where[tuple(t[i : i + 50])].append(d)
+    want = []
+    for d, t in data:
+        gone = {i + j for i in range(len(t) - 49) if min(where[tuple(t[i : i + 50])]) < d for j in range(50)}
+        want.append((d, len(t), len(gone), hashlib.sha256(" ".join(v for i, v in enumerate(t) if i not in gone).encode()).hexdigest()))
+    assert [n for _, _, n, _ in want] == [0, 300, 200, 600]
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows(substrings.dedup_substrings(df))]
+    assert sorted(got) == sorted(want)
+
+
 # 8: pieces
 
 
