@@ -7,8 +7,9 @@ carried as one row: its two hashes, its document and its place. Paths whose mini
 document only cannot repeat and go. Equal paths compact into one (nonbranching stretches that all
 their documents share) through grouping and joins; only where several different paths share a
 minimiser, branches are resolved edge by edge, at every place of each distinct path within its source
-document, whatever the number of its copies in others. Source coordinates (document, place) and a second, independent hash verify a repeat.
-Spans of covered words go back to their documents by a join.
+document, whatever the number of its copies in others. A repeat is told by two independent 64-bit
+hashes that agree: they stand in for a comparison of the words at the source's place, which isn't made.
+Source coordinates (document, place) only list the edges to hash. Spans of covered words go back to their documents by a join.
 
 Defined cases: null, empty and short texts have no window and keep all words; documents with a null
 doc_id neither lose words nor are a source; rows that share a doc_id aren't smaller than each other.
