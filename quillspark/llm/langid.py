@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
-from itertools import chain
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +33,23 @@ from .toxicity import held_out
 SAMPLE, SAMPLE_CHARS, BUCKETS, DIM, EPOCHS, RATE = 3000, 20_000, 1 << 15, 16, 6, 0.5
 LETTERS = re.compile(r"[^\W\d_]+")
 KEEP = 200_000
+#: Longer runs of letters are taken whole too, but one by one and in pieces, so that memory stays bounded.
+LONG, PIECE = 40, 1 << 16
 
 
 def subwords(word: str) -> list[int]:
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     crc = zlib.crc32
     return [crc(g.encode()) % BUCKETS for g in [w, *w[1:-1], *[w[i : i + 3] for i in range(len(w) - 2)]]]
 
 
+def pieces(word: str):
+    """The same of a long run, in arrays of at most PIECE."""
+    w = f"<{word}>"
+    for part in batched(chain((w,), word, (w[i : i + 3] for i in range(len(w) - 2))), PIECE):
+        yield np.array([zlib.crc32(g.encode()) % BUCKETS for g in part], np.int64)
+
+
 class Words(dict):
     """Numbers of words, in order of appearance; fresh has those without logits yet."""
 
@@ -72,11 +81,19 @@ class LanguageModel:
         number = words.__getitem__
         seen = [[number(w) for w in LETTERS.findall(t.lower())] if t and self.languages else [] for t in texts]
         if words.fresh:
-            ids = [subwords(w) for w in words.fresh]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
-            sums = np.add.reduceat(self.logits[flat], np.concatenate(([0], np.cumsum(n)[:-1])), axis=0)
-            self.rows = np.concatenate((self.rows, np.column_stack((sums, n))))
+            fresh = np.zeros((len(words.fresh), len(self.languages) + 1))
+            long = np.fromiter((len(w) > LONG for w in words.fresh), bool, len(fresh))
+            ids = [subwords(w) for w, x in zip(words.fresh, long) if not x]
+            if ids:
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+                sums = np.add.reduceat(self.logits[flat], np.concatenate(([0], np.cumsum(n)[:-1])), axis=0)
+                fresh[~long] = np.column_stack((sums, n))
+            for k in np.flatnonzero(long):
+                for part in pieces(words.fresh[k]):
+                    fresh[k, :-1] += self.logits[part].sum(axis=0)
+                    fresh[k, -1] += len(part)
+            self.rows = np.concatenate((self.rows, fresh))
             words.fresh.clear()
         for at in seen:
             if not at:
@@ -101,6 +118,9 @@ def train(rows: list[tuple[str, str]], seed: int = 11) -> LanguageModel:
     for t, y in sorted(set(rows)):
         ids: list[int] = []
         for w in LETTERS.findall(t.lower()):
+            if len(w) > LONG:
+                ids += subwords(w)
+                continue
             if w not in known:
                 known[w] = subwords(w)
             ids += known[w]

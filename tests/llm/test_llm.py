@@ -195,6 +195,19 @@ def test_languages(spark, none):
     assert all(0 <= r["score"] <= 1 for r in got) and rows(langid.identify(none)) == []
 
 
+def test_languages_of_long_runs(monkeypatch):
+    same = "abcdefgh" * 5  # 40 letters that all share
+    letters = {"aa": "klmno", "bb": "pqrst"}
+    text = lambda k, y: same + "".join(random.Random(k).choices(letters[y], k=80))
+    m = langid.train([(text(k, y), y) for k in range(300) for y in [("aa", "bb")[k % 2]]])
+    new = [(text(k, y), y) for k in range(1000, 1040) for y in [("aa", "bb")[k % 2]]]
+    got = m.predict([f"kl {t} pq" for t, _ in new])
+    assert [g[0] for g in got] == [y for _, y in new]
+    monkeypatch.setattr(langid, "PIECE", 7)
+    t = new[0][0]
+    assert np.concatenate(list(langid.pieces(t))).tolist() == langid.subwords(t) and len(langid.subwords(t)) == 1 + 2 * len(t)
+
+
 # 5 and 6: vectors
 
 
