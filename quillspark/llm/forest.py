@@ -5,7 +5,8 @@ direction (fitted on SAMPLE vectors); vectors within SPILL of a cut go to both s
 close pair is parted by all trees with negligible probability. Within a leaf, vectors of one label are compared
 by cosine in double precision; a pair that shares several leaves counts in the first only. Links
 are united within leaves to spanning trees and then across leaves. Leaves with more than CHUNK
-vectors of a label are dealt to pairs of chunks, none of which is left out.
+vectors of a label are dealt to pairs of chunks, none of which is left out. Every vector length has its
+own trees; lengths of at most LEAF vectors need none and go together, each as one leaf.
 
 Defined cases: a vector that is null, zero or has a null or non-finite component, or whose label is
 null, links with nothing and is its own component; vectors of different lengths don't link; repeated
@@ -87,13 +88,16 @@ def forest_components(vectors: DataFrame, least: float = 0.98, trees: int = TREE
     rows = vectors.select("vec_id", F.when(part, F.xxhash64("label", "embedding")).alias("rid"), F.when(part, F.col("label")).alias("label"), F.when(part, F.col("embedding")).alias("embedding"))
     unique = stash(rows.where("rid is not null").groupBy("rid", "label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")))
     total = unique.count()
-    dims = [r[0] for r in unique.select(F.size("embedding")).distinct().limit(64).collect()]
+    dim = F.size("embedding")
+    large = {r["dim"]: r["count"] for r in unique.groupBy(dim.alias("dim")).count().where(F.col("count") > LEAF).orderBy("dim").collect()}
     linked = None
-    for dim in dims:
-        own = unique.where(F.size("embedding") == dim)
-        some = sample(own, total, SAMPLE, "rid")
-        depth = max(0, min(int(np.ceil(np.log2(max(1, total / LEAF)))), int(np.log2(max(1, len(some) / 8)))))
-        one = links_of(own, some, dim, depth, least, trees, spill)
+    if sum(large.values()) < total:
+        linked = leaf_pairs(unique.where(~dim.isin(*large)).withColumn("codes", F.array(dim.cast("bigint"))), least)
+    for d, n in large.items():
+        own = unique.where(dim == d)
+        some = sample(own, n, SAMPLE, "rid")
+        depth = max(0, min(int(np.ceil(np.log2(max(1, n / LEAF)))), int(np.log2(max(1, len(some) / 8)))))
+        one = links_of(own, some, d, depth, least, trees, spill)
         linked = one if linked is None else linked.unionByName(one)
     ids = vectors.select("vec_id").schema["vec_id"].dataType
     if linked is None:
@@ -127,7 +131,12 @@ def links_of(own: DataFrame, some: np.ndarray, dim: int, depth: int, least: floa
             ends = np.cumsum(np.bincount(row, minlength=len(x)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(code[order]))], names=["rid", "label", "embedding", "n", "codes"])
 
-    placed = own.select("rid", "label", "embedding", "n").mapInArrow(place, f"rid bigint, label {label}, embedding {kind}, n bigint, codes array<bigint>")
+    return leaf_pairs(own.select("rid", "label", "embedding", "n").mapInArrow(place, f"rid bigint, label {label}, embedding {kind}, n bigint, codes array<bigint>"), least)
+
+
+def leaf_pairs(placed: DataFrame, least: float) -> DataFrame:
+    """The same from rid, label, embedding, n and codes, the sorted leaves of each vector; a leaf holds one length."""
+    placed = placed.select("rid", "label", "embedding", "n", "codes")
     dealt = stash(placed.select("*", F.explode("codes").alias("code")).withColumn("label", F.xxhash64("label")))
     keys = ["code", "label", "part_x", "part_y"]
     tasks = by_group(split_hot(dealt, ["code", "label"], F.col("rid"), CHUNK), keys)
@@ -140,7 +149,7 @@ def links_of(own: DataFrame, some: np.ndarray, dim: int, depth: int, least: floa
                     continue
                 g = t.slice(lo, hi - lo)
                 rid = g["rid"].to_numpy()
-                links, lab = leaf_links(unit(matrix(g["embedding"], dim)), g["n"].to_numpy(), g["codes"].to_pylist(), g["code"][0].as_py(), g["chunk"].to_numpy(), g["part_x"][0].as_py() != g["part_y"][0].as_py(), least)
+                links, lab = leaf_links(unit(matrix(g["embedding"], len(g["embedding"][0]))), g["n"].to_numpy(), g["codes"].to_pylist(), g["code"][0].as_py(), g["chunk"].to_numpy(), g["part_x"][0].as_py() != g["part_y"][0].as_py(), least)
                 told = (links > 0) | (lab != np.arange(len(lab)))
                 if told.any():
                     yield pa.RecordBatch.from_arrays([pa.array(rid[told]), pa.array(rid[lab[told]]), pa.array(links[told])], names=["a", "b", "links"])

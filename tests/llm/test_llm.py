@@ -279,6 +279,17 @@ def test_forest(spark, monkeypatch, leaf, chunk):
     assert rows(forest.forest_components(df.limit(0))) == []
 
 
+def test_forest_of_many_lengths(spark):
+    r = np.random.default_rng(6)
+    data = []
+    for dim in range(2, 72):
+        v = [float(np.float32(x)) for x in r.normal(size=dim)]
+        data += [(len(data), v, 1), (len(data) + 1, [2 * x for x in v], 1), (len(data) + 2, [-x for x in v], 1), (len(data) + 3, v, 2)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in rows(forest.forest_components(df)))
+    assert got == [(k, int(k % 4 < 2), k - (k % 4 == 1), k % 4 != 1) for k in range(len(data))]
+
+
 # 7: substrings
 
 
