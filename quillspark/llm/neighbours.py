@@ -10,14 +10,17 @@ least hash, every vector is indexed in its cell, and cells of more than CELL vec
 vector, say) are dealt to sub-cells by hash. A query first visits its own cell; its k-th distance
 then bounds the regions that the stopping test still lets it visit. Queries go to cells in blocks.
 
-Defined cases: vectors that are null, zero or have null or non-finite components take no part; so
-do those of another length than the longest run of lengths has; ties go to the smaller vec_id; a
-query with fewer than k candidates gets them all; rows without vec_id take no part.
+Every vector length is searched on its own; lengths of at most CELL vectors go together, each as one cell.
+
+Defined cases: vectors that are null, zero or have null or non-finite components take no part; a
+query's candidates are the vectors of its length; ties go to the smaller vec_id; a query with fewer
+than k candidates gets them all; rows without vec_id take no part.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,7 @@ def chi_square_bound(p: float, m: int) -> float:
     return hi
 
 
+@lru_cache(64)
 def projection(dim: int) -> np.ndarray:
     return np.random.default_rng(SEED).normal(size=(dim, M))
 
@@ -143,9 +147,9 @@ class Cells:
         return (gap * gap).sum(axis=1)
 
 
-def search(rows: DataFrame, asks: DataFrame, dim: int, k: int, bound: float) -> DataFrame:
-    """asks (cell, block, query_id, embedding, start) against rows (cell, vec_id, embedding):
-    (query_id, vec_id, score), the k best of each cell."""
+def search(rows: DataFrame, asks: DataFrame, k: int, bound: float) -> DataFrame:
+    """asks (cell, block, query_id, embedding, start) against rows (cell, vec_id, embedding), of one
+    length within a cell: (query_id, vec_id, score), the k best of each cell."""
     keys = ["cell", "block"]
     blocks = asks.groupBy("cell").agg(F.max("block").alias("last"))
     held = rows.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("last"))))
@@ -153,13 +157,13 @@ def search(rows: DataFrame, asks: DataFrame, dim: int, k: int, bound: float) ->
     both = both.unionByName(asks.select("cell", F.col("block").cast("int"), F.lit(1).alias("ask"), F.col("query_id").alias("id"), "embedding", "start"))
 
     def run(batches):
-        proj = projection(dim)
         for t in whole_groups(batches, keys, 4 * CELL):
             cuts = [*group_starts(t, keys), t.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
                 g = t.slice(lo, hi - lo)
                 ask, ids, start = g["ask"].to_numpy() == 1, g["id"].to_numpy(), g["start"].to_numpy()
-                x = matrix(g["embedding"], dim)
+                dim = len(g["embedding"][0])
+                x, proj = matrix(g["embedding"], dim), projection(dim)
                 if ask.all() or not ask.any():
                     continue
                 own, own_ids = x[~ask], ids[~ask]
@@ -183,11 +187,24 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | None = None, k: in
     is_query = F.col("vec_id") % 50 == 0 if is_query is None else is_query
     out = "query_id bigint, rank int, vec_id bigint, score double"
     good = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    lengths = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    if not lengths:
+    # lengths of over CELL vectors, and in the row without n all others
+    lengths = good.groupBy(F.size("embedding").alias("n")).count().groupBy(F.when(F.col("count") > CELL, F.col("n")).alias("n")).agg(F.sum("count").alias("count")).collect()
+    large = {r["n"]: r["count"] for r in sorted(lengths, key=lambda r: r["n"] or 0) if r["n"] is not None}
+    bound, found = chi_square_bound(sure, M), None
+    if len(large) < len(lengths):
+        rows = stash(good.where(~F.size("embedding").isin(*large)).withColumn("cell", F.size("embedding").cast("bigint")))
+        asks = rows.where(is_query).withColumnRenamed("vec_id", "query_id").withColumn("start", F.lit(float("inf")))
+        found = search(rows, blocked(asks), k, bound)
+    for dim, total in large.items():
+        one = of_length(good.where(F.size("embedding") == dim), is_query, dim, total, k, bound)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
         return spark.createDataFrame([], out)
-    dim, total, bound = lengths[0]["n"], lengths[0]["count"], chi_square_bound(sure, M)
-    good = good.where(F.size("embedding") == dim)
+    return best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def of_length(good: DataFrame, is_query: Column, dim: int, total: int, k: int, bound: float) -> DataFrame:
+    """(query_id, vec_id, score) among vectors of one length, the k best of each cell that a query visits."""
     some = sample(good, total, SAMPLE, "vec_id")
     depth = max(0, min(int(np.ceil(np.log2(max(1, total / CELL)))), int(np.log2(max(1, len(some) / 8)))))
     cells = Cells(some @ projection(dim), depth)
@@ -208,7 +225,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | None = None, k: in
     rows = placed.withColumn("cell", at + F.pmod(F.xxhash64("vec_id"), n))
     asks = placed.where(is_query).withColumnRenamed("vec_id", "query_id")
     own = asks.withColumn("cell", F.explode(F.sequence(at, at + n - 1))).withColumn("start", F.lit(float("inf"))).withColumn("block", F.lit(0))
-    near = stash(search(rows, blocked(own), dim, k, bound))
+    near = stash(search(rows, blocked(own), k, bound))
     kth = best(near, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.greatest(F.lit(0.0), 2 - 2 * F.min("score"))).otherwise(F.lit(float("inf"))).alias("start"))
 
     def further(batches):
@@ -231,8 +248,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | None = None, k: in
                 yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), pa.array(cell_, pa.int64()), pa.array(start_, pa.float64())], names=["query_id", "embedding", "cell", "start"])
 
     others = asks.join(kth, "query_id", "left").select("query_id", "embedding", "region", "start").mapInArrow(further, f"query_id bigint, embedding {kind}, cell bigint, start double")
-    found = near.unionByName(search(rows, blocked(others), dim, k, bound)) if depth else near
-    return best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return near.unionByName(search(rows, blocked(others), k, bound)) if depth else near
 
 
 def blocked(asks: DataFrame) -> DataFrame:

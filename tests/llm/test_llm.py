@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import forest, langid, mixing, neighbours, pieces, pii, simhash, substrings, toxicity
@@ -290,6 +291,21 @@ def test_forest_of_many_lengths(spark):
     assert got == [(k, int(k % 4 < 2), k - (k % 4 == 1), k % 4 != 1) for k in range(len(data))]
 
 
+@pytest.mark.parametrize("cell", [20_000, 100])
+def test_neighbours_of_every_length(spark, monkeypatch, cell):
+    monkeypatch.setattr(neighbours, "CELL", cell)
+    r = np.random.default_rng(7)
+    data = [(k, [float(np.float32(x)) for x in r.normal(size=[16, 16, 5, 5, 9][k % 5] if k < 700 else 3)]) for k in range(701)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
+    got = defaultdict(list)
+    for x in sorted(rows(neighbours.nearest_neighbours(df, F.col("vec_id") % 49 == 0)), key=lambda x: (x["query_id"], x["rank"])):
+        got[x["query_id"]].append(x["vec_id"])
+    asked = [(i, v) for i, v in data if i % 49 == 0 and i < 700]
+    assert set(got) == {i for i, _ in asked} and {len(v) for _, v in asked} == {16, 5, 9} and all(len(x) == 5 for x in got.values())
+    near = {i: [j for _, j in sorted((-cosine(v, w), j) for j, w in data if j != i and len(w) == len(v))[:5]] for i, v in asked}
+    assert sum(len(set(near[i]) & set(got[i])) for i, _ in asked) >= 0.9 * 5 * len(asked)
+
+
 # 7: substrings
 
 
