@@ -49,7 +49,7 @@ def token_tiers(s, d):
 
 def _vectors(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return C.chunk_facts(C.pack(_docs(s, d))).where("chunk_index = 0").join(v, "doc_id")
+    return C.chunk_facts(C.pack(_docs(s, d))).join(v, "doc_id")
 
 
 def _page_md(s, d):

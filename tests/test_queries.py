@@ -70,6 +70,13 @@ def test_files(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/rag/metadata").collect()[0]["documents"] == 5
 
 
+def test_every_chunk_has_its_embedding(spark):
+    v = {r["vec_id"]: r["embedding"] for r in table(spark, SF, "embeddings").collect()}
+    want = sorted((r["doc_id"], r["chunk_id"], tuple(v[r["doc_id"]])) for r in chunk_facts(pack(table(spark, SF, "documents"))).collect() if r["doc_id"] in v)
+    got = sorted((r["doc_id"], r["chunk_id"], tuple(r["embedding"])) for r in registry.queries()["chunk_embeddings"](spark, SF).collect())
+    assert got == want and len(want) > len({w[0] for w in want})
+
+
 def test_html(spark):
     r = spark.createDataFrame([("<nav>x</nav><h2>T</h2><p>a <a href=\"u\">b</a></p><ul><li>c</li></ul>",), (None,)], "h string").select(html_to_markdown(__import__("pyspark.sql.functions", fromlist=["col"]).col("h")).alias("r")).collect()
     assert r[0]["r"] == "# T\na [b](u)\n- c" and r[1]["r"] is None
