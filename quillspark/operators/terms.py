@@ -74,11 +74,12 @@ def graph(scores: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def concept_definitions(sections: DataFrame) -> DataFrame:
-    """doc_id, concept, definition, category: bold or code terms with a sentence; the last section wins."""
+    """doc_id, concept, definition, category: header blocks, and bold or code terms with a sentence; the
+    last section wins, and within it the later of these three kinds."""
     both = lambda p: F.arrays_zip(T.find_all(F.col("content"), p, 1).alias("n"), T.find_all(F.col("content"), p, 2).alias("d"))
-    found = F.concat(both(r"\*\*([^*]+)\*\*[:\s]*([^.\n]+\.)"), both(r"`([^`]+)`[:\s]*([^.\n]+\.)"))
+    found = F.concat(both(r"## ([^#\n]+)\n\n([^#]+?)(?=\n#|\z)"), both(r"\*\*([^*]+)\*\*[:\s]*([^.\n]+\.)"), both(r"`([^`]+)`[:\s]*([^.\n]+\.)"))
     d = sections.select("doc_id", "section_id", F.posexplode(found).alias("k", "c"))
-    d = d.select("doc_id", "section_id", "k", F.trim("c.n").alias("name"), F.trim("c.d").alias("definition")).where((F.length("name") < 50) & (F.length("definition") > 10))
+    d = d.select("doc_id", "section_id", "k", T.strip(F.col("c.n")).alias("name"), T.strip(F.col("c.d")).alias("definition")).where((F.length("name") < 50) & (F.length("definition") > 10))
     last = d.groupBy("doc_id", F.lower("name").alias("concept")).agg(F.max_by("definition", F.struct("section_id", "k")).alias("definition"))
     return last.select("doc_id", "concept", F.left("definition", F.lit(500)).alias("definition"), category(F.col("concept")).alias("category"))
 

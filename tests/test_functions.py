@@ -119,3 +119,14 @@ def test_payloads_and_splits(spark):
     s = spark.createDataFrame([(1, 1, "A b c. " * 600), (2, 1, None)], "doc_id int, section_id int, content string")
     for how in ("semantic", "structure", "rows", "tokens"):
         assert chunks.split_sections(s, how, 200).where("doc_id = 1").count() >= 1
+
+
+def test_concept_definitions_of_header_blocks(spark):
+    text = "## Token bucket\n\nA bucket that fills\nat a fixed rate. \n\n### Quota\n\nThe calls allowed in a day.\n# Other\n**Quota**: what remains of calls.\n## Short\n\nNo.\n## Last\n\nUp to the end of it\n"
+    s = spark.createDataFrame([(1, 1, "Pages 1-3", text), (1, 2, "Pages 4-6", "`Last`: the later section wins."), (2, 1, "Page 1", None)], "doc_id int, section_id int, title string, content string")
+    got = {(r["doc_id"], r["concept"]): r["definition"] for r in terms.concept_definitions(s).collect()}
+    assert got == {(1, "token bucket"): "A bucket that fills\nat a fixed rate.", (1, "quota"): "what remains of calls.", (1, "last"): "the later section wins."}
+    first = {r["concept"]: r["definition"] for r in terms.concept_definitions(s.where("section_id = 1")).collect()}
+    assert first["last"] == "Up to the end of it"
+    scores = spark.createDataFrame([(1, "rate")], "doc_id int, term string")
+    assert [(r["term"], r["concept"]) for r in terms.definition_links(scores, terms.concept_definitions(s)).collect()] == [("rate", "token bucket")]
