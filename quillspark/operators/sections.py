@@ -62,6 +62,17 @@ def flatten_outline(outline: DataFrame) -> DataFrame:
     return outline.select("doc_id", F.posexplode(flat).alias("ord", "n")).select("doc_id", "ord", "n.title", "n.level")
 
 
+def sections_from_outline(outline: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, section_id, title, content, level, page_num from a flat outline (doc_id, ord, title, level,
+    page_num) and pages (doc_id, page_num, page_text): each entry's content is its page's text, '' without
+    one. No title is Untitled Section, no level 0; of pages with one number the least text counts."""
+    first = pages.where("page_num <> 0").groupBy("doc_id", "page_num").agg(F.min("page_text").alias("page_text"))
+    return outline.join(first, ["doc_id", "page_num"], "left").select(
+        "doc_id", (F.col("ord") + 1).cast("int").alias("section_id"), F.coalesce("title", F.lit("Untitled Section")).alias("title"),
+        F.coalesce("page_text", F.lit("")).alias("content"), F.coalesce("level", F.lit(0)).cast("int").alias("level"), "page_num",
+    )
+
+
 def classify(title, content):
     t, c = F.lower(title), F.lower(content)
     by_title = T.first_class(t, V.SECTION_TITLES)

@@ -130,3 +130,11 @@ def test_concept_definitions_of_header_blocks(spark):
     assert first["last"] == "Up to the end of it"
     scores = spark.createDataFrame([(1, "rate")], "doc_id int, term string")
     assert [(r["term"], r["concept"]) for r in terms.definition_links(scores, terms.concept_definitions(s)).collect()] == [("rate", "token bucket")]
+
+
+def test_sections_from_outline(spark):
+    o = spark.createDataFrame([(1, 0, "A", 1, 2), (1, 1, None, None, 1), (1, 2, "C", 2, None), (1, 3, "D", 1, 9), (1, 4, "E", 1, 2), (2, 0, "F", 1, 0), (3, 0, "G", 1, 1)], "doc_id int, ord int, title string, level int, page_num int")
+    p = spark.createDataFrame([(1, 1, "one"), (1, 2, "two"), (1, None, "none"), (2, 0, "zero"), (2, 1, "other"), (4, 1, "unused")], "doc_id int, page_num int, page_text string")
+    got = [tuple(r) for r in sections.sections_from_outline(o, p).orderBy("doc_id", "section_id").collect()]
+    assert got == [(1, 1, "A", "two", 1, 2), (1, 2, "Untitled Section", "one", 0, 1), (1, 3, "C", "", 2, None), (1, 4, "D", "", 1, 9), (1, 5, "E", "two", 1, 2), (2, 1, "F", "", 1, 0), (3, 1, "G", "", 1, 1)]
+    assert sections.with_types(sections.sections_from_outline(o, p)).count() == 7
