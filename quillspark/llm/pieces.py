@@ -6,20 +6,25 @@ the seam between two pieces open and minus infinity where it would close it. An
 exactly if every neighbouring pair is open, so the surviving path is the model's own encoding, and
 every prefix has one surviving predecessor. States are end positions; only those within the longest
 piece's length can still be extended. Whenever the backpointer paths of all these live states meet
-in one boundary, the ids before it are committed and the window is dropped. A space mark after
-another character is such a boundary at once, as no piece spans it; what lies between two of them
-is kept in a bounded table.
+in one boundary, the ids before it are committed and the window is dropped. The pieces that end at
+a position come from an Aho-Corasick automaton, longest first. A space mark after another
+character, and both sides of a character without a piece, are such boundaries at once, as no piece
+spans them; what lies between two of them is kept in a bounded table. All texts, whatever their
+length, go this one way.
 
 Defined cases: a null text encodes as empty, an empty text has no ids; characters without a piece
-become their UTF-8 bytes' pieces; decoding gives back the text with U+2581 turned into a space.
+become their UTF-8 bytes' pieces; decoding gives back the text with U+2581 turned into a space;
+repeated rows each keep their row, an empty table gives an empty result, and of the columns only
+text and those asked for are read, so others may have any name.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
-from collections import defaultdict
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructType
 
 MARK = "▁"
-KEEP, KEEP_LEN, WINDOW = 500_000, 64, 256
+KEEP, KEEP_LEN = 500_000, 64
+
+
+class Filled(dict):
+    """A table that computes what it lacks; emptied at `most` entries; string keys over `longest` aren't kept."""
+
+    def __init__(self, compute, most: int | None = None, longest: int | None = None):
+        self.compute, self.most, self.longest = compute, most, longest
+
+    def __missing__(self, key):
+        v = self.compute(key)
+        if self.longest is None or len(key) <= self.longest:
+            if self.most and len(self) >= self.most:
+                self.clear()
+            self[key] = v
+        return v
+
+
+class Node(dict):
+    """A state of the automaton: by character the state it leads to, filled as they are met. pieces
+    are (length, id) of those that end here, longest first; fail is the state of the longest suffix."""
+
+    __slots__ = ("fail", "pieces", "kids")
+
+    def __init__(self):
+        self.fail, self.pieces, self.kids = None, (), {}
+
+    def __missing__(self, c: str) -> Node:
+        node = self
+        while node is not None and c not in node.kids:
+            node = node.fail
+        v = self[c] = node.kids[c]
+        return v
+
+
+def automaton(ids: dict[str, int]) -> Node:
+    """Aho and Corasick's automaton of the pieces; every character that it reads must be a piece."""
+    root = Node()
+    for p, i in ids.items():
+        node = root
+        for c in p:
+            if c not in node.kids:
+                node.kids[c] = Node()
+            node = node.kids[c]
+        node.pieces = ((len(p), i),)
+    level = [root]
+    while level:
+        below = []
+        for node in level:
+            for c, kid in node.kids.items():
+                kid.fail = root if node is root else node.fail[c]
+                kid.pieces += kid.fail.pieces
+                below.append(kid)
+        level = below
+    return root
 
 
 class PieceModel:
@@ -37,32 +96,31 @@ class PieceModel:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.piece = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
         special = {i for i in range(len(self.piece)) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)}
-        self.id = {p: i for i, p in enumerate(self.piece) if i not in special}
-        self.score = {p: sp.get_score(i) for p, i in self.id.items()}
+        ids = {p: i for i, p in enumerate(self.piece) if i not in special}
+        assert not any(MARK in p.lstrip(MARK) for p in ids), "a piece spans a space mark"
+        self.score = {p: sp.get_score(i) for p, i in ids.items()}
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if sp.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.byte.items()}
-        self.plain = [bytes((b,)) if (b := self.byte_of.get(i)) is not None else b"" if i in special else p.encode() for i, p in enumerate(self.piece)]
-        self.longest = max(map(len, self.id))
-        tails: dict[str, set[int]] = {}
-        for p in self.id:
-            if len(p) > 2:
-                tails.setdefault(p[-3:], set()).add(len(p))
-        self.tails = {t: sorted(n, reverse=True) for t, n in tails.items()}  # lengths of the pieces that end so
-        self.ends: dict[str, tuple[int, ...]] = {}
-        assert not any(MARK in p.lstrip(MARK) for p in self.id), "a piece spans a space mark"
-        self.chunk = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.open: dict[tuple[str, str], bool] = {}
-        self.after: dict[str, dict[str, bool]] = defaultdict(dict)
+        byte_of = {i: b for b, i in self.byte.items()}
+        self.plain = [bytes((b,)) if (b := byte_of.get(i)) is not None else b"" if i in special else p.encode() for i, p in enumerate(self.piece)]
+        self.size = list(map(len, self.piece))
+        self.longest = max(map(len, ids))
+        self.letters = {c for p in ids for c in p}
+        assert self.letters <= ids.keys(), "a character of a piece is no piece"
+        self.root = automaton(ids)
+        inside = "".join(map(re.escape, sorted(self.letters)))
+        self.run = re.compile(f"[{inside}]+|[^{inside}]+")
+        self.chunk = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if "\n" not in self.letters else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.past: dict[int, tuple[list[tuple[float, str, str]], bool]] = {}
         self.seams = 0
-        self.past: dict[str, tuple[list[tuple[float, str, str]], bool]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.after = Filled(lambda left: Filled(lambda right: self.seam(left, right)))  # by left piece (-1 at the start)
+        self.known = Filled(self.ids_of, KEEP, KEEP_LEN)
 
-    def history(self, piece: str) -> tuple[list[tuple[float, str, str]], bool]:
+    def history(self, i: int) -> tuple[list[tuple[float, str, str]], bool]:
         """The merges of one piece by itself, best score first and leftmost of equals: (score, first
         and last symbol before it), ended by the whole; and whether they do end in the whole piece."""
-        h = self.past.get(piece)
+        h = self.past.get(i)
         if h is None:
-            sym, steps = list(piece), []
+            sym, steps = list(self.piece[i]), []
             while len(sym) > 1:
                 best = max(range(len(sym) - 1), key=lambda i: (self.score.get(sym[i] + sym[i + 1], -np.inf), -i))
                 s = self.score.get(sym[best] + sym[best + 1])
@@ -70,131 +128,85 @@ class PieceModel:
                     break
                 steps.append((s, sym[0], sym[-1]))
                 sym[best : best + 2] = [sym[best] + sym[best + 1]]
-            h = self.past[piece] = (steps + [(-np.inf, sym[0], sym[-1])], len(sym) == 1)
+            h = self.past[i] = (steps + [(-np.inf, sym[0], sym[-1])], len(sym) == 1)
         return h
 
-    def seam(self, left: str, right: str) -> bool:
-        """May right follow left? left is empty at the start. Both pieces' merges are played in the
-        order of their scores; the seam closes if the symbols beside it merge before they change."""
-        b, whole = self.history(right)
-        if not left or not whole:
-            return whole
-        k = (left, right)
-        v = self.open.get(k)
-        if v is None:
-            if len(self.open) >= KEEP:
-                self.open.clear()
-            a, i, j, v = self.history(left)[0], 0, 0, True
-            while v:
+    def seam(self, left: int, right: int) -> bool:
+        """May right follow left (-1: nothing)? Both pieces' merges are played in the order of their
+        scores; the seam closes if the symbols beside it merge before they change."""
+        b, v = self.history(right)
+        if left >= 0 and v:
+            a, i, j = self.history(left)[0], 0, 0
+            while True:
                 s = self.score.get(a[i][2] + b[j][1])
                 if s is not None and s > a[i][0] and s >= b[j][0]:
                     v = False
-                elif i + 1 == len(a) and j + 1 == len(b):
                     break
-                elif j + 1 == len(b) or (i + 1 < len(a) and a[i][0] >= b[j][0]):
+                if i + 1 == len(a) and j + 1 == len(b):
+                    break
+                if j + 1 == len(b) or (i + 1 < len(a) and a[i][0] >= b[j][0]):
                     i += 1
                 else:
                     j += 1
-            self.open[k] = v
         self.seams += 1
         return v
 
     def path(self, s: str):
-        """Pieces of s in order, in runs that are committed as soon as the live paths meet."""
-        last = {0: ""}  # piece that ends at each live position, on its one surviving path
-        done = 0
-        score, tails, opened, seam = self.score, self.tails, self.open, self.seam
-        for end in range(1, len(s) + 1):
-            for n in (*tails.get(s[end - 3 : end], ()), 2, 1) if end > 2 else (2, 1)[2 - end :]:
-                if n > 1 and (n > end or s[end - n : end] not in score):
-                    continue
-                left, p = last.get(end - n), s[end - n : end]
-                if left is not None and ((v := opened.get((left, p))) or v is None and seam(left, p)):
-                    last[end] = p
+        """The ids of a run of characters that are pieces, in stretches: each is committed as soon as the
+        paths that can still be extended meet, which is tried once in two windows. last and next_to
+        hold, for each position since the last commit, the piece that ends there on its one surviving
+        path and the seams of that piece; what was committed is dropped."""
+        after, size, window, node = self.after, self.size, self.longest, self.root
+        last, next_to = [-1], [after[-1]]
+        base, due = -1, 2 * window  # the place before last[0]; when to commit
+        for end, c in enumerate(s):
+            node = node[c]
+            for n, p in node.pieces:
+                at = end - n - base
+                if at >= 0 and next_to[at][p]:
+                    last.append(p)
+                    next_to.append(after[p])
                     break
-            if end - done >= WINDOW:
-                live = {e for e in range(max(done, end - self.longest + 1), end + 1) if e in last}
+            if end >= due:
+                live = set(range(max(0, len(last) - window), len(last)))
                 while len(live) > 1:
                     e = max(live)
                     live.remove(e)
-                    live.add(e - len(last[e]) if e > done else done)
+                    live.add(max(0, e - size[last[e]]))
                 (meet,) = live
-                if meet > done:
-                    yield self.back(last, meet, done)
-                    last = {e: p for e, p in last.items() if e >= meet}
-                    done = meet
-        yield self.back(last, len(s), done)
-
-    def short(self, s: str) -> list[str]:
-        """The path of a string within one window: the same recursion without commits."""
-        score, ends, after, seam, size = self.score, self.ends, self.after, self.seam, len(s)
-        last: list[str] = [""]
-        next_to = [after[""]]  # by position: the seams of the piece that ends there
-        for end in range(1, size + 1):
-            tail = s[end - 3 : end] if end > 2 else s[:end]
-            lengths = ends.get(tail)
-            if lengths is None:
-                lengths = self.lengths(tail)
-            for n in lengths:
-                at = end - n
-                if at < 0:
-                    continue
-                p = s[at:end]
-                v = next_to[at].get(p)
-                if v is None:
-                    if n > 2 and p not in score:
-                        continue
-                    v = next_to[at][p] = seam(last[at], p)
-                if v:
-                    last.append(p)
-                    next_to.append(after[p])
-                    break
-        return self.back(last, size, 0)
-
-    def lengths(self, tail: str) -> tuple[int, ...]:
-        """Lengths that a piece ending in these three characters (or fewer, at the start) may have."""
-        if len(self.ends) >= KEEP:
-            self.ends.clear()
-        n = (*self.tails.get(tail, ()), 2, 1) if tail[-2:] in self.score else (*self.tails.get(tail, ()), 1)
-        self.ends[tail] = n
-        return n
-
-    @staticmethod
-    def back(last: dict[int, str] | list[str], end: int, done: int) -> list[str]:
-        out = []
-        while end > done:
+                if meet:
+                    yield self.back(last, meet)
+                    last, next_to = last[meet:], next_to[meet:]
+                    base += meet
+                due = end + window
+        yield self.back(last, len(last) - 1)
+
+    def back(self, last: list[int], end: int) -> list[int]:
+        out, size = [], self.size
+        while end > 0:
             out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+            end -= size[last[end]]
+        out.reverse()
+        return out
 
     def ids_of(self, s: str) -> tuple[int, ...]:
-        out: list[int] = []
         if self.seams > KEEP:
             self.after.clear()
             self.seams = 0
-        for run in [self.short(s)] if len(s) < WINDOW else self.path(s):
-            for p in run:
-                i = self.id.get(p)
-                out.extend([i] if i is not None else [self.byte[b] for b in p.encode("utf-8", "replace")])
+        if self.letters.issuperset(s):
+            return tuple(chain.from_iterable(self.path(s)))
+        out: list[int] = []
+        for run in self.run.findall(s):
+            out += chain.from_iterable(self.path(run)) if run[0] in self.letters else [self.byte[b] for b in run.encode("utf-8", "replace")]
         return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for s in self.chunk.findall(MARK + text.replace(" ", MARK)) if text else ():
-            ids = known.get(s)
-            if ids is None:
-                ids = self.ids_of(s)
-                if len(s) <= KEEP_LEN:
-                    if len(known) >= KEEP:
-                        known.clear()
-                    known[s] = ids
-            out += ids
-        return out
+        if not text:
+            return []
+        return list(chain.from_iterable(map(self.known.__getitem__, self.chunk.findall(MARK + text.replace(" ", MARK)))))
 
     def decode(self, ids: list[int]) -> str:
-        plain = self.plain
-        text = b"".join([plain[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.plain.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -214,10 +226,15 @@ def encode_documents(docs: DataFrame, model_file: str, keep: list[str] | None =
         m = model(model_file)
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
-            ids = [m.encode(t) for t in texts]
-            back = [m.decode(x) for x in ids]
+            gc.disable()  # the tables hold no cycles, and each collection would walk them
+            try:
+                ids = [m.encode(t) for t in texts]
+                back = [m.decode(x) for x in ids]
+                n = np.fromiter(map(len, ids), np.int64, len(ids))
+            finally:
+                gc.enable()
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[1:], pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in back]), pa.array([x == t.replace(MARK, " ") for x, t in zip(back, texts)])],
+                [*b.columns[1:], pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())))), pa.array(n), pa.array([hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in back]), pa.array([x == t.replace(MARK, " ") for x, t in zip(back, texts)])],
                 names=[*b.schema.names[1:], "ids", "n_ids", "decoded_sha256", "round_trip"],
             )
 
