@@ -246,13 +246,17 @@ def test_neighbours(spark, monkeypatch, cell):
         hit += len({j for _, j in near} & {j for j, _ in got[i]})
         assert all(abs(s - cosine(v, dict(ok)[j])) < 1e-12 for j, s in got[i]) and got[i] == sorted(got[i], key=lambda x: (-x[1], x[0]))
     assert hit >= 0.9 * 5 * len(asked)
+    clash = df.withColumns({c: F.lit(1) for c in ("rid", "cell", "block", "start", "score", "rank", "query_id", "is_query", "region")})
+    assert len(rows(neighbours.nearest_neighbours(clash))) == 5 * len(asked)
     assert rows(neighbours.nearest_neighbours(df.limit(0))) == [] and len(rows(neighbours.nearest_neighbours(df.where("vec_id in (0, 1, 2)")))) == 2
 
 
 def test_kd_tree_order():
-    p = np.random.default_rng(1).normal(size=(500, neighbours.M))
+    p = np.random.default_rng(1).normal(size=(500, 8))
     q, seen, last = p[0] + 0.1, [], 0.0
-    for d, r in neighbours.KdTree(p, 16).leaves(q):
+    tree = neighbours.KdTree(p, 16)
+    for d, lo, hi in tree.leaves(q):
+        r = tree.order[lo:hi]
         assert d >= last and ((p[r] - q) ** 2).sum(axis=1).min() >= d - 1e-12
         last = d
         seen += r.tolist()
@@ -260,6 +264,33 @@ def test_kd_tree_order():
     assert abs(neighbours.chi_square_bound(0.95, 8) - 15.507) < 0.01
 
 
+def test_neighbours_of_repeated_rows(spark):
+    r = np.random.default_rng(3)
+    data = [(k, [float(v) for v in r.normal(size=8)]) for k in range(20)]
+    data += [data[0], (7, data[7][1])]
+    got = rows(neighbours.nearest_neighbours(spark.createDataFrame(data, "vec_id bigint, embedding array<float>")))
+    assert sorted(x["rank"] for x in got) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5] and {x["query_id"] for x in got} == {0}
+    assert [x["vec_id"] for x in got if x["rank"] == 1] == [0, 0]  # each row finds the other
+    a, b = ([x["vec_id"] for x in sorted(got, key=lambda x: x["rank"]) if x["rank"] == k] for k in (2, 3))
+    assert a[0] == a[1] and b[0] == b[1]
+
+
+@pytest.mark.parametrize("n", [500, 4000, 20_000])
+def test_the_stop_of_the_search(n):
+    """On vectors without any structure, the hardest kind: recall over 0.9, and the stop saves work."""
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    ids, norms = np.arange(n), np.sqrt((x * x).sum(axis=1))
+    cell, bound = neighbours.Cell(x, ids, ids), neighbours.chi_square_bound(neighbours.SURE, neighbours.degrees(64))
+    hit = share = 0
+    for i in range(40):
+        got, verified = cell.nearest(x[i], i, 5, bound)
+        s = x @ x[i] / norms
+        s[i] = -2
+        hit += len(set(np.argsort(-s)[:5].tolist()) & {j for _, j in got})
+        share += verified / n
+    assert hit >= 0.9 * 200 and share / 40 < (0.75 if n == 500 else 0.6)
+
+
 @pytest.mark.parametrize("leaf,chunk", [(3000, 1500), (40, 16)])
 def test_forest(spark, monkeypatch, leaf, chunk):
     monkeypatch.setattr(forest, "LEAF", leaf)
