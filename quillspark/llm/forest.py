@@ -1,16 +1,21 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
 Equal vectors of a label collapse first. Each tree cuts recursively at the median of a random
-direction (fitted on SAMPLE vectors); vectors within SPILL of a cut go to both sides, so that a
-close pair is parted by all trees with negligible probability. Within a leaf, vectors of one label are compared
-by cosine in double precision; a pair that shares several leaves counts in the first only. Links
-are united within leaves to spanning trees and then across leaves. Leaves with more than CHUNK
-vectors of a label are dealt to pairs of chunks, none of which is left out. Every vector length has its
-own trees; lengths of at most LEAF vectors need none and go together, each as one leaf.
+direction; vectors within SPILL of a cut go to both sides, so that a close pair is parted by all
+trees with negligible probability. SPILL counts in standard deviations of what a pair just similar
+enough differs by along such a direction. A tree has one direction a level; its cuts are fitted on SAMPLE vectors, and
+below the level where a node has FEW of them by its last ancestor that has. A tree has as many levels as bring the largest label to
+LEAF vectors a leaf; a length with no label over LEAF vectors has trees of a single leaf, of which one suffices.
+
+Within a leaf, vectors of one label are compared by cosine in double precision; a pair that shares
+several leaves counts in the first only. Links are united within leaves to spanning trees and then
+across leaves. Leaves with more than CHUNK vectors of a label (near copies of one another, say) are
+dealt to pairs of chunks, none of which is left out. Every vector length has its own trees.
 
 Defined cases: a vector that is null, zero or has a null or non-finite component, or whose label is
 null, links with nothing and is its own component; vectors of different lengths don't link; repeated
-rows count as vectors that link; a component without any vec_id has a null id and keeps no row.
+rows count as vectors that link; a component without any vec_id has a null id and keeps no row. An empty
+table gives an empty result; only vec_id, embedding and label are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -20,45 +25,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, components, group_starts, local_components, split_hot, stash, whole_groups
+from .common import by_group, components, group_starts, local_components, stash, whole_groups
 from .vectors import matrix, sample, unit, usable
 
-TREES, SPILL, LEAF, CHUNK, SAMPLE, SEED = 6, 0.025, 3000, 1500, 8192, 17
+TREES, SPILL, LEAF, CHUNK, SAMPLE, FEW, SEED = 3, 0.65, 1024, 2048, 8192, 16, 17
 
 
 class Tree:
-    def __init__(self, p: np.ndarray, depth: int, rng: np.random.Generator):
-        self.depth, dim = depth, p.shape[1]
-        self.way = rng.normal(size=(max(1, 2**depth - 1), dim))
+    def __init__(self, p: np.ndarray, depth: int, spill: float, rng: np.random.Generator):
+        self.depth, self.spill = depth, spill
+        self.way = rng.normal(size=(depth, p.shape[1]))
         self.way /= np.sqrt((self.way**2).sum(axis=1, keepdims=True))
-        self.cut = np.zeros(len(self.way))
-        rows = {0: np.arange(len(p))}
-        for node in range(2**depth - 1):  # nodes in heap order
-            r = rows.pop(node)
-            v = p[r] @ self.way[node]
-            self.cut[node] = np.median(v) if len(r) else 0.0
-            rows[2 * node + 1], rows[2 * node + 2] = r[v <= self.cut[node]], r[v > self.cut[node]]
-
-    def leaves(self, x: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+        self.fitted = max(0, min(depth, int(np.log2(max(1, len(p) / FEW)))))  # levels whose nodes have cuts of their own
+        node, self.cuts = np.zeros(len(p), np.int64), []
+        for level in range(depth):
+            v, n = p @ self.way[level], 2 ** min(level, self.fitted)
+            order = np.lexsort((v, node))
+            lo, hi = np.searchsorted(node[order], np.arange(n)), np.searchsorted(node[order], np.arange(n), "right")
+            self.cuts.append(np.where(hi > lo, v[order[np.minimum((lo + hi) // 2, len(p) - 1)]], 0.0) if len(p) else np.zeros(n))
+            if level < self.fitted:
+                node = 2 * node + (v > self.cuts[level][node])
+
+    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for every leaf that a row falls in."""
         row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for _ in range(self.depth):
-            v = (x[row] * self.way[node]).sum(axis=1) - self.cut[node]
-            left, right = v <= spill, v > -spill
-            row, node = np.concatenate((row[left], row[right])), np.concatenate((2 * node[left] + 1, 2 * node[right] + 2))
-        return row, node - (2**self.depth - 1)
+        for level in range(self.depth):
+            v = (x @ self.way[level])[row] - self.cuts[level][node >> max(0, level - self.fitted)]
+            left, right = v <= self.spill, v > -self.spill
+            row, node = np.concatenate((row[left], row[right])), np.concatenate((2 * node[left], 2 * node[right] + 1))
+        return row, node
+
+
+class Forest:
+    def __init__(self, some: np.ndarray, depth: int, trees: int, spill: float, least: float):
+        rng = np.random.default_rng(SEED)
+        width = spill * np.sqrt((2 - 2 * least) / max(1, some.shape[1]))
+        self.trees = [Tree(some, depth, width, rng) for _ in range(trees if depth else 1)]
+
+    def codes(self, x: np.ndarray, upto: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, code, first place of each row and the end) of every leaf of unit vectors, by row and code;
+        upto: of the first trees only."""
+        row, code = zip(*((r, (k << 44) + leaf) for k, t in enumerate(self.trees[:upto]) for r, leaf in [t.leaves(x)]))
+        row, code = np.concatenate(row), np.concatenate(code)
+        order = np.lexsort((code, row))
+        return row[order], code[order], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(x)))))
 
 
-def leaf_links(u: np.ndarray, weight: np.ndarray, codes: list[list[int]], here: int, chunk: np.ndarray, cross: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+def leaf_links(u: np.ndarray, weight: np.ndarray, forest: Forest | None, here: int, chunk: np.ndarray, cross: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(summed weights of the links that count here, component labels) of the vectors of one leaf."""
     n = len(u)
     links, label = np.zeros(n, np.int64), np.arange(n)
-    width = max(map(len, codes))
-    code = np.full((n, width), -1, np.int64)
-    for i, c in enumerate(codes):
-        code[i, : len(c)] = c
-    later = code.copy()
-    later[later >= here] = -1  # leaves before this one
     step = max(1, 2_000_000 // n)
     for lo in range(0, n, step):
         s = u[lo : lo + step] @ u.T
@@ -73,12 +89,18 @@ def leaf_links(u: np.ndarray, weight: np.ndarray, codes: list[list[int]], here:
             keep[np.flatnonzero(edge)] = exact
             i, j = i[keep], j[keep]
         label = local_components(n, i, j, label)
-        for k in range(0, len(i), 50_000):
-            a, b = i[k : k + 50_000], j[k : k + 50_000]
-            before = ((later[a][:, :, None] == later[b][:, None, :]) & (later[a] >= 0)[:, :, None]).any(axis=(1, 2))
-            a, b = a[~before], b[~before]
-            np.add.at(links, a, weight[b])
-            np.add.at(links, b, weight[a])
+        if len(i) and forest is not None:
+            some, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+            row, code, first = forest.codes(u[some], (here >> 44) + 1)
+            before = np.full((len(some), int(np.diff(first).max())), -1, np.int64)  # leaves before this one
+            before[row, np.arange(len(row)) - first[row]] = np.where(code < here, code, -1)
+            a, b = before[at[: len(i)]], before[at[len(i) :]]
+            met = np.zeros(len(i), bool)
+            for k in range(before.shape[1]):
+                met |= (a[:, k, None] == b).any(axis=1) & (a[:, k] >= 0)
+            i, j = i[~met], j[~met]
+        np.add.at(links, i, weight[j])
+        np.add.at(links, j, weight[i])
     return links, label
 
 
@@ -89,15 +111,15 @@ def forest_components(vectors: DataFrame, least: float = 0.98, trees: int = TREE
     unique = stash(rows.where("rid is not null").groupBy("rid", "label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")))
     total = unique.count()
     dim = F.size("embedding")
-    large = {r["dim"]: r["count"] for r in unique.groupBy(dim.alias("dim")).count().where(F.col("count") > LEAF).orderBy("dim").collect()}
-    linked = None
-    if sum(large.values()) < total:
-        linked = leaf_pairs(unique.where(~dim.isin(*large)).withColumn("codes", F.array(dim.cast("bigint"))), least)
-    for d, n in large.items():
+    by_label = unique.groupBy(dim.alias("dim"), "label").count()
+    large = {r["dim"]: r for r in by_label.groupBy("dim").agg(F.sum("count").alias("n"), F.max("count").alias("most")).where(F.col("most") > LEAF).orderBy("dim").collect()}
+    small, linked = unique.where(~dim.isin(*large)), None
+    if total > sum(r["n"] for r in large.values()):
+        linked = leaf_pairs(small.withColumn("code", dim.cast("bigint")), None, least)
+    for d, r in large.items():
         own = unique.where(dim == d)
-        some = sample(own, n, SAMPLE, "rid")
-        depth = max(0, min(int(np.ceil(np.log2(max(1, n / LEAF)))), int(np.log2(max(1, len(some) / 8)))))
-        one = links_of(own, some, d, depth, least, trees, spill)
+        depth = int(np.ceil(np.log2(r["most"] / LEAF)))
+        one = links_of(own, Forest(sample(own, r["n"], SAMPLE, "rid"), depth, trees, spill, least), d, least)
         linked = one if linked is None else linked.unionByName(one)
     ids = vectors.select("vec_id").schema["vec_id"].dataType
     if linked is None:
@@ -113,33 +135,32 @@ def forest_components(vectors: DataFrame, least: float = 0.98, trees: int = TREE
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def links_of(own: DataFrame, some: np.ndarray, dim: int, depth: int, least: float, trees: int, spill: float) -> DataFrame:
+def links_of(own: DataFrame, forest: Forest, dim: int, least: float) -> DataFrame:
     """(a, b, links): a spanning link (or a with itself) and link weight of a, by leaf."""
-    rng = np.random.default_rng(SEED)
-    forest = [Tree(some, depth, rng) for _ in range(trees if depth else 1)]
-    kind = own.schema["embedding"].dataType.simpleString()
-    label = own.schema["label"].dataType.simpleString()
+    schema = own.select("rid", "label", "embedding", "n").schema
 
     def place(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = unit(matrix(b.column(2), dim))
-            row, code = zip(*((r, (k << 40) + leaf) for k, t in enumerate(forest) for r, leaf in [t.leaves(x, spill)]))
-            row, code = np.concatenate(row), np.concatenate(code)
-            order = np.lexsort((code, row))
-            ends = np.cumsum(np.bincount(row, minlength=len(x)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(code[order]))], names=["rid", "label", "embedding", "n", "codes"])
-
-    return leaf_pairs(own.select("rid", "label", "embedding", "n").mapInArrow(place, f"rid bigint, label {label}, embedding {kind}, n bigint, codes array<bigint>"), least)
-
-
-def leaf_pairs(placed: DataFrame, least: float) -> DataFrame:
-    """The same from rid, label, embedding, n and codes, the sorted leaves of each vector; a leaf holds one length."""
-    placed = placed.select("rid", "label", "embedding", "n", "codes")
-    dealt = stash(placed.select("*", F.explode("codes").alias("code")).withColumn("label", F.xxhash64("label")))
+            if b.num_rows:
+                _, code, first = forest.codes(unit(matrix(b.column(2), dim)))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(code))], names=[*b.schema.names, "codes"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    placed = stash(own.select(*schema.names).mapInArrow(place, f"{kinds}, codes array<bigint>"))
+    return leaf_pairs(placed.select(*schema.names, F.explode("codes").alias("code")), forest, least)
+
+
+def leaf_pairs(dealt: DataFrame, forest: Forest | None, least: float) -> DataFrame:
+    """The same from rid, label, embedding, n and code, a leaf of one vector length. The groups that need
+    more than one task are a table of their own: where it is small the planner broadcasts it, and
+    vectors move once for each of their leaves."""
+    dealt = dealt.withColumn("label", F.xxhash64("label"))
+    hot = stash(dealt.groupBy("code", "label").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > CHUNK))
+    hot = hot.select("code", "label", F.ceil(F.col("m") / F.lit(float(CHUNK))).cast("int").alias("parts"))
+    cut = dealt.join(hot, ["code", "label"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("rid", F.lit(7)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select("code", "label", F.least("chunk", "other").alias("part_x"), F.greatest("chunk", "other").alias("part_y"), "chunk", "rid", "embedding", "n")
     keys = ["code", "label", "part_x", "part_y"]
-    tasks = by_group(split_hot(dealt, ["code", "label"], F.col("rid"), CHUNK), keys)
 
     def run(batches):
         for t in whole_groups(batches, keys, 4 * CHUNK):
@@ -149,9 +170,9 @@ def leaf_pairs(placed: DataFrame, least: float) -> DataFrame:
                     continue
                 g = t.slice(lo, hi - lo)
                 rid = g["rid"].to_numpy()
-                links, lab = leaf_links(unit(matrix(g["embedding"], len(g["embedding"][0]))), g["n"].to_numpy(), g["codes"].to_pylist(), g["code"][0].as_py(), g["chunk"].to_numpy(), g["part_x"][0].as_py() != g["part_y"][0].as_py(), least)
+                links, lab = leaf_links(unit(matrix(g["embedding"], len(g["embedding"][0]))), g["n"].to_numpy(), forest, g["code"][0].as_py(), g["chunk"].to_numpy(), g["part_x"][0].as_py() != g["part_y"][0].as_py(), least)
                 told = (links > 0) | (lab != np.arange(len(lab)))
                 if told.any():
                     yield pa.RecordBatch.from_arrays([pa.array(rid[told]), pa.array(rid[lab[told]]), pa.array(links[told])], names=["a", "b", "links"])
 
-    return tasks.select(*keys, "chunk", "rid", "embedding", "n", "codes").mapInArrow(run, "a bigint, b bigint, links bigint")
+    return by_group(cut, keys).mapInArrow(run, "a bigint, b bigint, links bigint")

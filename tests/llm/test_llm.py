@@ -311,6 +311,39 @@ def test_forest(spark, monkeypatch, leaf, chunk):
     assert rows(forest.forest_components(df.limit(0))) == []
 
 
+@pytest.mark.parametrize("depth", [5, 10, 16])
+def test_trees_keep_pairs_together(depth):
+    """Planted pairs from just similar enough upwards: as good as all meet in a leaf, however deep."""
+    r, n = np.random.default_rng(depth), 6000
+    a = unit(r.normal(size=(n, 64)))
+    side = r.normal(size=(n, 64))
+    side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    c = r.uniform(0.98, 0.999, size=(n, 1))
+    b = c * a + np.sqrt(1 - c * c) * side
+    f = forest.Forest(a, depth, forest.TREES, forest.SPILL, 0.98)
+    (row_a, code_a, first_a), (row_b, code_b, first_b) = f.codes(a), f.codes(b)
+    met = sum(bool(set(code_a[first_a[k] : first_a[k + 1]].tolist()) & set(code_b[first_b[k] : first_b[k + 1]].tolist())) for k in range(n))
+    assert met >= 0.999 * n and len(code_a) / n < forest.TREES * 1.13**depth
+    sizes = np.unique(code_a[code_a < 1 << 44], return_counts=True)[1]
+    assert len(sizes) > 0.8 * min(2**depth, n / 4)  # balanced, though deeper than the sample reaches
+
+
+def test_forest_finds_planted_links(spark, monkeypatch):
+    """Through the query, with trees of over five levels."""
+    monkeypatch.setattr(forest, "LEAF", 48)
+    r, n = np.random.default_rng(12), 2000
+    a = unit(r.normal(size=(n, 24)))
+    side = r.normal(size=a.shape)
+    side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    c = r.uniform(0.9805, 0.9995, size=(n, 1))
+    b = (c * a + np.sqrt(1 - c * c) * side)[::2]
+    data = [(k, v.tolist(), 1) for k, v in enumerate(a)] + [(n + 2 * k, v.tolist(), 1) for k, v in enumerate(b)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int").withColumns({c: F.lit(1) for c in ("rid", "code", "codes", "chunk", "n", "links", "a", "b", "root", "first", "dim")})
+    got = {x["vec_id"]: x for x in rows(forest.forest_components(df))}
+    found = sum(got[n + 2 * k]["component_id"] == 2 * k and got[2 * k]["n_links"] == 1 and not got[n + 2 * k]["kept"] for k in range(n // 2))
+    assert len(got) == 3000 and found >= 0.998 * n / 2
+
+
 def test_forest_of_many_lengths(spark):
     r = np.random.default_rng(6)
     data = []
