@@ -7,31 +7,35 @@ everything between table and softmax is linear, prediction folds both into one t
 subword, and keeps each word's sum. A temperature and a rejection threshold are calibrated on a
 part of the training rows kept from the descent.
 
-Bound of the training sample: SAMPLE rows of least hash of doc_id, of which texts over SAMPLE_CHARS
-characters are left out. Predictions are made on whole texts.
-
-Defined cases: a null text, or one without a letter, is `und` with score 0; without training rows
-every text is `und`. A text whose calibrated score is under the threshold has rejected = true and
-still names the likeliest language.
+Bound of the training sample: of each language as many rows, of least hash of doc_id, as bring the
+languages to SAMPLE together, at least RARE; texts are learned from whole. The executors count their
+subwords, so that the driver gets at most BUCKETS numbers of a row. Predictions are made on whole texts.
+
+Defined cases: a null text, or one without a letter (category L; number signs such as ², ½ and Ⅷ are
+none), is `und` with score 0; without training rows every text is `und`. A text whose calibrated score is
+under the threshold has rejected = true and still names the likeliest language. Equal texts have equal
+predictions, repeated rows each keep their row and, in the fit, count as often as they are drawn; an
+empty table gives an empty result; only doc_id, text and lang are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
 from .toxicity import held_out
 
-SAMPLE, SAMPLE_CHARS, BUCKETS, DIM, EPOCHS, RATE = 3000, 20_000, 1 << 15, 16, 6, 0.5
-LETTERS = re.compile(r"[^\W\d_]+")
+SAMPLE, RARE, BUCKETS, DIM, EPOCHS, RATE = 3000, 200, 1 << 15, 16, 6, 0.5
+#: Runs of letters: \w without digits and the other signs that count as numbers.
+LETTERS = re.compile(f"[^\\W\\d_{''.join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
 KEEP = 200_000
 #: Longer runs of letters are taken whole too, but one by one and in pieces, so that memory stays bounded.
 LONG, PIECE = 40, 1 << 16
@@ -108,25 +112,28 @@ class LanguageModel:
         return out
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct subwords of a text and the share of each."""
+    seen, total = np.zeros(BUCKETS, np.int64), 0
+    for w, n in Counter(LETTERS.findall(text.lower())).items():
+        for ids in pieces(w) if len(w) > LONG else (subwords(w),):
+            np.add.at(seen, ids, n)
+            total += n * len(ids)
+    u = np.flatnonzero(seen)
+    return u.astype(np.int32), seen[u] / max(1, total)
+
+
 def train(rows: list[tuple[str, str]], seed: int = 11) -> LanguageModel:
     """From (text, language) rows."""
-    names = sorted({y for _, y in rows})
+    return descend([(*counted(t), y) for t, y in sorted(set(rows))], seed)
+
+
+def descend(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 11) -> LanguageModel:
+    """From (subwords, shares, language) rows, in their order."""
+    names = sorted({y for *_, y in rows})
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    known: dict[str, list[int]] = {}
-    data = []
-    for t, y in sorted(set(rows)):
-        ids: list[int] = []
-        for w in LETTERS.findall(t.lower()):
-            if len(w) > LONG:
-                ids += subwords(w)
-                continue
-            if w not in known:
-                known[w] = subwords(w)
-            ids += known[w]
-        if ids:
-            u, c = np.unique(np.array(ids), return_counts=True)
-            data.append((u, c / len(ids), names.index(y)))
+    data = [(u, c, names.index(y)) for u, c, y in rows if len(u)]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(data))
     kept, used = order[: len(data) // 5], order[len(data) // 5 :]
@@ -161,10 +168,27 @@ def train(rows: list[tuple[str, str]], seed: int = 11) -> LanguageModel:
     return model
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = bounded_sample(known, known.select("lang").count(), sample, "doc_id").where(F.length("text").between(1, sample_chars)).select("text", "lang")
-    return train([(r["text"], r["lang"]) for r in rows.collect()])
+def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", F.col("lang").alias("lang"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+    if not counts:
+        return descend([])
+    quota = max(RARE, sample // len(counts))
+    h = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(1 << 30))
+    cut = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, int(np.ceil(min(1.0, (quota + 4 * quota**0.5 + 16) / n) * (1 << 30))))]), F.col("lang"))
+    # a first cut by hash leaves little more than the sample, which the window then orders
+    order = Window.partitionBy("lang").orderBy(h, "doc_id", F.xxhash64("text"))
+    some = known.where(h < cut).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= quota).select("text", "lang", F.xxhash64("doc_id", "text").alias("key"))
+
+    def run(batches):
+        for b in batches:
+            told = [counted(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([u for u, _ in told], pa.list_(pa.int32())), pa.array([c for _, c in told], pa.list_(pa.float64()))], names=["lang", "key", "u", "c"])
+
+    rows = some.mapInArrow(run, "lang string, key bigint, u array<int>, c array<double>").toArrow()
+    lang, key = rows["lang"].to_pylist(), rows["key"].to_pylist()
+    u, c = ([np.asarray(x.values) for x in rows[k]] for k in ("u", "c"))
+    return descend([(u[i], c[i], lang[i]) for i in sorted(range(len(lang)), key=lambda i: (key[i], lang[i]))])
 
 
 def identify(docs: DataFrame) -> DataFrame:

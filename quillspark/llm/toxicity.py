@@ -4,20 +4,27 @@ Texts are folded one character to one character (case, look-alike letters of oth
 and signs that stand for letters), so match places are places of the text. The lexicon is learned
 from labelled rows: word starts and whole words, chosen one after the other by how many toxic rows
 not yet explained they occur in while (almost) no clean row has them, each weighted by its log
-odds. Phrases of a neighbouring word and a lexicon word that only clean rows have are exceptions
-and cancel the hit inside. The summed weight, normalised by the number of words, goes through a
-logistic curve fitted on the same rows; 0.7 is the threshold.
+odds. Some terms are soft: clean rows have them too, but hardly ever twice; their first hit in a text
+doesn't count. Phrases of a neighbouring word and a lexicon word that only clean rows have are
+exceptions and cancel the hit inside. The summed weight, normalised by the number of words, goes
+through a logistic curve fitted on the same rows; 0.7 is the threshold, and a score of 0.7 is toxic.
 
-Bound of the labelled sample: SAMPLE rows of `labels` (least hashes), of which those with texts of
-over SAMPLE_CHARS characters are left out of the fit, not of scoring. Texts are scored whole.
+Bound of the labelled sample: SAMPLE rows of `labels` (least hashes), learned from and scored with their
+whole texts. The executors count; the driver sees counts of terms that several toxic rows have, the
+terms of each toxic row of the sample, and two numbers for each row.
 
 Defined cases: null and empty texts score as texts without hits; without labelled rows of both
-kinds every score is 0; of repeated labels of a row the largest counts.
+kinds every score is 0; of repeated labels of a row the largest counts; rows with one text and label
+count once in the fit; rows without doc_id are scored and not held out; repeated rows each keep their
+row; an empty table gives an empty result; columns of any other name are left alone.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -28,9 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_sample
+from .common import bounded_sample, stash
 
-SAMPLE, SAMPLE_CHARS, TERMS, PREFIX = 9000, 20_000, 64, range(3, 9)
+SAMPLE, TERMS, PREFIX = 9000, 64, range(3, 9)
 THRESHOLD = 0.7
 #: Look-alike letters, and digits and signs read as letters; i, l, 1 and ! count as one.
 LOOKALIKES = dict(zip("авеёкмнорстухіјѕԁɡοαενικρτυχ", "abeekmhopctyxijsdgoaevikptyx"))
@@ -61,6 +68,7 @@ class Lexicon:
     exceptions: tuple[str, ...] = ()
     curve: tuple[float, float] = (0.0, 0.0)  # slope, offset
     fitted: bool = False
+    soft: frozenset[str] = frozenset()  # terms whose first hit is excused
 
 
 @lru_cache(maxsize=2)
@@ -93,17 +101,25 @@ def hits(text: str, terms: dict[str, float], exceptions: tuple[str, ...]) -> lis
                 spared.append((start, after))
         elif closed or not t.endswith(" "):
             found.append((start, t))
-    return [(s, t) for s, t in found if not any(x <= s < y for x, y in spared)]
+    if not spared:
+        return found
+    spared.sort()
+    starts, reach = [x for x, _ in spared], np.maximum.accumulate([y for _, y in spared]).tolist()
+    return [(s, t) for s, t in found if not ((i := bisect_right(starts, s)) and reach[i - 1] > s)]
 
 
 def weight(text: str | None, lex: Lexicon) -> float:
     """Summed weight of the hits, one for each place (the heaviest), per 100 words of text."""
     if not text or not lex.terms:
         return 0.0
-    best: dict[int, float] = {}
+    best: dict[int, str] = {}
     for s, t in hits(text, lex.terms, lex.exceptions):
-        best[s] = max(best.get(s, 0.0), lex.terms[t])
-    return 100.0 * sum(best.values()) / (len(text.split()) + 20) if best else 0.0
+        if s not in best or lex.terms[t] > lex.terms[best[s]]:
+            best[s] = t
+    if not best:
+        return 0.0
+    total = sum(lex.terms[t] * (n - (t in lex.soft)) for t, n in Counter(best.values()).items())
+    return 100.0 * total / (len(text.split()) + 20)
 
 
 def score(text: str | None, lex: Lexicon) -> float:
@@ -111,69 +127,107 @@ def score(text: str | None, lex: Lexicon) -> float:
     return 1.0 / (1.0 + float(np.exp(-(a * np.log1p(weight(text, lex)) + b)))) if lex.fitted else 0.0
 
 
-def features(text: str) -> set[str]:
-    out: set[str] = set()
-    for m in WORDS.finditer(text):
-        w = fold(m[0])
+def features(text: str) -> Counter[str]:
+    """How many words are, or start with, each folded word or start of a word."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(map(fold, WORDS.findall(text))).items():
         if w.isalpha() and len(w) >= 3:
-            out.add(w + " ")
-            out.update(w[:k] for k in PREFIX if k < len(w))
+            out[w + " "] += n
+            for k in PREFIX:
+                if k < len(w):
+                    out[w[:k]] += n
     return out
 
 
-def learn(rows: list[tuple[str, int]], exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Lexicon, exceptions and curve from (text, label) rows; repeated texts count once."""
-    rows = sorted(set(rows))
-    toxic, clean = [t for t, y in rows if y], [t for t, y in rows if not y]
-    if not toxic or not clean:
-        return Lexicon()
-    n1, n0, c0 = len(toxic), len(clean), {}
-    sets = [features(t) for t in toxic]
-    names = {f for s in sets for f in s}
-    for t in clean:
-        for f in features(t) & names:
-            c0[f] = c0.get(f, 0) + 1
-    c1: dict[str, int] = {}
-    for s in sets:
+def tally(texts: Iterable[str], names: set[str] | None = None) -> dict[str, list[int]]:
+    """By feature (of names, if given): texts that have it, and texts that have it twice or more."""
+    out: dict[str, list[int]] = {}
+    for t in texts:
+        for f, n in features(t).items():
+            if names is None or f in names:
+                c = out.setdefault(f, [0, 0])
+                c[0] += 1
+                c[1] += n > 1
+    return out
+
+
+def common_terms(toxic: dict[str, list[int]], n1: int) -> set[str]:
+    least = max(3, 0.004 * n1)
+    return {f for f, (n, _) in toxic.items() if n >= least}
+
+
+@dataclass
+class Candidate:
+    weight: float
+    rows: int  # toxic rows that have it
+    soft: bool
+
+
+def candidates(toxic: dict[str, list[int]], clean: dict[str, list[int]], n1: int, n0: int) -> dict[str, Candidate]:
+    """Terms that tell toxic rows: those that clean rows don't have, and those that they don't repeat."""
+    out = {}
+    for f, (c1, r1) in toxic.items():
+        c0, r0 = clean.get(f, (0, 0))
+        odds, odds2 = (float(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))) for a, b in ((c1, c0), (r1, r0)))
+        if c0 <= 0.06 * c1 and odds > 2:
+            out[f] = Candidate(odds, c1, False)
+        elif r1 >= max(3, 0.6 * c1) and r0 <= 0.1 * r1 and odds2 > 2:
+            out[f] = Candidate(odds2, r1, True)
+    return out
+
+
+def explained(text: str, good: dict[str, Candidate]) -> list[str]:
+    """The candidates that a text has, soft ones twice."""
+    return sorted(f for f, n in features(text).items() if f in good and n > good[f].soft)
+
+
+def chosen(rows: list[list[str]], good: dict[str, Candidate]) -> dict[str, float]:
+    """The lexicon, from what explains each toxic row."""
+    n1 = len(rows)
+    members: dict[str, set[int]] = {}
+    for i, s in enumerate(rows):
         for f in s:
-            c1[f] = c1.get(f, 0) + 1
-    odds = {f: float(np.log((c1[f] + 0.5) / (n1 + 1)) - np.log((c0.get(f, 0) + 0.5) / (n0 + 1))) for f in names}
-    good = {f for f in names if c0.get(f, 0) <= 0.06 * c1[f] and odds[f] > 2 and c1[f] >= 3}
-    members: dict[str, set[int]] = {f: set() for f in good}
-    for i, s in enumerate(sets):
-        for f in s & good:
-            members[f].add(i)
-    left, terms = set(range(n1)), {}
+            members.setdefault(f, set()).add(i)
+    terms: dict[str, float] = {}
     least = max(3, 0.004 * n1)
     while members and len(terms) < TERMS:
         # the term that explains most; of equals the longest, which says most
         f = min(members, key=lambda f: (-len(members[f]), -len(f), f))
         if len(members[f]) < least:
             break
-        terms[f], gone = odds[f], members.pop(f)
-        left -= gone
+        terms[f], gone = good[f].weight, members.pop(f)
         members = {g: kept for g, m in members.items() if (kept := m - gone)}
     # whatever else holds in at least a fiftieth of the toxic rows joins: the longest start of a word
     # that has as good as all rows of the shorter ones
-    common = [f for f in good if c1[f] >= max(8, 0.02 * n1)]
-    longer = {f for g in common for k in range(3, len(g)) if (f := g[:k]) in good and c1[g] >= 0.9 * c1[f]}
+    common = [f for f, c in good.items() if c.rows >= max(8, 0.02 * n1)]
+    longer = {f for g in common for k in range(3, len(g)) if (f := g[:k]) in good and good[g].rows >= 0.9 * good[f].rows}
     for f in sorted(set(common) - longer, key=lambda f: (len(f), f)):
         if len(terms) < 4 * TERMS and not any(f.startswith(t) for t in terms):
-            terms[f] = odds[f]
-    seen: dict[str, list[int]] = {}
-    for t, y in rows:
-        f = fold(t)
-        for s, _ in hits(t, terms, ()):
-            e = re.compile(r"\W|$").search(f, s).start()
-            near = re.match(r" \w+", f[e:])
-            for p in ([f[s:e] + near[0]] if near else []):
-                seen.setdefault(p, [0, 0])[y] += 1
-    learned = tuple(sorted(p for p, (n, y) in seen.items() if n >= 3 and not y))
-    lex = Lexicon(terms, tuple(dict.fromkeys([*map(fold, exceptions), *learned])), (0.0, 0.0), True)
-    x = np.log1p([weight(t, lex) for t, _ in rows])
-    y = np.array([v for _, v in rows], float)
+            terms[f] = good[f].weight
+    return terms
+
+
+def phrases(text: str, terms: dict[str, float]) -> Counter[str]:
+    """A hit's word and the word after it."""
+    f, out = fold(text), Counter()
+    for s, _ in hits(text, terms, ()):
+        e = re.compile(r"\W|$").search(f, s).start()
+        if near := re.compile(r" \w+").match(f, e):
+            out[f[s:e] + near[0]] += 1
+    return out
+
+
+def with_exceptions(terms: dict[str, float], good: dict[str, Candidate], clean: dict[str, int], toxic: Iterable[str], exceptions: tuple[str, ...]) -> Lexicon:
+    bad = set(toxic)
+    learned = sorted(p for p, n in clean.items() if n >= 3 and p not in bad)
+    return Lexicon(terms, tuple(dict.fromkeys([*map(fold, exceptions), *learned])), (0.0, 0.0), True, frozenset(f for f in terms if good[f].soft))
+
+
+def curve(points: list[tuple[float, int]]) -> tuple[float, float]:
+    """Slope and offset of the logistic curve of (weight, label) points, by Newton's method with a small ridge."""
+    x, y = np.log1p([w for w, _ in points]), np.array([v for _, v in points], float)
     a, b = 1.0, -2.0
-    for _ in range(200):  # Newton's method with a small ridge
+    for _ in range(200):
         p = 1 / (1 + np.exp(-(a * x + b)))
         s = np.maximum(p * (1 - p), 1e-9)
         grad = np.array([((p - y) * x).sum() + 0.05 * a, (p - y).sum()])
@@ -182,7 +236,22 @@ def learn(rows: list[tuple[str, int]], exceptions: tuple[str, ...] = EXCEPTIONS)
         a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
         if np.abs(step).max() < 1e-6:
             break
-    lex.curve = (float(max(a, 0.0)), float(b))
+    return float(max(a, 0.0)), float(b)
+
+
+def learn(rows: list[tuple[str, int]], exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """Lexicon, exceptions and curve from (text, label) rows; repeated rows count once."""
+    rows = sorted(set(rows))
+    texts = [t for t, y in rows if y], [t for t, y in rows if not y]
+    if not texts[0] or not texts[1]:
+        return Lexicon()
+    toxic = tally(texts[0])
+    names = common_terms(toxic, len(texts[0]))
+    good = candidates({f: toxic[f] for f in names}, tally(texts[1], names), len(texts[0]), len(texts[1]))
+    terms = chosen([explained(t, good) for t in texts[0]], good)
+    seen = [sum((phrases(t, terms) for t in x), Counter()) for x in texts]
+    lex = with_exceptions(terms, good, seen[1], seen[0], exceptions)
+    lex.curve = curve([(weight(t, lex), y) for t, y in rows])
     return lex
 
 
@@ -190,13 +259,46 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Lexicon:
-    """Learns from the labelled rows of docs that aren't held out. The sample of labels has at most
-    `sample` rows of two integers, so it may be broadcast."""
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    some = bounded_sample(marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), marked.count(), sample, "doc_id")
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, sample_chars)).join(F.broadcast(some), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")).limit(2 * sample)
-    return learn([(r["text"], int(r["toxic"] > 0)) for r in rows.collect()])
+def each(rows: DataFrame, schema: str, make: Callable[[list[str]], list[tuple]]) -> DataFrame:
+    """make, of the texts of each Arrow batch of rows (text, toxic)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            out = make(b.column(0).to_pylist())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
+
+    return rows.select("text").mapInArrow(run, schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """The same as learn, from the labelled rows of docs that aren't held out, counted by the executors.
+    The sample of labels has at most `sample` rows of two integers, so it may be broadcast."""
+    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    some = bounded_sample(marked, marked.count(), sample, "doc_id")
+    texts = docs.select("doc_id", "text").where(F.length("text") > 0)
+    rows = stash(texts.join(F.broadcast(some), "doc_id").select("text", "toxic").dropDuplicates(["text", "toxic"]))
+    toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
+    n1, n0 = toxic.count(), clean.count()
+    if not n1 or not n0:
+        return Lexicon()
+
+    def counted(part: DataFrame, names: set[str] | None, least: float) -> dict[str, list[int]]:
+        told = each(part, "f string, n bigint, m bigint", lambda t: [(f, *c) for f, c in tally(t, names).items()])
+        return {r["f"]: [r["n"], r["m"]] for r in told.groupBy("f").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n") >= least).collect()}
+
+    def phrased(part: DataFrame, least: int) -> dict[str, int]:
+        told = each(part, "p string, n bigint", lambda t: list(sum((phrases(x, terms) for x in t), Counter()).items()))
+        return {r["p"]: r["n"] for r in told.groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
+
+    found = counted(toxic, None, max(3, 0.004 * n1))
+    good = candidates(found, counted(clean, set(found), 1), n1, n0)
+    terms = chosen([r["fs"] for r in each(toxic, "fs array<string>", lambda t: [(explained(x, good),) for x in t]).collect()], good)
+    lex = with_exceptions(terms, good, phrased(clean, 3), phrased(toxic, 1), exceptions)
+    points = [[(r["w"], y) for r in each(part, "w double", lambda t: [(weight(x, lex),) for x in t]).collect()] for part, y in ((clean, 0), (toxic, 1))]
+    lex.curve = curve(sorted(points[0]) + sorted(points[1]))
+    return lex
 
 
 def score_documents(docs: DataFrame, lex: Lexicon, keep: list[str], name: str = "score") -> DataFrame:
