@@ -6,7 +6,8 @@ are pushed. The count is the initial symbols minus the merges. Counts of short p
 in a bounded table, so repeated words cost one lookup.
 
 Defined cases: a null text counts as empty; empty texts have 0 bytes and 0 tokens; the file's added
-tokens inside texts are one token each, as the library does by default.
+tokens inside texts are one token each, as the library does by default. Repeated rows, and rows whose
+doc_id is null, each keep their row; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@ splitting and connected components. Everything here is distributed; the driver s
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -33,8 +34,11 @@ def ship(spark: SparkSession) -> None:
             for p in sorted(top.rglob("*.py")):
                 z.write(p, p.relative_to(top.parent))
         sc.addPyFile(str(file))
-        # texts may be long: Python workers see a few rows at a time
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        # texts may be long: Python workers see a few rows, and a few bytes, at a time, unless the user says otherwise
+        for key, usual, ours in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "268435456", "16777216")):
+            key = f"spark.sql.execution.arrow.{key}"
+            if re.sub(r"\D", "", spark.conf.get(key, usual)) == usual:
+                spark.conf.set(key, ours)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +47,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset and
+    the driver is the only executor (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillspark-"))
     return sc.getCheckpointDir()
 
 
@@ -62,7 +70,25 @@ def stash(df: DataFrame, rows: int | None = None) -> DataFrame:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stashed tables that nothing will read again."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Deletes every table of this application's shared folder, once results have been read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in ("stash-*", "pipeline-*"):
+        for found in jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(shared_dir(spark), name)):
+            found.getPath().getFileSystem(conf).delete(found.getPath(), True)
 
 
 def bounded_sample(df: DataFrame, total: int, size: int, *keys: str) -> DataFrame:
@@ -157,8 +183,9 @@ def components(edges: DataFrame) -> DataFrame:
         to = stash(both.groupBy("node").agg(F.min(F.struct(F.xxhash64("to", r).alias("h"), F.col("to"))).alias("m")).select("node", F.col("m.to").alias("to")), bound)
         steps.append(to)
         pa_, pb_ = to.select(F.col("node").alias("a"), F.col("to").alias("pa")), to.select(F.col("node").alias("b"), F.col("to").alias("pb"))
-        moved = edges.join(pa_, "a").join(pb_, "b").where("pa <> pb")
+        moved, before = edges.join(pa_, "a").join(pb_, "b").where("pa <> pb"), edges
         edges = stash(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), bound)
+        drop(before)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = steps[-1].withColumnRenamed("to", "root")

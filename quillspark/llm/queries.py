@@ -100,9 +100,14 @@ w AS (SELECT *, CASE k % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) >= cap / weight AS clamped FROM w),
 t AS (SELECT source, source_size, CASE WHEN clamped THEN cap ELSE
-  (total - coalesce(sum(cap) FILTER (clamped) OVER (), 0)) / sum(weight) FILTER (NOT clamped) OVER () * weight END AS target FROM l)
+  (total - coalesce(sum(cap) FILTER (clamped) OVER (), 0)) / sum(weight) FILTER (NOT clamped) OVER () * weight END AS target FROM l),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
+k AS (SELECT doc_id, d.source, size, ('0x' || substr(md5('mix-1:turn:' || doc_id::VARCHAR), 1, 15))::BIGINT AS turn FROM d),
+g AS (SELECT source, turn, sum(size)::BIGINT AS among FROM k GROUP BY source, turn),
+c AS (SELECT *, coalesce(sum(among) OVER (PARTITION BY source ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM g)
 SELECT doc_id, size, source_size, target,
-  least(size * 2, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END * size
-    + ('0x' || substr(md5('mix-1:amount:' || doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE)::BIGINT)::BIGINT AS taken
-FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source""",
+  (whole * size + CASE WHEN floor(target)::BIGINT - whole * source_size >= before + among THEN size
+    WHEN floor(target)::BIGINT - whole * source_size <= before THEN 0
+    ELSE size * (floor(target)::BIGINT - whole * source_size - before) // among END)::BIGINT AS taken
+FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source JOIN c ON k.source IS NOT DISTINCT FROM c.source AND k.turn = c.turn""",
 }

@@ -3,13 +3,16 @@
 Fingerprints are made in one Arrow pass; the join works on distinct fingerprints only. Two
 fingerprints with at most k differing bits agree on at least r of k + r bit blocks, so each
 fingerprint is dealt to C(k + r, r) buckets by block contents and every link falls within a bucket.
+These buckets spread the trie over tasks: the blocks are what the levels above would have compared.
 A bucket is a binary trie; node pairs are traversed together from the root, level by level,
 accumulating differing bits, and pairs beyond the budget, or whose leaves are one component
 already, are cut off. Only spanning links leave a task, never all pairs of a group.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any
 other. Repeated rows share a fingerprint and each keeps its row. Rows whose doc_id is null keep
-their row and never name a component unless no other id is in it (then component_id is null).
+their row and never name a component unless no other id is in it (then component_id is null). Texts
+are hashed whole, whatever their length; an empty table gives an empty result; only doc_id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -151,8 +154,9 @@ def simhash_components(docs: DataFrame, budget: int = 4, shingle: int = 4) -> Da
 
 def keep_one(docs: DataFrame, budget: int = 4, shingle: int = 4) -> DataFrame:
     """docs with one row of each SimHash component: that of smallest doc_id, nulls last, then of
-    smallest MD5 of text; of repeated rows one stays."""
-    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
+    smallest MD5 of text, then by the other columns; of repeated rows one stays."""
+    rest = F.xxhash64(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], F.col("text").isNull())
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("h"), rest.alias("r"))
     keyed = docs.withColumn("__qs_key", F.to_json(key))
     own = stash(fingerprints(keyed.select("text", F.col("__qs_key").alias("_key"), key.alias("_order")), ["_key", "_order"], shingle))
     first = stash(own.groupBy("fp").agg(F.min(F.struct("_order", "_key")).alias("first")), 4 * own.count())

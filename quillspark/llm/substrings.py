@@ -12,7 +12,9 @@ hashes that agree: they stand in for a comparison of the words at the source's p
 Source coordinates (document, place) only list the edges to hash. Spans of covered words go back to their documents by a join.
 
 Defined cases: null, empty and short texts have no window and keep all words; documents with a null
-doc_id neither lose words nor are a source; rows that share a doc_id aren't smaller than each other.
+doc_id neither lose words nor are a source; rows that share a doc_id aren't smaller than each other, and
+equal ones have their spans once between them; an empty table gives an empty result; only doc_id and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import drop, stash
 
 WINDOW, GRAM = 50, 12
 #: Odd multipliers of the two rolling hashes.
@@ -170,6 +172,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     # tables on their own, so that the joins below may split the partition of a hot key
     shared = stash(every.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m"))
     found = stash(every.join(shared, "m"))
+    drop(every, shared)
     # compaction: equal paths are one, whose source is its smallest document
     unit = stash(found.groupBy(*path).agg(F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("source")))
     whole = found.join(unit, path).where(F.col("doc_id") > F.col("source.doc_id"))
@@ -182,7 +185,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     edges = stash(edges_of(packed(docs).join(places, ["doc_id", "text_hash"]), window))
     first = stash(edges.groupBy("e1", "e2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("e1", "e2", "lo"))
     part = edges.join(first, ["e1", "e2"]).where("doc_id > lo").select("doc_id", "text_hash", F.col("at").alias("s"), (F.col("at") + F.lit(window)).alias("e"))
-    return whole.unionByName(part).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return whole.unionByName(part).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def kept_words(joined: DataFrame, id_type: str) -> DataFrame:
