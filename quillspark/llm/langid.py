@@ -34,13 +34,20 @@ from pyspark.sql import functions as F
 from .toxicity import held_out
 
 SAMPLE, RARE, BUCKETS, DIM, EPOCHS, RATE = 3000, 200, 1 << 15, 16, 6, 0.5
-#: Runs of letters: \w without digits and the other signs that count as numbers.
-LETTERS = re.compile(f"[^\\W\\d_{''.join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
+RUNS = re.compile(r"[^\W\d_]+")
 KEEP = 200_000
 #: Longer runs of letters are taken whole too, but one by one and in pieces, so that memory stays bounded.
 LONG, PIECE = 40, 1 << 16
 
 
+def letters(text: str) -> list[str]:
+    """Runs of letters. The class of words also takes signs that count as numbers; the few runs that hold one are cut there."""
+    runs = RUNS.findall(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for r in runs for w in ([r] if r.isalpha() else "".join(c if c.isalpha() else " " for c in r).split())]
+
+
 def subwords(word: str) -> list[int]:
     w = f"<{word}>"
     crc = zlib.crc32
@@ -83,7 +90,7 @@ class LanguageModel:
             self.__post_init__()
         words, out = self.words, []
         number = words.__getitem__
-        seen = [[number(w) for w in LETTERS.findall(t.lower())] if t and self.languages else [] for t in texts]
+        seen = [[number(w) for w in letters(t.lower())] if t and self.languages else [] for t in texts]
         if words.fresh:
             fresh = np.zeros((len(words.fresh), len(self.languages) + 1))
             long = np.fromiter((len(w) > LONG for w in words.fresh), bool, len(fresh))
@@ -115,7 +122,7 @@ class LanguageModel:
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct subwords of a text and the share of each."""
     seen, total = np.zeros(BUCKETS, np.int64), 0
-    for w, n in Counter(LETTERS.findall(text.lower())).items():
+    for w, n in Counter(letters(text.lower())).items():
         for ids in pieces(w) if len(w) > LONG else (subwords(w),):
             np.add.at(seen, ids, n)
             total += n * len(ids)
