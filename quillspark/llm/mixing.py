@@ -28,7 +28,7 @@ from .common import WORD, stash
 
 SHARE, CAP, WEIGHTS, SEED = 1.5, 2, (5, 2, 1), "mix-1"
 #: Documents of a source in one range of the seeded number, about.
-RANGE = 50_000
+RANGE = 2000
 
 
 def words(text: Column) -> Column:
