@@ -42,9 +42,9 @@ def convert(docs: DataFrame, tables: bool = True, images: bool = True, concepts:
     """doc_id, path, body of every file that a document turns into, with a README.md that lists them."""
     sections = S.sections_from_markdown(docs)
     typed = S.with_types(sections)
-    refs, known = R.references(sections), R.targets(sections)
-    found, plan = R.resolved(refs, known), C.chunk_plan(typed)
-    parts = [S.section_files(typed), P.word_navigation(sections), P.chunk_files(typed, plan), P.chunk_manifest(typed, plan), P.internal_references(found), P.external_references(refs), P.broken_references(R.broken(refs, known)), P.link_mapping(R.link_map(found.unionByName(refs.where("type = 'url'"))))]
+    known = R.resolution(sections)
+    refs, found, plan = known.drop("known"), R.resolved(known), C.chunk_plan(typed)
+    parts = [S.section_files(typed), P.word_navigation(sections), P.chunk_files(typed, plan), P.chunk_manifest(typed, plan), P.internal_references(found), P.external_references(refs), P.broken_references(R.broken(known)), P.link_mapping(R.link_map(known.where("known or type = 'url'")))]
     if tables:
         t = A.tables_with_text(docs)
         parts += [P.table_files(t), P.tables_index(t)]

@@ -28,6 +28,15 @@ def find_all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+def match_starts(c: Column, pattern: str) -> Column:
+    """Places, from 0, where the matches of a pattern start: a running sum of the pieces between them and the matches."""
+    hits, pieces = find_all(c, pattern), F.split(c, pattern, -1)
+    none = F.expr("cast(named_struct('end', 0, 'at', array()) as struct<end: int, at: array<int>>)")
+    step = lambda a, x: F.struct((a["end"] + F.length(x["p"]) + F.length(x["h"])).alias("end"), F.array_append(a["at"], a["end"] + F.length(x["p"])).alias("at"))
+    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(p.alias("p"), h.alias("h")))
+    return F.aggregate(both, none, step)["at"]
+
+
 def count_literal(c: Column, word: str) -> Column:
     """Non-overlapping occurrences of a literal."""
     return (F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word)
@@ -50,6 +59,13 @@ def clean_text(c: Column) -> Column:
     return strip(c)
 
 
+def process_text(c: Column) -> Column:
+    """Extraction's clean-up as one step: signs mended, split bullets joined, blanks at line ends gone."""
+    from ..operators.lines import repair_bullets
+
+    return repair_bullets(fix_chars(c))
+
+
 def strip_markdown(c: Column) -> Column:
     for p, r in ((r"#{1,6}\s+", ""), (r"\*\*(.*?)\*\*", "$1"), (r"\*(.*?)\*", "$1"), (r"`(.*?)`", "$1"), (r"!\[.*?\]\(.*?\)", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1")):
         c = F.regexp_replace(c, p, r)
@@ -152,8 +168,9 @@ def cost(n: Column, model: str = "gpt-3.5-turbo") -> Column:
     return n / 1000 * F.lit(V.PRICES.get(model, 0.002))
 
 
-def trim_to_tokens(c: Column, target: int) -> Column:
-    n = F.floor(F.lit(float(target)) * (F.length(c) / tokens(c)) * F.lit(0.9)).cast("int")
+def trim_to_tokens(c: Column, target: int | Column) -> Column:
+    target = F.lit(target) if isinstance(target, int) else target
+    n = F.floor(target.cast("double") * (F.length(c) / tokens(c)) * F.lit(0.9)).cast("int")
     cut = F.left(c, n)
     dot = F.length(cut) - F.locate(".", F.reverse(cut))  # place of the last full stop, from 0
     cut = F.when(F.contains(cut, F.lit(".")) & (dot > n * 0.8), F.left(cut, dot + 1)).otherwise(cut)

@@ -104,11 +104,13 @@ def structure_sections(docs: DataFrame) -> DataFrame:
 
 def field_context(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, context, section: the five lines around each line with a colon, and the numbered title in them."""
-    ls = F.transform(F.split("text", "\n", -1), T.strip)
-    d = docs.select("doc_id", ls.alias("ls")).select("doc_id", "ls", F.posexplode("ls").alias("line_no", "line")).where(F.contains("line", F.lit(":")))
-    start = F.greatest(F.col("line_no") - 2, F.lit(0))
-    near = F.array_join(F.filter(F.slice("ls", start + 1, F.col("line_no") + 3 - start), lambda x: x != ""), " ")
-    return d.select("doc_id", "line_no", near.alias("context")).withColumn("section", F.trim(F.nullif(F.regexp_extract("context", r"(\d+\.\d+\s+[A-Z][^:]+)", 1), F.lit(""))))
+    def row(line: Column, i: Column) -> Column:
+        start = F.greatest(i - 2, F.lit(0))
+        near = F.array_join(F.filter(F.slice("ls", start + 1, i + 3 - start), lambda x: x != ""), " ")
+        return F.when(F.contains(line, F.lit(":")), F.struct(i.alias("line_no"), near.alias("context")))
+
+    d = docs.select("doc_id", F.transform(F.split("text", "\n", -1), T.strip).alias("ls")).select("doc_id", F.explode(F.array_compact(F.transform("ls", row))).alias("x")).select("doc_id", "x.*")
+    return d.withColumn("section", F.trim(F.nullif(F.regexp_extract("context", r"(\d+\.\d+\s+[A-Z][^:]+)", 1), F.lit(""))))
 
 
 def document_stats(docs: DataFrame) -> DataFrame:

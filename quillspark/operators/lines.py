@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -30,17 +30,17 @@ def repair_bullets(c: Column, marks: str = MARKS) -> Column:
 def convert_bullets(docs: DataFrame, indicators: list[str] | None = None) -> DataFrame:
     """doc_id, line_no, line: marker lines become `• text` where the seven lines around name a list
     or hold another line with the same marker."""
-    all_lines = F.split("text", "\n", -1)
-    d = docs.select("doc_id", all_lines.alias("ls"), F.posexplode(all_lines).alias("line_no", "line"))
-    start = F.greatest(F.col("line_no") - 3, F.lit(0))
-    near = F.slice("ls", start + 1, F.col("line_no") + 4 - start)
-    s = T.strip(F.col("line"))
-    mark = F.left(s, F.lit(2))
-    same = F.size(F.filter(near, lambda x: T.strip(x).startswith(mark))) - 1
-    listed = T.any_of(F.lower(F.array_join(near, "")), indicators or V.BULLET_INDICATORS)
-    turn = ~F.contains("line", F.lit("•")) & s.rlike(r"^[l\-*·‣▪▫] ") & (listed | (same >= 1))
-    indent = F.regexp_extract("line", r"^(\s*)", 1)
-    return d.select("doc_id", "line_no", F.when(turn, F.concat(indent, F.lit("• "), T.strip(F.expr("substring(regexp_replace(line, '^[ \t]+', ''), 3)")))).otherwise(F.col("line")).alias("line"))
+    words = indicators or V.BULLET_INDICATORS
+
+    def converted(line: Column, i: Column) -> Column:
+        start = F.greatest(i - 3, F.lit(0))
+        near, s = F.slice("ls", start + 1, i + 4 - start), T.strip(line)
+        same = F.size(F.filter(near, lambda x: T.strip(x).startswith(F.left(s, F.lit(2))))) - 1
+        turn = ~F.contains(line, F.lit("•")) & s.rlike(r"^[l\-*·‣▪▫] ") & (T.any_of(F.lower(F.array_join(near, "")), words) | (same >= 1))
+        indent = F.regexp_extract(line, r"^(\s*)", 1)
+        return F.when(turn, F.concat(indent, F.lit("• "), T.strip(F.substring(F.regexp_replace(line, "^[ \t]+", ""), 3, 2147483647)))).otherwise(line)
+
+    return docs.select("doc_id", F.split("text", "\n", -1).alias("ls")).select("doc_id", F.posexplode(F.transform("ls", converted)).alias("line_no", "line"))
 
 
 def line_flags(line: Column) -> dict[str, Column]:
@@ -105,12 +105,12 @@ def list_items(docs: DataFrame) -> DataFrame:
 
 def generic_content(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, section, content: lines of over ten signs under the last short capital line."""
-    d = docs.select("doc_id", F.transform(F.split("text", "\n", -1), T.strip).alias("ls"))
-    head = lambda x: (x != "") & (F.length(x) < 100) & (T.is_upper(x) | x.rlike(r"^[^\p{L}]*\p{Lu}\p{Ll}*(?:[^\p{L}]+\p{Lu}\p{Ll}*)*[^\p{L}]*$")) & ~x.rlike(r"^[•\-*]")
-    heads = F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("i"), x.alias("h"))), lambda y: head(y["h"]))
-    d = d.withColumn("heads", heads).select("doc_id", "heads", F.posexplode("ls").alias("line_no", "line")).where((F.length("line") > 10) & ~head(F.col("line")))
-    above = F.filter("heads", lambda x: x["i"] < F.col("line_no"))
-    return d.select("doc_id", "line_no", F.coalesce(F.replace(F.lower(F.get(above, F.size(above) - 1)["h"]), F.lit(" "), F.lit("_")), F.lit("content")).alias("section"), F.col("line").alias("content"))
+    d = docs.select("doc_id", F.posexplode(F.transform(F.split("text", "\n", -1), T.strip)).alias("line_no", "line"))
+    x = F.col("line")
+    head = (x != "") & (F.length(x) < 100) & (T.is_upper(x) | x.rlike(r"^[^\p{L}]*\p{Lu}\p{Ll}*(?:[^\p{L}]+\p{Lu}\p{Ll}*)*[^\p{L}]*$")) & ~x.rlike(r"^[•\-*]")
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("head", head).withColumn("above", F.last(F.when(F.col("head"), x), ignorenulls=True).over(before)).where((F.length(x) > 10) & ~F.col("head"))
+    return d.select("doc_id", "line_no", F.coalesce(F.replace(F.lower("above"), F.lit(" "), F.lit("_")), F.lit("content")).alias("section"), x.alias("content"))
 
 
 def table_fields(docs: DataFrame) -> DataFrame:
@@ -123,8 +123,18 @@ def table_fields(docs: DataFrame) -> DataFrame:
 
 def code_starts(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, code_type: lines that open code, by themselves or one of the next three."""
-    ls = F.split("text", "\n", -1)
-    d = docs.select("doc_id", ls.alias("ls"), F.posexplode(ls).alias("line_no", "line"))
-    after = F.slice("ls", F.col("line_no") + 2, F.lit(3))
-    opens = T.strip(F.col("line")).startswith("```") | T.any_of(F.lower("line"), V.CODE_WORDS) | F.exists(after, lambda x: T.any_of(F.lower(x), V.CODE_WORDS))
-    return d.where(opens).select("doc_id", "line_no", T.code_type(F.concat_ws(" ", "line", F.array_join(F.slice("ls", F.col("line_no") + 2, F.lit(5)), " "))).alias("code_type"))
+    def row(line: Column, i: Column) -> Column:
+        opens = T.strip(line).startswith("```") | T.any_of(F.lower(line), V.CODE_WORDS) | F.exists(F.slice("ls", i + 2, F.lit(3)), lambda x: T.any_of(F.lower(x), V.CODE_WORDS))
+        return F.when(opens, F.struct(i.alias("line_no"), T.code_type(F.concat_ws(" ", line, F.array_join(F.slice("ls", i + 2, F.lit(5)), " "))).alias("code_type")))
+
+    d = docs.select("doc_id", F.split("text", "\n", -1).alias("ls")).select("doc_id", F.explode(F.array_compact(F.transform("ls", row))).alias("x"))
+    return d.select("doc_id", "x.line_no", "x.code_type")
+
+
+def code_ends(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no: lines that end code: those that close a fence, and a blank line before one that is not."""
+    def ends(line: Column, i: Column) -> Column:
+        after = F.coalesce(T.strip(F.get("ls", i + 1)), F.lit(""))
+        return F.when(T.strip(line).endswith("```") | ((T.strip(line) == "") & (after != "")), i)
+
+    return docs.select("doc_id", F.split("text", "\n", -1).alias("ls")).select("doc_id", F.explode(F.array_compact(F.transform("ls", ends))).alias("line_no"))

@@ -2,47 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
 
+INTERNAL = ("section", "page", "figure", "table")
 RANK = {"section": 0, "page": 1, "figure": 2, "table": 3, "concept": 4, "url": 5, "api": 6}
 
 
-def references(sections: DataFrame) -> DataFrame:
-    """doc_id, section_id, type, text, target: one row for each match of each pattern (patterns overlap)."""
-    def hits(kind: str, p: str, g: int):
-        # one pass over the content; the group comes from the match, which is short
+def _hits(content: Column, low: Column, located: bool = False) -> Column:
+    """All matches of a section's content, pattern by pattern. A pattern is tried only where one of its
+    literal cues occurs; the group comes from the match, which is short."""
+    def one(kind: str, p: str, g: int, cues: list[str]) -> Column:
         got = lambda t: F.regexp_extract(t, p, g)
-        return F.transform(T.find_all(F.col("content"), p, 0), lambda t: F.struct(F.lit(kind).alias("type"), t.alias("text"), (F.lower(got(t)) if kind == "concept" else got(t)).alias("target")))
+        target = lambda t: F.lower(got(t)) if kind == "concept" else F.when(got(t) == "", "0").otherwise(got(t)) if kind == "table" else got(t)
+        found = T.find_all(content, p, 0)
+        at = T.match_starts(content, p) if located else None
+        row = lambda t, i: F.struct(F.lit(kind).alias("type"), t.alias("text"), target(t).alias("target"), *([F.get(at, i).alias("position")] if located else []))
+        empty = f"cast(array() as array<struct<type: string, text: string, target: string{', position: int' if located else ''}>>)"
+        return F.when(T.any_of(low, cues), F.transform(found, row)).otherwise(F.expr(empty))
+
+    return F.concat(*[one(*r, c) for r, c in zip(V.REFERENCES, V.REFERENCE_CUES)])
 
-    found = [hits(*r) for r in V.REFERENCES]
-    r = sections.select("doc_id", "section_id", F.explode(F.concat(*found)).alias("r")).select("doc_id", "section_id", "r.type", "r.text", "r.target")
-    return r.withColumn("target", F.when((F.col("type") == "table") & (F.col("target") == ""), "0").otherwise(F.col("target")))
+
+def references(sections: DataFrame) -> DataFrame:
+    """doc_id, section_id, type, text, target: one row for each match of each pattern (patterns overlap)."""
+    d = sections.select("doc_id", "section_id", "content", F.lower("content").alias("low"))
+    return d.select("doc_id", "section_id", F.explode(_hits(F.col("content"), F.col("low"))).alias("r")).select("doc_id", "section_id", "r.type", "r.text", "r.target")
+
+
+def located(sections: DataFrame, around: int = 50) -> DataFrame:
+    """References with position (from 0), context (`around` signs to both sides of it) and, for interface
+    paths, the method."""
+    d = sections.select("doc_id", "section_id", "content", F.lower("content").alias("low"))
+    d = d.select("doc_id", "section_id", "content", F.explode(_hits(F.col("content"), F.col("low"), True)).alias("r")).select("doc_id", "section_id", "content", "r.*")
+    start = F.greatest(F.col("position") - around, F.lit(0))
+    context = T.strip(F.substring("content", start + 1, F.col("position") + around - start))
+    method = F.when(F.col("type") == "api", F.nullif(F.upper(F.regexp_extract("text", r"(?i)^(GET|POST|PUT|DELETE|PATCH)\s", 1)), F.lit("")))
+    return d.select("doc_id", "section_id", "type", "text", "target", "position", context.alias("context"), method.alias("method"))
+
+
+def resolution(sections: DataFrame) -> DataFrame:
+    """References with `known`: whether a section, page, figure or table reference has its target in the
+    document (null for the other families). Sections are read once; a document's references and targets
+    meet in its one row."""
+    content, low = F.col("content"), F.col("low")
+    named = [F.when(F.contains(low, F.lit(k)), T.find_all(low, rf"{k}\s+(\d+)", 1)).otherwise(F.expr("cast(array() as array<string>)")).alias(k) for k in INTERNAL[1:]]
+    d = sections.select("doc_id", "section_id", "content", F.lower("content").alias("low")).select("doc_id", "section_id", F.transform(_hits(content, low), lambda r: F.struct(F.col("section_id").alias("section_id"), r["type"].alias("type"), r["text"].alias("text"), r["target"].alias("target"))).alias("refs"), *named)
+    own = [F.collect_set(F.col("section_id").cast("string")).alias("section"), *[F.array_distinct(F.flatten(F.collect_list(k))).alias(k) for k in INTERNAL[1:]]]
+    g = d.groupBy("doc_id").agg(F.flatten(F.collect_list("refs")).alias("refs"), *own)
+    kind, target = F.col("r.type"), F.col("r.target")
+    known = reduce(lambda acc, k: acc.when(kind == k, F.array_contains(k, target)), INTERNAL[1:], F.when(kind == INTERNAL[0], F.array_contains(INTERNAL[0], target)))
+    return g.select("doc_id", *INTERNAL, F.explode("refs").alias("r")).select("doc_id", "r.section_id", "r.type", "r.text", "r.target", known.alias("known"))
 
 
 def url_facts(refs: DataFrame) -> DataFrame:
     return refs.where("type = 'url'").select("doc_id", "section_id", F.col("target").alias("url"), F.parse_url("target", F.lit("AUTHORITY")).alias("domain"))
 
 
-def targets(sections: DataFrame) -> DataFrame:
-    """doc_id, type, target: what section, page, figure and table references can mean."""
-    own = sections.select("doc_id", F.lit("section").alias("type"), F.col("section_id").cast("string").alias("target"))
-    for kind in ("page", "figure", "table"):
-        hits = T.find_all(F.lower("content"), rf"{kind}\s+(\d+)", 1)
-        own = own.unionByName(sections.select("doc_id", F.lit(kind).alias("type"), F.explode(hits).alias("target")))
-    return own.distinct()
+def external(refs: DataFrame) -> DataFrame:
+    """doc_id, section_id, type, text, target, domain (of a URL), documentation (the anchor of an /api/ path)."""
+    is_url = F.col("type") == "url"
+    docs = F.when(~is_url & F.contains("target", F.lit("/api/")), F.concat(F.lit("#api-docs"), F.replace("target", F.lit("/"), F.lit("-"))))
+    return refs.where("type in ('url', 'api')").select("doc_id", "section_id", "type", "text", "target", F.when(is_url, F.parse_url("target", F.lit("AUTHORITY"))).alias("domain"), docs.alias("documentation"))
 
 
-def resolved(refs: DataFrame, known: DataFrame) -> DataFrame:
-    return refs.join(known, ["doc_id", "type", "target"])
+def resolved(known: DataFrame) -> DataFrame:
+    """Of a resolution, the references that have their target."""
+    return known.where("known").drop("known")
 
 
-def broken(refs: DataFrame, known: DataFrame) -> DataFrame:
-    """References of the four internal families without a target, with the reason."""
-    miss = refs.where(F.col("type").isin("section", "page", "figure", "table")).join(known, ["doc_id", "type", "target"], "left_anti")
+def broken(known: DataFrame) -> DataFrame:
+    """Of a resolution, the references of the four internal families without a target, with the reason."""
+    miss = known.where("not known")
     return miss.select("doc_id", "section_id", "type", "text", "target", F.concat(F.initcap("type"), F.lit(" "), "target", F.lit(" not found")).alias("reason"))
 
 
@@ -58,8 +94,7 @@ def link_map(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "text").agg(F.max_by(link, F.struct(rank, "section_id", "target")).alias("link"))
 
 
-def statistics(refs: DataFrame, missing: DataFrame) -> DataFrame:
-    """doc_id, internal, external, broken."""
-    n = refs.groupBy("doc_id").agg(F.count_if(F.col("type").isin("section", "page", "figure", "table", "concept")).alias("internal"), F.count_if(F.col("type").isin("url", "api")).alias("external"))
-    m = missing.groupBy("doc_id").agg(F.count(F.lit(1)).alias("broken"))
-    return n.join(m, "doc_id", "left").select("doc_id", "internal", "external", F.coalesce("broken", F.lit(0)).cast("bigint").alias("broken"))
+def statistics(known: DataFrame) -> DataFrame:
+    """doc_id, internal, external, broken of a resolution."""
+    kind = F.col("type")
+    return known.groupBy("doc_id").agg(F.count_if(kind.isin(*INTERNAL, "concept")).alias("internal"), F.count_if(kind.isin("url", "api")).alias("external"), F.count_if(~F.coalesce("known", F.lit(True))).alias("broken"))

@@ -32,9 +32,9 @@ def sections_from_headers(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n", -1)
     numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), T.strip(x).alias("line"), T.is_header(x).alias("head"))), lambda x: x["head"])
     d = docs.select("doc_id", F.size(lines).alias("n"), numbered.alias("heads"))
-    d = d.select("doc_id", "n", "heads", F.posexplode("heads").alias("k", "h"))
-    nxt = F.coalesce(F.get("heads", F.col("k") + 1)["i"], F.col("n"))
-    return d.select("doc_id", (F.col("k") + 1).cast("int").alias("section_id"), F.col("h.line").alias("title"), (nxt - F.col("h.i") - 1).cast("int").alias("n_lines"))
+    upto = lambda k: F.coalesce(F.get("heads", k + 1)["i"], F.col("n"))
+    own = F.transform("heads", lambda h, k: F.struct((k + 1).cast("int").alias("section_id"), h["line"].alias("title"), (upto(k) - h["i"] - 1).cast("int").alias("n_lines")))
+    return d.select("doc_id", F.explode(own).alias("s")).select("doc_id", "s.*")
 
 
 def pages_fixed(docs: DataFrame, size: int = 3000) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,24 +12,31 @@ from ..functions import vocab as V
 
 
 def section_terms(sections: DataFrame) -> DataFrame:
-    """doc_id, section_id, title, content, term (as written), distinct within a section."""
+    """doc_id, section_id, title, content, plain (in lower case, blanks run together), term (as written), distinct within a section."""
     def over(p: str, k: int):
         return F.filter(T.find_all(F.col("content"), p), lambda x: F.length(x) > k)
 
     found = [over(p, k) for p, k in zip(V.TERM_PATTERNS, (2, 1, 1, 1, 1, 1, 1, 3))]
-    return sections.select("doc_id", "section_id", "title", "content", F.explode(F.array_distinct(F.concat(*found))).alias("term"))
+    plain = F.regexp_replace(F.lower("content"), r"\s+", " ").alias("plain")  # what definitions are looked for in first
+    return sections.select("doc_id", "section_id", "title", "content", plain, F.explode(F.array_distinct(F.concat(*found))).alias("term"))
 
 
 def category(term):
     return T.first_class(F.lower(term), V.CONCEPTS, F.lit("general"))
 
 
-def definition(content, term):
-    """First of five definitional phrases whose text has 11 to 199 signs."""
+def definition(content, term, plain):
+    """First of five definitional phrases whose text has 11 to 199 signs. A pattern of the term is made
+    only where its phrase stands in the plain text."""
     t = F.concat(F.lit(r"(?i)\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    hit = lambda tail: F.trim(F.call_function("regexp_extract", content, F.concat(t, F.lit(tail)), F.lit(1)))
-    ok = lambda c: F.when((F.length(c) > 10) & (F.length(c) < 200), c)
-    return F.coalesce(*[ok(hit(p)) for p in (r"\s+is\s+([^\n]+?)\.", r"\s*:\s*([^\n]+?)\.", r"\s*-\s*([^\n]+?)\.", r"\s+refers to\s+([^\n]+?)\.", r"\s+means\s+([^\n]+?)\.")])
+    low = F.regexp_replace(F.lower(term), r"\s+", " ")
+
+    def hit(tail: str, *said: str):
+        there = reduce(lambda a, b: a | b, [F.contains(plain, F.concat(low, F.lit(w))) for w in said])
+        c = F.when(there, F.trim(F.call_function("regexp_extract", content, F.concat(t, F.lit(tail)), F.lit(1))))
+        return F.when((F.length(c) > 10) & (F.length(c) < 200), c)
+
+    return F.coalesce(hit(r"\s+is\s+([^\n]+?)\.", " is "), hit(r"\s*:\s*([^\n]+?)\.", ":", " :"), hit(r"\s*-\s*([^\n]+?)\.", "-", " -"), hit(r"\s+refers to\s+([^\n]+?)\.", " refers to "), hit(r"\s+means\s+([^\n]+?)\.", " means "))
 
 
 def term_facts(terms: DataFrame) -> DataFrame:
@@ -35,7 +44,7 @@ def term_facts(terms: DataFrame) -> DataFrame:
     the first section that has one), context (the shortest), sections (titles); kept if it scores over
     2 or comes more than once."""
     key = F.lower("term")
-    d = terms.select("doc_id", key.alias("term"), F.col("term").alias("form"), "section_id", "title", F.nullif(T.context(F.col("content"), F.col("term")), F.lit("")).alias("ctx"), definition(F.col("content"), F.col("term")).alias("def"))
+    d = terms.select("doc_id", key.alias("term"), F.col("term").alias("form"), "section_id", "title", F.nullif(T.context(F.col("content"), F.col("term")), F.lit("")).alias("ctx"), definition(F.col("content"), F.col("term"), F.col("plain")).alias("def"))
     g = d.groupBy("doc_id", "term").agg(
         F.count(F.lit(1)).alias("frequency"), F.countDistinct("title").alias("n_sections"), F.countDistinct("ctx").alias("n_contexts"), F.countDistinct("def").alias("n_definitions"),
         F.min(F.when(F.col("def").isNotNull(), F.struct("section_id", "form", "def")))["def"].alias("definition"), F.min(F.when(F.col("ctx").isNotNull(), F.struct(F.length("ctx").alias("n"), "ctx")))["ctx"].alias("context"),

@@ -77,7 +77,35 @@ def _refs() -> str:
     return f"{SEC}, refs AS ({' UNION ALL '.join(rows)})"
 
 
-REFS = _refs()
+def _located() -> str:
+    rows = []
+    for kind, p, g in V.REFERENCES:
+        t = "lower(v[i])" if kind == "concept" else "v[i]"
+        at = "list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(t[1:i - 1], lambda x: length(x))), 0)"
+        rows.append(f"SELECT doc_id, section_id, content, {q(kind)} AS type, t[i] AS text, CASE WHEN {q(kind)} = 'table' AND v[i] = '' THEN '0' ELSE {t} END AS target, ({at})::INT AS position FROM (SELECT doc_id, section_id, content, regexp_extract_all(content, {q(p)}) AS t, regexp_extract_all(content, {q(p)}, {g}) AS v, regexp_split_to_array(content, {q(p)}) AS s FROM sec), unnest(range(1, len(t) + 1)) AS r(i)")
+    return f"{SEC}, located AS ({' UNION ALL '.join(rows)})"
+
+
+CODE_RULES = [("python", ["python", "def ", "import ", "from "]), ("javascript", ["javascript", "js", "function", "var ", "const ", "let "]), ("java", ["java", "public class", "private class"]), ("cpp", ["c++", "cpp", "#include", "using namespace"])]
+
+
+def repaired(c: str) -> str:
+    """A marker alone on its line joins the next; matches don't overlap, so the next line is captured, not looked at."""
+    joined = f"regexp_replace(chr(10) || {c} || chr(10), '\\n[ \\t]*([l•*·‣▪▫-])[ \\t]*\\n[ \\t]*([^\\s][^\\n]{{0,198}})\\n', chr(10) || '\\1 \\2' || chr(10), 'g')"
+    cleaned = f"regexp_replace({joined}, '[ \\t]+\\n', chr(10), 'g')"
+    return f"({cleaned})[2:-2]"
+
+
+def trimmed(c: str, target: str) -> str:
+    """Trimming as the column function has it: 0.9 of the proportional size, back to a late full stop."""
+    n = f"floor(({target})::DOUBLE * (length({c})::DOUBLE / {tokens(c)}) * 0.9::DOUBLE)::INT"
+    cut = f"left({c}, {n})"
+    dot = f"(length({cut}) - instr(reverse({cut}), '.'))"
+    late = f"CASE WHEN contains({cut}, '.') AND {dot} > {n} * 0.8::DOUBLE THEN left({cut}, {dot} + 1) ELSE {cut} END"
+    return f"CASE WHEN {tokens(c)} <= {target} THEN {c} WHEN length({late}) < length({c}) THEN {late} || '...' ELSE {late} END"
+
+
+REFS, LOCATED = _refs(), _located()
 KNOWN = REFS + r""", known AS (SELECT doc_id, 'section' AS type, section_id::VARCHAR AS target FROM sec UNION
   SELECT doc_id, 'page', unnest(regexp_extract_all(lower(content), 'page\s+(\d+)', 1)) FROM sec UNION
   SELECT doc_id, 'figure', unnest(regexp_extract_all(lower(content), 'figure\s+(\d+)', 1)) FROM sec UNION
@@ -139,6 +167,10 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
     plain = "text"
     for p, r in ((r"#{1,6}\s+", ""), (r"\*\*(.*?)\*\*", r"\1"), (r"\*(.*?)\*", r"\1"), (r"`(.*?)`", r"\1"), (r"!\[.*?\]\(.*?\)", ""), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"\s+", " ")):
         plain = f"regexp_replace({plain}, {q(p)}, '{r}', 'g')"
+    page_text = "html"
+    for p, r in ((r"(?is)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>", ""), *[(rf"(?is)<h{k}[^>]*>(.*?)</h{k}>", "\n# \\1\n") for k in range(1, 7)], (r"(?is)<li[^>]*>(.*?)</li>", "\n- \\1"), (r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', r"[\2](\1)"), (r"(?is)</p>", "\n"), (r"(?s)<[^>]+>", ""), (r"\n{2,}", "\n")):
+        page_text = f"regexp_replace({page_text}, {q(p)}, {q(r)}, 'g')"
+    page_text = strip(page_text)
     url = r'https?://[^\s<>"{}|\\^`\[\]]+|www\.[^\s<>"{}|\\^`\[\]]+'
     edges = " UNION ALL ".join(f"SELECT doc_id, {name!r} AS family, {k} AS k, regexp_extract_all(text, {q(p)}) AS h, regexp_split_to_array(text, {q(p)}) AS s FROM md" for k, (name, p) in enumerate([(n, r"\n\n[A-Z]" if n == "paragraph" else p) for n, p in V.BOUNDARIES]))
     return oracle_reports.sql() | {
@@ -163,6 +195,20 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         "header_lines": rf"""WITH {MD}, {LINES.format('md')} SELECT doc_id, line_no, (CASE WHEN s LIKE '#%' THEN least(6, {count('s', '#')}) WHEN s LIKE 'Chapter%' THEN 1 WHEN s LIKE 'Section%' THEN 2 WHEN regexp_matches(s, '^\d+\.\d+') THEN 3
           WHEN regexp_matches(s, '^\d+\.') THEN 2 WHEN length(s) < 30 THEN 2 WHEN length(s) < 50 THEN 3 ELSE 4 END)::INT AS level FROM line WHERE s <> '' AND {head_rules}""",
         "sections_headers": f"WITH {MD}, {LINES.format('md')}, h AS (SELECT doc_id, line_no, s, len(l) AS n FROM line WHERE s <> '' AND {head_rules}) SELECT doc_id, row_number() OVER w::INT AS section_id, s AS title, (coalesce(lead(line_no) OVER w, n) - line_no - 1)::INT AS n_lines FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)",
+        "code_starts": rf"""WITH {MD}, {LINES.format('md')}, c AS (SELECT doc_id, line_no, s LIKE '```%' OR {any_of('lower(line)', V.CODE_WORDS)} OR len(list_filter(l[line_no + 2:line_no + 4], lambda x: {any_of('lower(x)', V.CODE_WORDS)})) > 0 AS opens, lower(line || ' ' || coalesce(array_to_string(l[line_no + 2:line_no + 6], ' '), '')) AS t FROM line)
+          SELECT doc_id, line_no, coalesce({first_class('t', CODE_RULES)}, CASE WHEN contains(t, 'json') OR contains(t, '{{') AND contains(t, '"') THEN 'json' END, CASE WHEN {any_of('t', ['sql', 'select ', 'from ', 'where '])} THEN 'sql' END, 'text') AS code_type FROM c WHERE opens""",
+        "code_ends": f"WITH {MD}, {LINES.format('md')} SELECT doc_id, line_no FROM line WHERE s LIKE '%```' OR s = '' AND coalesce({strip('l[line_no + 2]')}, '') <> ''",
+        "bullets": rf"""WITH {MD}, {LINES.format('md')}, n AS (SELECT doc_id, line_no, line, s, l[greatest(line_no - 3, 0) + 1:line_no + 4] AS near FROM line),
+          t AS (SELECT *, NOT contains(line, '•') AND regexp_matches(s, '^[l\-*·‣▪▫] ') AND ({any_of("lower(array_to_string(near, ''))", V.BULLET_INDICATORS)} OR len(list_filter(near, lambda x: starts_with({strip('x')}, left(s, 2)))) > 1) AS turn FROM n)
+          SELECT doc_id, line_no, CASE WHEN turn THEN regexp_extract(line, '^(\s*)', 1) || '• ' || {strip("regexp_replace(line, '^[ \t]+', '')[3:]")} ELSE line END AS line FROM t""",
+        "fields_generic": rf"""WITH {LINES.format('documents')}, h AS (SELECT doc_id, line_no, s, s <> '' AND length(s) < 100 AND (upper(s) = s AND lower(s) <> s OR regexp_matches(s, '^[^\p{{L}}]*\p{{Lu}}\p{{Ll}}*(?:[^\p{{L}}]+\p{{Lu}}\p{{Ll}}*)*[^\p{{L}}]*$')) AND NOT regexp_matches(s, '^[•\-*]') AS head FROM line),
+          a AS (SELECT *, last_value(CASE WHEN head THEN s END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM h)
+          SELECT doc_id, line_no, coalesce(replace(lower(above), ' ', '_'), 'content') AS section, s AS content FROM a WHERE length(s) > 10 AND NOT head""",
+        "keywords": f"SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\\b[A-Za-z]{{3,}}\\b'), lambda x: lower(x)), lambda x: x NOT IN ({', '.join(map(q, V.STOP_WORDS))})))) AS keywords FROM documents",
+        "repaired": f"WITH {MD} SELECT doc_id, {repaired('text')} AS repaired FROM md",
+        "processed": f"WITH {MD} SELECT doc_id, {repaired(fixes)} AS processed FROM md",
+        "trimmed": f"SELECT doc_id, {trimmed('text', '100')} AS trimmed FROM documents",
+        "page_markdown": f"SELECT page_id AS doc_id, {page_text} AS text FROM pages",
         "table_rows": f"WITH {LINES.format('documents')} SELECT doc_id, line_no, CASE WHEN s LIKE '|%|' THEN s WHEN contains(s, chr(9)) THEN '| ' || array_to_string(string_split(s, chr(9)), ' | ') || ' |' WHEN contains(s, '  ') THEN '| ' || array_to_string(regexp_split_to_array(s, '\\s{{2,}}'), ' | ') || ' |' ELSE '| ' || s || ' |' END AS row FROM line WHERE {count('s', '[|]')} >= 2 OR {count('s', chr(9))} >= 2",
         "doc_structure": _structure("md"),
         "doc_structure_documents": _structure("documents"),
@@ -202,6 +248,8 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         "term_graph_edges": f"WITH {PAIRS} SELECT term_a AS source, term_b AS target, weight FROM pair WHERE weight > 1 UNION ALL SELECT term_b, term_a, weight FROM pair WHERE weight > 1",
         "references": f"WITH {REFS} SELECT * FROM refs",
         "refs_urls": f"WITH {REFS} SELECT doc_id, section_id, target AS url, regexp_extract(target, '^https?://([^/?#]+)', 1) AS domain FROM refs WHERE type = 'url'",
+        "refs_located": f"WITH {LOCATED} SELECT doc_id, section_id, type, text, target, position, {strip('substr(content, greatest(position - 50, 0) + 1, position + 50 - greatest(position - 50, 0))')} AS context, CASE WHEN type = 'api' THEN nullif(upper(regexp_extract(text, '(?i)^(GET|POST|PUT|DELETE|PATCH)\\s', 1)), '') END AS method FROM located",
+        "refs_external": f"WITH {REFS} SELECT doc_id, section_id, type, text, target, CASE WHEN type = 'url' THEN regexp_extract(target, '^https?://([^/?#]+)', 1) END AS domain, CASE WHEN type = 'api' AND contains(target, '/api/') THEN '#api-docs' || replace(target, '/', '-') END AS documentation FROM refs WHERE type IN ('url', 'api')",
         "refs_resolved": f"WITH {KNOWN} SELECT refs.* FROM refs JOIN known USING (doc_id, type, target)",
         "refs_broken": f"WITH {KNOWN} SELECT *, upper(type[1]) || type[2:] || ' ' || target || ' not found' AS reason FROM missing",
         "xref_stats": f"WITH {KNOWN}, n AS (SELECT doc_id, count(*) FILTER (type NOT IN ('url', 'api')) AS internal, count(*) FILTER (type IN ('url', 'api')) AS external FROM refs GROUP BY 1), m AS (SELECT doc_id, count(*) AS broken FROM missing GROUP BY 1) SELECT doc_id, internal, external, coalesce(broken, 0) AS broken FROM n LEFT JOIN m USING (doc_id)",

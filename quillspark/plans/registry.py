@@ -69,12 +69,16 @@ def _refs(s, d):
     return R.references(_sec(s, d))
 
 
+def _known(s, d):
+    return R.resolution(_sec(s, d))
+
+
 def _broken(s, d):
-    return R.broken(_refs(s, d), R.targets(_sec(s, d)))
+    return R.broken(_known(s, d))
 
 
 def _resolved(s, d):
-    return R.resolved(_refs(s, d), R.targets(_sec(s, d)))
+    return R.resolved(_known(s, d))
 
 
 def _scores(s, d):
@@ -94,7 +98,7 @@ def _tables(s, d):
 
 
 def _links(s, d):
-    return R.link_map(_resolved(s, d).unionByName(_refs(s, d).where("type = 'url'")))
+    return R.link_map(_known(s, d).where("known or type = 'url'"))
 
 
 def _sections_with(name, make):
@@ -107,7 +111,7 @@ QUERIES = {
     **dict([
         _text("clean_text", T.clean_text), _text("fixed_text", T.fix_chars), _text("plain_text", T.strip_markdown, _md), _text("n_sentences", lambda c: F.size(T.sentences(c))), _text("keywords", T.keywords),
         _text("rag_keywords", T.rag_keywords, _md), _text("urls", T.urls, _md), _text("emails", T.emails, _md), _text("has_toc", T.has_toc), _text("safe_name", T.safe_filename, _names), _text("folder_name", T.sanitize_folder, _names),
-        _text("anchor", T.anchor, _names), _text("trimmed", lambda c: T.trim_to_tokens(c, 100)), _text("context", lambda c: T.context(c, F.lit("json")), _md), _text("quality", T.quality), _text("repaired", L.repair_bullets, _md),
+        _text("anchor", T.anchor, _names), _text("trimmed", lambda c: T.trim_to_tokens(c, 100)), _text("context", lambda c: T.context(c, F.lit("json")), _md), _text("quality", T.quality), _text("repaired", L.repair_bullets, _md), _text("processed", T.process_text, _md),
     ]),
     "images": lambda s, d: _md(s, d).select("doc_id", F.explode(T.images(F.col("text"))).alias("i")).select("doc_id", F.col("i.alt").alias("alt"), F.col("i.url").alias("url")),
     "token_costs": lambda s, d: _docs(s, d).select("doc_id", T.tokens(F.col("text")).alias("tokens"), T.recommend_model(T.tokens(F.col("text"))).alias("model"), T.cost(T.tokens(F.col("text"))).alias("cost"), (T.tokens(F.col("text")) <= 4000).alias("fits")),
@@ -116,6 +120,7 @@ QUERIES = {
     "header_lines": lambda s, d: L.lines(_md(s, d)).where(T.is_header(F.col("line"))).select("doc_id", "line_no", T.header_level(F.col("line")).alias("level")),
     "table_rows": lambda s, d: L.lines(_docs(s, d)).where(T.is_table_row(F.col("line"))).select("doc_id", "line_no", T.format_table_row(F.col("line")).alias("row")),
     "code_starts": lambda s, d: L.code_starts(_md(s, d)),
+    "code_ends": lambda s, d: L.code_ends(_md(s, d)),
     "bullets": lambda s, d: L.convert_bullets(_md(s, d)),
     "doc_structure": lambda s, d: L.document_structure(_md(s, d)),
     "doc_structure_documents": lambda s, d: L.document_structure(_docs(s, d)),
@@ -166,11 +171,13 @@ QUERIES = {
     "category_top": lambda s, d: B.most_frequent(_scores(s, d).groupBy("category", "term").agg(F.sum("frequency").alias("n")), ["category"], [F.desc("n"), "term"], 10),
     "references": _refs,
     "refs_urls": lambda s, d: R.url_facts(_refs(s, d)),
+    "refs_located": lambda s, d: R.located(_sec(s, d)),
+    "refs_external": lambda s, d: R.external(_refs(s, d)),
     "refs_resolved": _resolved,
     "refs_broken": _broken,
     "refs_concepts": lambda s, d: R.concept_links(_refs(s, d), _scores(s, d)),
     "link_map": _links,
-    "xref_stats": lambda s, d: R.statistics(_refs(s, d), _broken(s, d)),
+    "xref_stats": lambda s, d: R.statistics(_known(s, d)),
     "document_type_vote": lambda s, d: U.document_type(_sec(s, d)),
     "themes": lambda s, d: U.themes(_sec(s, d)),
     "technical_depth": lambda s, d: U.technical_depth(_sec(s, d)),
