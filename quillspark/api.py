@@ -43,24 +43,25 @@ def convert(docs: DataFrame, tables: bool = True, images: bool = True, concepts:
     sections = S.sections_from_markdown(docs)
     typed = S.with_types(sections)
     known = R.resolution(sections)
-    refs, found, plan = known.drop("known"), R.resolved(known), C.chunk_plan(typed)
-    parts = [S.section_files(typed), P.word_navigation(sections), P.chunk_files(typed, plan), P.chunk_manifest(typed, plan), P.internal_references(found), P.external_references(refs), P.broken_references(R.broken(known)), P.link_mapping(R.link_map(known.where("known or type = 'url'")))]
+    refs, found, pieces = known.drop("known"), R.resolved(known), C.section_chunks(typed)
+    parts = [S.section_files(typed), P.word_navigation(sections), P.chunk_files(pieces), P.chunk_manifest(typed, pieces), P.internal_references(found), P.external_references(refs), P.broken_references(R.broken(known)), P.link_mapping(R.link_map(known.where("known or type = 'url'")))]
+    t = A.tables_with_text(docs)
     if tables:
-        t = A.tables_with_text(docs)
         parts += [P.table_files(t), P.tables_index(t)]
     if images:
         i = docs.select("doc_id", F.explode(T.images(F.col("text"))).alias("i")).select("doc_id", "i.alt", "i.url")
         parts.append(P.image_catalog(i))
+    facts = M.term_facts(M.section_terms(sections))
     if concepts:
-        facts = M.term_facts(M.section_terms(sections))
-        parts += [P.glossary(facts), P.category_glossaries(facts)]
+        parts += [P.glossary(facts), P.category_glossaries(facts), P.concept_map(facts, M.document_pairs(M.contained(facts, sections)))]
     if summaries:
-        s = U.all_summaries(typed)
+        important = t.join(A.important_tables(t).select("doc_id", "table_no", "rank"), ["doc_id", "table_no"])
+        s = U.all_summaries(typed, A.priority_concepts(facts, keep=("definition",)), important)
         parts += [P.summary_files(s), P.summary_index(s)]
     files = parts[0]
     for p in parts[1:]:
         files = files.unionByName(p)
-    return files.unionByName(P.master_index(files))
+    return P.with_master_index(files)
 
 
 def prepare_for_rag(docs: DataFrame, vector_db_format: str = "generic", chunk_size: int = C.SIZE, chunk_overlap: int = C.OVERLAP, output: str | None = None) -> tuple[DataFrame, DataFrame]:

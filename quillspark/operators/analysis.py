@@ -17,12 +17,12 @@ def top(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def priority_concepts(facts: DataFrame, most: int = 15) -> DataFrame:
-    """doc_id, term, priority, rank: frequency (20 at most), category and length of the definition."""
+def priority_concepts(facts: DataFrame, most: int = 15, keep: tuple = ()) -> DataFrame:
+    """doc_id, term, priority, rank: frequency (20 at most), category and length of the definition; with the columns `keep`."""
     n = F.length(F.coalesce("definition", F.lit("")))
     kind = reduce(lambda acc, x: acc.when(F.col("category") == x[0], x[1]), list(V.CATEGORY_PRIORITIES.items())[1:], F.when(F.col("category") == "api_concepts", V.CATEGORY_PRIORITIES["api_concepts"])).otherwise(3)
     score = F.least(F.col("frequency") * 2, F.lit(20)) + kind + F.when(n > 50, 5).when(n > 20, 2).otherwise(0)
-    return top(facts.select("doc_id", "term", score.alias("priority")), ["doc_id"], [F.desc("priority"), "term"], most)
+    return top(facts.select("doc_id", "term", *keep, score.alias("priority")), ["doc_id"], [F.desc("priority"), "term"], most)
 
 
 def tables_with_text(docs: DataFrame) -> DataFrame:
@@ -58,20 +58,28 @@ def technical_details(content: Column) -> Column:
     return F.when(F.size(found) > 0, F.array_join(found, "\n")).when(F.size(first) > 0, F.array_join(first, " ")).otherwise("No technical details found.")
 
 
-def section_summary(content: Column, target: int, detailed: bool = False) -> Column:
-    """First sentences and those with key words, cut to `target` tokens. Detailed: the first three, the
-    last two of over six, then telling ones between until eight stand; else the first two and the first
-    telling one of the next four."""
-    s = T.sentences(content)
-    n = F.size(s)
+def section_points(s: Column, detailed: bool = False) -> Column:
+    """Of sentences, the first and those with key words, joined; null without any. Detailed: the first
+    three, the last two of over six, then telling ones between until eight stand; else the first two
+    and the first telling one of the next four."""
+    n, none = F.size(s), F.expr("cast(array() as array<string>)")
     if detailed:
-        last = F.when(n > 6, F.slice(s, n - 1, F.lit(2))).otherwise(F.expr("cast(array() as array<string>)"))
+        last = F.when(n > 6, F.slice(s, n - 1, F.lit(2))).otherwise(none)
         between = F.filter(F.slice(s, F.lit(4), F.greatest(n - 5, F.lit(0))), lambda x: T.any_of(F.lower(x), V.DETAIL_WORDS))
         keep = F.concat(F.slice(s, 1, 3), last, F.slice(between, F.lit(1), F.lit(8) - 3 - F.size(last)))
     else:
         telling = F.filter(F.slice(s, 3, 4), lambda x: T.any_of(F.lower(x), V.BRIEF_WORDS))
-        keep = F.concat(F.slice(s, 1, 2), F.when(n > 3, F.slice(telling, 1, 1)).otherwise(F.expr("cast(array() as array<string>)")))
-    return F.when(n > 0, T.trim_to_tokens(F.array_join(keep, " "), target)).otherwise("No content available.")
+        keep = F.concat(F.slice(s, 1, 2), F.when(n > 3, F.slice(telling, 1, 1)).otherwise(none))
+    return F.when(n > 0, F.array_join(keep, " "))
+
+
+def trimmed_points(points: Column, target: int | Column) -> Column:
+    return F.coalesce(T.trim_to_tokens(points, target), F.lit("No content available."))
+
+
+def section_summary(content: Column, target: int | Column, detailed: bool = False) -> Column:
+    """The telling sentences of a section, cut to `target` tokens."""
+    return trimmed_points(section_points(T.sentences(content), detailed), target)
 
 
 def top_connected(degrees: DataFrame, most: int = 10) -> DataFrame:
@@ -137,7 +145,7 @@ def guidance(size: Column, section_type: Column, tokens: Column) -> Column:
 
 
 def table_usage(profiles: DataFrame) -> DataFrame:
-    """doc_id, usage: what a profiled table is good for."""
-    t = profiles.groupBy("doc_id").agg(F.max("n").alias("rows"), F.count_if("has_number").alias("numeric"), F.count_if(F.col("n_unique") <= 10).alias("grouping"))
+    """doc_id, table_no, usage: what a profiled table is good for."""
+    t = profiles.groupBy("doc_id", "table_no").agg(F.max("n").alias("rows"), F.count_if("has_number").alias("numeric"), F.count_if(F.col("n_unique") <= 10).alias("grouping"))
     notes = F.array(F.when(F.col("numeric") >= 2, V.USAGE_NOTES[0]), F.when(F.col("grouping") > 0, V.USAGE_NOTES[1]), F.when(F.col("rows") > 20, V.USAGE_NOTES[2]).otherwise(V.USAGE_NOTES[3]))
-    return t.select("doc_id", F.array_join(F.array_compact(notes), "; ").alias("usage"))
+    return t.select("doc_id", "table_no", F.array_join(F.array_compact(notes), "; ").alias("usage"))

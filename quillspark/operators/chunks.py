@@ -14,27 +14,46 @@ from ..functions import text as T
 from ..functions import vocab as V
 
 SIZE, OVERLAP = 768, 128
+APPROACHES = {"semantic_split": "semantic", "preserve_structure": "structure", "preserve_rows": "rows", "preserve_context": "tokens"}
 
 
 def boundaries(docs: DataFrame) -> DataFrame:
-    """doc_id, position (from 0), family: the first family in order at a position. Places come from
-    the lengths of the pieces between matches and of the matches."""
-    def places(k: int, name: str, p: str):
-        pieces, hits = F.split("text", p, -1), F.regexp_extract_all("text", F.lit(p), F.lit(0))
-        total = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
-        return F.transform(hits, lambda h, i: F.struct((total(pieces, i + 1) + total(hits, i)).alias("position"), F.lit(k).alias("k"), F.lit(name).alias("family")))
+    """doc_id, position (from 0), family: the first family in order at a position. One Arrow pass, in
+    time in proportion to the text."""
+    patterns = V.BOUNDARIES
 
-    one = [places(k, name, p) for k, (name, p) in enumerate(V.BOUNDARIES)]
-    d = docs.select("doc_id", F.explode(F.concat(*one)).alias("b")).select("doc_id", "b.*")
-    return d.groupBy("doc_id", "position").agg(F.min_by("family", "k").alias("family"))
+    def run(batches):
+        import re
 
+        import pyarrow as pa
 
-def pack(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, chunk_index, content_type, text, n_segments of the semantic chunks of each document."""
-    patterns = V.BOUNDARIES
+        rx = [(n, re.compile(p, re.MULTILINE)) for n, p in patterns]
+        for b in batches:
+            ids, at, family = [], [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found: dict[int, str] = {}
+                for name, r in rx:
+                    for m in r.finditer(t or ""):
+                        found.setdefault(m.start(), name)
+                ids += [d] * len(found)
+                at += found.keys()
+                family += found.values()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(at, pa.int32()), pa.array(family, pa.string())], names=["doc_id", "position", "family"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, position int, family string")
+
+
+def pack(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, page: int = 3000) -> DataFrame:
+    """doc_id, chunk_index, content_type, text, n_segments, source_pages of the semantic chunks of each
+    document. A chunk's pages are those in which its segments start, in the text before it is cut: by
+    docs' column page_lengths where it has one, else pages of `page` signs; a start beyond the last is page 1."""
+    patterns, paged = V.BOUNDARIES, "page_lengths" in docs.columns
 
     def run(batches):
         import re
+        from bisect import bisect_right
+        from itertools import accumulate
 
         import pyarrow as pa
 
@@ -47,10 +66,10 @@ def pack(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame
             for at, k in marks:
                 if at > last:
                     if piece := text[last:at].strip():
-                        yield piece, rx[k][0]
+                        yield piece, rx[k][0], last
                     last = at
             if piece := text[last:].strip():
-                yield piece, "text"
+                yield piece, "text", last
 
         def by_words(s):
             held, n = [], 0
@@ -73,39 +92,51 @@ def pack(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame
                 held.append(w)
             return " ".join(reversed(held))
 
-        def chunks(text):
-            held, n, done = [], 0, 0
-            for s, kind in segments(text or ""):
-                t = count(s)
+        def chunks(text, lengths):
+            ends = list(accumulate(lengths)) if lengths is not None else None
+
+            def page_of(at):
+                if ends is None:
+                    return at // page + 1
+                k = bisect_right(ends, at)
+                return k + 1 if k < len(ends) else 1
+
+            held, n, done, pages = [], 0, 0, set()
+            for s, kind, start in segments(text or ""):
+                t, own = count(s), page_of(start)
                 if n + t <= size:
                     held.append(s)
                     n += t
+                    pages.add(own)
                     continue
                 before = "\n\n".join(held)
                 if held:
-                    yield kind, before, len(held)
+                    yield kind, before, len(held), sorted(pages)
                     done += 1
                 if t > size:
                     for piece in by_words(s):
-                        yield kind, piece, 1
+                        yield kind, piece, 1, [own]
                         done += 1
-                    held, n = [], 0
-                elif done and overlap > 0:
+                    held, n, pages = [], 0, set()
+                    continue
+                if done and overlap > 0:
                     end = tail(before)
                     held, n = [end, s], count(end) + t
                 else:
                     held, n = [s], t
+                pages = {own}
             if held:
-                yield "text", "\n\n".join(held), len(held)
+                yield "text", "\n\n".join(held), len(held), sorted(pages)
 
         for b in batches:
-            rows = [(d, i, *c) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, c in enumerate(chunks(t))]
+            lengths = b.column(2).to_pylist() if paged else [None] * b.num_rows
+            rows = [(d, i, *c) for d, t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), lengths) for i, c in enumerate(chunks(t, x))]
             if rows:
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4], pa.int32())], names=["doc_id", "chunk_index", "content_type", "text", "n_segments"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.list_(pa.int32()))], names=["doc_id", "chunk_index", "content_type", "text", "n_segments", "source_pages"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, chunk_index int, content_type string, text string, n_segments int")
+    return docs.select("doc_id", "text", *(["page_lengths"] if paged else [])).mapInArrow(run, f"doc_id {kind}, chunk_index int, content_type string, text string, n_segments int, source_pages array<int>")
 
 
 def chunk_facts(chunks: DataFrame) -> DataFrame:
@@ -116,14 +147,35 @@ def chunk_facts(chunks: DataFrame) -> DataFrame:
     )
 
 
-def chunk_plan(typed: DataFrame) -> DataFrame:
-    """doc_id, section_id, token_count, needs_chunking, sizes, approach, priority."""
-    n = F.col("token_count")
+def _planned() -> dict:
+    n, kind = F.col("token_count"), F.col("section_type")
     fits = F.array_compact(F.array(*[F.when(n <= limit, name) for name, limit in V.TIERS]))
-    kind = F.col("section_type")
     approach = F.when(kind.isin("api_endpoint", "code_example"), "preserve_structure").when(kind.isin("table", "data"), "preserve_rows").when(n > V.TIERS[-1][1], "semantic_split").otherwise("preserve_context")
     priority = reduce(lambda acc, x: acc.when(kind == x[0], x[1]), list(V.PRIORITIES.items())[1:], F.when(kind == "introduction", 10)).otherwise(4)
-    return typed.select("doc_id", "section_id", "section_type", "token_count", (n > V.TIERS[0][1]).alias("needs_chunking"), F.array_join(F.when(n > V.TIERS[-1][1], F.array(*[F.lit(x) for x, _ in V.TIERS[:3]])).otherwise(fits), ",").alias("sizes"), approach.alias("approach"), priority.alias("priority"))
+    sizes = F.when(n > V.TIERS[-1][1], F.array(*[F.lit(x) for x, _ in V.TIERS[:3]])).otherwise(fits)
+    return {"needs_chunking": n > V.TIERS[0][1], "sizes": F.array_join(sizes, ","), "approach": approach, "priority": priority}
+
+
+def chunk_plan(typed: DataFrame) -> DataFrame:
+    """doc_id, section_id, token_count, needs_chunking, sizes, approach, priority."""
+    return typed.select("doc_id", "section_id", "section_type", "token_count", *[c.alias(k) for k, c in _planned().items()])
+
+
+def section_chunks(typed: DataFrame, limit: int = V.TIERS[1][1]) -> DataFrame:
+    """doc_id, section_id, title, section_type, priority, part, parts, token_count, size, content: every
+    section by its plan, whole or split by its approach, at each planned size that holds the part. A part
+    that none of them holds comes at the first size that does, or the largest, so that no text is lost."""
+    plan = typed.select("doc_id", "section_id", "title", "section_type", "content", "token_count", *[c.alias(k) for k, c in _planned().items()])
+    small = plan.where("not needs_chunking").withColumns({"part": F.lit(1), "parts": F.lit(1)})
+    how = F.element_at(F.create_map(*[F.lit(x) for kv in APPROACHES.items() for x in kv]), F.col("approach"))
+    cut = split_sections(plan.where("needs_chunking").withColumn("how", how), None, limit, ["title", "section_type", "sizes", "priority"])
+    cut = cut.withColumn("token_count", T.tokens(F.col("content")))
+    keep = ["doc_id", "section_id", "title", "section_type", "priority", "sizes", "part", "parts", "token_count", "content"]
+    both = small.select(*keep).unionByName(cut.select(*keep))
+    n = F.col("token_count")
+    fits = F.filter(F.split("sizes", ","), lambda x: reduce(lambda a, b: a | b, [(x == name) & (n <= k) for name, k in V.TIERS]))
+    first = reduce(lambda acc, x: acc.when(n <= x[1], x[0]), V.TIERS[1:], F.when(n <= V.TIERS[0][1], V.TIERS[0][0])).otherwise(V.TIERS[-1][0])
+    return both.withColumn("size", F.explode(F.when(F.size(fits) > 0, fits).otherwise(F.array(first)))).drop("sizes")
 
 
 def chunk_sizes(plan: DataFrame) -> DataFrame:
@@ -136,8 +188,10 @@ def manifest(plan: DataFrame) -> DataFrame:
     return plan.groupBy("section_type").agg(F.count(F.lit(1)).alias("sections"), F.sum("token_count").alias("tokens"), F.sum(F.size(F.split("sizes", ","))).alias("chunks"), F.max("priority").alias("priority"))
 
 
-def split_sections(sections: DataFrame, approach: str, limit: int = 7500) -> DataFrame:
-    """doc_id, section_id, part, content by `semantic`, `structure`, `rows` or `tokens`."""
+def split_sections(sections: DataFrame, approach: str | None, limit: int = 7500, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, section_id, part, parts, content by `semantic`, `structure`, `rows` or `tokens`, or by each
+    row's own column `how` if approach is None; with the columns `keep`."""
+    keep = keep or []
 
     def run(batches):
         import re
@@ -185,38 +239,43 @@ def split_sections(sections: DataFrame, approach: str, limit: int = 7500) -> Dat
             if held:
                 yield " ".join(held)
 
-        how = {"semantic": semantic, "structure": lambda s: guarded(s, 10, True), "rows": lambda s: guarded(s, 5, False), "tokens": tokens}[approach]
+        ways = {"semantic": semantic, "structure": lambda s: guarded(s, 10, True), "rows": lambda s: guarded(s, 5, False), "tokens": tokens}
         for b in batches:
-            rows = [(d, k, i + 1, p) for d, k, c in zip(*(b.column(j).to_pylist() for j in range(3))) for i, p in enumerate(how(c or ""))]
-            if rows:
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3])], names=["doc_id", "section_id", "part", "content"])
+            parts = [list(ways[how](c or "")) for how, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            at = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())
+            told = [b.column(j).take(at) for j in range(2, b.num_columns)]
+            yield pa.RecordBatch.from_arrays([*told, pa.array([k + 1 for p in parts for k in range(len(p))], pa.int32()), pa.array([len(p) for p in parts for _ in p], pa.int32()), pa.array([x for p in parts for x in p], pa.string())], names=[*b.schema.names[2:], "part", "parts", "content"])
 
-    kind = sections.schema["doc_id"].dataType.simpleString()
-    return sections.select("doc_id", F.col("section_id").cast("int"), "content").mapInArrow(run, f"doc_id {kind}, section_id int, part int, content string")
+    d = sections.select(F.lit(approach).alias("how") if approach else F.col("how"), "content", "doc_id", F.col("section_id").cast("int").alias("section_id"), *keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[2:])
+    return d.mapInArrow(run, f"{schema}, part int, parts int, content string")
 
 
-def chunk_pages(chunks: DataFrame, size: int = 3000) -> DataFrame:
-    """doc_id, chunk_index, first_page, last_page by the running length of the chunks' texts."""
-    rows = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.length("text").alias("n")))).alias("c"))
-    before = lambda i: F.aggregate(F.slice("c", F.lit(1), i), F.lit(0), lambda a, x: a + x["n"])
-    placed = F.transform("c", lambda x, i: F.struct(x["chunk_index"].alias("chunk_index"), (F.floor(before(i) / size) + 1).alias("first_page"), (F.floor((before(i) + F.greatest(x["n"] - 1, F.lit(0))) / size) + 1).alias("last_page")))
-    return rows.select("doc_id", F.explode(placed).alias("p")).select("doc_id", "p.*")
+def chunk_pages(chunks: DataFrame) -> DataFrame:
+    """doc_id, chunk_index, first_page, last_page of packed chunks."""
+    return chunks.select("doc_id", "chunk_index", F.array_min("source_pages").alias("first_page"), F.array_max("source_pages").alias("last_page"))
 
 
 def payload(facts: DataFrame, kind: str) -> DataFrame:
     """One of the five vector-store layouts of chunk facts."""
-    meta = [F.left("text", F.lit(1000)).alias("text"), F.array_join(F.slice("keywords", 1, 10), ", ").alias("keywords"), "token_count", "quality"]
+    pages = F.concat(F.lit("["), F.array_join(F.transform("source_pages", lambda p: p.cast("string")), ", "), F.lit("]"))
     none = F.expr("cast(array() as array<float>)")
     if kind == "pinecone":
-        return facts.select(F.col("chunk_id").alias("id"), none.alias("values"), F.struct("doc_id", *meta).alias("metadata"))
+        meta = F.struct(F.left("text", F.lit(1000)).alias("text"), "doc_id", pages.alias("pages"), "token_count", F.array_join(F.slice("keywords", 1, 10), ", ").alias("keywords"), F.col("quality").alias("quality_score"))
+        return facts.select(F.col("chunk_id").alias("id"), none.alias("values"), meta.alias("metadata"), F.col("doc_id").cast("string").alias("namespace"), F.lit(1536).alias("dimension"))
     if kind == "chromadb":
-        rows = facts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text", "token_count"))).alias("c"))
+        meta = F.struct("doc_id", pages.alias("pages"), "token_count", F.array_join("keywords", ", ").alias("keywords"), F.col("quality").alias("quality_score"))
+        rows = facts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text", meta.alias("meta")))).alias("c"))
         pick = lambda f: F.transform("c", lambda x: x[f])
-        return rows.select(F.concat(F.lit("pdf_"), F.col("doc_id").cast("string")).alias("collection_name"), pick("chunk_id").alias("ids"), pick("text").alias("documents"), F.transform("c", lambda x: F.struct(x["token_count"].alias("token_count"))).alias("metadatas"))
+        return rows.select(F.concat(F.lit("pdf_"), F.col("doc_id").cast("string")).alias("collection_name"), pick("chunk_id").alias("ids"), pick("text").alias("documents"), pick("meta").alias("metadatas"))
     if kind == "weaviate":
-        return facts.select(F.lit("Document").alias("class"), F.col("chunk_id").alias("id"), F.struct(F.col("text").alias("content"), F.col("chunk_index").alias("chunkIndex"), F.col("token_count").alias("tokenCount"), F.col("content_type").alias("contentType")).alias("properties"))
+        own = F.struct(F.col("text").alias("content"), F.col("doc_id").alias("docId"), F.col("source_pages").alias("sourcePages"), F.col("token_count").alias("tokenCount"), "keywords", F.col("quality").alias("qualityScore"), F.col("content_type").alias("contentType"))
+        return facts.select(F.lit("DocumentChunk").alias("class"), F.col("chunk_id").alias("id"), own.alias("properties"))
     if kind == "qdrant":
-        return facts.select(F.col("chunk_index").alias("id"), none.alias("vector"), F.struct("doc_id", "chunk_id", *meta).alias("payload"))
-    rows = facts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text"))).alias("chunks"))
-    return rows.select("doc_id", "chunks", F.size("chunks").alias("total_chunks"), F.lit("1.0").alias("version"))
+        own = F.struct("chunk_id", "text", "doc_id", F.col("source_pages").alias("pages"), "token_count", "keywords", F.col("quality").alias("quality_score"))
+        return facts.select(F.col("chunk_index").alias("id"), none.alias("vector"), own.alias("payload"), F.concat(F.lit("pdf_"), F.col("doc_id").cast("string")).alias("collection_name"))
+    if kind != "generic":
+        raise ValueError(f"unknown layout: {kind}")
+    meta = F.struct("doc_id", "source_pages", "token_count", "char_count", "keywords", F.col("quality").alias("quality_score"), "content_type", "has_code", "has_table")
+    rows = facts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text", meta.alias("metadata")))).alias("chunks"), F.sum("char_count").alias("chars"), F.sum("token_count").alias("tokens"), F.max(F.array_max("source_pages")).alias("pages"))
+    return rows.select("doc_id", "chunks", F.struct("pages", "chars", "tokens").alias("document_metadata"), F.size("chunks").alias("total_chunks"), F.lit("1.0").alias("format_version"))

@@ -108,20 +108,19 @@ def tables_index(tables: DataFrame) -> DataFrame:
     return _file(d, "tables/tables-index.md", cat("# Tables Index\n\n**Total Tables**: ", F.col("n"), "\n**Total Data**: ", F.col("rows"), " rows, ", F.col("cols"), " columns\n**Token Count**: ", F.col("tokens"), "\n\n", F.col("body")))
 
 
-def chunk_files(typed: DataFrame, plan: DataFrame) -> DataFrame:
-    """chunked/NN-<title>-<size>.md: a section at each planned size that holds it, with head and guidance."""
-    fits = F.filter(F.split("sizes", ","), lambda s: reduce(lambda a, b: a | b, [(s == n) & (F.col("token_count") <= k) for n, k in V.TIERS]))
-    d = typed.join(plan.select("doc_id", "section_id", "sizes", "priority"), ["doc_id", "section_id"]).withColumn("size", F.explode(fits))
+def chunk_files(chunks: DataFrame) -> DataFrame:
+    """chunked/NN-<title>[-chunk-K]-<size>.md of section chunks, with head and guidance."""
     notes = guidance(F.col("size"), F.col("section_type"), F.col("token_count"))
-    head = cat("# ", F.col("title"), "\n\n**Chunk**: 1 of 1\n**Size**: ", F.col("size"), " (", F.col("token_count"), " tokens)\n**Section Type**: ", F.col("section_type"), "\n**Processing Priority**: ", F.col("priority"), "\n**Recommended Model**: ", T.recommend_model(F.col("token_count")),
+    head = cat("# ", F.col("title"), "\n\n**Chunk**: ", F.col("part"), " of ", F.col("parts"), "\n**Size**: ", F.col("size"), " (", F.col("token_count"), " tokens)\n**Section Type**: ", F.col("section_type"), "\n**Processing Priority**: ", F.col("priority"), "\n**Recommended Model**: ", T.recommend_model(F.col("token_count")),
                "\n\n---\n\n", F.when(F.size(notes) > 0, cat("## Processing Guidance\n\n", F.array_join(F.transform(notes, lambda x: F.concat(F.lit("- "), x)), "\n"), "\n\n---\n\n")), F.col("content"))
-    return _file(d, cat("chunked/", F.format_string("%02d", F.col("section_id")), "-", T.safe_filename(F.col("title")), "-", F.col("size"), ".md"), head)
+    return _file(chunks, cat("chunked/", F.format_string("%02d", F.col("section_id")), "-", T.safe_filename(F.col("title")), F.when(F.col("parts") > 1, cat("-chunk-", F.col("part"))), "-", F.col("size"), ".md"), head)
 
 
-def chunk_manifest(typed: DataFrame, plan: DataFrame) -> DataFrame:
-    """chunked/chunk-manifest.md: each section with its tokens and number of chunks."""
-    d = typed.select("doc_id", "section_id", "title").join(plan.select("doc_id", "section_id", "token_count", F.size(F.split("sizes", ",")).alias("k")), ["doc_id", "section_id"])
-    rows = listing(d, [F.col("section_id")], cat("| ", F.col("section_id"), " | ", F.left("title", F.lit(30)), "... | ", F.col("token_count"), " | ", F.col("k"), " |"), chunks=F.sum("k"))
+def chunk_manifest(typed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunked/chunk-manifest.md: each section with its tokens and number of chunk files, by priority."""
+    n = chunks.groupBy("doc_id", "section_id", "priority").agg(F.count(F.lit(1)).alias("k"))
+    d = typed.select("doc_id", "section_id", "title", "token_count").join(n, ["doc_id", "section_id"])
+    rows = listing(d, [-F.col("priority"), F.col("section_id")], cat("| ", F.col("section_id"), " | ", F.left("title", F.lit(30)), "... | ", F.col("token_count"), " | ", F.col("k"), " |"), chunks=F.sum("k"))
     return _file(rows, "chunked/chunk-manifest.md", cat("# Chunk Manifest\n\n**Total Sections**: ", F.col("n"), "\n**Total Chunks**: ", F.col("chunks"), "\n\n| Section | Title | Original Tokens | Chunks Created |\n|---|---|---|---|\n", F.col("body")))
 
 
@@ -169,16 +168,57 @@ def file_category(path: Column) -> Column:
     return known.when(name.endswith("-metadata.json") | (name == "README.md"), "metadata").otherwise("main_documents")
 
 
-def master_index(files: DataFrame) -> DataFrame:
-    """README.md: files by category; of over ten, the first five and the last three."""
-    d = files.select("doc_id", "path", file_category(F.col("path")).alias("category"))
-    g = d.groupBy("doc_id", "category").agg(F.array_sort(F.collect_list("path")).alias("p"))
+CATEGORIES = sorted({*NAME.values(), "metadata", "main_documents"})
+
+
+def index_body(paths: Column) -> Column:
+    """README.md of a document's file paths: by category; of over ten, the first five and the last three."""
     shown = lambda a: F.array_join(F.transform(a, lambda x: F.concat(F.lit("- ["), F.regexp_extract(x, r"([^/]+)$", 1), F.lit("]("), x, F.lit(")"))), "\n")
-    n = F.size("p")
-    some = F.when(n <= 10, shown(F.col("p"))).otherwise(cat(shown(F.slice("p", 1, 5)), "\n- ... (", n - 8, " more files)\n", shown(F.slice("p", n - 2, F.lit(3)))))
-    line = cat("### ", title(F.col("category")), " (", n, " files)\n\n", some, "\n")
-    rows = listing(g, [F.col("category")], line)
-    return _file(rows, "README.md", cat("# Conversion Results\n\n## Generated Files Summary\n\n", F.col("body")))
+    sorted_ = F.array_sort(F.transform(paths, lambda p: F.struct(file_category(p).alias("c"), p.alias("p"))))
+
+    def block(name: str) -> Column:
+        p = F.transform(F.filter(sorted_, lambda x: x["c"] == name), lambda x: x["p"])
+        n = F.size(p)
+        some = F.when(n <= 10, shown(p)).otherwise(cat(shown(F.slice(p, 1, 5)), "\n- ... (", n - 8, " more files)\n", shown(F.slice(p, n - 2, F.lit(3)))))
+        return F.when(n > 0, cat("### ", title(F.lit(name)), " (", n, " files)\n\n", some, "\n"))
+
+    return cat("# Conversion Results\n\n## Generated Files Summary\n\n", F.concat_ws("\n", *map(block, CATEGORIES)))
+
+
+def master_index(files: DataFrame) -> DataFrame:
+    """README.md: a document's files by category."""
+    return _file(files.groupBy("doc_id").agg(F.collect_list("path").alias("p")), "README.md", index_body(F.col("p")))
+
+
+def with_master_index(files: DataFrame) -> DataFrame:
+    """files and the README.md of each document, made from its one row."""
+    g = files.groupBy("doc_id").agg(F.collect_list(F.struct("path", "body")).alias("f"))
+    own = F.struct(F.lit("README.md").alias("path"), index_body(F.transform("f", lambda x: x["path"])).alias("body"))
+    return g.select("doc_id", F.explode(F.concat("f", F.array(own))).alias("x")).select("doc_id", "x.path", "x.body")
+
+
+def conversion_metadata(files: DataFrame) -> DataFrame:
+    """conversion-metadata.json: numbers, sizes and tokens of a document's files by category, without a wall clock."""
+    d = files.select("doc_id", file_category(F.col("path")).alias("category"), F.length("body").alias("n"), T.tokens(F.col("body")).alias("k"))
+    d = d.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("characters"), F.sum("k").alias("tokens"))
+    line = cat('"', F.col("category"), '": {"files": ', F.col("files"), ', "characters": ', F.col("characters"), ', "tokens": ', F.col("tokens"), "}")
+    g = listing(d, [F.col("category")], line, sep=", ", total=F.sum("files"))
+    return _file(g, "conversion-metadata.json", cat('{"total_files": ', F.col("total"), ', "categories": {', F.col("body"), "}}"))
+
+
+def concept_map(facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """concepts/concept-map.md: of the terms of a document, categories of several terms, and of its pairs
+    (doc_id, term_a, term_b, weight) the most connected terms and the strong ones."""
+    both = pairs.select("doc_id", F.explode(F.array("term_a", "term_b")).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("k"))
+    from .analysis import top
+
+    connected = listing(top(both, ["doc_id"], [F.desc("k"), "term"], 10), [F.col("rank")], cat("- **", title(F.col("term")), "**: ", F.col("k"), " connections")).select("doc_id", F.col("body").alias("connected"))
+    strong = top(pairs.where("weight > 2"), ["doc_id"], [F.desc("weight"), "term_a", "term_b"], 15)
+    strong = listing(strong, [F.col("rank")], cat("- **", title(F.col("term_a")), "** ↔ **", title(F.col("term_b")), "** (co-occurs ", F.col("weight"), " times)")).select("doc_id", F.col("body").alias("strong"))
+    by = facts.groupBy("doc_id", "category").agg(F.array_sort(F.collect_list("term")).alias("ts")).where(F.size("ts") > 1)
+    by = listing(by, [F.col("category")], cat("### ", title(F.col("category")), "\n**Terms**: ", F.size("ts"), "\n**Key Terms**: ", F.array_join(F.slice("ts", 1, 5), ", "), "\n")).select("doc_id", F.col("body").alias("by"))
+    d = facts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(connected, "doc_id", "left").join(strong, "doc_id", "left").join(by, "doc_id", "left")
+    return _file(d, "concepts/concept-map.md", cat("# Concept Map\n\n**Total Terms**: ", F.col("n"), "\n\n## Most Connected Terms\n\n", F.col("connected"), "\n\n## Category Clusters\n\n", F.col("by"), "\n\n## Strong Relationships\n\n", F.col("strong")))
 
 
 def field_response(fields: DataFrame, most: int = 20) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -103,11 +103,13 @@ def related_by_type(typed: DataFrame) -> DataFrame:
 
 
 def related_by_mention(typed: DataFrame) -> DataFrame:
-    """doc_id, section_id, related_id: one's title occurs in the other's content. Pairs only meet within a document."""
-    a = typed.select("doc_id", "section_id", F.lower("title").alias("ta"), F.lower("content").alias("ca"))
-    b = typed.select("doc_id", F.col("section_id").alias("related_id"), F.lower("title").alias("tb"), F.lower("content").alias("cb"))
-    met = a.join(b, "doc_id").where((F.col("section_id") != F.col("related_id")) & (F.contains("cb", "ta") | F.contains("ca", "tb")))
-    return met.select("doc_id", "section_id", "related_id")
+    """doc_id, section_id, related_id: one's title occurs in the other's content. A section's content meets
+    the titles of its document only; the pairs found, which are narrow, then count both ways."""
+    low = typed.select("doc_id", "section_id", F.lower("title").alias("t"), F.lower("content").alias("c"))
+    titles = low.groupBy("doc_id").agg(F.collect_list(F.struct("section_id", "t")).alias("ts"))
+    own = F.filter("ts", lambda x: (x["section_id"] != F.col("section_id")) & F.contains("c", x["t"]))
+    met = low.select("doc_id", "section_id", "c").join(titles, "doc_id").select("doc_id", "section_id", F.explode(F.transform(own, lambda x: x["section_id"])).alias("related_id"))
+    return met.unionByName(met.select("doc_id", F.col("related_id").alias("section_id"), F.col("section_id").alias("related_id"))).distinct()
 
 
 def document_map(typed: DataFrame) -> DataFrame:
@@ -117,11 +119,23 @@ def document_map(typed: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("map"))
 
 
-def section_files(typed: DataFrame) -> DataFrame:
-    """doc_id, path, body: what write_section_files writes."""
+def section_files(typed: DataFrame, limit: int = 32_000, target: int = 28_000) -> DataFrame:
+    """doc_id, path, body: what write_section_files writes; a file of over `limit` tokens in -partNN files."""
     path = F.concat(F.lit("sections/"), file_name(F.col("title"), F.col("section_type"), F.col("section_id")))
-    body = F.concat(F.lit("# "), "title", F.lit("\n\n"), F.lit("> "), "section_type", F.lit(", "), F.col("token_count").cast("string"), F.lit(" tokens\n\n"), "content", F.lit("\n"))
-    return typed.select("doc_id", path.alias("path"), body.alias("body"))
+    head = F.concat(F.lit("# "), "title", F.lit("\n\n"), F.lit("> "), "section_type", F.lit(", "), F.col("token_count").cast("string"), F.lit(" tokens\n\n"))
+    large = T.tokens(F.concat(head, "content")) > limit
+    whole = typed.where(~large).select("doc_id", path.alias("path"), F.concat(head, "content", F.lit("\n")).alias("body"))
+    # the head and a rule, so that every part repeats it
+    big = typed.where(large).select("doc_id", "section_id", path.alias("path"), F.concat(head, F.lit("---\n"), "content", F.lit("\n")).alias("content"))
+    cut = split_large(big, limit, target).join(big.select("doc_id", "section_id", "path"), ["doc_id", "section_id"])
+    part = F.concat(F.regexp_replace("path", r"\.md$", ""), F.lit("-part"), F.format_string("%02d", "part"), F.lit(".md"))
+    return whole.unionByName(cut.select("doc_id", part.alias("path"), F.col("content").alias("body")))
+
+
+def readme(typed: DataFrame) -> DataFrame:
+    """doc_id, path, body of README.md: the document map as the way in."""
+    d = document_map(typed)
+    return d.select("doc_id", F.lit("README.md").alias("path"), F.concat(F.lit("# Document Map\n\n## Sections\n\n"), "map", F.lit("\n")).alias("body"))
 
 
 def consolidated(typed: DataFrame) -> DataFrame:
@@ -129,12 +143,38 @@ def consolidated(typed: DataFrame) -> DataFrame:
     return typed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("token_count").alias("n_tokens"), F.array_join(F.array_sort(F.collect_set("section_type")), ",").alias("kinds"))
 
 
-def split_large(sections: DataFrame, limit: int = 32_000, target: int = 28_000) -> DataFrame:
-    """doc_id, section_id, part, content: sections of over `limit` tokens in parts of about `target`
-    tokens, cut at line ends by the running length; the others as they are."""
-    big = sections.where(T.tokens(F.col("content")) > limit).select("doc_id", "section_id", F.posexplode(F.split("content", "\n", -1)).alias("i", "line"))
-    w = Window.partitionBy("doc_id", "section_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    part = F.floor(F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)) / (4 * target)) + 1
-    cut = big.withColumn("part", part.cast("int")).groupBy("doc_id", "section_id", "part").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"))
-    cut = cut.select("doc_id", "section_id", "part", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
-    return sections.where(T.tokens(F.col("content")) <= limit).select("doc_id", "section_id", F.lit(1).alias("part"), "content").unionByName(cut)
+def split_large(sections: DataFrame, limit: int = 32_000, target: int = 28_000, header_tokens: int = 50) -> DataFrame:
+    """doc_id, section_id, part, content: sections of over `limit` tokens, line by line in parts of at most
+    about `target` tokens; the lines above the first rule (---) head every part, with its number. A text
+    without a rule has no head. The others are as they are. One Arrow pass, as the cut is sequential."""
+    kind = sections.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        count = lambda s: len(s) // 4
+
+        def parts(text):
+            if text is None or count(text) <= limit:
+                return [text]
+            lines = text.split("\n")
+            rule = next((i for i, x in enumerate(lines) if x.startswith("---")), -1)
+            head, out, held, n = lines[: max(rule, 0)], [], [], 0
+            extra = sum(map(count, head)) + header_tokens
+            close = lambda: out.append("\n".join([*head, f"\n**Part {len(out) + 1} of Section**\n---\n", *held]))
+            for line in lines[rule + 1 :]:
+                if held and n + count(line) > target:
+                    close()
+                    held, n = [], extra
+                held.append(line)
+                n += count(line)
+            if held:
+                close()
+            return out
+
+        for b in batches:
+            cut = [parts(c) for c in b.column(2).to_pylist()]
+            at = pa.array([i for i, p in enumerate(cut) for _ in p], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([k + 1 for p in cut for k in range(len(p))], pa.int32()), pa.array([x for p in cut for x in p], pa.string())], names=["doc_id", "section_id", "part", "content"])
+
+    return sections.select("doc_id", F.col("section_id").cast("int").alias("section_id"), "content").mapInArrow(run, f"doc_id {kind}, section_id int, part int, content string")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vocab as V
+
+KINDS = ("bool", "int", "float", "str", "null")
 
 
 def markdown_tables(docs: DataFrame) -> DataFrame:
@@ -16,23 +19,24 @@ def markdown_tables(docs: DataFrame) -> DataFrame:
 
 
 def table_cells(docs: DataFrame) -> DataFrame:
-    """doc_id, row_no (from 1, the header is not a row), col_name, cell of each document's first table."""
-    run = F.regexp_extract(F.concat(F.lit("\n"), "text", F.lit("\n")), r"((?:\n[^\n]*\|[^\n]*(?=\n)){3,})", 1)
-    rows = F.transform(F.split(F.substring(run, 2, 2147483647), "\n", -1), lambda r: F.transform(F.split(F.regexp_replace(r, r"^\s*\||\|\s*$", ""), r"\|", -1), T.strip))
-    d = docs.where(run != "").select("doc_id", rows.alias("rows"))
-    d = d.select("doc_id", F.element_at("rows", 1).alias("head"), F.posexplode(F.slice("rows", F.lit(3), F.size("rows"))).alias("r", "cells"))
-    d = d.select("doc_id", (F.col("r") + 1).alias("row_no"), "head", F.posexplode("cells").alias("c", "cell"))
-    return d.select("doc_id", "row_no", F.get("head", F.col("c")).alias("col_name"), "cell")
+    """doc_id, table_no, row_no (from 1, the header is not a row), col_no, col_name, cell of every table."""
+    runs = T.find_all(F.concat(F.lit("\n"), "text", F.lit("\n")), r"(?:\n[^\n]*\|[^\n]*(?=\n)){3,}")
+    split = lambda run: F.transform(F.split(F.substring(run, 2, 2147483647), "\n", -1), lambda r: F.transform(F.split(F.regexp_replace(r, r"^\s*\||\|\s*$", ""), r"\|", -1), T.strip))
+    d = docs.select("doc_id", F.posexplode(F.transform(runs, split)).alias("k", "rows"))
+    d = d.select("doc_id", (F.col("k") + 1).alias("table_no"), F.element_at("rows", 1).alias("head"), F.posexplode(F.slice("rows", F.lit(3), F.size("rows"))).alias("r", "cells"))
+    d = d.select("doc_id", "table_no", (F.col("r") + 1).alias("row_no"), "head", F.posexplode("cells").alias("c", "cell"))
+    return d.select("doc_id", "table_no", "row_no", (F.col("c") + 1).alias("col_no"), F.get("head", F.col("c")).alias("col_name"), "cell")
 
 
 def profile(cells: DataFrame) -> DataFrame:
-    """doc_id, col_name, n, nulls, n_unique, has_bool, has_number, column_type, mode_kind. Booleans count as numbers."""
-    kind = T.cell_kind(F.col("cell"))
-    k = cells.select("doc_id", "col_name", F.when(kind != "null", F.col("cell")).alias("cell"), kind.alias("kind"))
-    p = k.groupBy("doc_id", "col_name").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "null").alias("nulls"), F.countDistinct("cell").alias("n_unique"),
-        F.bool_or(F.col("kind") == "bool").alias("has_bool"), F.bool_or(F.col("kind").isin("bool", "int", "float")).alias("has_number"),
-    )
+    """doc_id, table_no, col_no, col_name, n, nulls, n_unique, kinds (counts by type name), has_bool, has_number,
+    column_type, description. Booleans count as numbers."""
+    kind, key = T.cell_kind(F.col("cell")), ["doc_id", "table_no", "col_no", "col_name"]
+    k = cells.select(*key, F.when(kind != "null", F.col("cell")).alias("cell"), kind.alias("kind"))
+    named = [F.count_if(F.col("kind") == x).alias(x) for x in KINDS]
+    p = k.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "null").alias("nulls"), F.countDistinct("cell").alias("n_unique"), *named)
+    p = p.withColumn("kinds", F.array_join(F.array_compact(F.array(*[F.when(F.col(x) > 0, F.concat(F.lit(f"{x}:"), F.col(x).cast("string"))) for x in KINDS])), ","))
+    p = p.withColumn("has_bool", F.col("bool") > 0).withColumn("has_number", F.col("bool") + F.col("int") + F.col("float") > 0).drop(*KINDS)
     t = F.when(F.col("has_bool"), "boolean").when(F.col("has_number"), "number").when(F.col("n_unique") <= 10, "categorical").otherwise("text")
     first = F.when(F.col("has_bool"), "Boolean values").when(F.col("has_number"), "Numeric values").otherwise("Text values")
     size = F.when(F.col("n_unique") <= 5, "(low cardinality)").when(F.col("n_unique") > 50, "(high cardinality)")
@@ -40,14 +44,27 @@ def profile(cells: DataFrame) -> DataFrame:
 
 
 def table_notes(profiles: DataFrame) -> DataFrame:
-    """doc_id, complexity, notes of each profiled table."""
-    t = profiles.groupBy("doc_id").agg(F.max("n").alias("rows"), F.count(F.lit(1)).alias("cols"), F.count_if("has_number").alias("numeric"), F.count_if(F.col("n_unique") <= 10).alias("grouping"))
+    """doc_id, table_no, complexity, notes of each profiled table."""
+    t = profiles.groupBy("doc_id", "table_no").agg(F.max("n").alias("rows"), F.count(F.lit(1)).alias("cols"), F.count_if("has_number").alias("numeric"), F.count_if(F.col("n_unique") <= 10).alias("grouping"))
     cells = F.col("rows") * F.col("cols")
     notes = F.array(
         F.when(F.col("rows") > 100, "large").when(F.col("rows") < 5, "small"), F.when(F.col("cols") > 10, "wide"),
         F.when(F.col("numeric") > 0, F.concat(F.lit("numeric:"), F.col("numeric").cast("string"))), F.when(F.col("grouping") > 0, F.concat(F.lit("grouping:"), F.col("grouping").cast("string"))),
     )
-    return t.select("doc_id", F.when(cells <= 50, "simple").when(cells <= 200, "moderate").when(cells <= 1000, "complex").otherwise("very_complex").alias("complexity"), F.concat_ws(";", F.filter(notes, lambda x: x.isNotNull())).alias("notes"))
+    return t.select("doc_id", "table_no", F.when(cells <= 50, "simple").when(cells <= 200, "moderate").when(cells <= 1000, "complex").otherwise("very_complex").alias("complexity"), F.concat_ws(";", F.filter(notes, lambda x: x.isNotNull())).alias("notes"))
+
+
+def table_json(cells: DataFrame) -> DataFrame:
+    """doc_id, table_no, headers, n_rows, rows: each table as JSON, rows as objects of typed values in column order."""
+    kind, n, s = T.cell_kind(F.col("cell")), T.cell_number(F.col("cell")), F.col("cell")
+    number = F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("decimal(38,6)").cast("string"))
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    shown = F.when(kind == "null", "null").when(kind == "bool", F.lower(s).isin(*V.TRUE_CELLS).cast("string")).when(kind.isin("int", "float"), number).otherwise(quoted)
+    pair = F.concat(F.lit('"'), F.replace(F.coalesce("col_name", F.lit("Column")), F.lit('"'), F.lit('\\"')), F.lit('": '), shown)
+    r = cells.groupBy("doc_id", "table_no", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", pair.alias("p"), "col_name"))).alias("c"))
+    r = r.select("doc_id", "table_no", "row_no", F.concat(F.lit("{"), F.array_join(F.transform("c", lambda x: x["p"]), ", "), F.lit("}")).alias("j"), F.transform("c", lambda x: x["col_name"]).alias("h"))
+    t = r.groupBy("doc_id", "table_no").agg(F.array_sort(F.collect_list(F.struct("row_no", "j"))).alias("r"), F.min_by("h", "row_no").alias("h"))
+    return t.select("doc_id", "table_no", F.array_join("h", ",").alias("headers"), F.size("r").alias("n_rows"), F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["j"]), ", "), F.lit("]")).alias("rows"))
 
 
 def value_distribution(cells: DataFrame, most: int = 20) -> DataFrame:
@@ -58,10 +75,14 @@ def value_distribution(cells: DataFrame, most: int = 20) -> DataFrame:
 
 
 def embedding_text(cells: DataFrame) -> DataFrame:
-    """doc_id, text: `header: value | ...` rows for embedding, blanks as N/A."""
-    shown = F.concat(F.coalesce("col_name", F.lit("Column")), F.lit(": "), F.when(F.col("cell") == "", "N/A").otherwise(F.col("cell")))
-    rows = cells.groupBy("doc_id", "row_no").agg(F.array_join(F.array_sort(F.collect_list(shown)), " | ").alias("line"))
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("ls")).select("doc_id", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))
+    """doc_id, table_no, text: a line that names the columns, then `header: value | ...` rows in column
+    order, blanks as N/A."""
+    name = F.coalesce("col_name", F.lit("Column"))
+    shown = F.concat(name, F.lit(": "), F.when(F.col("cell") == "", "N/A").otherwise(F.col("cell")))
+    rows = cells.groupBy("doc_id", "table_no", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", shown.alias("s"), "col_name"))).alias("c"))
+    rows = rows.select("doc_id", "table_no", "row_no", F.array_join(F.transform("c", lambda x: x["s"]), " | ").alias("line"), F.array_join(F.transform(F.filter("c", lambda x: x["col_name"].isNotNull()), lambda x: x["col_name"]), ", ").alias("names"))
+    t = rows.groupBy("doc_id", "table_no").agg(F.array_sort(F.collect_list(F.struct("row_no", "line"))).alias("ls"), F.min_by("names", "row_no").alias("names"))
+    return t.select("doc_id", "table_no", F.concat(F.lit("Table with columns: "), "names", F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("text"))
 
 
 def most_frequent(counts: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

@@ -69,6 +69,64 @@ def cooccurrence(terms: DataFrame) -> DataFrame:
     return pairs.groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def contained(scores: DataFrame, sections: DataFrame) -> DataFrame:
+    """doc_id, section_id, term: the kept terms of a document that occur in a section, whatever their case. A
+    section meets the terms of its document only."""
+    terms = scores.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("ts"))
+    d = sections.select("doc_id", "section_id", F.lower("content").alias("c")).join(terms, "doc_id")
+    return d.select("doc_id", "section_id", F.explode(F.filter("ts", lambda t: F.contains("c", t))).alias("term"))
+
+
+def document_pairs(occurrences: DataFrame) -> DataFrame:
+    """doc_id, term_a < term_b, weight: sections of the document that hold both."""
+    lists = occurrences.groupBy("doc_id", "section_id").agg(F.array_sort(F.collect_set("term")).alias("ts"))
+    after = F.transform("ts", lambda t, i: F.struct(t.alias("a"), F.slice("ts", i + 2, F.size("ts")).alias("bs")))
+    pairs = lists.select("doc_id", F.explode(after).alias("p")).select("doc_id", F.col("p.a").alias("term_a"), F.explode("p.bs").alias("term_b"))
+    return pairs.groupBy("doc_id", "term_a", "term_b").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def category_terms(scores: DataFrame) -> DataFrame:
+    """doc_id, category, terms: the set of terms of each category."""
+    return scores.groupBy("doc_id", "category").agg(F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
+
+
+def section_clusters(terms: DataFrame) -> DataFrame:
+    """doc_id, section (its title), terms: the set of terms found in it."""
+    return terms.groupBy("doc_id", F.col("title").alias("section")).agg(F.array_join(F.array_sort(F.collect_set(F.lower("term"))), ",").alias("terms"))
+
+
+def _json(c):
+    s = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), F.replace(s, F.lit("\n"), F.lit("\\n")), F.lit('"'))
+
+
+def graph_json(scores: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, nodes, links, categories: a document's concept graph as JSON for drawing. Nodes are numbered
+    from 0 by term; links have a weight over 1 and name their ends by number, both ways."""
+    node = F.struct("term", "category", F.col("score").cast("decimal(10,2)").cast("string").alias("score"), F.col("frequency").cast("string").alias("frequency"))
+    g = scores.groupBy("doc_id").agg(F.array_sort(F.collect_list(node)).alias("ns"))
+    strong = pairs.where("weight > 1").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_a", "term_b", "weight"))).alias("es"))
+    g = g.join(strong, "doc_id", "left").withColumn("names", F.transform("ns", lambda x: x["term"]))
+    nodes = F.transform("ns", lambda x, i: F.concat(F.lit('{"id": '), i.cast("string"), F.lit(', "label": '), _json(F.initcap(x["term"])), F.lit(', "category": "'), x["category"], F.lit('", "importance": '), x["score"], F.lit(', "frequency": '), x["frequency"], F.lit("}")))
+    at = lambda t: (F.array_position("names", t) - 1).cast("string")
+    link = lambda a, b, w: F.concat(F.lit('{"source": '), at(a), F.lit(', "target": '), at(b), F.lit(', "weight": '), w.cast("string"), F.lit("}"))
+    kept = F.filter(F.coalesce("es", F.expr("cast(array() as array<struct<term_a: string, term_b: string, weight: bigint>>)")), lambda e: F.array_contains("names", e["term_a"]) & F.array_contains("names", e["term_b"]))
+    links = F.flatten(F.transform(kept, lambda e: F.array(link(e["term_a"], e["term_b"], e["weight"]), link(e["term_b"], e["term_a"], e["weight"]))))
+    wrap = lambda xs: F.concat(F.lit("["), F.array_join(xs, ", "), F.lit("]"))
+    return g.select("doc_id", wrap(nodes).alias("nodes"), wrap(links).alias("links"), F.array_join(F.array_sort(F.array_distinct(F.transform("ns", lambda x: x["category"]))), ",").alias("categories"))
+
+
+def glossary_json(facts: DataFrame, concepts: DataFrame) -> DataFrame:
+    """doc_id, terms, concepts: a document's glossary as JSON, by term and by concept."""
+    own = lambda c: F.when(c.isNull(), "null").otherwise(_json(c))
+    t = F.concat(F.lit('{"term": '), _json(F.col("term")), F.lit(', "category": "'), "category", F.lit('", "frequency": '), F.col("frequency").cast("string"), F.lit(', "definition": '), own(F.col("definition")), F.lit("}"))
+    a = facts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", t.alias("j")))).alias("t"))
+    c = F.concat(F.lit('{"concept": '), _json(F.col("concept")), F.lit(', "category": "'), "category", F.lit('", "definition": '), own(F.col("definition")), F.lit("}"))
+    b = concepts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("concept", c.alias("j")))).alias("c"))
+    wrap = lambda xs: F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(xs, lambda x: x["j"]), ", "), F.lit("")), F.lit("]"))
+    return a.join(b, "doc_id", "full_outer").select("doc_id", wrap("t").alias("terms"), wrap("c").alias("concepts"))
+
+
 def degrees(pairs: DataFrame) -> DataFrame:
     both = pairs.select(F.explode(F.array("term_a", "term_b")).alias("term"))
     return both.groupBy("term").agg(F.count(F.lit(1)).alias("degree"))

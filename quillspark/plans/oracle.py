@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import vocab as V
-from ..sources.tables import MARKDOWN
+from ..sources.tables import MARKDOWN, MENTIONS
 from . import oracle_reports
 
 
@@ -57,14 +57,16 @@ NAMES = "names AS (SELECT p_partkey AS doc_id, 'My ' || p_name || ' (v1.' || (p_
 FILE = "CASE section_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in V.FILE_NAMES.items()) + f" ELSE {SAFE_CUT('title')} END"
 PATH = f"lpad(section_id::VARCHAR, 2, '0') || '-' || {FILE} || '.md'"
 CELLS = rf"""{MD},
-run AS (SELECT doc_id, string_split(substr(regexp_extract(chr(10) || text || chr(10), '((?:\n[^\n]*[|][^\n]*){{3,}})', 1), 2), chr(10)) AS r FROM md),
-body AS (SELECT doc_id, i - 2 AS row_no, string_split(regexp_replace(r[1], '^\s*[|]|[|]\s*$', '', 'g'), '|') AS h, string_split(regexp_replace(r[i], '^\s*[|]|[|]\s*$', '', 'g'), '|') AS c
-  FROM run, unnest(range(3, len(r) + 1)) AS t(i) WHERE r[1] <> ''),
-cell AS (SELECT doc_id, row_no::INT AS row_no, {strip('h[j]')} AS col_name, {strip('c[j]')} AS cell FROM body, unnest(range(1, len(c) + 1)) AS t(j)),
+runs AS (SELECT doc_id, regexp_extract_all(chr(10) || text || chr(10), '(?:\n[^\n]*[|][^\n]*){{3,}}') AS rs FROM md),
+run AS (SELECT doc_id, k AS table_no, string_split(substr(rs[k], 2), chr(10)) AS r FROM runs, unnest(range(1, len(rs) + 1)) AS t(k)),
+body AS (SELECT doc_id, table_no, i - 2 AS row_no, string_split(regexp_replace(r[1], '^\s*[|]|[|]\s*$', '', 'g'), '|') AS h, string_split(regexp_replace(r[i], '^\s*[|]|[|]\s*$', '', 'g'), '|') AS c
+  FROM run, unnest(range(3, len(r) + 1)) AS t(i)),
+cell AS (SELECT doc_id, table_no::INT AS table_no, row_no::INT AS row_no, j::INT AS col_no, {strip('h[j]')} AS col_name, {strip('c[j]')} AS cell FROM body, unnest(range(1, len(c) + 1)) AS t(j)),
 kinds AS (SELECT *, CASE WHEN cell = '' THEN 'null' WHEN lower(cell) IN ({', '.join(map(q, V.TRUE_CELLS + V.FALSE_CELLS))}) THEN 'bool' WHEN regexp_full_match(cell, '\d+') THEN 'int'
   WHEN regexp_full_match(cell, '-?\d+\.?\d*') OR (regexp_full_match(cell, '\$?[\d,]+\.?\d*') AND regexp_matches(cell, '\d')) OR regexp_full_match(cell, '[+-]?(\d+\.?\d*|\.\d+)%') THEN 'float' ELSE 'str' END AS kind FROM cell),
-prof AS (SELECT doc_id, col_name, count(*) AS n, count(*) FILTER (kind = 'null') AS nulls, count(DISTINCT cell) FILTER (kind <> 'null') AS n_unique, bool_or(kind = 'bool') AS has_bool,
-  bool_or(kind IN ('bool', 'int', 'float')) AS has_number FROM kinds GROUP BY doc_id, col_name)"""
+prof AS (SELECT doc_id, table_no, col_no, col_name, count(*) AS n, count(*) FILTER (kind = 'null') AS nulls, count(DISTINCT cell) FILTER (kind <> 'null') AS n_unique,
+  concat_ws(',', {', '.join(f"'{k}:' || nullif(count(*) FILTER (kind = '{k}'), 0)" for k in ('bool', 'int', 'float', 'str', 'null'))}) AS kinds, bool_or(kind = 'bool') AS has_bool,
+  bool_or(kind IN ('bool', 'int', 'float')) AS has_number FROM kinds GROUP BY doc_id, table_no, col_no, col_name)"""
 NUMBER = "CASE WHEN kind IN ('int', 'float') THEN CASE WHEN cell LIKE '%\\%' ESCAPE '\\' THEN regexp_replace(cell, '[$,%]', '', 'g')::DOUBLE / 100 ELSE regexp_replace(cell, '[$,%]', '', 'g')::DOUBLE END END"
 
 
@@ -105,6 +107,10 @@ def trimmed(c: str, target: str) -> str:
     return f"CASE WHEN {tokens(c)} <= {target} THEN {c} WHEN length({late}) < length({c}) THEN {late} || '...' ELSE {late} END"
 
 
+HTTP = r"(?i)(GET|POST|PUT|DELETE|PATCH)\s+([/\w\-{}.:]+)"
+ENDPOINTS = f"""calls AS (SELECT doc_id, section_id, content, regexp_extract_all(content, {q(HTTP)}) AS h, regexp_extract_all(content, {q(HTTP)}, 1) AS m, regexp_extract_all(content, {q(HTTP)}, 2) AS p, regexp_split_to_array(content, {q(HTTP)}) AS s FROM sec),
+call AS (SELECT *, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS pos FROM calls, unnest(range(1, len(h) + 1)) AS t(i)),
+endpoint AS (SELECT doc_id, section_id, i, upper(m[i]) AS method, p[i] AS path, coalesce(list_filter({sentences("substr(content, (greatest(pos - 200, 0) + 1)::BIGINT, (pos + length(h[i]) + 200 - greatest(pos - 200, 0))::BIGINT)")}, lambda x: length(x) > 20 AND length(x) < 200)[1], 'No description') AS description FROM call)"""
 REFS, LOCATED = _refs(), _located()
 KNOWN = REFS + r""", known AS (SELECT doc_id, 'section' AS type, section_id::VARCHAR AS target FROM sec UNION
   SELECT doc_id, 'page', unnest(regexp_extract_all(lower(content), 'page\s+(\d+)', 1)) FROM sec UNION
@@ -173,7 +179,7 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
     page_text = strip(page_text)
     url = r'https?://[^\s<>"{}|\\^`\[\]]+|www\.[^\s<>"{}|\\^`\[\]]+'
     edges = " UNION ALL ".join(f"SELECT doc_id, {name!r} AS family, {k} AS k, regexp_extract_all(text, {q(p)}) AS h, regexp_split_to_array(text, {q(p)}) AS s FROM md" for k, (name, p) in enumerate([(n, r"\n\n[A-Z]" if n == "paragraph" else p) for n, p in V.BOUNDARIES]))
-    return oracle_reports.sql() | {
+    own = {
         "token_tiers": f"WITH d AS (SELECT lang, {tokens('text')} AS n, len({sentences('text')}) AS k FROM documents) SELECT lang, {model('n')} AS tier, count(*) AS documents, sum(n)::BIGINT AS tokens, sum(k)::BIGINT AS sentences FROM d GROUP BY 1, 2",
         "clean_text": f"SELECT doc_id, trim(regexp_replace({fixes.replace(chr(8211), 'zzqx').replace(chr(8212), 'zzqy')}, '\\s+', ' ', 'g')) AS clean_text FROM documents",
         "fixed_text": f"SELECT doc_id, {fixes} AS fixed_text FROM documents",
@@ -204,7 +210,7 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         "fields_generic": rf"""WITH {LINES.format('documents')}, h AS (SELECT doc_id, line_no, s, s <> '' AND length(s) < 100 AND (upper(s) = s AND lower(s) <> s OR regexp_matches(s, '^[^\p{{L}}]*\p{{Lu}}\p{{Ll}}*(?:[^\p{{L}}]+\p{{Lu}}\p{{Ll}}*)*[^\p{{L}}]*$')) AND NOT regexp_matches(s, '^[•\-*]') AS head FROM line),
           a AS (SELECT *, last_value(CASE WHEN head THEN s END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM h)
           SELECT doc_id, line_no, coalesce(replace(lower(above), ' ', '_'), 'content') AS section, s AS content FROM a WHERE length(s) > 10 AND NOT head""",
-        "keywords": f"SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\\b[A-Za-z]{{3,}}\\b'), lambda x: lower(x)), lambda x: x NOT IN ({', '.join(map(q, V.STOP_WORDS))})))) AS keywords FROM documents",
+        "keywords": f"SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: regexp_full_match(x, '[A-Za-z]{{3,}}')), lambda x: lower(x)), lambda x: x NOT IN ({', '.join(map(q, V.STOP_WORDS))})))) AS keywords FROM documents",
         "repaired": f"WITH {MD} SELECT doc_id, {repaired('text')} AS repaired FROM md",
         "processed": f"WITH {MD} SELECT doc_id, {repaired(fixes)} AS processed FROM md",
         "trimmed": f"SELECT doc_id, {trimmed('text', '100')} AS trimmed FROM documents",
@@ -225,18 +231,22 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         "section_filenames": f"WITH {TYPED} SELECT doc_id, section_id, {PATH} AS file FROM typed",
         "docx_section_types": f"WITH {SEC} SELECT doc_id, section_id, {first_class('lower(title)', V.WORD_SECTION_TITLES, q('content'))} AS kind FROM sec",
         "related_by_type": f"WITH {TYPED}, rel(a, b) AS (VALUES {rel}) SELECT x.doc_id, x.section_id, y.section_id AS related_id FROM typed x JOIN rel ON x.section_type = a JOIN typed y ON y.doc_id = x.doc_id AND y.section_type = b AND y.section_id <> x.section_id",
-        "related_by_mention": f"WITH {TYPED} SELECT x.doc_id, x.section_id, y.section_id AS related_id FROM typed x JOIN typed y ON y.doc_id = x.doc_id AND y.section_id <> x.section_id WHERE contains(lower(y.content), lower(x.title)) OR contains(lower(x.content), lower(y.title))",
+        "related_by_mention": f"WITH typed AS ({MENTIONS.replace('{customer}', 'customer')}) SELECT x.doc_id, x.section_id, y.section_id AS related_id FROM typed x JOIN typed y ON y.doc_id = x.doc_id AND y.section_id <> x.section_id WHERE contains(lower(y.content), lower(x.title)) OR contains(lower(x.content), lower(y.title))",
         "document_map": f"WITH {TYPED} SELECT doc_id, string_agg('- [' || title || '](sections/' || {PATH} || ') - ' || section_type || ', ' || token_count || ' tokens', chr(10) ORDER BY section_id) AS map FROM typed GROUP BY doc_id",
         "section_files": f"WITH {TYPED} SELECT doc_id, 'sections/' || {PATH} AS path, '# ' || title || chr(10) || chr(10) || '> ' || section_type || ', ' || token_count || ' tokens' || chr(10) || chr(10) || content || chr(10) AS body FROM typed",
         "section_index": f"WITH {TYPED}, f AS (SELECT doc_id, 'sections/' || {PATH} AS path FROM typed) SELECT doc_id, string_agg('- [' || path || '](' || path || ')', chr(10) ORDER BY path) AS index FROM f GROUP BY doc_id",
         "consolidated_summary": f"WITH {TYPED} SELECT doc_id, count(*) AS n_sections, sum(token_count)::BIGINT AS n_tokens, string_agg(DISTINCT section_type, ',' ORDER BY section_type) AS kinds FROM typed GROUP BY doc_id",
         "md_tables": rf"""WITH {MD}, r AS (SELECT doc_id, regexp_extract_all(chr(10) || text || chr(10), '(?:\n[^\n]*[|][^\n]*){{3,}}') AS rs FROM md) SELECT doc_id, i::INT AS table_no, ({count('rs[i]', chr(10))} - 2)::INT AS n_rows, ({count("regexp_extract(rs[i], '^\\n([^\\n]*)', 1)", '[|]')} - 1)::INT AS n_cols FROM r, unnest(range(1, len(rs) + 1)) AS t(i)""",
-        "cell_types": f"WITH {CELLS}, v AS (SELECT *, {NUMBER} AS number FROM kinds) SELECT doc_id, row_no, col_name, kind, number, CASE kind WHEN 'null' THEN '' WHEN 'bool' THEN CASE WHEN lower(cell) IN ({', '.join(map(q, V.TRUE_CELLS))}) THEN 'Yes' ELSE 'No' END WHEN 'str' THEN cell ELSE CASE WHEN number = floor(number) THEN floor(number)::BIGINT::VARCHAR ELSE format('{{:.2f}}', number) END END AS shown FROM v",
+        "cell_types": f"WITH {CELLS}, v AS (SELECT *, {NUMBER} AS number FROM kinds) SELECT doc_id, table_no, row_no, col_no, col_name, kind, number, CASE kind WHEN 'null' THEN '' WHEN 'bool' THEN CASE WHEN lower(cell) IN ({', '.join(map(q, V.TRUE_CELLS))}) THEN 'Yes' ELSE 'No' END WHEN 'str' THEN cell ELSE CASE WHEN number = floor(number) THEN floor(number)::BIGINT::VARCHAR ELSE format('{{:.2f}}', number) END END AS shown FROM v",
         "table_profile": f"""WITH {CELLS} SELECT *, CASE WHEN has_bool THEN 'boolean' WHEN has_number THEN 'number' WHEN n_unique <= 10 THEN 'categorical' ELSE 'text' END AS column_type,
           col_name || ': ' || concat_ws(' ', CASE WHEN has_bool THEN 'Boolean values' WHEN has_number THEN 'Numeric values' ELSE 'Text values' END, CASE WHEN n_unique <= 5 THEN '(low cardinality)' WHEN n_unique > 50 THEN '(high cardinality)' END, CASE WHEN nulls > 0 THEN 'with null values' END) AS description FROM prof""",
-        "table_notes": f"""WITH {CELLS}, t AS (SELECT doc_id, max(n) AS r, count(*) AS c, count(*) FILTER (has_number) AS k, count(*) FILTER (n_unique <= 10) AS g FROM prof GROUP BY doc_id)
-          SELECT doc_id, CASE WHEN r * c <= 50 THEN 'simple' WHEN r * c <= 200 THEN 'moderate' WHEN r * c <= 1000 THEN 'complex' ELSE 'very_complex' END AS complexity,
+        "table_notes": f"""WITH {CELLS}, t AS (SELECT doc_id, table_no, max(n) AS r, count(*) AS c, count(*) FILTER (has_number) AS k, count(*) FILTER (n_unique <= 10) AS g FROM prof GROUP BY doc_id, table_no)
+          SELECT doc_id, table_no, CASE WHEN r * c <= 50 THEN 'simple' WHEN r * c <= 200 THEN 'moderate' WHEN r * c <= 1000 THEN 'complex' ELSE 'very_complex' END AS complexity,
           concat_ws(';', CASE WHEN r > 100 THEN 'large' WHEN r < 5 THEN 'small' END, CASE WHEN c > 10 THEN 'wide' END, CASE WHEN k > 0 THEN 'numeric:' || k END, CASE WHEN g > 0 THEN 'grouping:' || g END) AS notes FROM t""",
+        "table_usage": f"WITH {CELLS}, t AS (SELECT doc_id, table_no, max(n) AS r, count(*) FILTER (has_number) AS k, count(*) FILTER (n_unique <= 10) AS g FROM prof GROUP BY ALL) SELECT doc_id, table_no, concat_ws('; ', CASE WHEN k >= 2 THEN {q(V.USAGE_NOTES[0])} END, CASE WHEN g > 0 THEN {q(V.USAGE_NOTES[1])} END, CASE WHEN r > 20 THEN {q(V.USAGE_NOTES[2])} ELSE {q(V.USAGE_NOTES[3])} END) AS usage FROM t",
+        "table_embedding": f"WITH {CELLS}, l AS (SELECT doc_id, table_no, row_no, string_agg(col_name || ': ' || CASE WHEN cell = '' THEN 'N/A' ELSE cell END, ' | ' ORDER BY col_no) AS line, string_agg(col_name, ', ' ORDER BY col_no) AS names FROM cell GROUP BY ALL) SELECT doc_id, table_no, 'Table with columns: ' || first(names ORDER BY row_no) || chr(10) || string_agg(line, chr(10) ORDER BY row_no) AS text FROM l GROUP BY ALL",
+        "table_json": f"""WITH {CELLS}, v AS (SELECT *, {NUMBER} AS number FROM kinds), p AS (SELECT *, '"' || col_name || '": ' || CASE kind WHEN 'null' THEN 'null' WHEN 'bool' THEN CASE WHEN lower(cell) IN ({', '.join(map(q, V.TRUE_CELLS))}) THEN 'true' ELSE 'false' END WHEN 'str' THEN '"' || replace(cell, '"', '\\"') || '"' ELSE CASE WHEN number = floor(number) THEN floor(number)::BIGINT::VARCHAR ELSE number::DECIMAL(38, 6)::VARCHAR END END AS j FROM v),
+          r AS (SELECT doc_id, table_no, row_no, '{{' || string_agg(j, ', ' ORDER BY col_no) || '}}' AS j, string_agg(col_name, ',' ORDER BY col_no) AS h FROM p GROUP BY ALL) SELECT doc_id, table_no, first(h ORDER BY row_no) AS headers, count(*)::INT AS n_rows, '[' || string_agg(j, ', ' ORDER BY row_no) || ']' AS rows FROM r GROUP BY ALL""",
         "value_distribution": f"WITH {CELLS}, v AS (SELECT col_name, cell, count(*) AS n FROM cell WHERE cell <> '' GROUP BY 1, 2) SELECT * FROM v WHERE col_name IN (SELECT col_name FROM v GROUP BY 1 HAVING count(*) <= 20)",
         "boundaries": f"WITH {MD}, e AS ({edges}), p AS (SELECT doc_id, family, k, coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS position FROM e, unnest(range(1, len(h) + 1)) AS t(i)) SELECT doc_id, position::INT AS position, arg_min(family, k) AS family FROM p GROUP BY 1, 2",
         "chunk_plan": f"WITH {plan} SELECT * FROM plan",
@@ -262,11 +272,13 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
           v AS (SELECT *, {score} + CASE WHEN length(s) BETWEEN 50 AND 200 THEN 2 WHEN length(s) BETWEEN 20 AND 300 THEN 1 ELSE 0 END + CASE WHEN {generic} THEN 0 ELSE 1 END AS k FROM e),
           r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_id ORDER BY k DESC, i) AS p FROM v)
           SELECT sec.doc_id, sec.section_id, CASE WHEN s IS NULL THEN 'No content available.' WHEN length(s) > 200 THEN left(s, 200) || '...' ELSE s END AS sentence FROM sec LEFT JOIN r ON r.doc_id = sec.doc_id AND r.section_id = sec.section_id AND p = 1""",
-        "endpoints": rf"WITH {SEC}, e AS (SELECT doc_id, section_id, regexp_extract_all(content, '(?i)(GET|POST|PUT|DELETE|PATCH)\s+([/\w\-{{}}.:]+)', 1) AS m, regexp_extract_all(content, '(?i)(GET|POST|PUT|DELETE|PATCH)\s+([/\w\-{{}}.:]+)', 2) AS p FROM sec) SELECT doc_id, section_id, upper(unnest(m)) AS method, unnest(p) AS path FROM e",
+        "endpoints": f"WITH {SEC}, {ENDPOINTS} SELECT doc_id, section_id, method, path, description FROM endpoint",
         "security_sentences": f"WITH {SEC}, f AS (SELECT doc_id, section_id, list_filter({sentences('content')}, lambda s: {any_of('lower(s)', V.SECURITY_WORDS)})[1:5] AS s FROM sec) SELECT doc_id, section_id, array_to_string(s, ' ') AS security FROM f WHERE len(s) > 0",
         "integration_steps": rf"WITH {SEC}, f AS (SELECT doc_id, section_id, list_concat(list_concat(regexp_extract_all(content, '(?m)^\d+\.\s+(.+)', 1)[1:5], regexp_extract_all(content, '(?m)^[-*]\s+(.+)', 1)[1:5]), regexp_extract_all(content, '(?i)step\s+\d+[:\s]+(.+)', 1)[1:5])[1:8] AS s FROM sec) SELECT doc_id, section_id, array_to_string(list_transform(s, lambda x: '- ' || x), chr(10)) AS steps FROM f WHERE len(s) > 0",
         "events_hourly": "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2",
     }
+    own |= oracle_reports.sql()
+    return own | oracle_reports.summaries(own)
 
 
 DEFS = [r"([A-Z][^:]+):\s*(.+)", r"([A-Z]\w+)\s+([a-z]+\s+\d+)", r"([A-Z0-9]{2,})\s*[-–]\s*(.+)"]

@@ -92,3 +92,61 @@ tab AS (SELECT doc_id, i::INT AS table_no, rs[i][2:] AS markdown, ({count('rs[i]
         "image_catalog": f"WITH {MD}, a AS (SELECT doc_id, regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', 1) AS a, regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', 2) AS u FROM md), i AS (SELECT doc_id, unnest(a) AS alt, unnest(u) AS url FROM a), g AS (SELECT doc_id, count(*) AS n, string_agg('- **Alt Text**: ' || alt || {nl} || '- **Reference**: ' || url || {nl}, {nl} ORDER BY url, alt) AS b FROM i GROUP BY 1) "
         + file("'images/image-catalog.md'", f"'# Image Catalog' || {nl} || {nl} || 'Total images referenced: ' || n || {nl} || {nl} || b", "g"),
     }
+
+
+def points(s: str, detailed: bool = False) -> str:
+    from .oracle import any_of
+
+    last = f"CASE WHEN len({s}) > 6 THEN {s}[-2:] ELSE [] END"
+    if detailed:
+        keep = f"list_concat(list_concat({s}[1:3], {last}), list_filter(CASE WHEN len({s}) > 5 THEN {s}[4:len({s}) - 2] ELSE [] END, lambda x: {any_of('lower(x)', V.DETAIL_WORDS)})[1:CASE WHEN len({s}) > 6 THEN 3 ELSE 5 END])"
+    else:
+        keep = f"list_concat({s}[1:2], CASE WHEN len({s}) > 3 THEN list_filter({s}[3:6], lambda x: {any_of('lower(x)', V.BRIEF_WORDS)})[1:1] ELSE [] END)"
+    return f"CASE WHEN len({s}) > 0 THEN array_to_string({keep}, ' ') END"
+
+
+def summaries(known: dict[str, str]) -> dict[str, str]:
+    """The seven summaries, from the queries that they are made of."""
+    from .oracle import ENDPOINTS, TYPED, any_of, q, sentences, tokens, trimmed
+
+    nl, two = "chr(10)", "chr(10) || chr(10)"
+    cut = lambda c, t: f"coalesce({trimmed(c, t)}, 'No content available.')"
+    kind, depth = title("document_type"), title("depth")
+    head = f"'# Detailed Summary' || {two} || 'This ' || {kind} || ' follows a ' || {title('structure_type')} || ' structure with ' || n || ' main sections.' || {two} || '## Section Breakdown' || {two}"
+    top = f"'# Complete Summary' || {two} || '## Document Analysis' || {two} || '**Type**: ' || {kind} || {nl} || '**Technical Depth**: ' || {depth} || {nl} || '**Main Themes**: ' || coalesce(themes, '') || {nl} || '**Total Sections**: ' || n || {two} || '## Complete Section Analysis' || {two}"
+    agg = lambda line, where="true", order="section_id": f"string_agg({line}, '' ORDER BY {order}) FILTER ({where})"
+    missing = "CASE k " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in V.SUMMARY_MISSING.items()) + " END"
+    own = f"""WITH {TYPED}, {ENDPOINTS}, dt AS ({known['document_type_vote']}), dp AS ({known['technical_depth']}), st AS ({known['structure_type']}),
+th AS (SELECT doc_id, string_agg(theme, ', ' ORDER BY rank) AS themes, string_agg(theme, ', ' ORDER BY rank) FILTER (rank <= 3) AS three FROM ({known['themes']}) GROUP BY 1),
+ky AS (SELECT doc_id, string_agg('- **' || title || '**: ' || sentence || {nl}, '' ORDER BY rank) AS keys FROM ({known['key_sections']}) JOIN ({known['key_sentence']}) USING (doc_id, section_id) JOIN typed USING (doc_id, section_id) WHERE rank <= 3 GROUP BY 1),
+co AS (SELECT doc_id, string_agg('- **' || term || '**' || coalesce(': ' || CASE WHEN length(definition) > 100 THEN left(definition, 100) || '...' ELSE nullif(definition, '') END, '') || {nl}, '' ORDER BY rank) AS concepts FROM ({known['priority_concepts']}) JOIN ({known['term_facts']}) USING (doc_id, term) WHERE rank <= 5 GROUP BY 1),
+ta AS (SELECT doc_id, string_agg('**Table ' || table_no || '** (' || n_rows || ' rows)' || {nl} || left(markdown, 500) || CASE WHEN length(markdown) > 500 THEN '...' ELSE '' END || {two}, '' ORDER BY rank) AS tables FROM ({known['important_tables']}) JOIN ({known['tables_text']}) USING (doc_id, table_no) WHERE rank <= 3 GROUP BY 1),
+d AS (SELECT *, {head} AS head, {top} AS top FROM (SELECT doc_id, count(*) AS n FROM typed GROUP BY 1) JOIN dt USING (doc_id) JOIN dp USING (doc_id) JOIN st USING (doc_id) LEFT JOIN th USING (doc_id) LEFT JOIN ky USING (doc_id) LEFT JOIN co USING (doc_id) LEFT JOIN ta USING (doc_id)),
+x AS (SELECT doc_id, section_id, title, section_type, content, {sentences('content')} AS ss, row_number() OVER (PARTITION BY doc_id ORDER BY section_id) AS i, head, top, n,
+  {any_of('lower(title)', V.SECURITY_TITLES)} AS whole, {any_of('lower(content)', V.SECURITY_CONTENT)} AS may, contains(lower(title), 'api') OR section_type = 'api_endpoint' AS api, {any_of('lower(title)', V.INTEGRATION_TITLES)} AS step,
+  section_examples[1:2] AS ex, technical_details, security, steps FROM typed JOIN d USING (doc_id) JOIN ({known['section_examples']}) USING (doc_id, section_id) JOIN ({known['technical_details']}) USING (doc_id, section_id)
+  LEFT JOIN ({known['security_sentences']}) USING (doc_id, section_id) LEFT JOIN ({known['integration_steps']}) USING (doc_id, section_id)),
+y AS (SELECT *, {points('ss')} AS brief, {points('ss', True)} AS full_, least(200, (2000 - {tokens('head')}) // n) AS share, (8000 - {tokens('top')}) // n AS part,
+  CASE WHEN whole THEN ss WHEN may AND security IS NOT NULL THEN {sentences('security')} END AS se FROM x),
+e AS (SELECT doc_id, count(*) AS calls, string_agg('| ' || method || ' | ' || path || ' | ' || left(description, 100) || ' |' || {nl}, '' ORDER BY j) FILTER (j <= 20) AS lines
+  FROM (SELECT endpoint.*, row_number() OVER (PARTITION BY endpoint.doc_id ORDER BY endpoint.section_id, endpoint.i) AS j FROM endpoint JOIN x USING (doc_id, section_id) WHERE api) GROUP BY 1),
+z AS (SELECT doc_id, {agg(f"'### ' || i || '. ' || title || {two} || {cut('brief', 'share')} || {two} || CASE WHEN section_type <> 'content' THEN '*Section Type: ' || {title('section_type')} || '*' || {two} ELSE '' END")} AS detailed,
+  {agg(f"'### ' || i || '. ' || title || {two} || {cut('full_', 'part')} || {two} || CASE WHEN len(ex) > 0 THEN '**Key Examples:**' || {nl} || array_to_string(list_transform(ex, lambda v: '- ' || v || {nl}), '') || {nl} ELSE '' END")} AS complete,
+  {agg(f"'### ' || title || {nl} || '**Type**: ' || {title('section_type')} || {nl} || technical_details || {two}", f"section_type IN ({', '.join(map(q, V.TECHNICAL_TYPES))})")} AS technical,
+  {agg(f"'### ' || title || {nl} || {cut('brief', '150')} || {two}", 'api')} AS api,
+  count(*) FILTER (se IS NOT NULL) AS k, {agg(f"'## ' || CASE WHEN whole THEN title ELSE lower(title) END || {nl} || {cut(points('se'), '200')} || {two}", 'se IS NOT NULL')} AS security,
+  {agg(f"'## ' || title || {nl} || coalesce(steps, array_to_string(list_transform(list_filter(ss[1:5], lambda v: length(v) > 30)[1:4], lambda v: '- ' || v), {nl})) || {two}", 'step')} AS steps FROM y GROUP BY 1),
+body AS (SELECT d.doc_id, '## Document Overview' || {two} || 'This is a ' || {kind} || ' ' || coalesce('covering ' || three || '.', 'containing technical documentation.') || {two} || '## Key Areas' || {two} || keys
+  || CASE WHEN depth <> 'unknown' THEN {two} || '## Technical Level' || {two} || {depth} ELSE '' END || coalesce({two} || '## Key Concepts' || {two} || concepts, '') AS executive,
+  head || detailed AS detailed, top || complete || coalesce('## Important Tables' || {two} || tables, '') AS complete, '# Technical Summary' || {two} || '## Technical Overview' || {two} || '**Technical Complexity**: ' || {depth} || {two} || coalesce('## Technical Sections' || {two} || technical, '') AS technical,
+  '# API Summary' || {two} || coalesce('## API Endpoints (' || calls || ')' || {two} || '| Method | Endpoint | Description |' || {nl} || '|---|---|---|' || {nl} || lines, '') || {nl} || '## API Documentation Sections' || {two} || api AS api,
+  '# Security Summary' || {two} || 'Found ' || k || ' sections with security-related content.' || {two} || security AS security, '# Integration Summary' || {two} || steps AS integration FROM d JOIN z USING (doc_id) LEFT JOIN e USING (doc_id)),
+f AS (SELECT doc_id, 'executive' AS k, {trimmed('executive', '500')} AS c FROM body UNION ALL SELECT doc_id, 'detailed', {trimmed('detailed', '2000')} FROM body UNION ALL SELECT doc_id, 'complete', complete FROM body UNION ALL SELECT doc_id, 'technical', {trimmed('technical', '3000')} FROM body
+  UNION ALL SELECT doc_id, 'api', api FROM body UNION ALL SELECT doc_id, 'security', security FROM body UNION ALL SELECT doc_id, 'integration', integration FROM body),
+summary AS (SELECT doc_id, k AS summary_type, coalesce(c, {missing}) AS content, coalesce({tokens('c')}, 0)::BIGINT AS token_count FROM f)"""
+    note = "CASE summary_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in V.SUMMARY_NOTES.items()) + " END"
+    return {
+        "summaries": f"{own} SELECT * FROM summary",
+        "summary_files": f"{own} SELECT doc_id, 'summaries/' || summary_type || '-summary.md' AS path, '---' || {nl} || 'title: ' || {title('summary_type')} || ' Summary' || {nl} || 'type: ' || summary_type || {nl} || 'token_count: ' || token_count || {nl} || '---' || {two} || content AS body FROM summary",
+        "summary_index": f"{own} SELECT doc_id, 'summaries/README.md' AS path, '# Summary Index' || {two} || '## Available Summaries' || {two} || string_agg('- [' || {title('summary_type')} || ' Summary](' || summary_type || '-summary.md) - ' || {note}, {nl} ORDER BY summary_type) AS body FROM summary GROUP BY 1",
+    }

@@ -16,7 +16,7 @@ from ..operators import summaries as U
 from ..operators import tables as B
 from ..operators import terms as M
 from ..sources import sinks
-from ..sources.tables import html_to_markdown, markdown, table
+from ..sources.tables import MENTIONS, html_to_markdown, markdown, table
 from ..streaming import events as E
 from . import oracle
 
@@ -101,6 +101,20 @@ def _links(s, d):
     return R.link_map(_known(s, d).where("known or type = 'url'"))
 
 
+def _important(s, d):
+    t = _tables(s, d)
+    return t.join(A.important_tables(t).select("doc_id", "table_no", "rank"), ["doc_id", "table_no"])
+
+
+def _summaries(s, d):
+    return U.all_summaries(_typed(s, d), A.priority_concepts(_term_facts(s, d), keep=("definition",)), _important(s, d))
+
+
+def _titled(s, d):
+    """Sections whose texts name each other's titles: one document for each 150th customer."""
+    return s.sql(MENTIONS, customer=table(s, d, "customer"))
+
+
 def _sections_with(name, make):
     """A query of one column made of each section's content."""
     return name, lambda s, d: _sec(s, d).select("doc_id", "section_id", make(F.col("content")).alias(name))
@@ -138,17 +152,20 @@ QUERIES = {
     "section_filenames": lambda s, d: _typed(s, d).select("doc_id", "section_id", S.file_name(F.col("title"), F.col("section_type"), F.col("section_id")).alias("file")),
     "docx_section_types": lambda s, d: _sec(s, d).select("doc_id", "section_id", S.word_section_type(F.col("title")).alias("kind")),
     "related_by_type": lambda s, d: S.related_by_type(_typed(s, d)),
-    "related_by_mention": lambda s, d: S.related_by_mention(_typed(s, d)),
+    "related_by_mention": lambda s, d: S.related_by_mention(_titled(s, d)),
     "document_map": lambda s, d: S.document_map(_typed(s, d)),
+    "document_readme": lambda s, d: S.readme(_typed(s, d)),
+    "section_chunks": lambda s, d: C.section_chunks(_typed(s, d)),
     "section_files": lambda s, d: S.section_files(_typed(s, d)),
     "section_index": lambda s, d: sinks.index_file(S.section_files(_typed(s, d))),
     "consolidated_summary": lambda s, d: S.consolidated(_typed(s, d)),
     "split_32k": lambda s, d: S.split_large(_docs(s, d).select("doc_id", F.lit(1).alias("section_id"), F.col("text").alias("content")), 1000, 800),
     "md_tables": lambda s, d: B.markdown_tables(_md(s, d)),
-    "cell_types": lambda s, d: B.table_cells(_md(s, d)).select("doc_id", "row_no", "col_name", T.cell_kind(F.col("cell")).alias("kind"), T.cell_number(F.col("cell")).alias("number"), T.format_cell(F.col("cell")).alias("shown")),
+    "cell_types": lambda s, d: B.table_cells(_md(s, d)).select("doc_id", "table_no", "row_no", "col_no", "col_name", T.cell_kind(F.col("cell")).alias("kind"), T.cell_number(F.col("cell")).alias("number"), T.format_cell(F.col("cell")).alias("shown")),
     "table_profile": lambda s, d: B.profile(B.table_cells(_md(s, d))),
     "table_notes": lambda s, d: B.table_notes(B.profile(B.table_cells(_md(s, d)))),
     "value_distribution": lambda s, d: B.value_distribution(B.table_cells(_md(s, d))),
+    "table_json": lambda s, d: B.table_json(B.table_cells(_md(s, d))),
     "table_embedding": lambda s, d: B.embedding_text(B.table_cells(_md(s, d))),
     "boundaries": lambda s, d: C.boundaries(_md(s, d)),
     "rag_chunks": lambda s, d: C.chunk_facts(C.pack(_docs(s, d))),
@@ -156,12 +173,19 @@ QUERIES = {
     "chunk_plan": lambda s, d: C.chunk_plan(_typed(s, d)),
     "chunk_sizes": lambda s, d: C.chunk_sizes(C.chunk_plan(_typed(s, d))),
     "chunk_manifest": lambda s, d: C.manifest(C.chunk_plan(_typed(s, d))),
-    **{f"split_{how}": (lambda s, d, how=how: C.split_sections(_docs(s, d).select("doc_id", F.lit(1).alias("section_id"), F.col("text").alias("content")), how, 500)) for how in ("semantic", "structure", "rows", "tokens")},
+    **{f"split_{how}": (lambda s, d, how=how: C.split_sections(_docs(s, d).select("doc_id", F.lit(1).alias("section_id"), F.col("text").alias("content")), how, 500).drop("parts")) for how in ("semantic", "structure", "rows", "tokens")},
     **{f"fmt_{kind}": (lambda s, d, kind=kind: C.payload(_facts(s, d), kind)) for kind in ("pinecone", "chromadb", "weaviate", "qdrant", "generic")},
     "chunk_embeddings": lambda s, d: _vectors(s, d).select("doc_id", "chunk_id", "embedding"),
     "terms": lambda s, d: M.section_terms(_sec(s, d)).select("doc_id", "section_id", "term", M.category(F.col("term")).alias("category")),
     "term_scores": lambda s, d: _scores(s, d),
     "cooccurrence": lambda s, d: _pairs(s, d),
+    "term_in_section": lambda s, d: M.contained(_scores(s, d), _sec(s, d)),
+    "document_pairs": lambda s, d: M.document_pairs(M.contained(_scores(s, d), _sec(s, d))),
+    "category_terms": lambda s, d: M.category_terms(_scores(s, d)),
+    "section_clusters": lambda s, d: M.section_clusters(M.section_terms(_sec(s, d))),
+    "graph_json": lambda s, d: M.graph_json(_scores(s, d), M.document_pairs(M.contained(_scores(s, d), _sec(s, d)))),
+    "glossary_json": lambda s, d: M.glossary_json(_term_facts(s, d), M.concept_definitions(_sec(s, d))),
+    "concept_map_md": lambda s, d: P.concept_map(_scores(s, d), M.document_pairs(M.contained(_scores(s, d), _sec(s, d)))),
     "term_degrees": lambda s, d: M.degrees(_pairs(s, d)),
     "term_graph_edges": lambda s, d: M.graph(_scores(s, d), _pairs(s, d))[1],
     "term_graph_nodes": lambda s, d: M.graph(_scores(s, d), _pairs(s, d))[0],
@@ -187,7 +211,7 @@ QUERIES = {
     "endpoints": lambda s, d: U.endpoints(_sec(s, d)),
     "security_sentences": lambda s, d: U.security_sentences(_sec(s, d)),
     "integration_steps": lambda s, d: U.steps(_sec(s, d)),
-    "summaries": lambda s, d: U.all_summaries(_typed(s, d)),
+    "summaries": lambda s, d: _summaries(s, d),
     "term_facts": lambda s, d: _term_facts(s, d).select("doc_id", "term", "definition", "context", "sections"),
     "priority_concepts": lambda s, d: A.priority_concepts(_term_facts(s, d)),
     "tables_text": _tables,
@@ -214,14 +238,15 @@ QUERIES = {
     "xref_links": lambda s, d: P.link_mapping(_links(s, d)),
     "table_files": lambda s, d: P.table_files(_tables(s, d)),
     "tables_index": lambda s, d: P.tables_index(_tables(s, d)),
-    "chunk_files": lambda s, d: P.chunk_files(_typed(s, d), C.chunk_plan(_typed(s, d))),
-    "chunk_manifest_md": lambda s, d: P.chunk_manifest(_typed(s, d), C.chunk_plan(_typed(s, d))),
-    "summary_files": lambda s, d: P.summary_files(U.all_summaries(_typed(s, d))),
-    "summary_index": lambda s, d: P.summary_index(U.all_summaries(_typed(s, d))),
+    "chunk_files": lambda s, d: P.chunk_files(C.section_chunks(_typed(s, d))),
+    "chunk_manifest_md": lambda s, d: P.chunk_manifest(_typed(s, d), C.section_chunks(_typed(s, d))),
+    "summary_files": lambda s, d: P.summary_files(_summaries(s, d)),
+    "summary_index": lambda s, d: P.summary_index(_summaries(s, d)),
     "word_sections": lambda s, d: P.word_sections(_sec(s, d), S.word_section_type(F.col("title"))),
     "word_navigation": lambda s, d: P.word_navigation(_sec(s, d)),
     "image_catalog": lambda s, d: P.image_catalog(QUERIES["images"](s, d)),
     "master_index": lambda s, d: P.master_index(S.section_files(_typed(s, d)).unionByName(P.table_files(_tables(s, d)))),
+    "conversion_metadata": lambda s, d: P.conversion_metadata(S.section_files(_typed(s, d)).unionByName(P.table_files(_tables(s, d)))),
     "field_response": lambda s, d: P.field_response(L.structured_fields(_md(s, d))),
     "events_hourly": lambda s, d: E.hourly(table(s, d, "events")),
 }

@@ -60,12 +60,18 @@ MARKDOWN = """SELECT c_custkey AS doc_id,
   || '## Data Formats' || chr(10) || chr(10) || '| name | value | share |' || chr(10) || '|---|---|---|' || chr(10)
   || '| alpha | ' || CAST(c_nationkey * 7 AS STRING) || ' | 12% |' || chr(10) || '| beta | $1,200.50 | 50% |' || chr(10) || '| gamma |  | no |' || chr(10) || chr(10)
   || 'As shown in Table 1 and Figure ' || CAST(c_custkey % 3 + 1 AS STRING) || ', rates differ. Visit https://docs' || CAST(c_custkey % 7 AS STRING) || '.example.com/guide?x=1 or section 9.' || chr(10)
+  || CASE WHEN c_custkey % 4 = 0 THEN chr(10) || '| region | first | second |' || chr(10) || '|---|---|---|' || chr(10) || '| north | ' || CAST(c_custkey % 11 AS STRING) || ' | 12.5 |' || chr(10) || '| south | yes | $7 |' || chr(10) || '| west |  | 3% |' || chr(10) || chr(10) ELSE '' END
   || CASE WHEN c_custkey % 3 = 0 THEN '## Error Handling' || chr(10) || chr(10) || 'The following options are supported:' || chr(10) || '- retry the request' || chr(10) || '* log the error' || chr(10)
       || '-' || chr(10) || 'call support' || chr(10) || '1. Read the message' || chr(10) || '2. Fix the input' || chr(10) ELSE '' END
   || '## Summary' || chr(10) || chr(10) || '**Portal** is the place for all ' || c_mktsegment || ' orders. `accessToken` must be kept secret. ![logo](img/' || CAST(c_custkey AS STRING) || '.png) and [home](https://example.com/home).' AS text
 FROM {customer}"""
 
 
+#: Sections whose contents name the titles of others, in Spark and in DuckDB alike.
+MENTIONS = """SELECT c_custkey % 150 AS doc_id, CAST(c_custkey AS INT) AS section_id, c_name AS title, c_mktsegment || ', as for ' || coalesce(lead(c_name) OVER (PARTITION BY c_custkey % 150 ORDER BY c_custkey), 'nobody') || '.' AS content
+FROM {customer}"""
+
+
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(MARKDOWN, customer=table(spark, sf_dir, "customer"))
 
