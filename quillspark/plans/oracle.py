@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import vocab as V
 from ..sources.tables import MARKDOWN, MENTIONS
-from . import oracle_reports
+from . import oracle_more, oracle_reports
 
 
 def q(s: str) -> str:
@@ -278,7 +278,8 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         "events_hourly": "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2",
     }
     own |= oracle_reports.sql()
-    return own | oracle_reports.summaries(own)
+    own |= oracle_reports.summaries(own)
+    return own | oracle_more.sql(own)
 
 
 DEFS = [r"([A-Z][^:]+):\s*(.+)", r"([A-Z]\w+)\s+([a-z]+\s+\d+)", r"([A-Z0-9]{2,})\s*[-–]\s*(.+)"]

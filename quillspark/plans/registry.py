@@ -110,11 +110,29 @@ def _summaries(s, d):
     return U.all_summaries(_typed(s, d), A.priority_concepts(_term_facts(s, d), keep=("definition",)), _important(s, d))
 
 
+def _outline(s, d):
+    """One outline a region: nations, and under them suppliers."""
+    kids = table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: F.struct(x["s_name"].alias("title"), F.lit(None).cast("array<struct<title: string>>").alias("kids"))).alias("kids"))
+    node = table(s, d, "nation").join(kids, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.col("n_name").alias("title"), "kids")), lambda a, b: a["n_nationkey"] - b["n_nationkey"]).alias("nodes"))
+    return node.select("doc_id", F.transform("nodes", lambda x: F.struct(x["title"].alias("title"), x["kids"].alias("kids"))).alias("nodes"))
+
+
+def _entries(s, d):
+    """An outline of every second page; some of its entries point nowhere."""
+    n = F.col("page_num")
+    return S.pages_fixed(_docs(s, d)).where(n % 2 == 0).select("doc_id", (n - 1).alias("ord"), F.concat(F.lit("Page "), n.cast("string")).alias("title"), F.lit(1).alias("level"), F.when(n % 5 == 4, 9999).otherwise(n).alias("page_num"))
+
+
 def _titled(s, d):
     """Sections whose texts name each other's titles: one document for each 150th customer."""
     return s.sql(MENTIONS, customer=table(s, d, "customer"))
 
 
+def _jsoned(df):
+    """Nested columns as the JSON that the stores take."""
+    return df.select(*[F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "struct") else F.col(f.name) for f in df.schema.fields])
+
+
 def _sections_with(name, make):
     """A query of one column made of each section's content."""
     return name, lambda s, d: _sec(s, d).select("doc_id", "section_id", make(F.col("content")).alias(name))
@@ -146,6 +164,8 @@ QUERIES = {
     "fields_table": lambda s, d: L.table_fields(_md(s, d)),
     "pages_fixed": lambda s, d: S.pages_fixed(_docs(s, d)),
     "sections_by_pages": lambda s, d: S.sections_from_pages(_docs(s, d)),
+    "outline_flat": lambda s, d: S.flatten_outline(_outline(s, d)),
+    "sections_outline": lambda s, d: S.sections_from_outline(_entries(s, d), S.pages_fixed(_docs(s, d))),
     "sections_md": lambda s, d: _sec(s, d),
     "sections_headers": lambda s, d: S.sections_from_headers(_md(s, d)),
     "section_types": lambda s, d: _typed(s, d).select("doc_id", "section_id", "section_type", "token_count"),
@@ -173,8 +193,9 @@ QUERIES = {
     "chunk_plan": lambda s, d: C.chunk_plan(_typed(s, d)),
     "chunk_sizes": lambda s, d: C.chunk_sizes(C.chunk_plan(_typed(s, d))),
     "chunk_manifest": lambda s, d: C.manifest(C.chunk_plan(_typed(s, d))),
-    **{f"split_{how}": (lambda s, d, how=how: C.split_sections(_docs(s, d).select("doc_id", F.lit(1).alias("section_id"), F.col("text").alias("content")), how, 500).drop("parts")) for how in ("semantic", "structure", "rows", "tokens")},
-    **{f"fmt_{kind}": (lambda s, d, kind=kind: C.payload(_facts(s, d), kind)) for kind in ("pinecone", "chromadb", "weaviate", "qdrant", "generic")},
+    **{f"split_{how}": (lambda s, d, how=how: C.split_sections(_docs(s, d).select("doc_id", F.lit(1).alias("section_id"), F.col("text").alias("content")), how, 500).drop("parts")) for how in ("structure", "rows", "tokens")},
+    "split_semantic": lambda s, d: C.split_sections(_md(s, d).select("doc_id", F.lit(1).alias("section_id"), F.col("text").alias("content")), "semantic", 60).drop("parts"),
+    **{f"fmt_{kind}": (lambda s, d, kind=kind: _jsoned(C.payload(_facts(s, d), kind))) for kind in ("pinecone", "chromadb", "weaviate", "qdrant", "generic")},
     "chunk_embeddings": lambda s, d: _vectors(s, d).select("doc_id", "chunk_id", "embedding"),
     "terms": lambda s, d: M.section_terms(_sec(s, d)).select("doc_id", "section_id", "term", M.category(F.col("term")).alias("category")),
     "term_scores": lambda s, d: _scores(s, d),
