@@ -75,16 +75,40 @@ def document_structure(docs: DataFrame) -> DataFrame:
 DEFINITIONS = [r"([A-Z][^:]+):\s*(.+)", r"([A-Z]\w+)\s+([a-z]+\s+\d+)", r"([A-Z0-9]{2,})\s*[-–]\s*(.+)"]
 
 
-def structured_fields(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, rule (0 colon, 1 definition), name, content, type: a line may give both."""
-    d = lines(docs).withColumn("s", T.strip(F.col("line")))
+def lines_in_context(docs: DataFrame, around: int = 2) -> DataFrame:
+    """doc_id, line_no, line, context: each line with the stripped lines up to `around` before and after it that aren't blank."""
+    def row(line: Column, i: Column) -> Column:
+        start = F.greatest(i - around, F.lit(0))
+        near = F.filter(F.transform(F.slice("ls", start + 1, i + around + 1 - start), T.strip), lambda x: x != "")
+        return F.struct(line.alias("line"), F.array_join(near, " ").alias("context"))
+
+    return docs.select("doc_id", F.split("text", "\n", -1).alias("ls")).select("doc_id", F.posexplode(F.transform("ls", row)).alias("line_no", "x")).select("doc_id", "line_no", "x.*")
+
+
+def structured_fields(docs: DataFrame, context: bool = False) -> DataFrame:
+    """doc_id, line_no, rule (0 colon, 1 definition), name, content, type: a line may give both; with the
+    line's context if wanted."""
+    more = ["context"] if context else []
+    d = (lines_in_context(docs) if context else lines(docs)).withColumn("s", T.strip(F.col("line")))
     name, content = T.strip(F.regexp_extract("s", r"^([^:]*):", 1)), T.strip(F.regexp_extract("s", r"^[^:]*:(.*)$", 1))
     colon = F.when(F.contains("s", F.lit(":")) & (F.length("s") < 500) & (name != "") & (content != ""), F.struct(F.lit(0).alias("rule"), name.alias("name"), content.alias("content")))
     hit = lambda p: F.struct(F.lit(1).alias("rule"), T.strip(F.regexp_extract("s", p, 1)).alias("name"), T.strip(F.regexp_extract("s", p, 2)).alias("content"))
     first = reduce(lambda acc, p: acc.when(F.col("s").rlike(p), hit(p)), DEFINITIONS[1:], F.when(F.col("s").rlike(DEFINITIONS[0]), hit(DEFINITIONS[0])))
     first = F.when((F.length("s") < 300) & (first["name"] != "") & (first["content"] != "") & (first["name"] != first["content"]), first)
-    out = d.select("doc_id", "line_no", F.explode(F.filter(F.array(colon, first), lambda x: x.isNotNull())).alias("f"))
-    return out.select("doc_id", "line_no", "f.rule", "f.name", "f.content", T.infer_type(F.col("f.content")).alias("type"))
+    out = d.select("doc_id", "line_no", *more, F.explode(F.filter(F.array(colon, first), lambda x: x.isNotNull())).alias("f"))
+    return out.select("doc_id", "line_no", "f.rule", "f.name", "f.content", T.infer_type(F.col("f.content")).alias("type"), *more)
+
+
+CROSS_REFS = [r"(?i)(see|refer|reference)\s+([A-Z]\w+|\d+\.\d+|Table\s+\d+|Section\s+\d+)", r"(?i)([A-Z]\w+\s+\d+)", r"(?i)(Annex|Appendix)\s+([A-Z])"]
+
+
+def field_details(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, rule, name, the field's metadata, cross_references and the numbered section in its context."""
+    d, c = structured_fields(docs, True), F.col("content")
+    two = lambda p: F.zip_with(T.find_all(c, p, 1), T.find_all(c, p, 2), lambda a, b: F.concat(a, F.lit(" "), b))
+    refs = F.concat(two(CROSS_REFS[0]), T.find_all(c, CROSS_REFS[1], 0), two(CROSS_REFS[2]))
+    section = F.trim(F.nullif(F.regexp_extract("context", r"(\d+\.\d+\s+[A-Z][^:]+)", 1), F.lit("")))
+    return d.select("doc_id", "line_no", "rule", "name", *field_metadata(c), F.array_join(refs, ", ").alias("cross_references"), section.alias("section"))
 
 
 def field_metadata(c: Column) -> list[Column]:

@@ -73,6 +73,24 @@ def sections_from_outline(outline: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def choose_sections(docs: DataFrame, outline: DataFrame | None = None, pages: DataFrame | None = None, size: int = 3000, group: int = 3) -> DataFrame:
+    """doc_id, section_id, title, content, level: by a document's outline if it has one, else by its headers;
+    where that gives fewer than two sections, by groups of pages. outline and pages as sections_from_outline takes them."""
+    keep = ["doc_id", "section_id", "title", "content", "level"]
+    found = sections_from_markdown(docs).select(*keep)
+    if outline is not None:
+        listed = outline.select("doc_id").distinct()
+        found = found.join(listed, "doc_id", "left_anti").unionByName(sections_from_outline(outline, pages).select(*keep))
+    several = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
+    step = size * group
+    rest = docs.where(F.length("text") > 0).join(several, "doc_id", "left_anti").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(step))).alias("at"))
+    first, n = F.floor(F.col("at") / size) + 1, F.ceil(F.least(F.lit(step), F.length("text") - F.col("at")) / size)
+    place = F.when(n == 1, F.concat(F.lit(" (Page "), first.cast("string"), F.lit(")"))).otherwise(F.concat(F.lit(" (Pages "), first.cast("string"), F.lit("-"), (first + n - 1).cast("string"), F.lit(")")))
+    number = (F.floor(F.col("at") / step) + 1).cast("int")
+    paged = rest.select("doc_id", number.alias("section_id"), F.concat(F.lit("Section "), number.cast("string"), place).alias("title"), F.expr(f"substring(text, at + 1, {step})").alias("content"), F.lit(1).alias("level"))
+    return found.join(several, "doc_id", "left_semi").unionByName(paged)
+
+
 def classify(title, content):
     t, c = F.lower(title), F.lower(content)
     by_title = T.first_class(t, V.SECTION_TITLES)

@@ -157,6 +157,7 @@ named AS (SELECT doc_id, line_no, rule, {strip("CASE k " + " ".join(f"WHEN {k} T
 field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN 'integer' WHEN regexp_full_match({strip('content')}, '\d*\.\d+') THEN 'float' WHEN {any_of('lower(content)', ['true', 'false', 'yes', 'no'])} THEN 'boolean'
   WHEN regexp_matches(content, '\d{{2,4}}[-/]\d{{1,2}}[-/]\d{{1,2}}') THEN 'date' WHEN regexp_matches(content, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}\b') THEN 'email' WHEN content LIKE 'http://%' OR content LIKE 'https://%' OR content LIKE 'www.%' THEN 'url' ELSE 'string' END AS type
   FROM (SELECT * FROM colon WHERE name <> '' AND content <> '' UNION ALL SELECT * FROM named WHERE name <> '' AND content <> '' AND name <> content))"""
+    two = lambda k: f"list_transform(list_zip(regexp_extract_all(content, {q(CROSS[k])}, 1), regexp_extract_all(content, {q(CROSS[k])}, 2)), lambda z: z[1] || ' ' || z[2])"
     meta = lambda p, g: f"nullif(regexp_extract(content, {q(p)}, {g}), '')"
     head_rules = r"(s LIKE '#%' OR (upper(s) = s AND lower(s) <> s AND length(s) < 60) OR regexp_matches(s, '^\d+\.?\s+[A-Z]|^(?:Chapter|Section|Part)\s+\d+|^[A-Z][^.!?]*$|^\d+\.\d+\s+[A-Z]'))"
     votes = " UNION ALL ".join(f"SELECT doc_id, section_id, {k} AS k, {q(n)} AS name FROM both_ WHERE {any_of('b', ws)}" for k, (n, ws) in enumerate(V.DOCUMENT_TYPES))
@@ -220,8 +221,10 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         "doc_structure_documents": _structure("documents"),
         "fields_structured": f"WITH {fields} SELECT * FROM field",
         "field_types": f"WITH {fields} SELECT type, count(*) AS n FROM field GROUP BY type",
-        "field_metadata": f"""WITH {fields} SELECT doc_id, line_no, lower({meta('(?i)(required|optional|conditional|mandatory)', 1)}) AS requirement, {meta(SPEC, 1)} AS format_type, {meta(SPEC, 2)} AS format_size,
-          lower({meta('(?i)(string|integer|boolean|decimal|binary)', 1)}) AS data_type, {meta(SPAN, 1)} AS min_value, {meta(SPAN, 2)} AS max_value FROM field WHERE rule = 0""",
+        "field_metadata": f"""WITH {fields}, near AS (SELECT doc_id, line_no, array_to_string(list_filter(list_transform(l[greatest(1, line_no - 1):line_no + 3], lambda x: {strip('x')}), lambda x: x <> ''), ' ') AS context FROM line)
+          SELECT doc_id, line_no, rule, name, lower({meta('(?i)(required|optional|conditional|mandatory)', 1)}) AS requirement, {meta(SPEC, 1)} AS format_type, {meta(SPEC, 2)} AS format_size,
+          lower({meta('(?i)(string|integer|boolean|decimal|binary)', 1)}) AS data_type, {meta(SPAN, 1)} AS min_value, {meta(SPAN, 2)} AS max_value,
+          array_to_string(list_concat(list_concat({two(0)}, regexp_extract_all(content, {q(CROSS[1])})), {two(2)}), ', ') AS cross_references, trim(nullif(regexp_extract(context, '(\\d+\\.\\d+\\s+[A-Z][^:]+)', 1), '')) AS section FROM field JOIN near USING (doc_id, line_no)""",
         "fields_list": rf"WITH {MD}, {LINES.format('md')} SELECT doc_id, 'item_' || row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS name, regexp_extract(s, '^(?:[•\-*]|\d+[.)])\s+(.+)$', 1) AS content FROM line WHERE regexp_matches(s, '^(?:[•\-*]|\d+[.)])\s+(.+)$')",
         "fields_table": rf"WITH {MD}, {LINES.format('md')}, c AS (SELECT doc_id, line_no, list_filter(list_transform(string_split(line, '|'), lambda x: {strip('x')}), lambda x: x <> '') AS c FROM line WHERE {count('line', '[|]')} > 2) SELECT doc_id, line_no, c[1] AS name, array_to_string(c[2:], ' | ') AS content FROM c WHERE len(c) >= 2",
         "pages_fixed": "SELECT doc_id, (pos // 3000 + 1)::INT AS page_num, substr(text, pos + 1, 3000) AS page_text FROM documents, unnest(range(0, length(text), 3000)) AS t(pos)",
@@ -282,5 +285,6 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
     return own | oracle_more.sql(own)
 
 
+CROSS = [r"(?i)(see|refer|reference)\s+([A-Z]\w+|\d+\.\d+|Table\s+\d+|Section\s+\d+)", r"(?i)([A-Z]\w+\s+\d+)", r"(?i)(Annex|Appendix)\s+([A-Z])"]
 DEFS = [r"([A-Z][^:]+):\s*(.+)", r"([A-Z]\w+)\s+([a-z]+\s+\d+)", r"([A-Z0-9]{2,})\s*[-–]\s*(.+)"]
 SPEC, SPAN = r"(?i)([a-zA-Z]+)\s*[\(\[]?(\d+)[\)\]]?", r"(?i)(\d+)\s*[-–to]\s*(\d+)"

@@ -120,4 +120,9 @@ parts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY i DESC
     entries = "SELECT doc_id, (page_num - 1)::INT AS ord, 'Page ' || page_num AS title, 1::INT AS level, CASE WHEN page_num % 5 = 4 THEN 9999 ELSE page_num END::INT AS page_num FROM p WHERE page_num % 2 = 0"
     outline = f"{pages}, o AS ({entries})"
     out["sections_outline"] = f"WITH {outline} SELECT o.doc_id, (ord + 1)::INT AS section_id, title, coalesce(page_text, '') AS content, level, o.page_num FROM o LEFT JOIN p ON p.doc_id = o.doc_id AND p.page_num = o.page_num"
+    short = f"{pages}, o AS (SELECT * FROM ({entries}) WHERE doc_id % 2 = 0), own AS (SELECT o.doc_id, (ord + 1)::INT AS section_id, title, coalesce(page_text, '') AS content, level FROM o LEFT JOIN p ON p.doc_id = o.doc_id AND p.page_num = o.page_num), several AS (SELECT doc_id FROM own GROUP BY 1 HAVING count(*) > 1)"
+    at = "(least(9000, length(text) - pos) + 2999) // 3000"
+    out["sections_chosen"] = f"""WITH {short}, {SEC} SELECT doc_id + 100000000 AS doc_id, section_id, title, content, level FROM sec UNION ALL SELECT own.* FROM own SEMI JOIN several USING (doc_id) UNION ALL
+SELECT doc_id, (pos // 9000 + 1)::INT, 'Section ' || (pos // 9000 + 1) || CASE WHEN {at} = 1 THEN ' (Page ' || (pos // 3000 + 1) || ')' ELSE ' (Pages ' || (pos // 3000 + 1) || '-' || (pos // 3000 + {at}) || ')' END, substr(text, pos + 1, 9000), 1::INT
+FROM (SELECT * FROM documents ANTI JOIN several USING (doc_id)), unnest(range(0, length(text), 9000)) AS t(pos)"""
     return out

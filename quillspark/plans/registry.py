@@ -123,6 +123,11 @@ def _entries(s, d):
     return S.pages_fixed(_docs(s, d)).where(n % 2 == 0).select("doc_id", (n - 1).alias("ord"), F.concat(F.lit("Page "), n.cast("string")).alias("title"), F.lit(1).alias("level"), F.when(n % 5 == 4, 9999).otherwise(n).alias("page_num"))
 
 
+def _mixed(s, d):
+    """Plain documents, and Markdown ones under further numbers."""
+    return _docs(s, d).select("doc_id", "text").unionByName(_md(s, d).select((F.col("doc_id") + 100000000).alias("doc_id"), "text"))
+
+
 def _titled(s, d):
     """Sections whose texts name each other's titles: one document for each 150th customer."""
     return s.sql(MENTIONS, customer=table(s, d, "customer"))
@@ -158,7 +163,7 @@ QUERIES = {
     "doc_structure_documents": lambda s, d: L.document_structure(_docs(s, d)),
     "fields_structured": lambda s, d: L.structured_fields(_md(s, d)),
     "field_types": lambda s, d: L.structured_fields(_md(s, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n")),
-    "field_metadata": lambda s, d: L.structured_fields(_md(s, d)).where("rule = 0").select("doc_id", "line_no", *L.field_metadata(F.col("content"))),
+    "field_metadata": lambda s, d: L.field_details(_md(s, d)),
     "fields_list": lambda s, d: L.list_items(_md(s, d)),
     "fields_generic": lambda s, d: L.generic_content(_docs(s, d)),
     "fields_table": lambda s, d: L.table_fields(_md(s, d)),
@@ -166,6 +171,7 @@ QUERIES = {
     "sections_by_pages": lambda s, d: S.sections_from_pages(_docs(s, d)),
     "outline_flat": lambda s, d: S.flatten_outline(_outline(s, d)),
     "sections_outline": lambda s, d: S.sections_from_outline(_entries(s, d), S.pages_fixed(_docs(s, d))),
+    "sections_chosen": lambda s, d: S.choose_sections(_mixed(s, d), _entries(s, d).where("doc_id % 2 = 0"), S.pages_fixed(_docs(s, d))),
     "sections_md": lambda s, d: _sec(s, d),
     "sections_headers": lambda s, d: S.sections_from_headers(_md(s, d)),
     "section_types": lambda s, d: _typed(s, d).select("doc_id", "section_id", "section_type", "token_count"),
