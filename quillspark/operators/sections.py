@@ -53,13 +53,18 @@ def sections_from_pages(docs: DataFrame, size: int = 3000, pages: int = 3) -> Da
 
 
 def flatten_outline(outline: DataFrame) -> DataFrame:
-    """doc_id, ord, title, level from an outline whose `nodes` (title, kids (title, kids (title))) nest three deep."""
-    none = F.expr("cast(array() as array<struct<title: string, level: int>>)")
-    third = lambda kids: F.transform(kids, lambda z: F.struct(z["title"].alias("title"), F.lit(3).alias("level")))
-    node = lambda x, n: F.array(F.struct(x["title"].alias("title"), F.lit(n).alias("level")))
-    second = lambda kids: F.flatten(F.transform(kids, lambda y: F.concat(node(y, 2), F.coalesce(third(y["kids"]), none))))
-    flat = F.flatten(F.transform("nodes", lambda x: F.concat(node(x, 1), F.coalesce(second(x["kids"]), none))))
-    return outline.select("doc_id", F.posexplode(flat).alias("ord", "n")).select("doc_id", "ord", "n.title", "n.level")
+    """doc_id, ord, title, level of an outline whose `nodes` (title, kids (title, kids ...)) nest as deep as
+    their type says; a level whose type has no array of kids is the last."""
+    def flat(nodes, kind, level: int):
+        node = lambda x: F.array(F.struct(x["title"].alias("title"), F.lit(level).alias("level")))
+        below = next((f.dataType for f in kind.elementType.fields if f.name == "kids" and f.dataType.typeName() == "array"), None)
+        if below is None:
+            return F.flatten(F.transform(nodes, node))
+        none = F.expr("cast(array() as array<struct<title: string, level: int>>)")
+        return F.flatten(F.transform(nodes, lambda x: F.concat(node(x), F.coalesce(flat(x["kids"], below, level + 1), none))))
+
+    all_ = flat(F.col("nodes"), outline.schema["nodes"].dataType, 1)
+    return outline.select("doc_id", F.posexplode(all_).alias("ord", "n")).select("doc_id", "ord", "n.title", "n.level")
 
 
 def sections_from_outline(outline: DataFrame, pages: DataFrame) -> DataFrame:

@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_text(files: DataFrame, path: str, by: str = "doc_id") -> None:
-    """files (by, path, body): one folder for each value of `by`, bodies as text, in path order."""
+def write_text(files: DataFrame, path: str, by: str = "doc_id", buckets: int | None = None) -> None:
+    """files (by, path, body): one folder for each value of `by`, bodies as text, in path order. For more
+    values than folders are good for: `buckets` folders, by hash, of JSON lines of by, path and body."""
+    if buckets:
+        out = files.select(F.pmod(F.xxhash64(by), F.lit(buckets)).alias("bucket"), by, "path", "body")
+        out.repartition("bucket").sortWithinPartitions("bucket", by, "path").write.mode("overwrite").partitionBy("bucket").json(path)
+        return
     out = files.repartition(by).sortWithinPartitions(by, "path").select(by, F.col("body").alias("value"))
     out.write.mode("overwrite").partitionBy(by).text(path)
 

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from quillspark import api
 from quillspark.operators import analysis as A
 from quillspark.operators import reports as P
+from quillspark.functions import vocab as V
+from quillspark.operators import summaries as U
 from quillspark.operators.sections import flatten_outline, sections_from_markdown, with_types
+from quillspark.sources import sinks
 from quillspark.sources.tables import markdown
 
 SF = "/root/testdata/sf0.001"
@@ -88,8 +91,29 @@ def test_outline(spark):
 
 def test_typed_chunks(spark):
     typed = with_types(sections_from_markdown(docs(spark, "# Login\n" + "x" * 16_000)))
-    from quillspark.operators.chunks import chunk_plan
+    from quillspark.operators.chunks import section_chunks
 
-    got = bodies(P.chunk_files(typed, chunk_plan(typed)))
+    got = bodies(P.chunk_files(section_chunks(typed)))
     assert set(got) == {f"chunked/01-Login-{s}.md" for s in ("medium", "large", "xlarge")}
-    assert "- Contains authentication info" in got["chunked/01-Login-large.md"]
+    assert "- " + dict(V.TYPE_NOTES)["authentication"] in got["chunked/01-Login-large.md"]
+
+
+def test_summaries_have_their_own_parts(spark):
+    text = "# Overview\nThis is a service for orders. It is small.\n## API calls\nGET /orders returns every order that is open today. It is paged.\n## Login security\nUse a token. Keep it secret.\n## Setup\n1. Install it\n2. Start it\n## Error handling\nParameters: code and text\n\nNothing else."
+    typed = with_types(sections_from_markdown(docs(spark, text, "# Bare\nplain words only", None)))
+    got = {(r["doc_id"], r["summary_type"]): (r["content"], r["token_count"]) for r in U.all_summaries(typed).collect()}
+    assert len(got) == 14 and len({c for (d, _), (c, _) in got.items() if d == 0}) == 7
+    assert "### 1. Overview" in got[0, "detailed"][0] and "*Section Type: Introduction*" in got[0, "detailed"][0] and "**Total Sections**: 5" in got[0, "complete"][0]
+    assert "| GET | /orders |" in got[0, "api"][0] and "### API calls" in got[0, "api"][0] and "## Login security\nUse a token" in got[0, "security"][0]
+    assert got[0, "integration"][0] == "# Integration Summary\n\n## Setup\n- Install it\n- Start it\n\n" and "### Error handling\n**Type**: Error Handling\nParameters: code and text" in got[0, "technical"][0]
+    assert [got[1, k] for k in ("api", "security", "integration")] == [(V.SUMMARY_MISSING[k], 0) for k in ("api", "security", "integration")]
+    long = with_types(sections_from_markdown(docs(spark, "\n".join(f"# S{k}\n" + "Some words are here now. " * 400 for k in range(30)))))
+    sizes = {r["summary_type"]: r["token_count"] for r in U.all_summaries(long).collect()}
+    assert sizes["executive"] <= 500 and sizes["detailed"] <= 2000 and sizes["technical"] <= 3000
+
+
+def test_bucketed_files(spark, tmp_path):
+    rows = [(k, f"sections/{j}.md", f"body {k} {j}") for k in range(40) for j in range(2)]
+    sinks.write_text(spark.createDataFrame(rows, "doc_id bigint, path string, body string"), f"{tmp_path}/out", buckets=4)
+    assert len(list(tmp_path.glob("out/bucket=*"))) <= 4
+    assert sorted((r["doc_id"], r["path"], r["body"]) for r in spark.read.json(f"{tmp_path}/out").collect()) == rows
