@@ -45,8 +45,9 @@ def term_facts(terms: DataFrame) -> DataFrame:
     2 or comes more than once."""
     key = F.lower("term")
     d = terms.select("doc_id", key.alias("term"), F.col("term").alias("form"), "section_id", "title", F.nullif(T.context(F.col("content"), F.col("term")), F.lit("")).alias("ctx"), definition(F.col("content"), F.col("term"), F.col("plain")).alias("def"))
+    different = lambda c: F.size(F.collect_set(c)).cast("bigint")  # noqa: E731 - few within a document; distinct counts would multiply the rows
     g = d.groupBy("doc_id", "term").agg(
-        F.count(F.lit(1)).alias("frequency"), F.countDistinct("title").alias("n_sections"), F.countDistinct("ctx").alias("n_contexts"), F.countDistinct("def").alias("n_definitions"),
+        F.count(F.lit(1)).alias("frequency"), different("title").alias("n_sections"), different("ctx").alias("n_contexts"), different("def").alias("n_definitions"),
         F.min(F.when(F.col("def").isNotNull(), F.struct("section_id", "form", "def")))["def"].alias("definition"), F.min(F.when(F.col("ctx").isNotNull(), F.struct(F.length("ctx").alias("n"), "ctx")))["ctx"].alias("context"),
         F.array_join(F.array_sort(F.collect_set("title")), ", ").alias("sections"),
     )

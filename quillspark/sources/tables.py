@@ -73,7 +73,10 @@ FROM {customer}"""
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(MARKDOWN, customer=table(spark, sf_dir, "customer"))
+    """The Markdown corpus. Its rows grow from a few numbers to a document each, so they are spread over as
+    many tasks as a shuffle has first; that also puts all rows of a document in one task ever after."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.sql(MARKDOWN, customer=table(spark, sf_dir, "customer").repartition(n, "c_custkey"))
 
 
 def html_to_markdown(html):
