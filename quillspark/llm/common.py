@@ -75,20 +75,24 @@ def stash(df: DataFrame, rows: int | None = None) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, pattern: str) -> None:
+    """Deletes the files and folders of the shared folder that match."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(path) or ():
+        fs.delete(found.getPath(), True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes stashed tables that nothing will read again."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df.stashed_at)
-        path.getFileSystem(conf).delete(path, True)
+        remove(df.sparkSession, df.stashed_at)
 
 
 def drop_all(spark: SparkSession) -> None:
     """Deletes every table of this application's shared folder, once results have been read."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for name in ("stash-*", "pipeline-*"):
-        for found in jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(shared_dir(spark), name)):
-            found.getPath().getFileSystem(conf).delete(found.getPath(), True)
+        remove(spark, f"{shared_dir(spark)}/{name}")
 
 
 def bounded_sample(df: DataFrame, total: int, size: int, *keys: str) -> DataFrame:
