@@ -2,7 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame in the columns of documents, but for
 the last, which gives doc_id, source, ids, n_ids, decoded_sha256 and round_trip. Stages run on all
-that their predecessor kept; run() writes each as Parquet in the shared folder and reads it back."""
+that their predecessor kept; run() writes each as Parquet in the shared folder, reads it back, and deletes what
+the stage before wrote.
+
+Defined cases. A null or empty text isn't toxic, has fingerprint zero (so that one document without words
+stays: of smallest doc_id, null last), holds no personal data, isn't in the mix as it has no words, and would
+encode as no ids. Repeated rows are one SimHash group, of which one row stays; ties go to the smallest doc_id,
+then MD5 of the text, then the other columns, so reruns agree. A null doc_id or source is a value like any
+other. Texts are taken whole, whatever their length. Empty tables, labels without both kinds included, give empty results
+and reject nothing. Columns beyond those of documents pass through all stages but the last."""
 
 from __future__ import annotations
 
@@ -10,7 +18,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import shared_dir, table
+from quillspark.llm.common import remove, shared_dir, table
 from quillspark.llm.mixing import mix_documents
 from quillspark.llm.pieces import encode_documents
 from quillspark.llm.pii import redact_documents
@@ -50,4 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
