@@ -106,12 +106,15 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     goal = goal.select(*[F.col(c).alias(f"__qs_{c}") for c in goal.columns])
     d = docs.withColumn("__qs_turn", seeded(seed_key(docs), "turn")).join(goal, docs["source"].cast("string").eqNullSafe(F.col("__qs_source")))
     at, last = F.col("__qs_turn"), F.col("__qs_last")
-    cut = F.when(at == last, extra(words(F.col("text")), at, last, F.col("__qs_part"), F.col("__qs_among"))).otherwise(F.lit(0))
-    d = d.withColumn("__qs_cut", cut).withColumn("__qs_full", F.col("__qs_whole") + F.when(at < last, 1).when((at == last) & (cut == words(F.col("text"))) & (cut > 0), 1).otherwise(0))
-    d = d.withColumn("__qs_copies", F.col("__qs_full") + F.when((F.col("__qs_cut") > 0) & (F.col("__qs_full") == F.col("__qs_whole")), 1).otherwise(0)).where((F.col("__qs_copies") > 0) & (words(F.col("text")) > 0))
+    # words are counted again only where a document may be cut
+    size = F.when(at == last, words(F.col("text")))
+    d = d.where(F.col("text").rlike(WORD)).withColumn("__qs_size", size).withColumn("__qs_cut", F.coalesce(extra(F.col("__qs_size"), at, last, F.col("__qs_part"), F.col("__qs_among")), F.lit(0)))
+    cut = F.when(at == last, F.col("__qs_cut")).otherwise(F.lit(0))
+    d = d.withColumn("__qs_cut", cut).withColumn("__qs_full", F.col("__qs_whole") + F.when(at < last, 1).when((F.col("__qs_cut") > 0) & (F.col("__qs_cut") == F.col("__qs_size")), 1).otherwise(0))
+    d = d.withColumn("__qs_copies", F.col("__qs_full") + F.when((F.col("__qs_cut") > 0) & (F.col("__qs_full") == F.col("__qs_whole")), 1).otherwise(0)).where("__qs_copies > 0")
     d = d.withColumn("__qs_copy", F.explode(F.sequence(F.lit(1), F.col("__qs_copies").cast("int"))))
     partial = F.col("__qs_copy") > F.col("__qs_full")
-    start = F.pmod(seeded(seed_key(docs), "place"), words(F.col("text")) - F.col("__qs_cut") + 1).cast("int")
+    start = F.pmod(seeded(seed_key(docs), "place"), F.col("__qs_size") - F.col("__qs_cut") + 1).cast("int")
     run = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), start + 1, F.col("__qs_cut").cast("int")), " ")
     d = d.withColumn("__qs_text", F.when(partial, run).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
