@@ -209,15 +209,19 @@ def conversion_metadata(files: DataFrame) -> DataFrame:
 def concept_map(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     """concepts/concept-map.md: of the terms of a document, categories of several terms, and of its pairs
     (doc_id, term_a, term_b, weight) the most connected terms and the strong ones."""
-    both = pairs.select("doc_id", F.explode(F.array("term_a", "term_b")).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("k"))
-    from .analysis import top
-
-    connected = listing(top(both, ["doc_id"], [F.desc("k"), "term"], 10), [F.col("rank")], cat("- **", title(F.col("term")), "**: ", F.col("k"), " connections")).select("doc_id", F.col("body").alias("connected"))
-    strong = top(pairs.where("weight > 2"), ["doc_id"], [F.desc("weight"), "term_a", "term_b"], 15)
-    strong = listing(strong, [F.col("rank")], cat("- **", title(F.col("term_a")), "** ↔ **", title(F.col("term_b")), "** (co-occurs ", F.col("weight"), " times)")).select("doc_id", F.col("body").alias("strong"))
-    by = facts.groupBy("doc_id", "category").agg(F.array_sort(F.collect_list("term")).alias("ts")).where(F.size("ts") > 1)
-    by = listing(by, [F.col("category")], cat("### ", title(F.col("category")), "\n**Terms**: ", F.size("ts"), "\n**Key Terms**: ", F.array_join(F.slice("ts", 1, 5), ", "), "\n")).select("doc_id", F.col("body").alias("by"))
-    d = facts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(connected, "doc_id", "left").join(strong, "doc_id", "left").join(by, "doc_id", "left")
+    pair = F.struct("weight", "term_a", "term_b")
+    ends = F.array(F.struct(F.col("term_a").alias("term"), pair.alias("pair")), F.struct(F.col("term_b").alias("term"), F.when(F.lit(False), pair).alias("pair")))
+    by_term = pairs.select("doc_id", F.explode(ends).alias("e")).groupBy("doc_id", "e.term").agg(F.count(F.lit(1)).alias("k"), F.collect_list("e.pair").alias("ps"))  # each pair once
+    p = by_term.groupBy("doc_id").agg(F.collect_list(F.struct((-F.col("k")).alias("o"), "term")).alias("ts"), F.flatten(F.collect_list("ps")).alias("ps"))
+    strong = F.transform(F.filter("ps", lambda x: x["weight"] > 2), lambda x: F.struct((-x["weight"]).alias("o"), x["term_a"].alias("a"), x["term_b"].alias("b")))
+    connected = F.transform(F.slice(F.array_sort("ts"), 1, 10), lambda x: cat("- **", title(x["term"]), "**: ", -x["o"], " connections"))
+    strong = F.transform(F.slice(F.array_sort(strong), 1, 15), lambda x: cat("- **", title(x["a"]), "** ↔ **", title(x["b"]), "** (co-occurs ", -x["o"], " times)"))
+    p = p.select("doc_id", F.array_join(connected, "\n").alias("connected"), F.array_join(strong, "\n").alias("strong"))
+    g = facts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("category", "term"))).alias("f"))
+    of = lambda c: F.transform(F.filter("f", lambda x: x["category"] == c), lambda x: x["term"])
+    names = F.filter(F.array_distinct(F.transform("f", lambda x: x["category"])), lambda c: F.size(of(c)) > 1)
+    block = lambda c: cat("### ", title(c), "\n**Terms**: ", F.size(of(c)), "\n**Key Terms**: ", F.array_join(F.slice(of(c), 1, 5), ", "), "\n")
+    d = g.select("doc_id", F.size("f").alias("n"), F.array_join(F.transform(names, block), "\n").alias("by")).join(p, "doc_id", "left")
     return _file(d, "concepts/concept-map.md", cat("# Concept Map\n\n**Total Terms**: ", F.col("n"), "\n\n## Most Connected Terms\n\n", F.col("connected"), "\n\n## Category Clusters\n\n", F.col("by"), "\n\n## Strong Relationships\n\n", F.col("strong")))
 
 
