@@ -62,14 +62,16 @@ def shared_dir(spark: SparkSession) -> str:
 FILE_ROWS = 250_000
 
 
-def stash(df: DataFrame, rows: int | None = None) -> DataFrame:
+def stash(df: DataFrame, rows: int | None = None, by: str | None = None, codec: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors. Where
-    a bound on its (narrow) rows is known, it goes to as few files as that takes."""
+    a bound on its (narrow) rows is known, it goes to as few files as that takes. by: a folder for each value of
+    this column, which comes last then; codec: other than the session's."""
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if codec is None else df.write.option("compression", codec)
+    (writer if by is None else writer.partitionBy(by)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stashed_at = path
     return out

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_count import token_counts
 from .common import table
+from .divergence import audit
 from .forest import forest_components
 from .langid import identify
 from .mixing import mix_sizes
 from .neighbours import nearest_neighbours
 from .pieces import encode_documents
 from .pii import personal_data
+from .search import search
 from .simhash import simhash_components
 from .substrings import dedup_substrings
 from .toxicity import toxicity
@@ -65,7 +67,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_toxicity, op4_language_id, op5_neighbours, op6_embedding_dedup, op7_substring_dedup, op8_sentencepiece, op9_pii, op10_mixing)}
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_toxicity, op4_language_id, op5_neighbours, op6_embedding_dedup, op7_substring_dedup, op8_sentencepiece, op9_pii, op10_mixing, op12_search, op13_divergence)}
 
 ORACLES = {
     "op6_embedding_dedup": """
@@ -110,4 +120,34 @@ SELECT doc_id, size, source_size, target,
     WHEN floor(target)::BIGINT - whole * source_size <= before THEN 0
     ELSE size * (floor(target)::BIGINT - whole * source_size - before) // among END)::BIGINT AS taken
 FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source JOIN c ON k.source IS NOT DISTINCT FROM c.source AND k.turn = c.turn""",
+    "op12_search": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT count(*)::BIGINT AS docs, sum(len(ws))::BIGINT AS terms FROM d WHERE len(ws) > 0),
+tf AS (SELECT k, doc_id, n, w, count(*)::BIGINT AS tf FROM (SELECT k, doc_id, len(ws)::BIGINT AS n, unnest(ws) AS w FROM d) GROUP BY ALL),
+df AS (SELECT w, count(*)::BIGINT AS df FROM tf GROUP BY w),
+i AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+m AS (SELECT item_id, k, doc_id, sum(floor(1000.0::DOUBLE * ln((2.0::DOUBLE * s.docs + 2.0::DOUBLE) / (2.0::DOUBLE * df + 1.0::DOUBLE)))::BIGINT
+  * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * s.docs) // s.terms))))::BIGINT AS score
+  FROM i JOIN df USING (w) JOIN tf USING (w), s GROUP BY item_id, k, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, k)::INT AS rank, doc_id, score FROM m WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20""",
+    "op13_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT k, lang, source, unnest(ws) AS term FROM d),
+v AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+vs AS (SELECT lang, count(*)::HUGEINT AS kept, sum(n)::HUGEINT AS whole FROM v GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN v USING (lang, term) GROUP BY lang, source, term),
+cs AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY lang, source),
+g AS (SELECT lang, source, coalesce(total, 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN cs USING (lang, source)),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (total + 2 * kept) AS p,
+  1 + (1000000000::HUGEINT * (v.n + 2)) // (whole + 2 * kept) AS q
+  FROM g JOIN vs USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10""",
 }
