@@ -6,7 +6,7 @@ kept terms, so that a term a source lacks counts zero there, and every count bec
 dense table joined with itself on language and term gives, for each two sources, the sum of
 (p-q)^2 / (p+q); against the language's own shares it gives the terms that mark a source.
 
-A document's terms are sorted in its own row, so that its first occurrence of each term shows without a
+A document's terms are sorted in its own row and put beside the term before, so that its first occurrence of each shows without a
 shuffle of (document, term) pairs: one grouping gives both occurrences and documents, and combines before it
 shuffles. The difference is symmetric, so each two sources are summed once and told twice. Products
 that may pass 64 bits go through decimals.
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Terms hold letters and signs beyond ASCII.
-TERM = r"([^\x00-\x40\x5B-\x60\x7B-\x7F]+)"
+#: What parts terms, which hold letters and signs beyond ASCII. Texts are split there: taking the matches between
+#: (regexp_extract_all) copies the text for each match, which is quadratic.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST, SHOWN = 10, 10
 #: Of bigints count, total and kept: 1 + floor(10^9 (count + 2) / (total + 2 kept)).
 SHARE = "cast(1000000000 AS decimal(10,0)) * cast({count} + 2 AS decimal(20,0)) div cast({total} + 2 * kept AS decimal(20,0)) + 1"
@@ -43,10 +44,9 @@ def named(docs: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that have it)."""
-    own = named(docs).select("lang", "source", F.sort_array(F.regexp_extract_all(fold(F.col("text")), F.lit(TERM))).alias("terms"))
-    each = own.select("lang", "source", "terms", F.posexplode("terms").alias("at", "term"))
-    first = (F.col("at") == 0) | (F.get("terms", F.col("at") - 1) != F.col("term"))
-    return each.select("lang", "source", "term", first.cast("bigint").alias("first")).groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
+    own = named(docs).select("lang", "source", F.sort_array(F.split(fold(F.col("text")), BETWEEN)).alias("terms"))
+    each = own.select("lang", "source", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.concat(F.array(F.lit("")), "terms").alias("before")))).where("term <> ''")
+    return each.select("lang", "source", "term", (F.col("term") != F.col("before")).cast("bigint").alias("first")).groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
 
 
 def dense_shares(kept: DataFrame, vocabulary: DataFrame, groups: DataFrame) -> DataFrame:
