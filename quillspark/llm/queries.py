@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_count import token_counts
 from .common import table
+from .decontaminate import decontaminate
 from .divergence import audit
 from .forest import forest_components
 from .langid import identify
@@ -67,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,7 +80,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_toxicity, op4_language_id, op5_neighbours, op6_embedding_dedup, op7_substring_dedup, op8_sentencepiece, op9_pii, op10_mixing, op12_search, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_toxicity, op4_language_id, op5_neighbours, op6_embedding_dedup, op7_substring_dedup, op8_sentencepiece, op9_pii, op10_mixing, op11_decontamination, op12_search, op13_divergence)}
 
 ORACLES = {
     "op6_embedding_dedup": """
@@ -120,6 +125,22 @@ SELECT doc_id, size, source_size, target,
     WHEN floor(target)::BIGINT - whole * source_size <= before THEN 0
     ELSE size * (floor(target)::BIGINT - whole * source_size - before) // among END)::BIGINT AS taken
 FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source JOIN c ON k.source IS NOT DISTINCT FROM c.source AND k.turn = c.turn""",
+    "op11_decontamination": r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+t AS MATERIALIZED (SELECT k, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d),
+b AS (SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+cf AS (SELECT w, count(*) AS cf FROM t GROUP BY w),
+o AS (SELECT k, item_id, o, least(10, len(ws)) AS width, ws FROM b, unnest(range(greatest(1, len(ws) - 9))) AS u(o) WHERE len(ws) > 0),
+x AS (SELECT k, item_id, o, width, j, ws[o + j + 1] AS w FROM o, unnest(range(width)) AS u(j)),
+a AS (SELECT k, o, (arg_min(j, (cf, j))) AS j, (arg_min(w, (cf, j))) AS w FROM x JOIN cf USING (w) GROUP BY k, o, width HAVING count(*) = width),
+c AS (SELECT a.k, a.o, t.k AS dk, t.p - a.j AS lo FROM a JOIN t USING (w)),
+h AS (SELECT x.k, x.item_id, x.o, x.width, dk, lo, j, min(abs(p - lo - j)) AS off FROM c JOIN x USING (k, o) JOIN t ON t.k = dk AND t.w = x.w AND p BETWEEN lo + j - 2 AND lo + j + 2 GROUP BY ALL),
+m AS (SELECT dk, item_id, lo, width, max(off) = 0 AS exact FROM h GROUP BY k, item_id, o, width, dk, lo HAVING count(*) = any_value(width)),
+hit AS (SELECT dk, count(DISTINCT lo + j) AS n FROM m, unnest(range(width)) AS u(j) WHERE exact GROUP BY dk),
+it AS (SELECT dk, item_id, bool_or(exact) AS exact FROM m WHERE item_id IS NOT NULL GROUP BY dk, item_id),
+l AS (SELECT dk, count(*) FILTER (exact) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) FILTER (exact) AS items, count(*) FILTER (NOT exact) AS near FROM it GROUP BY dk)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(l.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(hit.n, 0) > 0 AS contaminated, coalesce(near, 0)::BIGINT AS n_near FROM d LEFT JOIN hit ON hit.dk = d.k LEFT JOIN l ON l.dk = d.k""",
     "op12_search": r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
 s AS (SELECT count(*)::BIGINT AS docs, sum(len(ws))::BIGINT AS terms FROM d WHERE len(ws) > 0),
