@@ -4,13 +4,10 @@ Postings hold one row for each document and term with its score before the term'
 buckets by hash, and a term of many documents is dealt to several files of its bucket. Items join them on
 their terms, matches are summed by item and document, and a window ranks each item's documents.
 
-An item's frequent words match nearly every document, so summing every match would make items times
-documents. Exact upper bounds avoid that: each posting list's largest score bounds what its term can add.
-The SEEDS best documents by the rarest terms are scored in full, and the rank-th best of them is a
-floor that the answer can't fall under. Terms whose bounds together stay under the floor can't lift a document
-into the answer alone, so documents must match one of the others first; those whose sum with the bounds of
-the rest reaches the floor get the rest added. The result is that of summing every match: an item
-of frequent words only has floor 0 or few such terms, and is summed in full.
+An item's frequent words match nearly every document, so the matches are many times the postings. They don't move:
+postings are dealt by document once, and joining the items' terms (broadcast where the planner finds their
+table small), summing by item and document, and the first cut to the best of each item all happen there. Only
+each task's best of each item move on to the ranking. A term that no document or item shares is never dealt.
 
 Defined cases: null texts and items, and those without a term, match nothing; rows that share a doc_id are
 documents of their own, each with a rank; a null doc_id comes last among equal scores; rows that share an
@@ -27,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, stash
+from .common import stash
 from .words import strings, texts, words
 
-TOP, SEEDS, BUCKETS = 20, 100, 16
-#: Postings of a term in one task, about, and postings of an item's seed terms after the first.
-TERM_ROWS, SEED_ROWS = 200_000, 2000
+TOP, BUCKETS = 20, 16
+#: Postings of a term in one file, about.
+TERM_ROWS = 200_000
 
 
 def totals(docs: DataFrame) -> tuple[int, int]:
@@ -99,31 +96,10 @@ def postings(docs: DataFrame, n_docs: int, n_terms: int, terms: DataFrame | None
 
 
 def weighted(terms: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
-    """item_id, bucket, term, df, weight (times in the item included), most (the largest sum it can add)."""
-    facts = index.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("part"))
+    """item_id, bucket, term, weight (times in the item included) of the terms that some document has."""
+    facts = index.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
     w = F.floor(F.lit(1000.0) * F.log((F.lit(2.0) * F.lit(float(n_docs)) + 2.0) / (F.lit(2.0) * F.col("df") + 1.0))).cast("bigint") * F.col("r")
-    return terms.withColumn("bucket", bucket(F.col("term"))).join(facts, ["bucket", "term"]).select("item_id", "bucket", "term", "df", w.alias("weight"), (w * F.col("part")).alias("most")).where("weight > 0")
-
-
-def summed(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """item_id, row, doc_id, score: the sums of the matches of each item and document."""
-    hits = index.join(terms, ["bucket", "term"])
-    return hits.groupBy("item_id", "row").agg(F.min("doc_id").alias("doc_id"), F.sum(F.col("weight") * F.col("part")).alias("score"))
-
-
-def completed(found: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
-    """found (item_id, row, doc_id, score) with the matches of these further terms added."""
-    own = terms.select(F.col("item_id").alias("_i"), "bucket", "term", "weight")
-    wanted = found.join(own, F.col("item_id").eqNullSafe(F.col("_i"))).select("item_id", "row", "bucket", "term", "weight")
-    more = wanted.join(index.select("bucket", "term", "row", "part"), ["bucket", "term", "row"]).groupBy("item_id", "row").agg(F.sum(F.col("weight") * F.col("part")).alias("more"))
-    more = more.select(F.col("item_id").alias("_i"), F.col("row").alias("_r"), "more")
-    added = found.join(more, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("row") == F.col("_r")), "left")
-    return added.select("item_id", "row", "doc_id", (F.col("score") + F.coalesce("more", F.lit(0))).alias("score"))
-
-
-def best(scores: DataFrame, top: int) -> DataFrame:
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "row")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return terms.withColumn("bucket", bucket(F.col("term"))).join(facts, ["bucket", "term"]).select("item_id", "bucket", "term", w.alias("weight")).where("weight > 0")
 
 
 def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
@@ -132,20 +108,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     n_docs, n_terms = totals(docs)
     index = postings(docs, n_docs, n_terms, stash(terms.select("term").distinct()))
     own = stash(weighted(terms, index, n_docs))
-    # seeds by the rarest terms, and the floor that they set when scored in full
-    rarest = Window.partitionBy("item_id").orderBy("df", "term")
-    seed = own.withColumn("k", F.row_number().over(rarest)).withColumn("upto", F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, 0)))
-    seed = stash(seed.withColumn("seed", (F.col("k") == 1) | (F.col("upto") <= SEED_ROWS)).drop("k", "upto"))
-    some = stash(best(summed(index, seed.where("seed")), max(SEEDS, top)).drop("rank"))
-    full = best(completed(some, seed.where("not seed"), index), top).where(F.col("rank") == top)
-    floor = full.select(F.col("item_id").alias("_i"), F.col("score").alias("floor"))
-    # terms that can't reach the floor together: the least bounds first
-    least = Window.partitionBy("item_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-    told = seed.join(floor, F.col("item_id").eqNullSafe(F.col("_i")), "left").drop("_i").withColumn("floor", F.coalesce("floor", F.lit(0)))
-    told = stash(told.withColumn("upto", F.sum("most").over(least)).withColumn("must", F.col("upto") >= F.col("floor")))
-    rest = told.groupBy("item_id", "floor").agg(F.sum(F.when(~F.col("must"), F.col("most")).otherwise(0)).alias("rest"))
-    rest = rest.select(F.col("item_id").alias("_i"), "floor", "rest")
-    found = summed(index, told.where("must")).join(rest, F.col("item_id").eqNullSafe(F.col("_i"))).where("score + rest >= floor").select("item_id", "row", "doc_id", "score")
-    scores = completed(stash(found), told.where("not must"), index).where("score > 0")
-    drop(some)
-    return best(scores, top).select("item_id", "rank", "doc_id", "score")
+    matches = index.repartition("row").join(own, ["bucket", "term"])
+    scores = matches.groupBy("item_id", "row").agg(F.min("doc_id").alias("doc_id"), F.sum(F.col("weight") * F.col("part")).alias("score")).where("score > 0")
+    order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "row")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
