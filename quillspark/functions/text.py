@@ -24,8 +24,15 @@ def first_class(c: Column, classes: list[tuple[str, list[str]]], otherwise: Colu
     return out if otherwise is None else out.otherwise(otherwise)
 
 
+#: Marks the ends of matches within a text; one that holds it already is matched in the slower way.
+MARK = "\x01"
+
+
 def find_all(c: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+    """All matches, or a group of them. Matches are marked in one replacement and cut out, in time in proportion to the
+    text; regexp_extract_all copies the text for each match."""
+    marked = F.regexp_replace(c, pattern, f"{MARK}${group}{MARK}")
+    return F.when(F.contains(c, F.lit(MARK)), F.regexp_extract_all(c, F.lit(pattern), F.lit(group))).otherwise(F.filter(F.split(marked, MARK, -1), lambda x, i: i % 2 == 1))
 
 
 def match_starts(c: Column, pattern: str) -> Column:
@@ -215,7 +222,24 @@ def cell_number(c: Column) -> Column:
     return F.when(cell_kind(c).isin("int", "float"), F.when(percent, n / 100).otherwise(n))
 
 
+def json_text(c: Column) -> Column:
+    """A string as JSON; null as null."""
+    j = F.to_json(F.struct(c.alias("v")))  # {"v":...}
+    return F.when(c.isNull(), "null").otherwise(F.substring(j, F.lit(6), F.length(j) - 6))
+
+
+def json_number(c: Column) -> Column:
+    """A numeric cell as a JSON number with all of its digits: without signs of currency and thousands, percentages as shares."""
+    s = F.regexp_replace(strip(c), "[$,]", "")
+    whole, part = F.regexp_extract(s, r"^[+-]?(\d*)", 1), F.regexp_extract(s, r"\.(\d*)", 1)
+    padded, percent = F.concat(F.lit("00"), whole), s.endswith("%")
+    part = F.regexp_replace(F.when(percent, F.concat(F.right(padded, F.lit(2)), part)).otherwise(part), "0+$", "")
+    whole = F.regexp_replace(F.when(percent, F.left(padded, F.length(padded) - 2)).otherwise(padded), r"^0+(?=\d)", "")
+    value = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part != "", F.concat(F.lit("."), part)).otherwise(""))
+    return F.concat(F.when(s.startswith("-") & value.rlike("[1-9]"), "-").otherwise(""), value)
+
+
 def format_cell(c: Column) -> Column:
-    kind, n, s = cell_kind(c), cell_number(c), strip(c)
-    shown = F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(F.format_string("%.2f", n))
+    kind, n, s = cell_kind(c), json_number(c), strip(c)
+    shown = F.when(F.contains(n, F.lit(".")), F.format_string("%.2f", cell_number(c))).otherwise(n)
     return F.when(kind == "null", "").when(kind == "bool", F.when(F.lower(s).isin(*V.TRUE_CELLS), "Yes").otherwise("No")).when(kind.isin("int", "float"), shown).otherwise(s)

@@ -122,8 +122,8 @@ def field_context(docs: DataFrame) -> DataFrame:
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
-    """doc_id, sizes and flags of a Markdown document."""
-    c = F.col("text")
+    """doc_id, sizes and flags of a Markdown document. A null text is an empty one."""
+    c = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id", F.length(c).alias("total_characters"), F.size(T.find_all(c, r"\S+")).alias("total_words"), F.size(T.find_all(c, r"(?m)^#{1,6}[ \t]+\S")).alias("total_headers"),
         F.size(T.find_all(F.concat(F.lit("\n"), c, F.lit("\n")), r"(?:\n[^\n]*\|[^\n]*(?=\n)){3,}")).alias("total_tables"), F.size(T.find_all(c, r"!\[([^\]]*)\]\(([^)]+)\)")).alias("total_images"), T.has_toc(c).alias("has_toc"),

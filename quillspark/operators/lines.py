@@ -59,9 +59,9 @@ def line_flags(line: Column) -> dict[str, Column]:
 
 
 def document_structure(docs: DataFrame) -> DataFrame:
-    """doc_id, document_type, has_tables, has_lists and the five counters."""
+    """doc_id, document_type, has_tables, has_lists and the five counters. A null text is an empty one."""
     names = ("tables", "bullets", "hierarchy", "fields", "filled")
-    flags = F.transform(F.split("text", "\n", -1), lambda x: F.struct(*[line_flags(x)[k].alias(k) for k in names]))
+    flags = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.struct(*[line_flags(x)[k].alias(k) for k in names]))
     add = lambda a, b: F.struct(*[(a[k] + b[k]).alias(k) for k in names])
     d = docs.select("doc_id", F.aggregate(flags, F.struct(*[F.lit(0).alias(k) for k in names]), add).alias("s")).select("doc_id", "s.*")
     share = lambda c: F.when(F.col("filled") > 0, F.col(c) / F.col("filled") * 100).otherwise(0.0)

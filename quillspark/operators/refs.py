@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,18 +44,44 @@ def located(sections: DataFrame, around: int = 50) -> DataFrame:
     return d.select("doc_id", "section_id", "type", "text", "target", "position", context.alias("context"), method.alias("method"))
 
 
+#: How mentions of pages, figures and tables are written, in the text's lower case: what a reference can point to.
+MENTIONED = [("page", r"page\s+(\d+)", "page"), ("page", r"p\.\s*(\d+)", "p."), ("figure", r"figure\s+(\d+)", "figure"), ("table", r"table\s+(\d+)", "table")]
+PREVIEW = 200
+
+
+def _number(c: Column) -> Column:
+    """A reference's number as targets are compared: without leading zeros."""
+    return F.regexp_replace(c, r"^0+(?=\d)", "")
+
+
 def resolution(sections: DataFrame) -> DataFrame:
-    """References with `known`: whether a section, page, figure or table reference has its target in the
-    document (null for the other families). Sections are read once; a document's references and targets
-    meet in its one row."""
-    content, low = F.col("content"), F.col("low")
-    named = [F.when(F.contains(low, F.lit(k)), T.find_all(low, rf"{k}\s+(\d+)", 1)).otherwise(F.expr("cast(array() as array<string>)")).alias(k) for k in INTERNAL[1:]]
-    d = sections.select("doc_id", "section_id", "content", F.lower("content").alias("low")).select("doc_id", "section_id", F.transform(_hits(content, low), lambda r: F.struct(F.col("section_id").alias("section_id"), r["type"].alias("type"), r["text"].alias("text"), r["target"].alias("target"))).alias("refs"), *named)
-    own = [F.collect_set(F.col("section_id").cast("string")).alias("section"), *[F.array_distinct(F.flatten(F.collect_list(k))).alias(k) for k in INTERNAL[1:]]]
-    g = d.groupBy("doc_id").agg(F.flatten(F.collect_list("refs")).alias("refs"), *own)
-    kind, target = F.col("r.type"), F.col("r.target")
-    known = reduce(lambda acc, k: acc.when(kind == k, F.array_contains(k, target)), INTERNAL[1:], F.when(kind == INTERNAL[0], F.array_contains(INTERNAL[0], target)))
-    return g.select("doc_id", *INTERNAL, F.explode("refs").alias("r")).select("doc_id", "r.section_id", "r.type", "r.text", "r.target", known.alias("known"))
+    """References with `known` (whether a section, page, figure or table reference has its target in the document; null
+    for the other families) and what they point to: title, anchor and preview of a section, the sections on a
+    page, the last section that names a figure or table. Sections are read once: their references, their mentions and
+    they themselves as targets meet by document, family and number. A null content has none and an empty preview."""
+    content, low = F.coalesce("content", F.lit("")), F.col("low")
+    d = sections.select("doc_id", "section_id", "title", content.alias("content"), F.lower(content).alias("low"))
+    none = F.lit(None).cast("string")
+    named = "cast({0} as array<struct<type: string, number: string, text: string, target: string, title: string, preview: string>>)"
+    row = lambda kind, number, text, target, title, preview: F.struct(kind.alias("type"), number.alias("number"), text.alias("text"), target.alias("target"), title.alias("title"), preview.alias("preview"))
+    refs = F.transform(_hits(F.col("content"), low), lambda r: row(r["type"], F.when(r["type"].isin(*INTERNAL), _number(r["target"])).otherwise(r["target"]), r["text"], r["target"], none, none))
+    mention = lambda k: lambda n: row(F.lit(k), n, none, none, none, none)
+    said = [F.when(F.contains(low, F.lit(cue)), F.transform(F.array_distinct(F.transform(T.find_all(low, p, 1), _number)), mention(k))).otherwise(F.expr(named.format("array()"))) for k, p, cue in MENTIONED]
+    preview = F.when(F.length("content") > PREVIEW, F.concat(F.left("content", F.lit(PREVIEW)), F.lit("..."))).otherwise(F.col("content"))
+    itself = F.array(row(F.lit(INTERNAL[0]), F.col("section_id").cast("string"), none, none, F.coalesce("title", F.lit("")), preview))
+    x = d.select("doc_id", "section_id", F.explode(F.concat(refs, *said, itself)).alias("x")).select("doc_id", "section_id", "x.*")
+    is_ref = F.col("text").isNotNull()
+    g = x.groupBy("doc_id", "type", "number").agg(
+        F.collect_list(F.when(is_ref, F.struct("section_id", "text", "target"))).alias("refs"), F.array_sort(F.collect_set(F.when(~is_ref, F.col("section_id")))).alias("at"),
+        F.max(F.when(~is_ref, F.struct("section_id", "title", "preview"))).alias("last"),
+    )
+    kind, is_section = F.col("type"), F.col("type") == INTERNAL[0]
+    known = F.when(kind.isin(*INTERNAL), F.size("at") > 0)
+    told = {
+        "known": known, "target_title": F.when(is_section, F.col("last.title")), "target_anchor": F.when(is_section, T.anchor(F.col("last.title"))), "target_preview": F.when(is_section, F.col("last.preview")),
+        "sections_on_page": F.when(known & (kind == "page"), F.array_join(F.transform("at", lambda i: i.cast("string")), ",")), "target_section": F.when(kind.isin("figure", "table"), F.col("last.section_id")),
+    }
+    return g.select("doc_id", "type", *[c.alias(k) for k, c in told.items()], F.explode("refs").alias("r")).select("doc_id", "r.section_id", "type", "r.text", "r.target", *told)
 
 
 def url_facts(refs: DataFrame) -> DataFrame:
@@ -72,8 +96,8 @@ def external(refs: DataFrame) -> DataFrame:
 
 
 def resolved(known: DataFrame) -> DataFrame:
-    """Of a resolution, the references that have their target."""
-    return known.where("known").drop("known")
+    """Of a resolution, the references that have their target, with their link and what they point to."""
+    return known.where("known").drop("known").withColumn("link", F.concat(F.lit("#"), "type", F.lit("-"), _number(F.col("target"))))
 
 
 def broken(known: DataFrame) -> DataFrame:

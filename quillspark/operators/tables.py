@@ -55,14 +55,15 @@ def table_notes(profiles: DataFrame) -> DataFrame:
 
 
 def table_json(cells: DataFrame) -> DataFrame:
-    """doc_id, table_no, headers, n_rows, rows: each table as JSON, rows as objects of typed values in column order."""
-    kind, n, s = T.cell_kind(F.col("cell")), T.cell_number(F.col("cell")), F.col("cell")
-    number = F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("decimal(38,6)").cast("string"))
-    quoted = F.concat(F.lit('"'), F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    shown = F.when(kind == "null", "null").when(kind == "bool", F.lower(s).isin(*V.TRUE_CELLS).cast("string")).when(kind.isin("int", "float"), number).otherwise(quoted)
-    pair = F.concat(F.lit('"'), F.replace(F.coalesce("col_name", F.lit("Column")), F.lit('"'), F.lit('\\"')), F.lit('": '), shown)
-    r = cells.groupBy("doc_id", "table_no", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", pair.alias("p"), "col_name"))).alias("c"))
-    r = r.select("doc_id", "table_no", "row_no", F.concat(F.lit("{"), F.array_join(F.transform("c", lambda x: x["p"]), ", "), F.lit("}")).alias("j"), F.transform("c", lambda x: x["col_name"]).alias("h"))
+    """doc_id, table_no, headers, n_rows, rows: each table as JSON, rows as objects of typed values in column order.
+    Numbers keep all digits; a name that an earlier column of the row has gets its column's number."""
+    kind, s = T.cell_kind(F.col("cell")), F.col("cell")
+    shown = F.when(kind == "null", "null").when(kind == "bool", F.lower(s).isin(*V.TRUE_CELLS).cast("string")).when(kind.isin("int", "float"), T.json_number(s)).otherwise(T.json_text(s))
+    r = cells.groupBy("doc_id", "table_no", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", F.coalesce("col_name", F.lit("Column")).alias("name"), shown.alias("v"), "col_name"))).alias("c"))
+    names = F.transform("c", lambda x: x["name"])
+    own = lambda x, i: F.when(F.array_position("names", x["name"]) <= i, F.concat(x["name"], F.lit(" ("), x["col_no"].cast("string"), F.lit(")"))).otherwise(x["name"])
+    pairs = F.transform("c", lambda x, i: F.concat(T.json_text(own(x, i)), F.lit(": "), x["v"]))
+    r = r.withColumn("names", names).select("doc_id", "table_no", "row_no", F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")).alias("j"), F.transform("c", lambda x: x["col_name"]).alias("h"))
     t = r.groupBy("doc_id", "table_no").agg(F.array_sort(F.collect_list(F.struct("row_no", "j"))).alias("r"), F.min_by("h", "row_no").alias("h"))
     return t.select("doc_id", "table_no", F.array_join("h", ",").alias("headers"), F.size("r").alias("n_rows"), F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["j"]), ", "), F.lit("]")).alias("rows"))
 

@@ -96,11 +96,6 @@ def section_clusters(terms: DataFrame) -> DataFrame:
     return terms.groupBy("doc_id", F.col("title").alias("section")).agg(F.array_join(F.array_sort(F.collect_set(F.lower("term"))), ",").alias("terms"))
 
 
-def _json(c):
-    s = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), F.replace(s, F.lit("\n"), F.lit("\\n")), F.lit('"'))
-
-
 def graph_json(scores: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, nodes, links, categories: a document's concept graph as JSON for drawing. Nodes are numbered
     from 0 by term; links have a weight over 1 and name their ends by number, both ways."""
@@ -108,7 +103,7 @@ def graph_json(scores: DataFrame, pairs: DataFrame) -> DataFrame:
     g = scores.groupBy("doc_id").agg(F.array_sort(F.collect_list(node)).alias("ns"))
     strong = pairs.where("weight > 1").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_a", "term_b", "weight"))).alias("es"))
     g = g.join(strong, "doc_id", "left").withColumn("names", F.transform("ns", lambda x: x["term"]))
-    nodes = F.transform("ns", lambda x, i: F.concat(F.lit('{"id": '), i.cast("string"), F.lit(', "label": '), _json(F.initcap(x["term"])), F.lit(', "category": "'), x["category"], F.lit('", "importance": '), x["score"], F.lit(', "frequency": '), x["frequency"], F.lit("}")))
+    nodes = F.transform("ns", lambda x, i: F.concat(F.lit('{"id": '), i.cast("string"), F.lit(', "label": '), T.json_text(F.initcap(x["term"])), F.lit(', "category": "'), x["category"], F.lit('", "importance": '), x["score"], F.lit(', "frequency": '), x["frequency"], F.lit("}")))
     at = lambda t: (F.array_position("names", t) - 1).cast("string")
     link = lambda a, b, w: F.concat(F.lit('{"source": '), at(a), F.lit(', "target": '), at(b), F.lit(', "weight": '), w.cast("string"), F.lit("}"))
     kept = F.filter(F.coalesce("es", F.expr("cast(array() as array<struct<term_a: string, term_b: string, weight: bigint>>)")), lambda e: F.array_contains("names", e["term_a"]) & F.array_contains("names", e["term_b"]))
@@ -119,10 +114,9 @@ def graph_json(scores: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def glossary_json(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     """doc_id, terms, concepts: a document's glossary as JSON, by term and by concept."""
-    own = lambda c: F.when(c.isNull(), "null").otherwise(_json(c))
-    t = F.concat(F.lit('{"term": '), _json(F.col("term")), F.lit(', "category": "'), "category", F.lit('", "frequency": '), F.col("frequency").cast("string"), F.lit(', "definition": '), own(F.col("definition")), F.lit("}"))
+    t = F.concat(F.lit('{"term": '), T.json_text(F.col("term")), F.lit(', "category": "'), "category", F.lit('", "frequency": '), F.col("frequency").cast("string"), F.lit(', "definition": '), T.json_text(F.col("definition")), F.lit("}"))
     a = facts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", t.alias("j")))).alias("t"))
-    c = F.concat(F.lit('{"concept": '), _json(F.col("concept")), F.lit(', "category": "'), "category", F.lit('", "definition": '), own(F.col("definition")), F.lit("}"))
+    c = F.concat(F.lit('{"concept": '), T.json_text(F.col("concept")), F.lit(', "category": "'), "category", F.lit('", "definition": '), T.json_text(F.col("definition")), F.lit("}"))
     b = concepts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("concept", c.alias("j")))).alias("c"))
     wrap = lambda xs: F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(xs, lambda x: x["j"]), ", "), F.lit("")), F.lit("]"))
     return a.join(b, "doc_id", "full_outer").select("doc_id", wrap("t").alias("terms"), wrap("c").alias("concepts"))

@@ -68,6 +68,10 @@ prof AS (SELECT doc_id, table_no, col_no, col_name, count(*) AS n, count(*) FILT
   concat_ws(',', {', '.join(f"'{k}:' || nullif(count(*) FILTER (kind = '{k}'), 0)" for k in ('bool', 'int', 'float', 'str', 'null'))}) AS kinds, bool_or(kind = 'bool') AS has_bool,
   bool_or(kind IN ('bool', 'int', 'float')) AS has_number FROM kinds GROUP BY doc_id, table_no, col_no, col_name)"""
 NUMBER = "CASE WHEN kind IN ('int', 'float') THEN CASE WHEN cell LIKE '%\\%' ESCAPE '\\' THEN regexp_replace(cell, '[$,%]', '', 'g')::DOUBLE / 100 ELSE regexp_replace(cell, '[$,%]', '', 'g')::DOUBLE END END"
+_W, _F = "regexp_extract(regexp_replace(cell, '[$,+%-]', '', 'g'), '^([0-9]*)', 1)", "regexp_extract(cell, '[.]([0-9]*)', 1)"
+_WHOLE = f"ltrim(CASE WHEN suffix(cell, '%') THEN left({_W}, greatest(length({_W}) - 2, 0)::BIGINT) ELSE {_W} END, '0')"
+_PART = f"rtrim(CASE WHEN suffix(cell, '%') THEN right('00' || {_W}, 2) || {_F} ELSE {_F} END, '0')"
+DIGITS = f"""CASE WHEN kind IN ('int', 'float') THEN CASE WHEN prefix(cell, '-') AND {_WHOLE} || {_PART} <> '' THEN '-' ELSE '' END || CASE WHEN {_WHOLE} = '' THEN '0' ELSE {_WHOLE} END || CASE WHEN {_PART} = '' THEN '' ELSE '.' || {_PART} END END"""
 
 
 def _refs() -> str:
@@ -112,11 +116,14 @@ ENDPOINTS = f"""calls AS (SELECT doc_id, section_id, content, regexp_extract_all
 call AS (SELECT *, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS pos FROM calls, unnest(range(1, len(h) + 1)) AS t(i)),
 endpoint AS (SELECT doc_id, section_id, i, upper(m[i]) AS method, p[i] AS path, coalesce(list_filter({sentences("substr(content, (greatest(pos - 200, 0) + 1)::BIGINT, (pos + length(h[i]) + 200 - greatest(pos - 200, 0))::BIGINT)")}, lambda x: length(x) > 20 AND length(x) < 200)[1], 'No description') AS description FROM call)"""
 REFS, LOCATED = _refs(), _located()
-KNOWN = REFS + r""", known AS (SELECT doc_id, 'section' AS type, section_id::VARCHAR AS target FROM sec UNION
-  SELECT doc_id, 'page', unnest(regexp_extract_all(lower(content), 'page\s+(\d+)', 1)) FROM sec UNION
-  SELECT doc_id, 'figure', unnest(regexp_extract_all(lower(content), 'figure\s+(\d+)', 1)) FROM sec UNION
-  SELECT doc_id, 'table', unnest(regexp_extract_all(lower(content), 'table\s+(\d+)', 1)) FROM sec),
-missing AS (SELECT * FROM refs ANTI JOIN known USING (doc_id, type, target) WHERE type IN ('section', 'page', 'figure', 'table'))"""
+KNOWN = REFS + rf""", said AS (SELECT doc_id, 'section' AS type, section_id::VARCHAR AS target, section_id FROM sec UNION
+  SELECT doc_id, 'page', unnest(regexp_extract_all(lower(content), 'page\s+0*(\d+)', 1)), section_id FROM sec UNION
+  SELECT doc_id, 'page', unnest(regexp_extract_all(lower(content), 'p\.\s*0*(\d+)', 1)), section_id FROM sec UNION
+  SELECT doc_id, 'figure', unnest(regexp_extract_all(lower(content), 'figure\s+0*(\d+)', 1)), section_id FROM sec UNION
+  SELECT doc_id, 'table', unnest(regexp_extract_all(lower(content), 'table\s+0*(\d+)', 1)), section_id FROM sec),
+known AS (SELECT doc_id, type, target AS number, string_agg(section_id, ',' ORDER BY section_id) AS places, max(section_id) AS last FROM said GROUP BY ALL),
+numbered AS (SELECT *, regexp_replace(target, '^0+([0-9])', '\1') AS number FROM refs),
+missing AS (SELECT doc_id, section_id, type, text, target FROM numbered ANTI JOIN known USING (doc_id, type, number) WHERE type IN ('section', 'page', 'figure', 'table'))"""
 TERMS = SEC + ", term AS (SELECT DISTINCT doc_id, section_id, title, content, term FROM (" + " UNION ALL ".join(f"SELECT doc_id, section_id, title, content, unnest(list_filter(regexp_extract_all(content, {q(p)}), lambda x: length(x) > {k})) AS term FROM sec" for p, k in zip(V.TERM_PATTERNS, (2, 1, 1, 1, 1, 1, 1, 3))) + "))"
 PAIRS = TERMS + ", low AS (SELECT DISTINCT doc_id, section_id, lower(term) AS t FROM term), pair AS (SELECT a.t AS term_a, b.t AS term_b, count(*) AS weight FROM low a JOIN low b ON a.doc_id = b.doc_id AND a.section_id = b.section_id AND a.t < b.t GROUP BY 1, 2)"
 BOTH = SEC + ", both_ AS (SELECT *, lower(content) || ' ' || lower(title) AS b FROM sec)"
@@ -240,7 +247,7 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         "section_index": f"WITH {TYPED}, f AS (SELECT doc_id, 'sections/' || {PATH} AS path FROM typed) SELECT doc_id, string_agg('- [' || path || '](' || path || ')', chr(10) ORDER BY path) AS index FROM f GROUP BY doc_id",
         "consolidated_summary": f"WITH {TYPED} SELECT doc_id, count(*) AS n_sections, sum(token_count)::BIGINT AS n_tokens, string_agg(DISTINCT section_type, ',' ORDER BY section_type) AS kinds FROM typed GROUP BY doc_id",
         "md_tables": rf"""WITH {MD}, r AS (SELECT doc_id, regexp_extract_all(chr(10) || text || chr(10), '(?:\n[^\n]*[|][^\n]*){{3,}}') AS rs FROM md) SELECT doc_id, i::INT AS table_no, ({count('rs[i]', chr(10))} - 2)::INT AS n_rows, ({count("regexp_extract(rs[i], '^\\n([^\\n]*)', 1)", '[|]')} - 1)::INT AS n_cols FROM r, unnest(range(1, len(rs) + 1)) AS t(i)""",
-        "cell_types": f"WITH {CELLS}, v AS (SELECT *, {NUMBER} AS number FROM kinds) SELECT doc_id, table_no, row_no, col_no, col_name, kind, number, CASE kind WHEN 'null' THEN '' WHEN 'bool' THEN CASE WHEN lower(cell) IN ({', '.join(map(q, V.TRUE_CELLS))}) THEN 'Yes' ELSE 'No' END WHEN 'str' THEN cell ELSE CASE WHEN number = floor(number) THEN floor(number)::BIGINT::VARCHAR ELSE format('{{:.2f}}', number) END END AS shown FROM v",
+        "cell_types": f"WITH {CELLS}, v AS (SELECT *, {NUMBER} AS number, {DIGITS} AS digits FROM kinds) SELECT doc_id, table_no, row_no, col_no, col_name, kind, number, CASE kind WHEN 'null' THEN '' WHEN 'bool' THEN CASE WHEN lower(cell) IN ({', '.join(map(q, V.TRUE_CELLS))}) THEN 'Yes' ELSE 'No' END WHEN 'str' THEN cell ELSE CASE WHEN contains(digits, '.') THEN format('{{:.2f}}', number) ELSE digits END END AS shown FROM v",
         "table_profile": f"""WITH {CELLS} SELECT *, CASE WHEN has_bool THEN 'boolean' WHEN has_number THEN 'number' WHEN n_unique <= 10 THEN 'categorical' ELSE 'text' END AS column_type,
           col_name || ': ' || concat_ws(' ', CASE WHEN has_bool THEN 'Boolean values' WHEN has_number THEN 'Numeric values' ELSE 'Text values' END, CASE WHEN n_unique <= 5 THEN '(low cardinality)' WHEN n_unique > 50 THEN '(high cardinality)' END, CASE WHEN nulls > 0 THEN 'with null values' END) AS description FROM prof""",
         "table_notes": f"""WITH {CELLS}, t AS (SELECT doc_id, table_no, max(n) AS r, count(*) AS c, count(*) FILTER (has_number) AS k, count(*) FILTER (n_unique <= 10) AS g FROM prof GROUP BY doc_id, table_no)
@@ -248,7 +255,8 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
           concat_ws(';', CASE WHEN r > 100 THEN 'large' WHEN r < 5 THEN 'small' END, CASE WHEN c > 10 THEN 'wide' END, CASE WHEN k > 0 THEN 'numeric:' || k END, CASE WHEN g > 0 THEN 'grouping:' || g END) AS notes FROM t""",
         "table_usage": f"WITH {CELLS}, t AS (SELECT doc_id, table_no, max(n) AS r, count(*) FILTER (has_number) AS k, count(*) FILTER (n_unique <= 10) AS g FROM prof GROUP BY ALL) SELECT doc_id, table_no, concat_ws('; ', CASE WHEN k >= 2 THEN {q(V.USAGE_NOTES[0])} END, CASE WHEN g > 0 THEN {q(V.USAGE_NOTES[1])} END, CASE WHEN r > 20 THEN {q(V.USAGE_NOTES[2])} ELSE {q(V.USAGE_NOTES[3])} END) AS usage FROM t",
         "table_embedding": f"WITH {CELLS}, l AS (SELECT doc_id, table_no, row_no, string_agg(col_name || ': ' || CASE WHEN cell = '' THEN 'N/A' ELSE cell END, ' | ' ORDER BY col_no) AS line, string_agg(col_name, ', ' ORDER BY col_no) AS names FROM cell GROUP BY ALL) SELECT doc_id, table_no, 'Table with columns: ' || first(names ORDER BY row_no) || chr(10) || string_agg(line, chr(10) ORDER BY row_no) AS text FROM l GROUP BY ALL",
-        "table_json": f"""WITH {CELLS}, v AS (SELECT *, {NUMBER} AS number FROM kinds), p AS (SELECT *, '"' || col_name || '": ' || CASE kind WHEN 'null' THEN 'null' WHEN 'bool' THEN CASE WHEN lower(cell) IN ({', '.join(map(q, V.TRUE_CELLS))}) THEN 'true' ELSE 'false' END WHEN 'str' THEN '"' || replace(cell, '"', '\\"') || '"' ELSE CASE WHEN number = floor(number) THEN floor(number)::BIGINT::VARCHAR ELSE number::DECIMAL(38, 6)::VARCHAR END END AS j FROM v),
+        "table_json": f"""WITH {CELLS}, v AS (SELECT *, {DIGITS} AS number FROM kinds),
+          p AS (SELECT *, to_json(col_name)::VARCHAR || ': ' || CASE kind WHEN 'null' THEN 'null' WHEN 'bool' THEN CASE WHEN lower(cell) IN ({', '.join(map(q, V.TRUE_CELLS))}) THEN 'true' ELSE 'false' END WHEN 'str' THEN to_json(cell)::VARCHAR ELSE number END AS j FROM v),
           r AS (SELECT doc_id, table_no, row_no, '{{' || string_agg(j, ', ' ORDER BY col_no) || '}}' AS j, string_agg(col_name, ',' ORDER BY col_no) AS h FROM p GROUP BY ALL) SELECT doc_id, table_no, first(h ORDER BY row_no) AS headers, count(*)::INT AS n_rows, '[' || string_agg(j, ', ' ORDER BY row_no) || ']' AS rows FROM r GROUP BY ALL""",
         "value_distribution": f"WITH {CELLS}, v AS (SELECT col_name, cell, count(*) AS n FROM cell WHERE cell <> '' GROUP BY 1, 2) SELECT * FROM v WHERE col_name IN (SELECT col_name FROM v GROUP BY 1 HAVING count(*) <= 20)",
         "boundaries": f"WITH {MD}, e AS ({edges}), p AS (SELECT doc_id, family, k, coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS position FROM e, unnest(range(1, len(h) + 1)) AS t(i)) SELECT doc_id, position::INT AS position, arg_min(family, k) AS family FROM p GROUP BY 1, 2",
@@ -263,7 +271,9 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         "refs_urls": f"WITH {REFS} SELECT doc_id, section_id, target AS url, regexp_extract(target, '^https?://([^/?#]+)', 1) AS domain FROM refs WHERE type = 'url'",
         "refs_located": f"WITH {LOCATED} SELECT doc_id, section_id, type, text, target, position, {strip('substr(content, greatest(position - 50, 0) + 1, position + 50 - greatest(position - 50, 0))')} AS context, CASE WHEN type = 'api' THEN nullif(upper(regexp_extract(text, '(?i)^(GET|POST|PUT|DELETE|PATCH)\\s', 1)), '') END AS method FROM located",
         "refs_external": f"WITH {REFS} SELECT doc_id, section_id, type, text, target, CASE WHEN type = 'url' THEN regexp_extract(target, '^https?://([^/?#]+)', 1) END AS domain, CASE WHEN type = 'api' AND contains(target, '/api/') THEN '#api-docs' || replace(target, '/', '-') END AS documentation FROM refs WHERE type IN ('url', 'api')",
-        "refs_resolved": f"WITH {KNOWN} SELECT refs.* FROM refs JOIN known USING (doc_id, type, target)",
+        "refs_resolved": f"""WITH {KNOWN} SELECT n.doc_id, n.section_id, n.type, n.text, n.target, sec.title AS target_title, {SAFE_CUT("replace(lower(sec.title), ' ', '-')")} AS target_anchor, left(sec.content, 200) || CASE WHEN length(sec.content) > 200 THEN '...' ELSE '' END AS target_preview,
+          CASE WHEN n.type = 'page' THEN places END AS sections_on_page, CASE WHEN n.type IN ('figure', 'table') THEN last END AS target_section, '#' || n.type || '-' || number AS link
+          FROM numbered n JOIN known USING (doc_id, type, number) LEFT JOIN sec ON n.type = 'section' AND sec.doc_id = n.doc_id AND sec.section_id::VARCHAR = number""",
         "refs_broken": f"WITH {KNOWN} SELECT *, upper(type[1]) || type[2:] || ' ' || target || ' not found' AS reason FROM missing",
         "xref_stats": f"WITH {KNOWN}, n AS (SELECT doc_id, count(*) FILTER (type NOT IN ('url', 'api')) AS internal, count(*) FILTER (type IN ('url', 'api')) AS external FROM refs GROUP BY 1), m AS (SELECT doc_id, count(*) AS broken FROM missing GROUP BY 1) SELECT doc_id, internal, external, coalesce(broken, 0) AS broken FROM n LEFT JOIN m USING (doc_id)",
         "document_type_vote": f"WITH {BOTH}, v AS ({votes}), n AS (SELECT doc_id, name, k, count(*) AS n, min(section_id) AS f FROM v GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f, k) AS p FROM n) SELECT d.doc_id, coalesce(name, 'general_document') AS document_type FROM (SELECT DISTINCT doc_id FROM sec) d LEFT JOIN r ON r.doc_id = d.doc_id AND p = 1",

@@ -14,7 +14,7 @@ def sql(known: dict[str, str]) -> dict[str, str]:
     scores = f"scores AS ({known['term_scores']})"
     inside = f"{scores}, {SEC}, hit AS (SELECT sec.doc_id, section_id, term FROM sec JOIN scores ON scores.doc_id = sec.doc_id AND contains(lower(content), term))"
     pairs = f"{inside}, pair AS (SELECT a.doc_id, a.term AS term_a, b.term AS term_b, count(*) AS weight FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.section_id = b.section_id AND a.term < b.term GROUP BY ALL)"
-    json = lambda c: f"""'"' || replace(replace(replace({c}, '\\', '\\\\'), '"', '\\"'), {nl}, '\\n') || '"'"""
+    json = lambda c: f"to_json(({c})::VARCHAR)::VARCHAR"
     kinds = [r"## ([^#\n]+)\n\n([^#]+?)(?:\n#|\z)", r"\*\*([^*]+)\*\*[:\s]*([^.\n]+\.)", r"`([^`]+)`[:\s]*([^.\n]+\.)"]
     found = " UNION ALL ".join(f"SELECT doc_id, section_id, {k} AS fam, i, n[i] AS n, d[i] AS d FROM (SELECT doc_id, section_id, regexp_extract_all(content, {q(p)}, 1) AS n, regexp_extract_all(content, {q(p)}, 2) AS d FROM sec), unnest(range(1, len(n) + 1)) AS t(i)" for k, p in enumerate(kinds))
     concepts = f"""{SEC}, found AS ({found}), c AS (SELECT doc_id, section_id, fam, i, {strip('n')} AS name, {strip('d')} AS definition FROM found),

@@ -75,7 +75,7 @@ tab AS (SELECT doc_id, i::INT AS table_no, rs[i][2:] AS markdown, ({count('rs[i]
         "field_context": f"WITH {MD}, {LINES.format('md')}, n AS (SELECT doc_id, line_no, array_to_string(list_filter(list_transform(l[greatest(1, line_no - 1):line_no + 3], lambda x: {strip('x')}), lambda x: x <> ''), ' ') AS context FROM line WHERE contains(s, ':')) SELECT *, trim(nullif(regexp_extract(context, '(\\d+\\.\\d+\\s+[A-Z][^:]+)', 1), '')) AS section FROM n",
         "document_stats": f"WITH {MD} SELECT doc_id, length(text)::INT AS total_characters, {count('text', chr(92) + 'S+')}::INT AS total_words, {count('text', '(?m)^#{1,6}[ ' + chr(92) + 't]+' + chr(92) + 'S')}::INT AS total_headers, len(regexp_extract_all(chr(10) || text || chr(10), '(?:\\n[^\\n]*[|][^\\n]*){{3,}}'))::INT AS total_tables, len(regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^)]+)\\)'))::INT AS total_images, {any_of('lower(left(text, 1000))', V.TOC_WORDS)} AS has_toc, greatest(1, length(text) // 3000)::INT AS estimated_pages, regexp_matches(text, '(?m)^#{{1,6}}\\s+') AS has_headers, regexp_matches(text, '(?m)^[*\\-+]\\s+') AS has_lists, contains(text, '```') AS has_code_blocks FROM md",
         "page_offsets": "WITH p AS (SELECT doc_id, (pos // 3000 + 1)::INT AS page_num, length(substr(text, pos + 1, 3000)) AS n FROM documents, unnest(range(0, length(text), 3000)) AS t(pos)) SELECT doc_id, page_num, (sum(n) OVER w - n)::BIGINT AS start, (sum(n) OVER w)::BIGINT AS \"end\" FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page_num)",
-        "xref_internal": f"WITH {KNOWN}, ok AS (SELECT refs.* FROM refs JOIN known USING (doc_id, type, target)), c AS (SELECT doc_id, {agg(f'''{chr(39)}- **{chr(39)} || {title('type')} || ' Links**: ' || k || ' references{chr(39)}''', 'type')} AS b FROM (SELECT doc_id, type, count(*) AS k FROM ok GROUP BY 1, 2) GROUP BY 1), r AS (SELECT doc_id, count(*) AS k, {agg(chr(39) + '| Section ' + chr(39) + ' || section_id || ' + chr(39) + ' | Section ' + chr(39) + ' || target || ' + chr(39) + ' | ' + chr(39) + ' || text || ' + chr(39) + ' |' + chr(39), 'section_id, target, text')} AS b FROM ok WHERE type = 'section' GROUP BY 1) "
+        "xref_internal": f"WITH {KNOWN}, ok AS (SELECT n.doc_id, n.section_id, n.type, n.text, n.target FROM numbered n JOIN known USING (doc_id, type, number)), c AS (SELECT doc_id, {agg(f'''{chr(39)}- **{chr(39)} || {title('type')} || ' Links**: ' || k || ' references{chr(39)}''', 'type')} AS b FROM (SELECT doc_id, type, count(*) AS k FROM ok GROUP BY 1, 2) GROUP BY 1), r AS (SELECT doc_id, count(*) AS k, {agg(chr(39) + '| Section ' + chr(39) + ' || section_id || ' + chr(39) + ' | Section ' + chr(39) + ' || target || ' + chr(39) + ' | ' + chr(39) + ' || text || ' + chr(39) + ' |' + chr(39), 'section_id, target, text')} AS b FROM ok WHERE type = 'section' GROUP BY 1) "
         + file("'references/internal-references.md'", f"'# Internal Cross-References' || {nl} || {nl} || '## Summary' || {nl} || {nl} || c.b || coalesce({nl} || {nl} || '### Section References (' || r.k || ')' || {nl} || {nl} || '| Source | Target | Text |' || {nl} || '|---|---|---|' || {nl} || r.b, '')", "c LEFT JOIN r USING (doc_id)"),
         "xref_external": f"WITH {REFS}, l AS (SELECT doc_id, type, section_id, CASE WHEN type = 'url' THEN '| ' || target || ' | ' || {domain} || ' | Section ' || section_id || ' |' ELSE '| ' || CASE WHEN {method} = '' THEN 'N/A' ELSE {method} END || ' | ' || target || ' | Section ' || section_id || ' |' END AS line FROM refs WHERE type IN ('url', 'api')), g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (type = 'url') AS u, string_agg(line, {nl} ORDER BY section_id, line) FILTER (type = 'url') AS ub, string_agg(line, {nl} ORDER BY section_id, line) FILTER (type = 'api') AS ab FROM l GROUP BY 1) "
         + file("'references/external-references.md'", f"'# External References' || {nl} || {nl} || '- **Total External References**: ' || n || {nl} || '- **URLs**: ' || u || {nl} || '- **API Endpoints**: ' || (n - u) || {nl} || {nl} || '## URL References' || {nl} || {nl} || '| URL | Domain | Source Section |' || {nl} || '|---|---|---|' || {nl} || coalesce(ub, '') || {nl} || {nl} || '## API References' || {nl} || {nl} || '| Method | Endpoint | Source Section |' || {nl} || '|---|---|---|' || {nl} || coalesce(ab, '')", "g"),

@@ -50,7 +50,7 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 MARKDOWN = """SELECT c_custkey AS doc_id,
   CASE WHEN c_custkey % 5 = 0 THEN 'Preface for ' || c_name || ' follows.' || chr(10) ELSE '' END
   || '# ' || c_name || ' Guide' || chr(10) || chr(10)
-  || 'Welcome to the ' || c_mktsegment || ' Customer Portal. This overview of the REST API uses JSON. See Section 2 for the Data Model and refer to page 4.' || chr(10) || chr(10)
+  || 'Welcome to the ' || c_mktsegment || ' Customer Portal. This overview of the REST API uses JSON. See Section 2 for the Data Model and refer to page 4.' || CASE WHEN c_custkey % 4 = 1 THEN ' Compare p. ' || CAST(c_custkey % 13 AS STRING) || ', page 012 and section 02.' ELSE '' END || chr(10) || chr(10)
   || '## Authentication' || chr(10) || chr(10)
   || 'Use OAuth or a JWT token. The accessToken is a signed value of the Customer Portal.' || chr(10)
   || 'userId: integer value (Required)' || chr(10) || 'timeout: ' || CAST(c_nationkey AS STRING) || chr(10) || 'active: yes' || chr(10)
@@ -61,6 +61,8 @@ MARKDOWN = """SELECT c_custkey AS doc_id,
   || '| alpha | ' || CAST(c_nationkey * 7 AS STRING) || ' | 12% |' || chr(10) || '| beta | $1,200.50 | 50% |' || chr(10) || '| gamma |  | no |' || chr(10) || chr(10)
   || 'As shown in Table 1 and Figure ' || CAST(c_custkey % 3 + 1 AS STRING) || ', rates differ. Visit https://docs' || CAST(c_custkey % 7 AS STRING) || '.example.com/guide?x=1 or section 9.' || chr(10)
   || CASE WHEN c_custkey % 4 = 0 THEN chr(10) || '| region | first | second |' || chr(10) || '|---|---|---|' || chr(10) || '| north | ' || CAST(c_custkey % 11 AS STRING) || ' | 12.5 |' || chr(10) || '| south | yes | $7 |' || chr(10) || '| west |  | 3% |' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN c_custkey % 7 = 3 THEN chr(10) || '| path' || chr(92) || 'name | the "id" | small |' || chr(10) || '|---|---|---|' || chr(10) || '| C:' || chr(92) || 'tmp' || chr(9) || 'x | 12345678901234567890 | 0.12345678 |' || chr(10)
+      || '| say "hi" | 9007199254740993 | -0.50% |' || chr(10) || '| a ' || chr(92) || 'n b | 007 | 250% |' || chr(10) || chr(10) || 'The Data' || chr(9) || 'Path is a place' || chr(9) || 'that ends in ' || chr(92) || ' or "so" as said.' || chr(10) ELSE '' END
   || CASE WHEN c_custkey % 3 = 0 THEN '## Error Handling' || chr(10) || chr(10) || 'The following options are supported:' || chr(10) || '- retry the request' || chr(10) || '* log the error' || chr(10)
       || '-' || chr(10) || 'call support' || chr(10) || '1. Read the message' || chr(10) || '2. Fix the input' || chr(10) ELSE '' END
   || '## Summary' || chr(10) || chr(10) || '**Portal** is the place for all ' || c_mktsegment || ' orders. `accessToken` must be kept secret. ![logo](img/' || CAST(c_custkey AS STRING) || '.png) and [home](https://example.com/home).' AS text
