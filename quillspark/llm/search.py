@@ -105,9 +105,10 @@ def weighted(terms: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
 def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     """item_id, rank, doc_id, score: each item's `top` best documents."""
     terms = stash(item_terms(items))
+    most = terms.count()
     n_docs, n_terms = totals(docs)
-    index = postings(docs, n_docs, n_terms, stash(terms.select("term").distinct()))
-    own = stash(weighted(terms, index, n_docs))
+    index = postings(docs, n_docs, n_terms, stash(terms.select("term").distinct(), most))
+    own = stash(weighted(terms, index, n_docs), most)  # in few files, whose size tells the planner whether to broadcast
     matches = index.repartition("row").join(own, ["bucket", "term"])
     scores = matches.groupBy("item_id", "row").agg(F.min("doc_id").alias("doc_id"), F.sum(F.col("weight") * F.col("part")).alias("score")).where("score > 0")
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "row")
