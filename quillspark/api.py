@@ -16,6 +16,7 @@ from .operators import reports as P
 from .operators import sections as S
 from .operators import summaries as U
 from .operators import terms as M
+from .sources import files as named
 from .sources import sinks
 
 
@@ -38,8 +39,9 @@ def analyze(docs: DataFrame) -> DataFrame:
     return A.document_stats(docs).join(L.document_structure(docs).select("doc_id", "document_type"), "doc_id")
 
 
-def convert(docs: DataFrame, tables: bool = True, images: bool = True, concepts: bool = True, summaries: bool = True) -> DataFrame:
-    """doc_id, path, body of every file that a document turns into, with a README.md that lists them."""
+def convert(docs: DataFrame, tables: bool = True, images: bool = True, concepts: bool = True, summaries: bool = True, output: str | None = None, buckets: int | None = None) -> DataFrame:
+    """doc_id, path, body of every file that a document turns into, with a README.md that lists them; written under
+    their names if `output` is given."""
     sections = S.sections_from_markdown(docs)
     typed = S.with_types(sections)
     known = R.resolution(sections)
@@ -61,7 +63,10 @@ def convert(docs: DataFrame, tables: bool = True, images: bool = True, concepts:
     files = parts[0]
     for p in parts[1:]:
         files = files.unionByName(p)
-    return P.with_master_index(files)
+    files = P.with_master_index(files)
+    if output:
+        named.write_files(files, output, buckets=buckets)
+    return files
 
 
 def prepare_for_rag(docs: DataFrame, vector_db_format: str = "generic", chunk_size: int = C.SIZE, chunk_overlap: int = C.OVERLAP, output: str | None = None) -> tuple[DataFrame, DataFrame]:

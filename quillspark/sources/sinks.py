@@ -1,4 +1,4 @@
-"""Outputs: section files, JSON and Markdown artefacts, vector payloads."""
+"""Outputs: texts by document, JSON artefacts, vector payloads. Files under their names: files.write_files."""
 
 from __future__ import annotations
 
