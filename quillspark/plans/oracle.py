@@ -40,6 +40,7 @@ def sentences(c: str) -> str:
 
 
 MD = "md AS (" + MARKDOWN.replace("{customer}", "customer") + ")"
+PAGES = "SELECT doc_id, (pos // 3000 + 1)::INT AS page_num, substr(text, pos + 1, 3000) AS page_text FROM documents, unnest(range(0, length(text), 3000)) AS t(pos)"
 LINES = "ls AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM {0}), line AS (SELECT doc_id, (i - 1)::INT AS line_no, l[i] AS line, " + strip("l[i]") + " AS s, l FROM ls, unnest(range(1, len(l) + 1)) AS t(i))"
 SEC = rf"""{MD},
 parts AS (SELECT doc_id, string_split(regexp_replace(chr(10) || text, '\n(#{{1,6}}[ \t]+\S)', chr(1) || '\1', 'g'), chr(1)) AS ps FROM md),
@@ -234,7 +235,13 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
           array_to_string(list_concat(list_concat({two(0)}, regexp_extract_all(content, {q(CROSS[1])})), {two(2)}), ', ') AS cross_references, trim(nullif(regexp_extract(context, '(\\d+\\.\\d+\\s+[A-Z][^:]+)', 1), '')) AS section FROM field JOIN near USING (doc_id, line_no)""",
         "fields_list": rf"WITH {MD}, {LINES.format('md')} SELECT doc_id, 'item_' || row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS name, regexp_extract(s, '^(?:[•\-*]|\d+[.)])\s+(.+)$', 1) AS content FROM line WHERE regexp_matches(s, '^(?:[•\-*]|\d+[.)])\s+(.+)$')",
         "fields_table": rf"WITH {MD}, {LINES.format('md')}, c AS (SELECT doc_id, line_no, list_filter(list_transform(string_split(line, '|'), lambda x: {strip('x')}), lambda x: x <> '') AS c FROM line WHERE {count('line', '[|]')} > 2) SELECT doc_id, line_no, c[1] AS name, array_to_string(c[2:], ' | ') AS content FROM c WHERE len(c) >= 2",
-        "pages_fixed": "SELECT doc_id, (pos // 3000 + 1)::INT AS page_num, substr(text, pos + 1, 3000) AS page_text FROM documents, unnest(range(0, length(text), 3000)) AS t(pos)",
+        "pages_fixed": PAGES,
+        "pdf_pages": f"WITH p AS ({PAGES}) SELECT doc_id, page_num, array_to_string(list_transform(list_filter(string_split(page_text, chr(10)), lambda x: x <> ''), lambda x: regexp_replace(x, '[ \\t]+$', '')), chr(10)) AS page_text, NULL::VARCHAR AS error FROM p",
+        "pdf_outline": f"WITH p AS ({PAGES}) SELECT doc_id, page_num - 1 AS ord, 'Page ' || page_num AS title, 0 AS level, page_num, NULL::VARCHAR AS error FROM p",
+        "pdf_facts": f"WITH p AS ({PAGES}) SELECT doc_id, max(page_num) AS pages, true AS has_toc, 'Document ' || doc_id AS title, '' AS author, '' AS subject, '' AS creator, NULL::VARCHAR AS error FROM p GROUP BY doc_id",
+        "docx_markdown": rf"""WITH {MD}, {LINES.format('md')}, k AS (SELECT doc_id, line_no, s, CASE WHEN regexp_full_match(s, '[|].*[|]') THEN 'table' WHEN regexp_matches(s, '^[-*]\s+\S') THEN 'list' ELSE '' END AS kind FROM line),
+          j AS (SELECT *, CASE WHEN kind <> '' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) = kind THEN chr(10) ELSE chr(10) || chr(10) END AS sep FROM k)
+          SELECT doc_id, substr(string_agg(sep || CASE WHEN kind = 'list' THEN '- ' || {strip('substr(s, 2)')} ELSE s END, '' ORDER BY line_no), 3) AS text, NULL::VARCHAR AS error FROM j WHERE s <> '' GROUP BY doc_id""",
         "sections_by_pages": "SELECT doc_id, (pos // 9000 + 1)::INT AS section_id, (pos // 3000 + 1)::INT AS first_page, (pos // 3000 + ceil(least(9000, length(text) - pos) / 3000))::INT AS last_page, least(9000, length(text) - pos)::INT AS n_chars FROM documents, unnest(range(0, length(text), 9000)) AS t(pos)",
         "sections_md": f"WITH {SEC} SELECT * FROM sec",
         "section_types": f"WITH {TYPED} SELECT doc_id, section_id, section_type, token_count FROM typed",

@@ -15,7 +15,7 @@ from ..operators import sections as S
 from ..operators import summaries as U
 from ..operators import tables as B
 from ..operators import terms as M
-from ..sources import sinks
+from ..sources import docx, pdf, sinks
 from ..sources.tables import MENTIONS, html_to_markdown, markdown, table
 from ..streaming import events as E
 from . import oracle
@@ -128,6 +128,15 @@ def _mixed(s, d):
     return _docs(s, d).select("doc_id", "text").unionByName(_md(s, d).select((F.col("doc_id") + 100000000).alias("doc_id"), "text"))
 
 
+def _pdfs(s, d):
+    """The documents' pages as PDF files, to be read back."""
+    return pdf.pages_as_pdf(S.pages_fixed(_docs(s, d)))
+
+
+def _numbered(df):
+    return df.select(F.col("path").cast("bigint").alias("doc_id"), *[c for c in df.columns if c != "path"])
+
+
 def _titled(s, d):
     """Sections whose texts name each other's titles: one document for each 150th customer."""
     return s.sql(MENTIONS, customer=table(s, d, "customer"))
@@ -168,6 +177,10 @@ QUERIES = {
     "fields_generic": lambda s, d: L.generic_content(_docs(s, d)),
     "fields_table": lambda s, d: L.table_fields(_md(s, d)),
     "pages_fixed": lambda s, d: S.pages_fixed(_docs(s, d)),
+    "pdf_pages": lambda s, d: _numbered(pdf.pdf_pages(_pdfs(s, d))).drop("images"),
+    "pdf_outline": lambda s, d: _numbered(pdf.pdf_outline(_pdfs(s, d))),
+    "pdf_facts": lambda s, d: _numbered(pdf.pdf_facts(_pdfs(s, d))),
+    "docx_markdown": lambda s, d: _numbered(docx.docx_markdown(docx.markdown_as_docx(_md(s, d)))),
     "sections_by_pages": lambda s, d: S.sections_from_pages(_docs(s, d)),
     "outline_flat": lambda s, d: S.flatten_outline(_outline(s, d)),
     "sections_outline": lambda s, d: S.sections_from_outline(_entries(s, d), S.pages_fixed(_docs(s, d))),
