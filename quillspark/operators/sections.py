@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
+from .matching import found_in
 
 
 def sections_from_markdown(docs: DataFrame, compat: bool = False) -> DataFrame:
@@ -126,12 +127,11 @@ def related_by_type(typed: DataFrame) -> DataFrame:
 
 
 def related_by_mention(typed: DataFrame) -> DataFrame:
-    """doc_id, section_id, related_id: one's title occurs in the other's content. A section's content meets
-    the titles of its document only; the pairs found, which are narrow, then count both ways."""
-    low = typed.select("doc_id", "section_id", F.lower("title").alias("t"), F.lower("content").alias("c"))
-    titles = low.groupBy("doc_id").agg(F.collect_list(F.struct("section_id", "t")).alias("ts"))
-    own = F.filter("ts", lambda x: (x["section_id"] != F.col("section_id")) & F.contains("c", x["t"]))
-    met = low.select("doc_id", "section_id", "c").join(titles, "doc_id").select("doc_id", "section_id", F.explode(F.transform(own, lambda x: x["section_id"])).alias("related_id"))
+    """doc_id, section_id, related_id: one's title occurs in the other's content. The pairs found, which are
+    narrow, count both ways."""
+    texts = typed.select("doc_id", "section_id", F.lower("content").alias("text"))
+    titles = typed.select("doc_id", F.col("section_id").alias("related_id"), F.lower("title").alias("needle"))
+    met = found_in(texts, titles, "section_id").join(titles, ["doc_id", "needle"]).where("section_id <> related_id").select("doc_id", "section_id", "related_id")
     return met.unionByName(met.select("doc_id", F.col("related_id").alias("section_id"), F.col("section_id").alias("related_id"))).distinct()
 
 

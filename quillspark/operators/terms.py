@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
+from .matching import found_in
 
 
 def section_terms(sections: DataFrame) -> DataFrame:
@@ -71,11 +72,9 @@ def cooccurrence(terms: DataFrame) -> DataFrame:
 
 
 def contained(scores: DataFrame, sections: DataFrame) -> DataFrame:
-    """doc_id, section_id, term: the kept terms of a document that occur in a section, whatever their case. A
-    section meets the terms of its document only."""
-    terms = scores.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("ts"))
-    d = sections.select("doc_id", "section_id", F.lower("content").alias("c")).join(terms, "doc_id")
-    return d.select("doc_id", "section_id", F.explode(F.filter("ts", lambda t: F.contains("c", t))).alias("term"))
+    """doc_id, section_id, term: the kept terms of a document that occur in a section, whatever their case."""
+    texts = sections.select("doc_id", "section_id", F.lower("content").alias("text"))
+    return found_in(texts, scores.select("doc_id", F.col("term").alias("needle")), "section_id").withColumnRenamed("needle", "term")
 
 
 def document_pairs(occurrences: DataFrame) -> DataFrame:
@@ -147,6 +146,7 @@ def concept_definitions(sections: DataFrame) -> DataFrame:
 
 
 def definition_links(scores: DataFrame, concepts: DataFrame) -> DataFrame:
-    """doc_id, term, concept: the term occurs in another concept's definition. Terms and concepts of one document meet only."""
-    j = scores.select("doc_id", "term").join(concepts.select("doc_id", "concept", F.lower("definition").alias("d")), "doc_id")
-    return j.where((F.col("term") != F.col("concept")) & F.contains("d", "term")).select("doc_id", "term", "concept")
+    """doc_id, term, concept: the term occurs in another concept's definition."""
+    texts = concepts.select("doc_id", "concept", F.lower("definition").alias("text"))
+    hits = found_in(texts, scores.select("doc_id", F.col("term").alias("needle")), "concept")
+    return hits.where("needle <> concept").select("doc_id", F.col("needle").alias("term"), "concept")
