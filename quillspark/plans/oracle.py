@@ -40,6 +40,10 @@ def sentences(c: str) -> str:
 
 
 MD = "md AS (" + MARKDOWN.replace("{customer}", "customer") + ")"
+TREE = """n AS (SELECT (p_partkey - 1) // 60 AS doc_id, p_partkey::BIGINT AS node, (p_partkey - 1) % 60 AS i, (-p_partkey % 3)::BIGINT AS ord, p_name AS title,
+  CASE WHEN i = 0 AND doc_id % 7 = 3 THEN node + 1 WHEN i = 0 THEN NULL WHEN i % 5 = 4 THEN node - 1 - i % 4 ELSE node - 1 END AS parent FROM part),
+t AS (SELECT n.*, 0 AS level, [{'o': ord, 'n': node}] AS way FROM n WHERE parent IS NULL OR parent NOT IN (SELECT node FROM n m WHERE m.doc_id = n.doc_id)
+  UNION ALL SELECT n.*, level + 1, list_append(way, {'o': n.ord, 'n': n.node}) FROM t JOIN n ON n.doc_id = t.doc_id AND n.parent = t.node)"""
 PAGES = "SELECT doc_id, (pos // 3000 + 1)::INT AS page_num, substr(text, pos + 1, 3000) AS page_text FROM documents, unnest(range(0, length(text), 3000)) AS t(pos)"
 LINES = "ls AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM {0}), line AS (SELECT doc_id, (i - 1)::INT AS line_no, l[i] AS line, " + strip("l[i]") + " AS s, l FROM ls, unnest(range(1, len(l) + 1)) AS t(i))"
 SEC = rf"""{MD},
@@ -236,6 +240,8 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         "fields_list": rf"WITH {MD}, {LINES.format('md')} SELECT doc_id, 'item_' || row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS name, regexp_extract(s, '^(?:[•\-*]|\d+[.)])\s+(.+)$', 1) AS content FROM line WHERE regexp_matches(s, '^(?:[•\-*]|\d+[.)])\s+(.+)$')",
         "fields_table": rf"WITH {MD}, {LINES.format('md')}, c AS (SELECT doc_id, line_no, list_filter(list_transform(string_split(line, '|'), lambda x: {strip('x')}), lambda x: x <> '') AS c FROM line WHERE {count('line', '[|]')} > 2) SELECT doc_id, line_no, c[1] AS name, array_to_string(c[2:], ' | ') AS content FROM c WHERE len(c) >= 2",
         "pages_fixed": PAGES,
+        "outline_adjacency": f"WITH RECURSIVE {TREE} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY way) - 1)::INT AS ord, node, title, level FROM t",
+        "outline_cycles": f"WITH RECURSIVE {TREE} SELECT doc_id, node FROM n WHERE node NOT IN (SELECT node FROM t)",
         "pdf_pages": f"WITH p AS ({PAGES}) SELECT doc_id, page_num, array_to_string(list_transform(list_filter(string_split(page_text, chr(10)), lambda x: x <> ''), lambda x: regexp_replace(x, '[ \\t]+$', '')), chr(10)) AS page_text, NULL::VARCHAR AS error FROM p",
         "pdf_outline": f"WITH p AS ({PAGES}) SELECT doc_id, page_num - 1 AS ord, 'Page ' || page_num AS title, 0 AS level, page_num, NULL::VARCHAR AS error FROM p",
         "pdf_facts": f"WITH p AS ({PAGES}) SELECT doc_id, max(page_num) AS pages, true AS has_toc, 'Document ' || doc_id AS title, '' AS author, '' AS subject, '' AS creator, NULL::VARCHAR AS error FROM p GROUP BY doc_id",

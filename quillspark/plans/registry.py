@@ -15,6 +15,7 @@ from ..operators import sections as S
 from ..operators import summaries as U
 from ..operators import tables as B
 from ..operators import terms as M
+from ..operators import trees as N
 from ..sources import docx, pdf, sinks
 from ..sources.tables import MENTIONS, html_to_markdown, markdown, table
 from ..streaming import events as E
@@ -117,6 +118,14 @@ def _outline(s, d):
     return node.select("doc_id", F.transform("nodes", lambda x: F.struct(x["title"].alias("title"), x["kids"].alias("kids"))).alias("nodes"))
 
 
+def _tree(s, d):
+    """Outlines as rows: every 60 parts one, deep and with branches; every seventh has a cycle at its top."""
+    k, n = F.col("p_partkey").cast("bigint"), F.expr("(p_partkey - 1) % 60").cast("bigint")
+    doc = F.expr("(p_partkey - 1) div 60")
+    parent = F.when((n == 0) & (doc % 7 == 3), k + 1).when(n == 0, None).when(n % 5 == 4, k - 1 - n % 4).otherwise(k - 1)
+    return table(s, d, "part").select(doc.alias("doc_id"), k.alias("node"), parent.alias("parent"), (-k % 3).alias("ord"), F.col("p_name").alias("title"))
+
+
 def _entries(s, d):
     """An outline of every second page; some of its entries point nowhere."""
     n = F.col("page_num")
@@ -182,6 +191,8 @@ QUERIES = {
     "pdf_facts": lambda s, d: _numbered(pdf.pdf_facts(_pdfs(s, d))),
     "docx_markdown": lambda s, d: _numbered(docx.docx_markdown(docx.markdown_as_docx(_md(s, d)))),
     "sections_by_pages": lambda s, d: S.sections_from_pages(_docs(s, d)),
+    "outline_adjacency": lambda s, d: N.flatten_adjacency(_tree(s, d)),
+    "outline_cycles": lambda s, d: N.cycles(_tree(s, d)),
     "outline_flat": lambda s, d: S.flatten_outline(_outline(s, d)),
     "sections_outline": lambda s, d: S.sections_from_outline(_entries(s, d), S.pages_fixed(_docs(s, d))),
     "sections_chosen": lambda s, d: S.choose_sections(_mixed(s, d), _entries(s, d).where("doc_id % 2 = 0"), S.pages_fixed(_docs(s, d))),
