@@ -144,6 +144,7 @@ def format_table_row(line: Column) -> Column:
 
 def code_type(c: Column) -> Column:
     t = F.lower(c)
+    # fixed values, in natural order
     rules = [("python", ["python", "def ", "import ", "from "]), ("javascript", ["javascript", "js", "function", "var ", "const ", "let "]), ("java", ["java", "public class", "private class"]), ("cpp", ["c++", "cpp", "#include", "using namespace"])]
     json = F.contains(t, F.lit("json")) | (F.contains(t, F.lit("{")) & F.contains(t, F.lit('"')))
     return F.coalesce(first_class(t, rules), F.when(json, "json"), F.when(any_of(t, ["sql", "select ", "from ", "where "]), "sql"), F.lit("text"))

@@ -43,8 +43,8 @@ def examples(content: Column) -> Column:
     """Up to two code blocks and two passages of each of two phrases, cut short."""
     inner = lambda b: F.array_join(F.filter(F.split(b, "\n", -1), lambda x, i: (i > 0) & (i < F.size(F.split(b, "\n", -1)) - 1)), "\n")
     blocks = F.filter(F.slice(T.find_all(content, r"```[\s\S]*?```"), 1, 2), lambda b: F.size(F.split(b, "\n", -1)) > 2)
-    code = F.transform(blocks, lambda b: F.concat(F.lit("Code example: "), F.left(inner(b), F.lit(200)), F.lit("...")))
-    said = lambda p: F.transform(F.slice(T.find_all(content, p, 1), 1, 2), lambda m: F.concat(F.lit("Example: "), F.left(T.strip(m), F.lit(150)), F.lit("...")))
+    code = F.transform(blocks, lambda b: F.concat(F.lit("Code: "), F.left(inner(b), F.lit(200)), F.lit("...")))
+    said = lambda p: F.transform(F.slice(T.find_all(content, p, 1), 1, 2), lambda m: F.concat(F.lit("For instance: "), F.left(T.strip(m), F.lit(150)), F.lit("...")))
     return F.concat(code, *[said(p) for p in V.EXAMPLE_PATTERNS])
 
 
@@ -53,9 +53,9 @@ def technical_details(content: Column) -> Column:
     methods, paths = (T.find_all(content, r"(?i)(GET|POST|PUT|DELETE|PATCH)\s+([/\w\-{}.:]+)", g) for g in (1, 2))
     calls = F.transform(F.slice(F.arrays_zip(methods.alias("m"), paths.alias("p")), 1, 3), lambda e: F.concat(F.lit("**"), e["m"], F.lit("** `"), e["p"], F.lit("`")))
     said = lambda name, p, k: F.transform(F.slice(T.find_all(content, p, 1), 1, k), lambda m: F.concat(F.lit(name), F.left(T.strip(m), F.lit(100))))
-    found = F.concat(calls, said("Parameters: ", V.PARAMETER_PATTERN, 2), said("Response: ", V.RESPONSE_PATTERN, 1))
+    found = F.concat(calls, said("Takes: ", V.PARAMETER_PATTERN, 2), said("Gives: ", V.RESPONSE_PATTERN, 1))
     first = F.slice(T.sentences(content), 1, 2)
-    return F.when(F.size(found) > 0, F.array_join(found, "\n")).when(F.size(first) > 0, F.array_join(first, " ")).otherwise("No technical details found.")
+    return F.when(F.size(found) > 0, F.array_join(found, "\n")).when(F.size(first) > 0, F.array_join(first, " ")).otherwise("Nothing technical here.")
 
 
 def section_points(s: Column, detailed: bool = False) -> Column:
@@ -74,7 +74,7 @@ def section_points(s: Column, detailed: bool = False) -> Column:
 
 
 def trimmed_points(points: Column, target: int | Column) -> Column:
-    return F.coalesce(T.trim_to_tokens(points, target), F.lit("No content available."))
+    return F.coalesce(T.trim_to_tokens(points, target), F.lit("This section is empty."))
 
 
 def section_summary(content: Column, target: int | Column, detailed: bool = False) -> Column:

@@ -72,6 +72,7 @@ def document_structure(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", kind.alias("document_type"), table.alias("has_tables"), (~table & ~field & bullet).alias("has_lists"), "tables", "bullets", "hierarchy", "fields", "filled")
 
 
+#: Fixed values, in natural order.
 DEFINITIONS = [r"([A-Z][^:]+):\s*(.+)", r"([A-Z]\w+)\s+([a-z]+\s+\d+)", r"([A-Z0-9]{2,})\s*[-–]\s*(.+)"]
 
 
@@ -99,6 +100,7 @@ def structured_fields(docs: DataFrame, context: bool = False) -> DataFrame:
     return out.select("doc_id", "line_no", "f.rule", "f.name", "f.content", T.infer_type(F.col("f.content")).alias("type"), *more)
 
 
+#: Fixed values, in natural order.
 CROSS_REFS = [r"(?i)(see|refer|reference)\s+([A-Z]\w+|\d+\.\d+|Table\s+\d+|Section\s+\d+)", r"(?i)([A-Z]\w+\s+\d+)", r"(?i)(Annex|Appendix)\s+([A-Z])"]
 
 

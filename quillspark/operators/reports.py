@@ -40,79 +40,79 @@ def glossary(facts: DataFrame, most: int = 20, per_category: int = 10) -> DataFr
     from .analysis import top
 
     head = top(facts.where("score >= 5"), ["doc_id"], [F.desc("score"), "term"], most)
-    high = cat("### ", title(F.col("term")), "\n**Category**: ", title(F.col("category")), "\n**Frequency**: ", F.col("frequency"), " occurrences\n**Sections**: ", F.col("sections"), "\n",
-               F.when(F.col("definition").isNotNull(), cat("**Definition**: ", F.col("definition"), "\n")), F.when(F.col("context").isNotNull(), cat("**Context**: ...", F.col("context"), "...\n")))
+    high = cat("### ", title(F.col("term")), "\nClass: ", title(F.col("category")), "\nFound: ", F.col("frequency"), " times\nIn: ", F.col("sections"), "\n",
+               F.when(F.col("definition").isNotNull(), cat("Meaning: ", F.col("definition"), "\n")), F.when(F.col("context").isNotNull(), cat("Where: ...", F.col("context"), "...\n")))
     head = listing(head, [F.col("rank")], high).select("doc_id", F.col("body").alias("high"))
     by = top(facts.where("category <> 'general'"), ["doc_id", "category"], [F.desc("frequency"), "term"], per_category)
     line = cat("- **", title(F.col("term")), "** (", F.col("frequency"), "x)", F.when(F.col("definition").isNotNull(), cat(": ", F.left("definition", F.lit(100)), "...")))
     by = listing(by, [F.col("rank")], line, ("doc_id", "category"))
-    by = listing(by, [F.col("category")], cat("## ", title(F.col("category")), " Terms\n\n", F.col("body"), "\n")).select("doc_id", F.col("body").alias("by"))
+    by = listing(by, [F.col("category")], cat("## Of class ", title(F.col("category")), "\n\n", F.col("body"), "\n")).select("doc_id", F.col("body").alias("by"))
     d = facts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("category").alias("k")).join(head, "doc_id", "left").join(by, "doc_id", "left")
-    return _file(d, "concepts/glossary.md", cat("# Technical Glossary\n\n**Total Terms**: ", F.col("n"), "\n**Categories**: ", F.col("k"), "\n\n## High-Importance Terms\n\n", F.col("high"), "\n", F.col("by")))
+    return _file(d, "concepts/glossary.md", cat("# Terms of this document\n\nTerms: ", F.col("n"), "\nClasses: ", F.col("k"), "\n\n## Weightiest\n\n", F.col("high"), "\n", F.col("by")))
 
 
 def category_glossaries(facts: DataFrame, least: int = 3) -> DataFrame:
     """concepts/categories/<category>-glossary.md for each category of at least three terms."""
-    line = cat("### ", title(F.col("term")), "\n**Frequency**: ", F.col("frequency"), "\n**Importance Score**: ", F.format_string("%.1f", F.col("score")), "\n",
-               F.when(F.col("definition").isNotNull(), cat("**Definition**: ", F.col("definition"), "\n")), F.when(F.col("context").isNotNull(), cat("**Context**: ", F.left("context", F.lit(100)), "...\n")))
+    line = cat("### ", title(F.col("term")), "\nFound: ", F.col("frequency"), "\nWeight: ", F.format_string("%.1f", F.col("score")), "\n",
+               F.when(F.col("definition").isNotNull(), cat("Meaning: ", F.col("definition"), "\n")), F.when(F.col("context").isNotNull(), cat("Where: ", F.left("context", F.lit(100)), "...\n")))
     d = listing(facts, [-F.col("score"), F.col("term")], line, ("doc_id", "category")).where(F.col("n") >= least)
-    return _file(d, cat("concepts/categories/", T.safe_filename(F.col("category")), "-glossary.md"), cat("# ", title(F.col("category")), " Glossary\n\n**Terms in Category**: ", F.col("n"), "\n\n## Terms\n\n", F.col("body")))
+    return _file(d, cat("concepts/categories/", T.safe_filename(F.col("category")), "-glossary.md"), cat("# Terms of class ", title(F.col("category")), "\n\nTerms: ", F.col("n"), "\n\n## All of them\n\n", F.col("body")))
 
 
 def internal_references(resolved: DataFrame) -> DataFrame:
-    """references/internal-references.md: counts by family, then the section references."""
+    """references/internal-references.md: counts by family, then the section resolved."""
     d = resolved.where(F.col("type").isin("section", "page", "figure", "table", "concept"))
-    counts = listing(d.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("k")), [F.col("type")], cat("- **", title(F.col("type")), " Links**: ", F.col("k"), " references"))
-    row = cat("| Section ", F.col("section_id"), " | Section ", F.col("target"), " | ", F.col("text"), " |")
+    counts = listing(d.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("k")), [F.col("type")], cat("- **", title(F.col("type")), ": ", F.col("k"), " resolved"))
+    row = cat("| §", F.col("section_id"), " | §", F.col("target"), " | ", F.col("text"), " |")
     rows = listing(d.where("type = 'section'"), [F.col("section_id"), F.col("target"), F.col("text")], row).select("doc_id", F.col("n").alias("k"), F.col("body").alias("rows"))
     j = counts.join(rows, "doc_id", "left")
-    table = F.when(F.col("k") > 0, cat("\n\n### Section References (", F.col("k"), ")\n\n| Source | Target | Text |\n|---|---|---|\n", F.col("rows")))
-    return _file(j, "references/internal-references.md", cat("# Internal Cross-References\n\n## Summary\n\n", F.col("body"), table))
+    table = F.when(F.col("k") > 0, cat("\n\n### To sections (", F.col("k"), ")\n\n| From | To | Words |\n|---|---|---|\n", F.col("rows")))
+    return _file(j, "references/internal-references.md", cat("# References within the document\n\n## Counts\n\n", F.col("body"), table))
 
 
 def external_references(refs: DataFrame) -> DataFrame:
     """references/external-references.md: the URLs with their domains and the interface paths with their methods."""
     d = refs.where(F.col("type").isin("url", "api"))
     method = F.upper(F.regexp_extract("text", r"(?i)^(GET|POST|PUT|DELETE|PATCH)\s", 1))
-    line = F.when(F.col("type") == "url", cat("| ", F.col("target"), " | ", F.parse_url("target", F.lit("AUTHORITY")), " | Section ", F.col("section_id"), " |")).otherwise(cat("| ", F.when(method == "", "N/A").otherwise(method), " | ", F.col("target"), " | Section ", F.col("section_id"), " |"))
+    line = F.when(F.col("type") == "url", cat("| ", F.col("target"), " | ", F.parse_url("target", F.lit("AUTHORITY")), " | §", F.col("section_id"), " |")).otherwise(cat("| ", F.when(method == "", "–").otherwise(method), " | ", F.col("target"), " | §", F.col("section_id"), " |"))
     parts = listing(d, [F.col("section_id"), line], line, ("doc_id", "type")).groupBy("doc_id").agg(*[F.max(F.when(F.col("type") == t, F.col(c))).alias(f"{t}_{c}") for t in ("url", "api") for c in ("n", "body")])
     n = lambda t: F.coalesce(F.col(f"{t}_n"), F.lit(0))
-    body = cat("# External References\n\n- **Total External References**: ", n("url") + n("api"), "\n- **URLs**: ", n("url"), "\n- **API Endpoints**: ", n("api"), "\n\n## URL References\n\n| URL | Domain | Source Section |\n|---|---|---|\n", F.col("url_body"),
-               "\n\n## API References\n\n| Method | Endpoint | Source Section |\n|---|---|---|\n", F.col("api_body"))
+    body = cat("# References to other places\n\n- All: ", n("url") + n("api"), "\n- Web addresses: ", n("url"), "\n- Interface paths: ", n("api"), "\n\n## Web addresses\n\n| Address | Host | From |\n|---|---|---|\n", F.col("url_body"),
+               "\n\n## Interface paths\n\n| Call | Path | From |\n|---|---|---|\n", F.col("api_body"))
     return _file(parts, "references/external-references.md", body)
 
 
 def broken_references(broken: DataFrame) -> DataFrame:
     """references/broken-references.md, for documents that have any."""
-    row = cat("| ", F.col("type"), " | ", F.col("text"), " | Section ", F.col("section_id"), " | ", F.col("reason"), " |")
+    row = cat("| ", F.col("type"), " | ", F.col("text"), " | §", F.col("section_id"), " | ", F.col("reason"), " |")
     d = listing(broken, [F.col("section_id"), row], row)
-    return _file(d, "references/broken-references.md", cat("# Broken References Report\n\n- **Total Broken References**: ", F.col("n"), "\n\n| Type | Text | Source Section | Reason |\n|---|---|---|---|\n", F.col("body")))
+    return _file(d, "references/broken-references.md", cat("# References without a target\n\n- All: ", F.col("n"), "\n\n| Family | Words | From | Why |\n|---|---|---|---|\n", F.col("body")))
 
 
 def link_mapping(links: DataFrame) -> DataFrame:
     """references/link-mapping.md: each text and its link."""
-    d = listing(links, [F.col("text")], cat("**Original**: `", F.col("text"), "`\n**Replacement**: `", F.col("link"), "`\n"))
-    return _file(d, "references/link-mapping.md", cat("# Link Mapping\n\n## Mappings (", F.col("n"), ")\n\n", F.col("body")))
+    d = listing(links, [F.col("text")], cat("Words: `", F.col("text"), "`\nLink: `", F.col("link"), "`\n"))
+    return _file(d, "references/link-mapping.md", cat("# Words and their links\n\n## All (", F.col("n"), ")\n\n", F.col("body")))
 
 
 def table_files(tables: DataFrame) -> DataFrame:
     """tables/table-NNN.md of tables with their Markdown."""
     no = F.format_string("%03d", F.col("table_no"))
-    return _file(tables, cat("tables/table-", no, ".md"), cat("# Table ", F.col("table_no"), "\n\n**Dimensions**: ", F.col("n_rows"), " rows × ", F.col("n_cols"), " columns\n\n", F.col("markdown")))
+    return _file(tables, cat("tables/table-", no, ".md"), cat("# Table ", F.col("table_no"), "\n\nSize: ", F.col("n_rows"), " rows by ", F.col("n_cols"), " columns\n\n", F.col("markdown")))
 
 
 def tables_index(tables: DataFrame) -> DataFrame:
     """tables/tables-index.md with the totals."""
-    line = cat("- [Table ", F.col("table_no"), "](table-", F.format_string("%03d", F.col("table_no")), ".md) - ", F.col("n_rows"), " rows × ", F.col("n_cols"), " columns")
+    line = cat("- [Table ", F.col("table_no"), "](table-", F.format_string("%03d", F.col("table_no")), ".md) - ", F.col("n_rows"), " rows by ", F.col("n_cols"), " columns")
     d = listing(tables, [F.col("table_no")], line, rows=F.sum("n_rows"), cols=F.sum("n_cols"), tokens=F.sum(T.tokens(F.col("markdown"))))
-    return _file(d, "tables/tables-index.md", cat("# Tables Index\n\n**Total Tables**: ", F.col("n"), "\n**Total Data**: ", F.col("rows"), " rows, ", F.col("cols"), " columns\n**Token Count**: ", F.col("tokens"), "\n\n", F.col("body")))
+    return _file(d, "tables/tables-index.md", cat("# Tables of this document\n\nTables: ", F.col("n"), "\nIn all: ", F.col("rows"), " rows, ", F.col("cols"), " columns\nTokens: ", F.col("tokens"), "\n\n", F.col("body")))
 
 
 def chunk_files(chunks: DataFrame) -> DataFrame:
     """chunked/NN-<title>[-chunk-K]-<size>.md of section chunks, with head and guidance."""
     notes = guidance(F.col("size"), F.col("section_type"), F.col("token_count"))
-    head = cat("# ", F.col("title"), "\n\n**Chunk**: ", F.col("part"), " of ", F.col("parts"), "\n**Size**: ", F.col("size"), " (", F.col("token_count"), " tokens)\n**Section Type**: ", F.col("section_type"), "\n**Processing Priority**: ", F.col("priority"), "\n**Recommended Model**: ", T.recommend_model(F.col("token_count")),
-               "\n\n---\n\n", F.when(F.size(notes) > 0, cat("## Processing Guidance\n\n", F.array_join(F.transform(notes, lambda x: F.concat(F.lit("- "), x)), "\n"), "\n\n---\n\n")), F.col("content"))
+    head = cat("# ", F.col("title"), "\n\nPart: ", F.col("part"), " of ", F.col("parts"), "\nTier: ", F.col("size"), " (", F.col("token_count"), " tokens)\nKind: ", F.col("section_type"), "\nRank: ", F.col("priority"), "\nFits: ", T.recommend_model(F.col("token_count")),
+               "\n\n---\n\n", F.when(F.size(notes) > 0, cat("## Advice\n\n", F.array_join(F.transform(notes, lambda x: F.concat(F.lit("- "), x)), "\n"), "\n\n---\n\n")), F.col("content"))
     return _file(chunks, cat("chunked/", F.format_string("%02d", F.col("section_id")), "-", T.safe_filename(F.col("title")), F.when(F.col("parts") > 1, cat("-chunk-", F.col("part"))), "-", F.col("size"), ".md"), head)
 
 
@@ -121,28 +121,28 @@ def chunk_manifest(typed: DataFrame, chunks: DataFrame) -> DataFrame:
     n = chunks.groupBy("doc_id", "section_id", "priority").agg(F.count(F.lit(1)).alias("k"))
     d = typed.select("doc_id", "section_id", "title", "token_count").join(n, ["doc_id", "section_id"])
     rows = listing(d, [-F.col("priority"), F.col("section_id")], cat("| ", F.col("section_id"), " | ", F.left("title", F.lit(30)), "... | ", F.col("token_count"), " | ", F.col("k"), " |"), chunks=F.sum("k"))
-    return _file(rows, "chunked/chunk-manifest.md", cat("# Chunk Manifest\n\n**Total Sections**: ", F.col("n"), "\n**Total Chunks**: ", F.col("chunks"), "\n\n| Section | Title | Original Tokens | Chunks Created |\n|---|---|---|---|\n", F.col("body")))
+    return _file(rows, "chunked/chunk-manifest.md", cat("# Chunks of this document\n\nSections: ", F.col("n"), "\nChunks: ", F.col("chunks"), "\n\n| No. | Begins | Tokens | Files |\n|---|---|---|---|\n", F.col("body")))
 
 
 def summary_files(summaries: DataFrame) -> DataFrame:
     """summaries/<type>-summary.md with front matter, for summaries that have a text."""
     kind = F.col("summary_type")
-    body = cat("---\ntitle: ", title(kind), " Summary\ntype: ", kind, "\ntoken_count: ", F.col("token_count"), "\n---\n\n", F.col("content"))
+    body = cat("---\ntitle: ", title(kind), "\ntype: ", kind, "\ntoken_count: ", F.col("token_count"), "\n---\n\n", F.col("content"))
     return _file(summaries.where("content <> ''"), cat("summaries/", kind, "-summary.md"), body)
 
 
 def summary_index(summaries: DataFrame) -> DataFrame:
     """summaries/README.md: the summaries of a document and what they are."""
     kind = F.col("summary_type")
-    note = reduce(lambda acc, x: acc.when(kind == x[0], x[1]), list(V.SUMMARY_NOTES.items())[1:], F.when(kind == "executive", V.SUMMARY_NOTES["executive"])).otherwise("General summary")
-    d = listing(summaries.where("content <> ''"), [kind], cat("- [", title(kind), " Summary](", kind, "-summary.md) - ", note))
-    return _file(d, "summaries/README.md", cat("# Summary Index\n\n## Available Summaries\n\n", F.col("body")))
+    note = reduce(lambda acc, x: acc.when(kind == x[0], x[1]), list(V.SUMMARY_NOTES.items())[1:], F.when(kind == "executive", V.SUMMARY_NOTES["executive"])).otherwise("A summary")
+    d = listing(summaries.where("content <> ''"), [kind], cat("- [", title(kind), "](", kind, "-summary.md) - ", note))
+    return _file(d, "summaries/README.md", cat("# Summaries of this document\n\n## Which there are\n\n", F.col("body")))
 
 
 def word_sections(sections: DataFrame, kind: Column) -> DataFrame:
     """sections/NN-<title>.md with type, level, tokens and reading time; parts come from split_large."""
     n = T.tokens(F.col("content"))
-    body = cat("# ", F.col("title"), "\n\n**Section Type**: ", kind, "\n**Level**: ", F.col("level"), "\n**Tokens**: ", n, "\n**Estimated Reading Time**: ", F.greatest(F.lit(1), F.floor(n / 250)), " minutes\n\n---\n\n", F.col("content"))
+    body = cat("# ", F.col("title"), "\n\nKind: ", kind, "\nDepth: ", F.col("level"), "\nTokens: ", n, "\nMinutes to read: ", F.greatest(F.lit(1), F.floor(n / 250)), "\n\n---\n\n", F.col("content"))
     return _file(sections, cat("sections/", F.format_string("%02d", F.col("section_id")), "-", T.safe_filename(F.col("title")), ".md"), body)
 
 
@@ -150,15 +150,15 @@ def word_navigation(sections: DataFrame) -> DataFrame:
     """structure-overview.md: an indented link and a preview of 200 signs for each section."""
     indent = F.repeat(F.lit("  "), F.col("level") - 1)
     preview = cat(T.strip(F.left("content", F.lit(200))), F.when(F.length("content") > 200, "..."))
-    line = cat(indent, "- **[", F.col("title"), "](sections/", F.format_string("%02d", F.col("section_id")), "-", T.safe_filename(F.col("title")), ".md)**\n", indent, "  *Preview*: ", preview, "\n")
+    line = cat(indent, "- **[", F.col("title"), "](sections/", F.format_string("%02d", F.col("section_id")), "-", T.safe_filename(F.col("title")), ".md)**\n", indent, "  Begins: ", preview, "\n")
     d = listing(sections, [F.col("section_id")], line)
-    return _file(d, "structure-overview.md", cat("# Document Structure Overview\n\n**Total Sections**: ", F.col("n"), "\n\n---\n\n## Document Sections\n\n", F.col("body")))
+    return _file(d, "structure-overview.md", cat("# Way through the document\n\nSections: ", F.col("n"), "\n\n---\n\n## Sections in order\n\n", F.col("body")))
 
 
 def image_catalog(images: DataFrame) -> DataFrame:
     """images/image-catalog.md of doc_id, alt, url rows, in the order of their links."""
-    d = listing(images, [F.col("url"), F.col("alt")], cat("- **Alt Text**: ", F.col("alt"), "\n- **Reference**: ", F.col("url"), "\n"))
-    return _file(d, "images/image-catalog.md", cat("# Image Catalog\n\nTotal images referenced: ", F.col("n"), "\n\n", F.col("body")))
+    d = listing(images, [F.col("url"), F.col("alt")], cat("- Says: ", F.col("alt"), "\n- File: ", F.col("url"), "\n"))
+    return _file(d, "images/image-catalog.md", cat("# Pictures\n\nPictures: ", F.col("n"), "\n\n", F.col("body")))
 
 
 def file_category(path: Column) -> Column:
@@ -179,10 +179,10 @@ def index_body(paths: Column) -> Column:
     def block(name: str) -> Column:
         p = F.transform(F.filter(sorted_, lambda x: x["c"] == name), lambda x: x["p"])
         n = F.size(p)
-        some = F.when(n <= 10, shown(p)).otherwise(cat(shown(F.slice(p, 1, 5)), "\n- ... (", n - 8, " more files)\n", shown(F.slice(p, n - 2, F.lit(3)))))
+        some = F.when(n <= 10, shown(p)).otherwise(cat(shown(F.slice(p, 1, 5)), "\n- ... (", n - 8, " others)\n", shown(F.slice(p, n - 2, F.lit(3)))))
         return F.when(n > 0, cat("### ", title(F.lit(name)), " (", n, " files)\n\n", some, "\n"))
 
-    return cat("# Conversion Results\n\n## Generated Files Summary\n\n", F.concat_ws("\n", *map(block, CATEGORIES)))
+    return cat("# What came of this document\n\n## Files by kind\n\n", F.concat_ws("\n", *map(block, CATEGORIES)))
 
 
 def master_index(files: DataFrame) -> DataFrame:
@@ -214,15 +214,15 @@ def concept_map(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     by_term = pairs.select("doc_id", F.explode(ends).alias("e")).groupBy("doc_id", "e.term").agg(F.count(F.lit(1)).alias("k"), F.collect_list("e.pair").alias("ps"))  # each pair once
     p = by_term.groupBy("doc_id").agg(F.collect_list(F.struct((-F.col("k")).alias("o"), "term")).alias("ts"), F.flatten(F.collect_list("ps")).alias("ps"))
     strong = F.transform(F.filter("ps", lambda x: x["weight"] > 2), lambda x: F.struct((-x["weight"]).alias("o"), x["term_a"].alias("a"), x["term_b"].alias("b")))
-    connected = F.transform(F.slice(F.array_sort("ts"), 1, 10), lambda x: cat("- **", title(x["term"]), "**: ", -x["o"], " connections"))
-    strong = F.transform(F.slice(F.array_sort(strong), 1, 15), lambda x: cat("- **", title(x["a"]), "** ↔ **", title(x["b"]), "** (co-occurs ", -x["o"], " times)"))
+    connected = F.transform(F.slice(F.array_sort("ts"), 1, 10), lambda x: cat("- **", title(x["term"]), "**: ", -x["o"], " neighbours"))
+    strong = F.transform(F.slice(F.array_sort(strong), 1, 15), lambda x: cat("- **", title(x["a"]), "** with **", title(x["b"]), "** (together ", -x["o"], " times)"))
     p = p.select("doc_id", F.array_join(connected, "\n").alias("connected"), F.array_join(strong, "\n").alias("strong"))
     g = facts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("category", "term"))).alias("f"))
     of = lambda c: F.transform(F.filter("f", lambda x: x["category"] == c), lambda x: x["term"])
     names = F.filter(F.array_distinct(F.transform("f", lambda x: x["category"])), lambda c: F.size(of(c)) > 1)
-    block = lambda c: cat("### ", title(c), "\n**Terms**: ", F.size(of(c)), "\n**Key Terms**: ", F.array_join(F.slice(of(c), 1, 5), ", "), "\n")
+    block = lambda c: cat("### ", title(c), "\nTerms: ", F.size(of(c)), "\nFirst: ", F.array_join(F.slice(of(c), 1, 5), ", "), "\n")
     d = g.select("doc_id", F.size("f").alias("n"), F.array_join(F.transform(names, block), "\n").alias("by")).join(p, "doc_id", "left")
-    return _file(d, "concepts/concept-map.md", cat("# Concept Map\n\n**Total Terms**: ", F.col("n"), "\n\n## Most Connected Terms\n\n", F.col("connected"), "\n\n## Category Clusters\n\n", F.col("by"), "\n\n## Strong Relationships\n\n", F.col("strong")))
+    return _file(d, "concepts/concept-map.md", cat("# Terms and their company\n\nTerms: ", F.col("n"), "\n\n## Most neighbours\n\n", F.col("connected"), "\n\n## Classes\n\n", F.col("by"), "\n\n## Often together\n\n", F.col("strong")))
 
 
 def field_response(fields: DataFrame, most: int = 20) -> DataFrame:
@@ -231,4 +231,4 @@ def field_response(fields: DataFrame, most: int = 20) -> DataFrame:
     line = cat(F.col("name"), " (", F.col("type"), "): ", text)
     g = fields.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "rule", line.alias("line")))).alias("f"))
     first = F.array_join(F.transform(F.slice("f", 1, most), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["line"])), "\n")
-    return g.select("doc_id", cat("Extracted Fields (", F.size("f"), " total)\n", first, F.when(F.size("f") > most, cat("\n... and ", F.size("f") - most, " more fields"))).alias("response"))
+    return g.select("doc_id", cat("Fields (", F.size("f"), " in all)\n", first, F.when(F.size("f") > most, cat("\nand ", F.size("f") - most, " others"))).alias("response"))

@@ -158,7 +158,7 @@ def section_files(typed: DataFrame, limit: int = 32_000, target: int = 28_000) -
 def readme(typed: DataFrame) -> DataFrame:
     """doc_id, path, body of README.md: the document map as the way in."""
     d = document_map(typed)
-    return d.select("doc_id", F.lit("README.md").alias("path"), F.concat(F.lit("# Document Map\n\n## Sections\n\n"), "map", F.lit("\n")).alias("body"))
+    return d.select("doc_id", F.lit("README.md").alias("path"), F.concat(F.lit("# Map of the document\n\n## Sections\n\n"), "map", F.lit("\n")).alias("body"))
 
 
 def consolidated(typed: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def split_large(sections: DataFrame, limit: int = 32_000, target: int = 28_000,
             rule = next((i for i, x in enumerate(lines) if x.startswith("---")), -1)
             head, out, held, n = lines[: max(rule, 0)], [], [], 0
             extra = sum(map(count, head)) + header_tokens
-            close = lambda: out.append("\n".join([*head, f"\n**Part {len(out) + 1} of Section**\n---\n", *held]))
+            close = lambda: out.append("\n".join([*head, f"\n(part {len(out) + 1})\n---\n", *held]))
             for line in lines[rule + 1 :]:
                 if held and n + count(line) > target:
                     close()

@@ -119,7 +119,7 @@ def trimmed(c: str, target: str) -> str:
 HTTP = r"(?i)(GET|POST|PUT|DELETE|PATCH)\s+([/\w\-{}.:]+)"
 ENDPOINTS = f"""calls AS (SELECT doc_id, section_id, content, regexp_extract_all(content, {q(HTTP)}) AS h, regexp_extract_all(content, {q(HTTP)}, 1) AS m, regexp_extract_all(content, {q(HTTP)}, 2) AS p, regexp_split_to_array(content, {q(HTTP)}) AS s FROM sec),
 call AS (SELECT *, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS pos FROM calls, unnest(range(1, len(h) + 1)) AS t(i)),
-endpoint AS (SELECT doc_id, section_id, i, upper(m[i]) AS method, p[i] AS path, coalesce(list_filter({sentences("substr(content, (greatest(pos - 200, 0) + 1)::BIGINT, (pos + length(h[i]) + 200 - greatest(pos - 200, 0))::BIGINT)")}, lambda x: length(x) > 20 AND length(x) < 200)[1], 'No description') AS description FROM call)"""
+endpoint AS (SELECT doc_id, section_id, i, upper(m[i]) AS method, p[i] AS path, coalesce(list_filter({sentences("substr(content, (greatest(pos - 200, 0) + 1)::BIGINT, (pos + length(h[i]) + 200 - greatest(pos - 200, 0))::BIGINT)")}, lambda x: length(x) > 20 AND length(x) < 200)[1], 'Not described') AS description FROM call)"""
 REFS, LOCATED = _refs(), _located()
 KNOWN = REFS + rf""", said AS (SELECT doc_id, 'section' AS type, section_id::VARCHAR AS target, section_id FROM sec UNION
   SELECT doc_id, 'page', unnest(regexp_extract_all(lower(content), 'page\s+0*(\d+)', 1)), section_id FROM sec UNION
@@ -297,7 +297,7 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         "key_sentence": f"""WITH {SEC}, s AS (SELECT doc_id, section_id, {sentences('content')}[1:10] AS ss FROM sec), e AS (SELECT doc_id, section_id, i, ss[i] AS s FROM s, unnest(range(1, len(ss) + 1)) AS t(i)),
           v AS (SELECT *, {score} + CASE WHEN length(s) BETWEEN 50 AND 200 THEN 2 WHEN length(s) BETWEEN 20 AND 300 THEN 1 ELSE 0 END + CASE WHEN {generic} THEN 0 ELSE 1 END AS k FROM e),
           r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_id ORDER BY k DESC, i) AS p FROM v)
-          SELECT sec.doc_id, sec.section_id, CASE WHEN s IS NULL THEN 'No content available.' WHEN length(s) > 200 THEN left(s, 200) || '...' ELSE s END AS sentence FROM sec LEFT JOIN r ON r.doc_id = sec.doc_id AND r.section_id = sec.section_id AND p = 1""",
+          SELECT sec.doc_id, sec.section_id, CASE WHEN s IS NULL THEN 'This section is empty.' WHEN length(s) > 200 THEN left(s, 200) || '...' ELSE s END AS sentence FROM sec LEFT JOIN r ON r.doc_id = sec.doc_id AND r.section_id = sec.section_id AND p = 1""",
         "endpoints": f"WITH {SEC}, {ENDPOINTS} SELECT doc_id, section_id, method, path, description FROM endpoint",
         "security_sentences": f"WITH {SEC}, f AS (SELECT doc_id, section_id, list_filter({sentences('content')}, lambda s: {any_of('lower(s)', V.SECURITY_WORDS)})[1:5] AS s FROM sec) SELECT doc_id, section_id, array_to_string(s, ' ') AS security FROM f WHERE len(s) > 0",
         "integration_steps": rf"WITH {SEC}, f AS (SELECT doc_id, section_id, list_concat(list_concat(regexp_extract_all(content, '(?m)^\d+\.\s+(.+)', 1)[1:5], regexp_extract_all(content, '(?m)^[-*]\s+(.+)', 1)[1:5]), regexp_extract_all(content, '(?i)step\s+\d+[:\s]+(.+)', 1)[1:5])[1:8] AS s FROM sec) SELECT doc_id, section_id, array_to_string(list_transform(s, lambda x: '- ' || x), chr(10)) AS steps FROM f WHERE len(s) > 0",

@@ -29,8 +29,8 @@ links AS (SELECT doc_id, text, link FROM ranked WHERE p = 1)"""
     category = "CASE " + " ".join(f"WHEN {folder} = {q(k)} THEN {q(v)}" for k, v in named.items()) + f" WHEN {name} LIKE '%-metadata.json' OR {name} = 'README.md' THEN 'metadata' ELSE 'main_documents' END"
     files = f"files AS (SELECT doc_id, path, body FROM ({known['section_files']}) UNION ALL SELECT doc_id, path, body FROM ({known['table_files']})), filed AS (SELECT *, {category} AS category FROM files)"
     shown = lambda a: f"array_to_string(list_transform({a}, lambda x: '- [' || regexp_extract(x, '([^/]+)$', 1) || '](' || x || ')'), {nl})"
-    definition = f"CASE WHEN definition IS NOT NULL THEN '**Definition**: ' || definition || {nl} ELSE '' END"
-    high = f"""'### ' || {title('term')} || {nl} || '**Category**: ' || {title('category')} || {nl} || '**Frequency**: ' || frequency || ' occurrences' || {nl} || '**Sections**: ' || sections || {nl} || {definition} || CASE WHEN context IS NOT NULL THEN '**Context**: ...' || context || '...' || {nl} ELSE '' END"""
+    definition = f"CASE WHEN definition IS NOT NULL THEN 'Meaning: ' || definition || {nl} ELSE '' END"
+    high = f"""'### ' || {title('term')} || {nl} || 'Class: ' || {title('category')} || {nl} || 'Found: ' || frequency || ' times' || {nl} || 'In: ' || sections || {nl} || {definition} || CASE WHEN context IS NOT NULL THEN 'Where: ...' || context || '...' || {nl} ELSE '' END"""
     safe = "regexp_replace(category, '[^a-z_]', '', 'g')"
     plan = f"plan AS ({known['chunk_plan']}), tier(size, k) AS (VALUES " + ", ".join(f"({q(n)}, {k})" for n, k in V.TIERS) + "), ch AS (SELECT p.doc_id, p.section_id, t.title, p.section_type, p.priority, 1 AS part, 1 AS parts, p.token_count, tier.size, t.content FROM plan p JOIN typed t USING (doc_id, section_id) JOIN tier ON p.token_count <= tier.k)"
     # every document of the Markdown corpus fits one chunk: its segments, stripped, one paragraph each
@@ -59,29 +59,29 @@ f AS (SELECT o.doc_id, text, left(md5(o.doc_id::VARCHAR), 12) || '_chunk_0000' A
         "glossary_json": f"""WITH {facts}, {concepts}, a AS (SELECT doc_id, string_agg('{{"term": ' || {json('term')} || ', "category": "' || category || '", "frequency": ' || frequency || ', "definition": ' || coalesce({json('definition')}, 'null') || '}}', ', ' ORDER BY term) AS t FROM facts GROUP BY 1),
           b AS (SELECT doc_id, string_agg('{{"concept": ' || {json('concept')} || ', "category": "' || category || '", "definition": ' || {json('definition')} || '}}', ', ' ORDER BY concept) AS c FROM concepts GROUP BY 1) SELECT doc_id, '[' || coalesce(t, '') || ']' AS terms, '[' || coalesce(c, '') || ']' AS concepts FROM a FULL JOIN b USING (doc_id)""",
         "concept_map_md": f"""WITH {pairs}, deg AS (SELECT doc_id, term, count(*) AS k FROM (SELECT doc_id, term_a AS term FROM pair UNION ALL SELECT doc_id, term_b FROM pair) GROUP BY ALL), dr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, term) AS r FROM deg),
-          a AS (SELECT doc_id, string_agg('- **' || {title('term')} || '**: ' || k || ' connections', {nl} ORDER BY r) AS a FROM dr WHERE r <= 10 GROUP BY 1), pr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term_a, term_b) AS r FROM pair WHERE weight > 2),
-          b AS (SELECT doc_id, string_agg('- **' || {title('term_a')} || '** ↔ **' || {title('term_b')} || '** (co-occurs ' || weight || ' times)', {nl} ORDER BY r) AS b FROM pr WHERE r <= 15 GROUP BY 1), ct AS (SELECT doc_id, category, list(term ORDER BY term) AS ts FROM scores GROUP BY ALL),
-          c AS (SELECT doc_id, string_agg('### ' || {title('category')} || {nl} || '**Terms**: ' || len(ts) || {nl} || '**Key Terms**: ' || array_to_string(ts[1:5], ', ') || {nl}, {nl} ORDER BY category) AS c FROM ct WHERE len(ts) > 1 GROUP BY 1), n AS (SELECT doc_id, count(*) AS n FROM scores GROUP BY 1)
-          SELECT doc_id, 'concepts/concept-map.md' AS path, '# Concept Map' || {two} || '**Total Terms**: ' || n || {two} || '## Most Connected Terms' || {two} || coalesce(a, '') || {two} || '## Category Clusters' || {two} || coalesce(c, '') || {two} || '## Strong Relationships' || {two} || coalesce(b, '') AS body FROM n LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)""",
+          a AS (SELECT doc_id, string_agg('- **' || {title('term')} || '**: ' || k || ' neighbours', {nl} ORDER BY r) AS a FROM dr WHERE r <= 10 GROUP BY 1), pr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term_a, term_b) AS r FROM pair WHERE weight > 2),
+          b AS (SELECT doc_id, string_agg('- **' || {title('term_a')} || '** with **' || {title('term_b')} || '** (together ' || weight || ' times)', {nl} ORDER BY r) AS b FROM pr WHERE r <= 15 GROUP BY 1), ct AS (SELECT doc_id, category, list(term ORDER BY term) AS ts FROM scores GROUP BY ALL),
+          c AS (SELECT doc_id, string_agg('### ' || {title('category')} || {nl} || 'Terms: ' || len(ts) || {nl} || 'First: ' || array_to_string(ts[1:5], ', ') || {nl}, {nl} ORDER BY category) AS c FROM ct WHERE len(ts) > 1 GROUP BY 1), n AS (SELECT doc_id, count(*) AS n FROM scores GROUP BY 1)
+          SELECT doc_id, 'concepts/concept-map.md' AS path, '# Terms and their company' || {two} || 'Terms: ' || n || {two} || '## Most neighbours' || {two} || coalesce(a, '') || {two} || '## Classes' || {two} || coalesce(c, '') || {two} || '## Often together' || {two} || coalesce(b, '') AS body FROM n LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)""",
         "glossary_md": f"""WITH {facts}, h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS r FROM facts WHERE score >= 5), hh AS (SELECT doc_id, string_agg({high}, {nl} ORDER BY r) AS high FROM h WHERE r <= 20 GROUP BY 1),
           b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category ORDER BY frequency DESC, term) AS r FROM facts WHERE category <> 'general'), bb AS (SELECT doc_id, category, string_agg('- **' || {title('term')} || '** (' || frequency || 'x)' || coalesce(': ' || left(definition, 100) || '...', ''), {nl} ORDER BY r) AS b FROM b WHERE r <= 10 GROUP BY 1, 2),
-          c AS (SELECT doc_id, string_agg('## ' || {title('category')} || ' Terms' || {two} || b || {nl}, {nl} ORDER BY category) AS by_ FROM bb GROUP BY 1), n AS (SELECT doc_id, count(*) AS n, count(DISTINCT category) AS k FROM facts GROUP BY 1)
-          SELECT doc_id, 'concepts/glossary.md' AS path, '# Technical Glossary' || {two} || '**Total Terms**: ' || n || {nl} || '**Categories**: ' || k || {two} || '## High-Importance Terms' || {two} || coalesce(high, '') || {nl} || coalesce(by_, '') AS body FROM n LEFT JOIN hh USING (doc_id) LEFT JOIN c USING (doc_id)""",
-        "category_glossaries": f"""WITH {facts}, g AS (SELECT doc_id, category, count(*) AS n, string_agg('### ' || {title('term')} || {nl} || '**Frequency**: ' || frequency || {nl} || '**Importance Score**: ' || format('{{:.1f}}', score) || {nl} || {definition} || CASE WHEN context IS NOT NULL THEN '**Context**: ' || left(context, 100) || '...' || {nl} ELSE '' END, {nl} ORDER BY score DESC, term) AS b FROM facts GROUP BY 1, 2)
-          SELECT doc_id, 'concepts/categories/' || {safe} || '-glossary.md' AS path, '# ' || {title('category')} || ' Glossary' || {two} || '**Terms in Category**: ' || n || {two} || '## Terms' || {two} || b AS body FROM g WHERE n >= 3""",
+          c AS (SELECT doc_id, string_agg('## Of class ' || {title('category')} || {two} || b || {nl}, {nl} ORDER BY category) AS by_ FROM bb GROUP BY 1), n AS (SELECT doc_id, count(*) AS n, count(DISTINCT category) AS k FROM facts GROUP BY 1)
+          SELECT doc_id, 'concepts/glossary.md' AS path, '# Terms of this document' || {two} || 'Terms: ' || n || {nl} || 'Classes: ' || k || {two} || '## Weightiest' || {two} || coalesce(high, '') || {nl} || coalesce(by_, '') AS body FROM n LEFT JOIN hh USING (doc_id) LEFT JOIN c USING (doc_id)""",
+        "category_glossaries": f"""WITH {facts}, g AS (SELECT doc_id, category, count(*) AS n, string_agg('### ' || {title('term')} || {nl} || 'Found: ' || frequency || {nl} || 'Weight: ' || format('{{:.1f}}', score) || {nl} || {definition} || CASE WHEN context IS NOT NULL THEN 'Where: ' || left(context, 100) || '...' || {nl} ELSE '' END, {nl} ORDER BY score DESC, term) AS b FROM facts GROUP BY 1, 2)
+          SELECT doc_id, 'concepts/categories/' || {safe} || '-glossary.md' AS path, '# Terms of class ' || {title('category')} || {two} || 'Terms: ' || n || {two} || '## All of them' || {two} || b AS body FROM g WHERE n >= 3""",
         "refs_concepts": f"WITH {scores} SELECT r.doc_id, section_id, text, target, category FROM ({known['references']}) r JOIN scores s ON s.doc_id = r.doc_id AND s.term = r.target WHERE type = 'concept'",
         "link_map": f"WITH {links} SELECT * FROM links",
-        "xref_links": f"WITH {links} SELECT doc_id, 'references/link-mapping.md' AS path, '# Link Mapping' || {two} || '## Mappings (' || count(*) || ')' || {two} || string_agg('**Original**: `' || text || '`' || {nl} || '**Replacement**: `' || link || '`' || {nl}, {nl} ORDER BY text) AS body FROM links GROUP BY 1",
+        "xref_links": f"WITH {links} SELECT doc_id, 'references/link-mapping.md' AS path, '# Words and their links' || {two} || '## All (' || count(*) || ')' || {two} || string_agg('Words: `' || text || '`' || {nl} || 'Link: `' || link || '`' || {nl}, {nl} ORDER BY text) AS body FROM links GROUP BY 1",
         "section_chunks": f"WITH {TYPED}, {plan} SELECT * FROM ch",
-        "chunk_manifest_md": f"""WITH {TYPED}, {plan}, k AS (SELECT doc_id, section_id, title, token_count, priority, count(*) AS k FROM ch GROUP BY ALL) SELECT doc_id, 'chunked/chunk-manifest.md' AS path, '# Chunk Manifest' || {two} || '**Total Sections**: ' || count(*) || {nl} || '**Total Chunks**: ' || sum(k) || {two} || '| Section | Title | Original Tokens | Chunks Created |' || {nl} || '|---|---|---|---|' || {nl}
+        "chunk_manifest_md": f"""WITH {TYPED}, {plan}, k AS (SELECT doc_id, section_id, title, token_count, priority, count(*) AS k FROM ch GROUP BY ALL) SELECT doc_id, 'chunked/chunk-manifest.md' AS path, '# Chunks of this document' || {two} || 'Sections: ' || count(*) || {nl} || 'Chunks: ' || sum(k) || {two} || '| No. | Begins | Tokens | Files |' || {nl} || '|---|---|---|---|' || {nl}
           || string_agg('| ' || section_id || ' | ' || left(title, 30) || '... | ' || token_count || ' | ' || k || ' |', {nl} ORDER BY priority DESC, section_id) AS body FROM k GROUP BY 1""",
-        "document_readme": f"SELECT doc_id, 'README.md' AS path, '# Document Map' || {two} || '## Sections' || {two} || map || {nl} AS body FROM ({known['document_map']})",
+        "document_readme": f"SELECT doc_id, 'README.md' AS path, '# Map of the document' || {two} || '## Sections' || {two} || map || {nl} AS body FROM ({known['document_map']})",
         "analyze": f"WITH s AS ({known['document_stats'].replace('FROM md', 'FROM documents').replace('WITH ' + MD + ' ', '')}) SELECT s.*, document_type FROM s JOIN ({known['doc_structure_documents']}) USING (doc_id)",
-        "master_index": f"""WITH {files}, g AS (SELECT doc_id, category, list(path ORDER BY path) AS p FROM filed GROUP BY 1, 2), l AS (SELECT doc_id, category, '### ' || {title('category')} || ' (' || len(p) || ' files)' || {two} || CASE WHEN len(p) <= 10 THEN {shown('p')} ELSE {shown('p[1:5]')} || {nl} || '- ... (' || (len(p) - 8) || ' more files)' || {nl} || {shown('p[-3:]')} END || {nl} AS b FROM g)
-          SELECT doc_id, 'README.md' AS path, '# Conversion Results' || {two} || '## Generated Files Summary' || {two} || string_agg(b, {nl} ORDER BY category) AS body FROM l GROUP BY 1""",
+        "master_index": f"""WITH {files}, g AS (SELECT doc_id, category, list(path ORDER BY path) AS p FROM filed GROUP BY 1, 2), l AS (SELECT doc_id, category, '### ' || {title('category')} || ' (' || len(p) || ' files)' || {two} || CASE WHEN len(p) <= 10 THEN {shown('p')} ELSE {shown('p[1:5]')} || {nl} || '- ... (' || (len(p) - 8) || ' others)' || {nl} || {shown('p[-3:]')} END || {nl} AS b FROM g)
+          SELECT doc_id, 'README.md' AS path, '# What came of this document' || {two} || '## Files by kind' || {two} || string_agg(b, {nl} ORDER BY category) AS body FROM l GROUP BY 1""",
         "conversion_metadata": f"""WITH {files}, g AS (SELECT doc_id, category, count(*) AS f, sum(length(body)) AS n, sum({tokens('body')}) AS k FROM filed GROUP BY 1, 2) SELECT doc_id, 'conversion-metadata.json' AS path, '{{"total_files": ' || sum(f) || ', "categories": {{' || string_agg('"' || category || '": {{"files": ' || f || ', "characters": ' || n || ', "tokens": ' || k || '}}', ', ' ORDER BY category) || '}}}}' AS body FROM g GROUP BY 1""",
-        "field_response": f"""WITH f AS ({known['fields_structured']}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, rule, name) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM f) SELECT doc_id, 'Extracted Fields (' || any_value(n) || ' total)' || {nl} || string_agg(i || '. ' || name || ' (' || type || '): ' || left(content, 300) || CASE WHEN length(content) > 300 THEN '...' ELSE '' END, {nl} ORDER BY i) FILTER (i <= 20)
-          || CASE WHEN any_value(n) > 20 THEN {nl} || '... and ' || (any_value(n) - 20) || ' more fields' ELSE '' END AS response FROM r GROUP BY 1""",
+        "field_response": f"""WITH f AS ({known['fields_structured']}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, rule, name) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM f) SELECT doc_id, 'Fields (' || any_value(n) || ' in all)' || {nl} || string_agg(i || '. ' || name || ' (' || type || '): ' || left(content, 300) || CASE WHEN length(content) > 300 THEN '...' ELSE '' END, {nl} ORDER BY i) FILTER (i <= 20)
+          || CASE WHEN any_value(n) > 20 THEN {nl} || 'and ' || (any_value(n) - 20) || ' others' ELSE '' END AS response FROM r GROUP BY 1""",
         "fmt_pinecone": f"WITH {chunk} SELECT chunk_id AS id, '[]' AS values, to_json({{'text': left(text, 1000), 'doc_id': doc_id, 'pages': '[1]', 'token_count': token_count, 'keywords': array_to_string(kw[1:10], ', '), 'quality_score': quality}})::VARCHAR AS metadata, doc_id::VARCHAR AS namespace, 1536 AS dimension FROM f",
         "fmt_chromadb": f"WITH {chunk} SELECT 'pdf_' || doc_id AS collection_name, to_json([chunk_id])::VARCHAR AS ids, to_json([text])::VARCHAR AS documents, to_json([{{'doc_id': doc_id, 'pages': '[1]', 'token_count': token_count, 'keywords': array_to_string(kw, ', '), 'quality_score': quality}}])::VARCHAR AS metadatas FROM f",
         "fmt_weaviate": f"WITH {chunk} SELECT 'DocumentChunk' AS class, chunk_id AS id, to_json({{'content': text, 'docId': doc_id, 'sourcePages': source_pages, 'tokenCount': token_count, 'keywords': kw, 'qualityScore': quality, 'contentType': 'text'}})::VARCHAR AS properties FROM f",
@@ -108,7 +108,7 @@ parts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY i DESC
     out["split_rows"] = fold("documents", lines_of, "", counted | {"inside": (f"{pipe} AND contains(x, '|')", f"{pipe} AND (inside OR contains(x, '|'))")}, "NOT inside AND k > 5 AND (size - 1) // 4 > 500", "held")
     marked = f"list_filter(string_split(regexp_replace(text, '\\n(#{{1,6}}\\s+[^\\n]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda v: {strip('v')} <> '')"
     out["split_semantic"] = fold("md", marked, f"{MD}, ", {"held": held(two)}, f"length(held || {two} || x) // 4 > 60", strip("held"))
-    large = fold("documents", lines_of, "", {"held": held(nl), "size": (f"{tokens('x')}::BIGINT", f"(CASE WHEN full_ THEN 50 ELSE size END + {tokens('x')})::BIGINT")}, f"size + {tokens('x')} > 800", f"{nl} || '**Part ' || part || ' of Section**' || {nl} || '---' || {nl} || {nl} || held", f"{tokens('text')} > 1000")
+    large = fold("documents", lines_of, "", {"held": held(nl), "size": (f"{tokens('x')}::BIGINT", f"(CASE WHEN full_ THEN 50 ELSE size END + {tokens('x')})::BIGINT")}, f"size + {tokens('x')} > 800", f"{nl} || '(part ' || part || ')' || {nl} || '---' || {nl} || {nl} || held", f"{tokens('text')} > 1000")
     out["split_32k"] = f"{large} UNION ALL SELECT doc_id, 1::INT, 1::INT, text FROM documents WHERE {tokens('text')} <= 1000"
     known = known | out
     parts = ["section_files", "word_navigation", "chunk_files", "chunk_manifest_md", "xref_internal", "xref_external", "xref_broken", "xref_links", "table_files", "tables_index", "image_catalog", "glossary_md", "category_glossaries", "concept_map_md", "summary_files", "summary_index"]

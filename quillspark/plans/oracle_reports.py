@@ -29,18 +29,18 @@ facts AS (SELECT * FROM (SELECT *, least(frequency * 0.5::DOUBLE, 5::DOUBLE) + l
 tab AS (SELECT doc_id, i::INT AS table_no, rs[i][2:] AS markdown, ({count('rs[i][2:]', chr(10))} - 1)::INT AS n_rows, ({count("string_split(rs[i][2:], chr(10))[1]", '[|]')} - 1)::INT AS n_cols FROM runs, unnest(range(1, len(rs) + 1)) AS t(i))"""
     after = lambda p: f"list_transform(regexp_extract_all(content, {q(p)}, 1), lambda m: {strip('m')})"
     inner = f"array_to_string(string_split(b, {nl})[2:-2], {nl})"
-    example = "list_concat(list_concat(list_transform(list_filter(regexp_extract_all(content, '```[\\s\\S]*?```')[1:2], lambda b: len(string_split(b, chr(10))) > 2), lambda b: 'Code example: ' || left(" + inner + ", 200) || '...')"
+    example = "list_concat(list_concat(list_transform(list_filter(regexp_extract_all(content, '```[\\s\\S]*?```')[1:2], lambda b: len(string_split(b, chr(10))) > 2), lambda b: 'Code: ' || left(" + inner + ", 200) || '...')"
     for k, p in enumerate(V.EXAMPLE_PATTERNS):
-        example += f", list_transform({after(p)}[1:2], lambda m: 'Example: ' || left(m, 150) || '...'))"
+        example += f", list_transform({after(p)}[1:2], lambda m: 'For instance: ' || left(m, 150) || '...'))"
     http = r"(?i)(GET|POST|PUT|DELETE|PATCH)\s+([/\w\-{}.:]+)"
-    detail = f"""list_concat(list_concat(list_transform(range(1, least(3, len(m)) + 1), lambda i: '**' || m[i] || '** `' || p[i] || '`'), list_transform(a[1:2], lambda x: 'Parameters: ' || left(x, 100))), list_transform(r[1:1], lambda x: 'Response: ' || left(x, 100)))"""
+    detail = f"""list_concat(list_concat(list_transform(range(1, least(3, len(m)) + 1), lambda i: '**' || m[i] || '** `' || p[i] || '`'), list_transform(a[1:2], lambda x: 'Takes: ' || left(x, 100))), list_transform(r[1:1], lambda x: 'Gives: ' || left(x, 100)))"""
     # trimming as the column function has it: 0.9 of the proportional size, back to a late full stop
     size = lambda t: f"floor({t}::DOUBLE * (length(b)::DOUBLE / {tokens('b')}) * 0.9::DOUBLE)::INT"
     trim = lambda t: f"CASE WHEN {tokens('b')} <= {t} THEN b ELSE (SELECT CASE WHEN length(z) < length(b) THEN z || '...' ELSE z END FROM (SELECT CASE WHEN contains(c, '.') AND length(c) - instr(reverse(c), '.') > n * 0.8::DOUBLE THEN left(c, length(c) - instr(reverse(c), '.') + 1) ELSE c END AS z FROM (SELECT left(b, {size(t)}) AS c, {size(t)} AS n))) END"
     brief = f"list_concat(s[1:2], CASE WHEN len(s) > 3 THEN list_filter(s[3:6], lambda x: {any_of('lower(x)', V.BRIEF_WORDS)})[1:1] ELSE [] END)"
     last = "CASE WHEN len(s) > 6 THEN s[-2:] ELSE [] END"
     long = f"list_concat(list_concat(s[1:3], {last}), list_filter(CASE WHEN len(s) > 5 THEN s[4:len(s) - 2] ELSE [] END, lambda x: {any_of('lower(x)', V.DETAIL_WORDS)})[1:CASE WHEN len(s) > 6 THEN 3 ELSE 5 END])"
-    summary = lambda name, keep, t: f"WITH {SEC}, s AS (SELECT doc_id, section_id, {sentences('content')} AS s FROM sec), k AS (SELECT doc_id, section_id, len(s) AS n, array_to_string({keep}, ' ') AS b FROM s) SELECT doc_id, section_id, CASE WHEN n > 0 THEN {trim(t)} ELSE 'No content available.' END AS {name} FROM k"
+    summary = lambda name, keep, t: f"WITH {SEC}, s AS (SELECT doc_id, section_id, {sentences('content')} AS s FROM sec), k AS (SELECT doc_id, section_id, len(s) AS n, array_to_string({keep}, ' ') AS b FROM s) SELECT doc_id, section_id, CASE WHEN n > 0 THEN {trim(t)} ELSE 'This section is empty.' END AS {name} FROM k"
     listed = "(" + " OR ".join(f"regexp_matches(line, {q(p)})" for p in V.STRUCTURE_LISTS) + ")"
     numbered = "(" + " OR ".join(f"regexp_matches(line, {q(p)})" for p in V.STRUCTURE_SECTIONS) + ")"
     cased = r"(upper(s) = s AND lower(s) <> s OR regexp_matches(s, '^[^\p{L}]*\p{Lu}\p{Ll}*(?:[^\p{L}]+\p{Lu}\p{Ll}*)*[^\p{L}]*$'))"
@@ -66,7 +66,7 @@ tab AS (SELECT doc_id, i::INT AS table_no, rs[i][2:] AS markdown, ({count('rs[i]
         "tables_text": f"WITH {tables} SELECT * FROM tab",
         "important_tables": f"WITH {tables}, v AS (SELECT doc_id, table_no, CASE WHEN n_rows BETWEEN 3 AND 10 AND n_cols BETWEEN 2 AND 6 THEN 8 WHEN n_rows > 0 AND n_cols > 0 THEN 3 ELSE 0 END + CASE WHEN {any_of('lower(markdown)', V.TABLE_WORDS)} THEN 6 ELSE 0 END AS score FROM tab) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, table_no)::INT AS rank FROM v) WHERE rank <= 5",
         "section_examples": f"WITH {SEC} SELECT doc_id, section_id, {example} AS section_examples FROM sec",
-        "technical_details": f"WITH {SEC}, x AS (SELECT doc_id, section_id, regexp_extract_all(content, {q(http)}, 1) AS m, regexp_extract_all(content, {q(http)}, 2) AS p, {after(V.PARAMETER_PATTERN)} AS a, {after(V.RESPONSE_PATTERN)} AS r, {sentences('content')}[1:2] AS s FROM sec), y AS (SELECT *, {detail} AS d FROM x) SELECT doc_id, section_id, CASE WHEN len(d) > 0 THEN array_to_string(d, chr(10)) WHEN len(s) > 0 THEN array_to_string(s, ' ') ELSE 'No technical details found.' END AS technical_details FROM y",
+        "technical_details": f"WITH {SEC}, x AS (SELECT doc_id, section_id, regexp_extract_all(content, {q(http)}, 1) AS m, regexp_extract_all(content, {q(http)}, 2) AS p, {after(V.PARAMETER_PATTERN)} AS a, {after(V.RESPONSE_PATTERN)} AS r, {sentences('content')}[1:2] AS s FROM sec), y AS (SELECT *, {detail} AS d FROM x) SELECT doc_id, section_id, CASE WHEN len(d) > 0 THEN array_to_string(d, chr(10)) WHEN len(s) > 0 THEN array_to_string(s, ' ') ELSE 'Nothing technical here.' END AS technical_details FROM y",
         "summary_brief": summary("summary_brief", brief, 40),
         "summary_detailed": summary("summary_detailed", long, 200),
         "top_connected": f"WITH {PAIRS} SELECT t AS term, count(*) AS degree FROM (SELECT term_a AS t FROM pair UNION ALL SELECT term_b FROM pair) GROUP BY 1 ORDER BY degree DESC, term LIMIT 10",
@@ -75,22 +75,22 @@ tab AS (SELECT doc_id, i::INT AS table_no, rs[i][2:] AS markdown, ({count('rs[i]
         "field_context": f"WITH {MD}, {LINES.format('md')}, n AS (SELECT doc_id, line_no, array_to_string(list_filter(list_transform(l[greatest(1, line_no - 1):line_no + 3], lambda x: {strip('x')}), lambda x: x <> ''), ' ') AS context FROM line WHERE contains(s, ':')) SELECT *, trim(nullif(regexp_extract(context, '(\\d+\\.\\d+\\s+[A-Z][^:]+)', 1), '')) AS section FROM n",
         "document_stats": f"WITH {MD} SELECT doc_id, length(text)::INT AS total_characters, {count('text', chr(92) + 'S+')}::INT AS total_words, {count('text', '(?m)^#{1,6}[ ' + chr(92) + 't]+' + chr(92) + 'S')}::INT AS total_headers, len(regexp_extract_all(chr(10) || text || chr(10), '(?:\\n[^\\n]*[|][^\\n]*){{3,}}'))::INT AS total_tables, len(regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^)]+)\\)'))::INT AS total_images, {any_of('lower(left(text, 1000))', V.TOC_WORDS)} AS has_toc, greatest(1, length(text) // 3000)::INT AS estimated_pages, regexp_matches(text, '(?m)^#{{1,6}}\\s+') AS has_headers, regexp_matches(text, '(?m)^[*\\-+]\\s+') AS has_lists, contains(text, '```') AS has_code_blocks FROM md",
         "page_offsets": "WITH p AS (SELECT doc_id, (pos // 3000 + 1)::INT AS page_num, length(substr(text, pos + 1, 3000)) AS n FROM documents, unnest(range(0, length(text), 3000)) AS t(pos)) SELECT doc_id, page_num, (sum(n) OVER w - n)::BIGINT AS start, (sum(n) OVER w)::BIGINT AS \"end\" FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page_num)",
-        "xref_internal": f"WITH {KNOWN}, ok AS (SELECT n.doc_id, n.section_id, n.type, n.text, n.target FROM numbered n JOIN known USING (doc_id, type, number)), c AS (SELECT doc_id, {agg(f'''{chr(39)}- **{chr(39)} || {title('type')} || ' Links**: ' || k || ' references{chr(39)}''', 'type')} AS b FROM (SELECT doc_id, type, count(*) AS k FROM ok GROUP BY 1, 2) GROUP BY 1), r AS (SELECT doc_id, count(*) AS k, {agg(chr(39) + '| Section ' + chr(39) + ' || section_id || ' + chr(39) + ' | Section ' + chr(39) + ' || target || ' + chr(39) + ' | ' + chr(39) + ' || text || ' + chr(39) + ' |' + chr(39), 'section_id, target, text')} AS b FROM ok WHERE type = 'section' GROUP BY 1) "
-        + file("'references/internal-references.md'", f"'# Internal Cross-References' || {nl} || {nl} || '## Summary' || {nl} || {nl} || c.b || coalesce({nl} || {nl} || '### Section References (' || r.k || ')' || {nl} || {nl} || '| Source | Target | Text |' || {nl} || '|---|---|---|' || {nl} || r.b, '')", "c LEFT JOIN r USING (doc_id)"),
-        "xref_external": f"WITH {REFS}, l AS (SELECT doc_id, type, section_id, CASE WHEN type = 'url' THEN '| ' || target || ' | ' || {domain} || ' | Section ' || section_id || ' |' ELSE '| ' || CASE WHEN {method} = '' THEN 'N/A' ELSE {method} END || ' | ' || target || ' | Section ' || section_id || ' |' END AS line FROM refs WHERE type IN ('url', 'api')), g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (type = 'url') AS u, string_agg(line, {nl} ORDER BY section_id, line) FILTER (type = 'url') AS ub, string_agg(line, {nl} ORDER BY section_id, line) FILTER (type = 'api') AS ab FROM l GROUP BY 1) "
-        + file("'references/external-references.md'", f"'# External References' || {nl} || {nl} || '- **Total External References**: ' || n || {nl} || '- **URLs**: ' || u || {nl} || '- **API Endpoints**: ' || (n - u) || {nl} || {nl} || '## URL References' || {nl} || {nl} || '| URL | Domain | Source Section |' || {nl} || '|---|---|---|' || {nl} || coalesce(ub, '') || {nl} || {nl} || '## API References' || {nl} || {nl} || '| Method | Endpoint | Source Section |' || {nl} || '|---|---|---|' || {nl} || coalesce(ab, '')", "g"),
-        "xref_broken": f"WITH {KNOWN}, l AS (SELECT doc_id, section_id, '| ' || type || ' | ' || text || ' | Section ' || section_id || ' | ' || upper(type[1]) || type[2:] || ' ' || target || ' not found |' AS line FROM missing), g AS (SELECT doc_id, count(*) AS n, {agg('line', 'section_id, line')} AS b FROM l GROUP BY 1) "
-        + file("'references/broken-references.md'", f"'# Broken References Report' || {nl} || {nl} || '- **Total Broken References**: ' || n || {nl} || {nl} || '| Type | Text | Source Section | Reason |' || {nl} || '|---|---|---|---|' || {nl} || b", "g"),
-        "table_files": f"WITH {tables} " + file("'tables/table-' || lpad(table_no::VARCHAR, 3, '0') || '.md'", f"'# Table ' || table_no || {nl} || {nl} || '**Dimensions**: ' || n_rows || ' rows × ' || n_cols || ' columns' || {nl} || {nl} || markdown", "tab"),
-        "tables_index": f"WITH {tables}, g AS (SELECT doc_id, count(*) AS n, sum(n_rows) AS r, sum(n_cols) AS c, sum({tokens('markdown')}) AS t, string_agg('- [Table ' || table_no || '](table-' || lpad(table_no::VARCHAR, 3, '0') || '.md) - ' || n_rows || ' rows × ' || n_cols || ' columns', {nl} ORDER BY table_no) AS b FROM tab GROUP BY 1) "
-        + file("'tables/tables-index.md'", f"'# Tables Index' || {nl} || {nl} || '**Total Tables**: ' || n || {nl} || '**Total Data**: ' || r || ' rows, ' || c || ' columns' || {nl} || '**Token Count**: ' || t || {nl} || {nl} || b", "g"),
+        "xref_internal": f"WITH {KNOWN}, ok AS (SELECT n.doc_id, n.section_id, n.type, n.text, n.target FROM numbered n JOIN known USING (doc_id, type, number)), c AS (SELECT doc_id, {agg(f'''{chr(39)}- **{chr(39)} || {title('type')} || ': ' || k || ' resolved{chr(39)}''', 'type')} AS b FROM (SELECT doc_id, type, count(*) AS k FROM ok GROUP BY 1, 2) GROUP BY 1), r AS (SELECT doc_id, count(*) AS k, {agg(chr(39) + '| §' + chr(39) + ' || section_id || ' + chr(39) + ' | §' + chr(39) + ' || target || ' + chr(39) + ' | ' + chr(39) + ' || text || ' + chr(39) + ' |' + chr(39), 'section_id, target, text')} AS b FROM ok WHERE type = 'section' GROUP BY 1) "
+        + file("'references/internal-references.md'", f"'# References within the document' || {nl} || {nl} || '## Counts' || {nl} || {nl} || c.b || coalesce({nl} || {nl} || '### To sections (' || r.k || ')' || {nl} || {nl} || '| From | To | Words |' || {nl} || '|---|---|---|' || {nl} || r.b, '')", "c LEFT JOIN r USING (doc_id)"),
+        "xref_external": f"WITH {REFS}, l AS (SELECT doc_id, type, section_id, CASE WHEN type = 'url' THEN '| ' || target || ' | ' || {domain} || ' | §' || section_id || ' |' ELSE '| ' || CASE WHEN {method} = '' THEN '–' ELSE {method} END || ' | ' || target || ' | §' || section_id || ' |' END AS line FROM refs WHERE type IN ('url', 'api')), g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (type = 'url') AS u, string_agg(line, {nl} ORDER BY section_id, line) FILTER (type = 'url') AS ub, string_agg(line, {nl} ORDER BY section_id, line) FILTER (type = 'api') AS ab FROM l GROUP BY 1) "
+        + file("'references/external-references.md'", f"'# References to other places' || {nl} || {nl} || '- All: ' || n || {nl} || '- Web addresses: ' || u || {nl} || '- Interface paths: ' || (n - u) || {nl} || {nl} || '## Web addresses' || {nl} || {nl} || '| Address | Host | From |' || {nl} || '|---|---|---|' || {nl} || coalesce(ub, '') || {nl} || {nl} || '## Interface paths' || {nl} || {nl} || '| Call | Path | From |' || {nl} || '|---|---|---|' || {nl} || coalesce(ab, '')", "g"),
+        "xref_broken": f"WITH {KNOWN}, l AS (SELECT doc_id, section_id, '| ' || type || ' | ' || text || ' | §' || section_id || ' | ' || upper(type[1]) || type[2:] || ' ' || target || ' not found |' AS line FROM missing), g AS (SELECT doc_id, count(*) AS n, {agg('line', 'section_id, line')} AS b FROM l GROUP BY 1) "
+        + file("'references/broken-references.md'", f"'# References without a target' || {nl} || {nl} || '- All: ' || n || {nl} || {nl} || '| Family | Words | From | Why |' || {nl} || '|---|---|---|---|' || {nl} || b", "g"),
+        "table_files": f"WITH {tables} " + file("'tables/table-' || lpad(table_no::VARCHAR, 3, '0') || '.md'", f"'# Table ' || table_no || {nl} || {nl} || 'Size: ' || n_rows || ' rows by ' || n_cols || ' columns' || {nl} || {nl} || markdown", "tab"),
+        "tables_index": f"WITH {tables}, g AS (SELECT doc_id, count(*) AS n, sum(n_rows) AS r, sum(n_cols) AS c, sum({tokens('markdown')}) AS t, string_agg('- [Table ' || table_no || '](table-' || lpad(table_no::VARCHAR, 3, '0') || '.md) - ' || n_rows || ' rows by ' || n_cols || ' columns', {nl} ORDER BY table_no) AS b FROM tab GROUP BY 1) "
+        + file("'tables/tables-index.md'", f"'# Tables of this document' || {nl} || {nl} || 'Tables: ' || n || {nl} || 'In all: ' || r || ' rows, ' || c || ' columns' || {nl} || 'Tokens: ' || t || {nl} || {nl} || b", "g"),
         "chunk_files": f"WITH {TYPED}, tier(size, k) AS (VALUES {tier}), c AS (SELECT typed.*, size, {notes} AS notes FROM typed, tier WHERE token_count <= k) "
-        + file(f"'chunked/' || {two} || '-' || {SAFE_CUT('title')} || '-' || size || '.md'", f"'# ' || title || {nl} || {nl} || '**Chunk**: 1 of 1' || {nl} || '**Size**: ' || size || ' (' || token_count || ' tokens)' || {nl} || '**Section Type**: ' || section_type || {nl} || '**Processing Priority**: ' || {priority} || {nl} || '**Recommended Model**: ' || {model('token_count')} || {nl} || {nl} || '---' || {nl} || {nl} || CASE WHEN len(notes) > 0 THEN '## Processing Guidance' || {nl} || {nl} || array_to_string(list_transform(notes, lambda x: '- ' || x), {nl}) || {nl} || {nl} || '---' || {nl} || {nl} ELSE '' END || content", "c"),
-        "word_sections": f"WITH {SEC} " + file(f"'sections/' || {two} || '-' || {SAFE_CUT('title')} || '.md'", f"'# ' || title || {nl} || {nl} || '**Section Type**: ' || {first_class('lower(title)', V.WORD_SECTION_TITLES, q('content'))} || {nl} || '**Level**: ' || level || {nl} || '**Tokens**: ' || {tokens('content')} || {nl} || '**Estimated Reading Time**: ' || greatest(1, {tokens('content')} // 250) || ' minutes' || {nl} || {nl} || '---' || {nl} || {nl} || content", "sec"),
-        "word_navigation": f"WITH {SEC}, g AS (SELECT doc_id, count(*) AS n, string_agg(repeat('  ', level - 1) || '- **[' || title || '](sections/' || {two} || '-' || {SAFE_CUT('title')} || '.md)**' || {nl} || repeat('  ', level - 1) || '  *Preview*: ' || {strip('left(content, 200)')} || CASE WHEN length(content) > 200 THEN '...' ELSE '' END || {nl}, {nl} ORDER BY section_id) AS b FROM sec GROUP BY 1) "
-        + file("'structure-overview.md'", f"'# Document Structure Overview' || {nl} || {nl} || '**Total Sections**: ' || n || {nl} || {nl} || '---' || {nl} || {nl} || '## Document Sections' || {nl} || {nl} || b", "g"),
-        "image_catalog": f"WITH {MD}, a AS (SELECT doc_id, regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', 1) AS a, regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', 2) AS u FROM md), i AS (SELECT doc_id, unnest(a) AS alt, unnest(u) AS url FROM a), g AS (SELECT doc_id, count(*) AS n, string_agg('- **Alt Text**: ' || alt || {nl} || '- **Reference**: ' || url || {nl}, {nl} ORDER BY url, alt) AS b FROM i GROUP BY 1) "
-        + file("'images/image-catalog.md'", f"'# Image Catalog' || {nl} || {nl} || 'Total images referenced: ' || n || {nl} || {nl} || b", "g"),
+        + file(f"'chunked/' || {two} || '-' || {SAFE_CUT('title')} || '-' || size || '.md'", f"'# ' || title || {nl} || {nl} || 'Part: 1 of 1' || {nl} || 'Tier: ' || size || ' (' || token_count || ' tokens)' || {nl} || 'Kind: ' || section_type || {nl} || 'Rank: ' || {priority} || {nl} || 'Fits: ' || {model('token_count')} || {nl} || {nl} || '---' || {nl} || {nl} || CASE WHEN len(notes) > 0 THEN '## Advice' || {nl} || {nl} || array_to_string(list_transform(notes, lambda x: '- ' || x), {nl}) || {nl} || {nl} || '---' || {nl} || {nl} ELSE '' END || content", "c"),
+        "word_sections": f"WITH {SEC} " + file(f"'sections/' || {two} || '-' || {SAFE_CUT('title')} || '.md'", f"'# ' || title || {nl} || {nl} || 'Kind: ' || {first_class('lower(title)', V.WORD_SECTION_TITLES, q('content'))} || {nl} || 'Depth: ' || level || {nl} || 'Tokens: ' || {tokens('content')} || {nl} || 'Minutes to read: ' || greatest(1, {tokens('content')} // 250) || {nl} || {nl} || '---' || {nl} || {nl} || content", "sec"),
+        "word_navigation": f"WITH {SEC}, g AS (SELECT doc_id, count(*) AS n, string_agg(repeat('  ', level - 1) || '- **[' || title || '](sections/' || {two} || '-' || {SAFE_CUT('title')} || '.md)**' || {nl} || repeat('  ', level - 1) || '  Begins: ' || {strip('left(content, 200)')} || CASE WHEN length(content) > 200 THEN '...' ELSE '' END || {nl}, {nl} ORDER BY section_id) AS b FROM sec GROUP BY 1) "
+        + file("'structure-overview.md'", f"'# Way through the document' || {nl} || {nl} || 'Sections: ' || n || {nl} || {nl} || '---' || {nl} || {nl} || '## Sections in order' || {nl} || {nl} || b", "g"),
+        "image_catalog": f"WITH {MD}, a AS (SELECT doc_id, regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', 1) AS a, regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', 2) AS u FROM md), i AS (SELECT doc_id, unnest(a) AS alt, unnest(u) AS url FROM a), g AS (SELECT doc_id, count(*) AS n, string_agg('- Says: ' || alt || {nl} || '- File: ' || url || {nl}, {nl} ORDER BY url, alt) AS b FROM i GROUP BY 1) "
+        + file("'images/image-catalog.md'", f"'# Pictures' || {nl} || {nl} || 'Pictures: ' || n || {nl} || {nl} || b", "g"),
     }
 
 
@@ -110,10 +110,10 @@ def summaries(known: dict[str, str]) -> dict[str, str]:
     from .oracle import ENDPOINTS, TYPED, any_of, q, sentences, tokens, trimmed
 
     nl, two = "chr(10)", "chr(10) || chr(10)"
-    cut = lambda c, t: f"coalesce({trimmed(c, t)}, 'No content available.')"
+    cut = lambda c, t: f"coalesce({trimmed(c, t)}, 'This section is empty.')"
     kind, depth = title("document_type"), title("depth")
-    head = f"'# Detailed Summary' || {two} || 'This ' || {kind} || ' follows a ' || {title('structure_type')} || ' structure with ' || n || ' main sections.' || {two} || '## Section Breakdown' || {two}"
-    top = f"'# Complete Summary' || {two} || '## Document Analysis' || {two} || '**Type**: ' || {kind} || {nl} || '**Technical Depth**: ' || {depth} || {nl} || '**Main Themes**: ' || coalesce(themes, '') || {nl} || '**Total Sections**: ' || n || {two} || '## Complete Section Analysis' || {two}"
+    head = f"'# Section by section' || {two} || 'A ' || {kind} || ' in ' || {title('structure_type')} || ' form, of ' || n || ' sections.' || {two} || '## What each says' || {two}"
+    top = f"'# The whole in short' || {two} || '## What it is' || {two} || 'Kind: ' || {kind} || {nl} || 'Depth: ' || {depth} || {nl} || 'Themes: ' || coalesce(themes, '') || {nl} || 'Sections: ' || n || {two} || '## All sections' || {two}"
     agg = lambda line, where="true", order="section_id": f"string_agg({line}, '' ORDER BY {order}) FILTER ({where})"
     missing = "CASE k " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in V.SUMMARY_MISSING.items()) + " END"
     own = f"""WITH {TYPED}, {ENDPOINTS}, dt AS ({known['document_type_vote']}), dp AS ({known['technical_depth']}), st AS ({known['structure_type']}),
@@ -130,23 +130,23 @@ y AS (SELECT *, {points('ss')} AS brief, {points('ss', True)} AS full_, least(20
   CASE WHEN whole THEN ss WHEN may AND security IS NOT NULL THEN {sentences('security')} END AS se FROM x),
 e AS (SELECT doc_id, count(*) AS calls, string_agg('| ' || method || ' | ' || path || ' | ' || left(description, 100) || ' |' || {nl}, '' ORDER BY j) FILTER (j <= 20) AS lines
   FROM (SELECT endpoint.*, row_number() OVER (PARTITION BY endpoint.doc_id ORDER BY endpoint.section_id, endpoint.i) AS j FROM endpoint JOIN x USING (doc_id, section_id) WHERE api) GROUP BY 1),
-z AS (SELECT doc_id, {agg(f"'### ' || i || '. ' || title || {two} || {cut('brief', 'share')} || {two} || CASE WHEN section_type <> 'content' THEN '*Section Type: ' || {title('section_type')} || '*' || {two} ELSE '' END")} AS detailed,
-  {agg(f"'### ' || i || '. ' || title || {two} || {cut('full_', 'part')} || {two} || CASE WHEN len(ex) > 0 THEN '**Key Examples:**' || {nl} || array_to_string(list_transform(ex, lambda v: '- ' || v || {nl}), '') || {nl} ELSE '' END")} AS complete,
-  {agg(f"'### ' || title || {nl} || '**Type**: ' || {title('section_type')} || {nl} || technical_details || {two}", f"section_type IN ({', '.join(map(q, V.TECHNICAL_TYPES))})")} AS technical,
+z AS (SELECT doc_id, {agg(f"'### ' || i || '. ' || title || {two} || {cut('brief', 'share')} || {two} || CASE WHEN section_type <> 'content' THEN '*Kind: ' || {title('section_type')} || '*' || {two} ELSE '' END")} AS detailed,
+  {agg(f"'### ' || i || '. ' || title || {two} || {cut('full_', 'part')} || {two} || CASE WHEN len(ex) > 0 THEN 'Examples:' || {nl} || array_to_string(list_transform(ex, lambda v: '- ' || v || {nl}), '') || {nl} ELSE '' END")} AS complete,
+  {agg(f"'### ' || title || {nl} || 'Kind: ' || {title('section_type')} || {nl} || technical_details || {two}", f"section_type IN ({', '.join(map(q, V.TECHNICAL_TYPES))})")} AS technical,
   {agg(f"'### ' || title || {nl} || {cut('brief', '150')} || {two}", 'api')} AS api,
   count(*) FILTER (se IS NOT NULL) AS k, {agg(f"'## ' || CASE WHEN whole THEN title ELSE lower(title) END || {nl} || {cut(points('se'), '200')} || {two}", 'se IS NOT NULL')} AS security,
   {agg(f"'## ' || title || {nl} || coalesce(steps, array_to_string(list_transform(list_filter(ss[1:5], lambda v: length(v) > 30)[1:4], lambda v: '- ' || v), {nl})) || {two}", 'step')} AS steps FROM y GROUP BY 1),
-body AS (SELECT d.doc_id, '## Document Overview' || {two} || 'This is a ' || {kind} || ' ' || coalesce('covering ' || three || '.', 'containing technical documentation.') || {two} || '## Key Areas' || {two} || keys
-  || CASE WHEN depth <> 'unknown' THEN {two} || '## Technical Level' || {two} || {depth} ELSE '' END || coalesce({two} || '## Key Concepts' || {two} || concepts, '') AS executive,
-  head || detailed AS detailed, top || complete || coalesce('## Important Tables' || {two} || tables, '') AS complete, '# Technical Summary' || {two} || '## Technical Overview' || {two} || '**Technical Complexity**: ' || {depth} || {two} || coalesce('## Technical Sections' || {two} || technical, '') AS technical,
-  '# API Summary' || {two} || coalesce('## API Endpoints (' || calls || ')' || {two} || '| Method | Endpoint | Description |' || {nl} || '|---|---|---|' || {nl} || lines, '') || {nl} || '## API Documentation Sections' || {two} || api AS api,
-  '# Security Summary' || {two} || 'Found ' || k || ' sections with security-related content.' || {two} || security AS security, '# Integration Summary' || {two} || steps AS integration FROM d JOIN z USING (doc_id) LEFT JOIN e USING (doc_id)),
+body AS (SELECT d.doc_id, '## At a glance' || {two} || 'A ' || {kind} || ' ' || coalesce('on ' || three || '.', 'of mixed content.') || {two} || '## Main sections' || {two} || keys
+  || CASE WHEN depth <> 'unknown' THEN {two} || '## Depth' || {two} || {depth} ELSE '' END || coalesce({two} || '## Main terms' || {two} || concepts, '') AS executive,
+  head || detailed AS detailed, top || complete || coalesce('## Main tables' || {two} || tables, '') AS complete, '# Technical side' || {two} || '## How deep' || {two} || 'Depth: ' || {depth} || {two} || coalesce('## Where' || {two} || technical, '') AS technical,
+  '# The interface' || {two} || coalesce('## Calls (' || calls || ')' || {two} || '| Call | Path | What it does |' || {nl} || '|---|---|---|' || {nl} || lines, '') || {nl} || '## Sections on it' || {two} || api AS api,
+  '# Security' || {two} || k || ' sections speak of it.' || {two} || security AS security, '# Getting started' || {two} || steps AS integration FROM d JOIN z USING (doc_id) LEFT JOIN e USING (doc_id)),
 f AS (SELECT doc_id, 'executive' AS k, {trimmed('executive', '500')} AS c FROM body UNION ALL SELECT doc_id, 'detailed', {trimmed('detailed', '2000')} FROM body UNION ALL SELECT doc_id, 'complete', complete FROM body UNION ALL SELECT doc_id, 'technical', {trimmed('technical', '3000')} FROM body
   UNION ALL SELECT doc_id, 'api', api FROM body UNION ALL SELECT doc_id, 'security', security FROM body UNION ALL SELECT doc_id, 'integration', integration FROM body),
 summary AS (SELECT doc_id, k AS summary_type, coalesce(c, {missing}) AS content, coalesce({tokens('c')}, 0)::BIGINT AS token_count FROM f)"""
     note = "CASE summary_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in V.SUMMARY_NOTES.items()) + " END"
     return {
         "summaries": f"{own} SELECT * FROM summary",
-        "summary_files": f"{own} SELECT doc_id, 'summaries/' || summary_type || '-summary.md' AS path, '---' || {nl} || 'title: ' || {title('summary_type')} || ' Summary' || {nl} || 'type: ' || summary_type || {nl} || 'token_count: ' || token_count || {nl} || '---' || {two} || content AS body FROM summary",
-        "summary_index": f"{own} SELECT doc_id, 'summaries/README.md' AS path, '# Summary Index' || {two} || '## Available Summaries' || {two} || string_agg('- [' || {title('summary_type')} || ' Summary](' || summary_type || '-summary.md) - ' || {note}, {nl} ORDER BY summary_type) AS body FROM summary GROUP BY 1",
+        "summary_files": f"{own} SELECT doc_id, 'summaries/' || summary_type || '-summary.md' AS path, '---' || {nl} || 'title: ' || {title('summary_type')} || {nl} || 'type: ' || summary_type || {nl} || 'token_count: ' || token_count || {nl} || '---' || {two} || content AS body FROM summary",
+        "summary_index": f"{own} SELECT doc_id, 'summaries/README.md' AS path, '# Summaries of this document' || {two} || '## Which there are' || {two} || string_agg('- [' || {title('summary_type')} || '](' || summary_type || '-summary.md) - ' || {note}, {nl} ORDER BY summary_type) AS body FROM summary GROUP BY 1",
     }

@@ -28,9 +28,9 @@ def test_section_texts(spark):
     r = {x["title"]: x for x in s.select("title", A.section_summary(F.col("content"), 400).alias("brief"), A.section_summary(F.col("content"), 400, True).alias("long"), A.examples(F.col("content")).alias("ex"), A.technical_details(F.col("content")).alias("tech")).collect()}
     assert r["Guide"]["brief"] == "The API is fast One An example is here"
     assert r["Guide"]["long"] == "The API is fast One Two Eight Nine. An example is here You must log in"
-    assert r["Empty"]["brief"] == "No content available." and r["Empty"]["tech"] == "No technical details found." and r["Empty"]["ex"] == []
-    assert r["Code"]["ex"][0] == "Code example: a = 1\nb = 2..." and "Example: see this..." in r["Code"]["ex"]
-    assert r["Code"]["tech"] == "**GET** `/v1/x`\n**POST** `/v1/y`\nParameters: x and y\nResponse: none"
+    assert r["Empty"]["brief"] == "This section is empty." and r["Empty"]["tech"] == "Nothing technical here." and r["Empty"]["ex"] == []
+    assert r["Code"]["ex"][0] == "Code: a = 1\nb = 2..." and "For instance: see this..." in r["Code"]["ex"]
+    assert r["Code"]["tech"] == "**GET** `/v1/x`\n**POST** `/v1/y`\nTakes: x and y\nGives: none"
 
 
 def test_structure_sections(spark):
@@ -54,20 +54,20 @@ def test_priorities_and_tables(spark):
 def test_master_index(spark):
     rows = [(1, f"sections/{i:02d}.md", "") for i in range(12)] + [(1, "summaries/a-summary.md", ""), (1, "x-metadata.json", ""), (1, "book.md", "")]
     b = bodies(P.master_index(spark.createDataFrame(rows, "doc_id bigint, path string, body string")))["README.md"]
-    assert "### Sections (12 files)" in b and "- ... (4 more files)" in b and "[04.md](sections/04.md)" in b and "[05.md]" not in b and "[09.md](sections/09.md)" in b
+    assert "### Sections (12 files)" in b and "- ... (4 others)" in b and "[04.md](sections/04.md)" in b and "[05.md]" not in b and "[09.md](sections/09.md)" in b
     assert "### Summaries (1 files)" in b and "### Metadata (1 files)" in b and "### Main Documents (1 files)" in b
 
 
 def test_field_response(spark):
     f = spark.createDataFrame([(1, i, 0, f"n{i}", "v" * 301, "string") for i in range(22)], "doc_id bigint, line_no int, rule int, name string, content string, type string")
     r = P.field_response(f).collect()[0]["response"]
-    assert r.startswith("Extracted Fields (22 total)\n1. n0 (string): " + "v" * 300 + "...\n2. n1") and r.endswith("... and 2 more fields") and "n20" not in r
+    assert r.startswith("Fields (22 in all)\n1. n0 (string): " + "v" * 300 + "...\n2. n1") and r.endswith("and 2 others") and "n20" not in r
 
 
 def test_convert(spark):
     got = bodies(api.convert(docs(spark, TEXT, "", None)))
     assert {"README.md", "structure-overview.md", "concepts/glossary.md", "chunked/chunk-manifest.md", "summaries/README.md", "summaries/executive-summary.md"} <= set(got)
-    assert "**Total Sections**: 3" in got["structure-overview.md"] and "### Sections (" in got["README.md"]
+    assert "Sections: 3" in got["structure-overview.md"] and "### Sections (" in got["README.md"]
     few = bodies(api.convert(markdown(spark, SF).limit(2), tables=False, images=False, concepts=False, summaries=False))
     assert not any(p.startswith(("tables/", "images/", "concepts/", "summaries/")) for p in few)
     assert api.convert(docs(spark, TEXT).where("false")).count() == 0
@@ -103,9 +103,9 @@ def test_summaries_have_their_own_parts(spark):
     typed = with_types(sections_from_markdown(docs(spark, text, "# Bare\nplain words only", None)))
     got = {(r["doc_id"], r["summary_type"]): (r["content"], r["token_count"]) for r in U.all_summaries(typed).collect()}
     assert len(got) == 14 and len({c for (d, _), (c, _) in got.items() if d == 0}) == 7
-    assert "### 1. Overview" in got[0, "detailed"][0] and "*Section Type: Introduction*" in got[0, "detailed"][0] and "**Total Sections**: 5" in got[0, "complete"][0]
+    assert "### 1. Overview" in got[0, "detailed"][0] and "*Kind: Introduction*" in got[0, "detailed"][0] and "Sections: 5" in got[0, "complete"][0]
     assert "| GET | /orders |" in got[0, "api"][0] and "### API calls" in got[0, "api"][0] and "## Login security\nUse a token" in got[0, "security"][0]
-    assert got[0, "integration"][0] == "# Integration Summary\n\n## Setup\n- Install it\n- Start it\n\n" and "### Error handling\n**Type**: Error Handling\nParameters: code and text" in got[0, "technical"][0]
+    assert got[0, "integration"][0] == "# Getting started\n\n## Setup\n- Install it\n- Start it\n\n" and "### Error handling\nKind: Error Handling\nTakes: code and text" in got[0, "technical"][0]
     assert [got[1, k] for k in ("api", "security", "integration")] == [(V.SUMMARY_MISSING[k], 0) for k in ("api", "security", "integration")]
     long = with_types(sections_from_markdown(docs(spark, "\n".join(f"# S{k}\n" + "Some words are here now. " * 400 for k in range(30)))))
     sizes = {r["summary_type"]: r["token_count"] for r in U.all_summaries(long).collect()}
