@@ -395,6 +395,27 @@ def test_forest_finds_planted_links(spark, monkeypatch):
     assert len(got) == 3000 and found >= 0.998 * n / 2
 
 
+def test_trees_are_used_on_the_given_tables(spark, tmp_path):
+    """Through the registered query: pairs planted in a given table, whose labels are all larger than a leaf."""
+    given = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    most = given.groupBy("label").count().agg(F.max("count")).first()[0]
+    assert most > forest.LEAF
+    r, out = np.random.default_rng(3), []
+    for x in given.where("vec_id % 3 = 0").collect():
+        v = np.array(x["embedding"], float)
+        side = r.normal(size=len(v))
+        side -= side @ v / (v @ v) * v
+        c = r.uniform(0.981, 0.999)
+        w = c * v / np.sqrt(v @ v) + np.sqrt(1 - c * c) * side / np.sqrt(side @ side)
+        out.append((x["vec_id"] + 1_000_000, w.tolist(), x["label"], x["vec_id"]))
+    planted = spark.createDataFrame(out, "vec_id bigint, embedding array<double>, label int, of bigint")
+    kind = given.schema["embedding"].dataType
+    given.select("vec_id", "embedding", "label").unionByName(planted.select("vec_id", F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast(given.schema["label"].dataType).alias("label"))).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {x["vec_id"]: x for x in rows(QUERIES["op6_embedding_dedup"](spark, str(tmp_path)))}
+    assert all(got[k]["component_id"] == of and not got[k]["kept"] and got[k]["n_links"] == 1 for k, _, _, of in out)
+    assert sum(x["n_links"] for x in got.values()) == 2 * len(out)
+
+
 def test_forest_of_many_lengths(spark):
     r = np.random.default_rng(6)
     data = []
