@@ -9,6 +9,10 @@ doesn't count. Phrases of a neighbouring word and a lexicon word that only clean
 exceptions and cancel the hit inside. The summed weight, normalised by the number of words, goes
 through a logistic curve fitted on the same rows; 0.7 is the threshold, and a score of 0.7 is toxic.
 
+A pattern may mean several things (a start of a word and the whole word, or an exception); each counts where it holds, and
+of what holds at one place the heaviest. The lexicon has no bound but the sample's: a term must explain
+0.4 % of the toxic rows beyond those explained, or stand in 2 % of them.
+
 Bound of the labelled sample: SAMPLE rows of `labels` (least hashes), learned from and scored with their
 whole texts. The executors count; the driver sees counts of terms that several toxic rows have, the
 terms of each toxic row of the sample, and two numbers for each row.
@@ -26,7 +30,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -37,7 +41,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bounded_sample, stash
 
-SAMPLE, TERMS, PREFIX = 9000, 64, range(3, 9)
+SAMPLE, PREFIX = 9000, range(3, 9)
 THRESHOLD = 0.7
 #: Look-alike letters, and digits and signs read as letters; i, l, 1 and ! count as one.
 LOOKALIKES = dict(zip("авеёкмнорстухіјѕԁɡοαενικρτυχ", "abeekmhopctyxijsdgoaevikptyx"))
@@ -47,7 +51,8 @@ WORDS = re.compile(r"[^\W_]+")
 
 
 def fold_table() -> dict[int, str]:
-    t = {c: chr(c).lower() for c in range(0x250) if len(chr(c).lower()) == 1}
+    letters = (chr(c) for c in range(0x1F000))  # beyond, no letter has case
+    t = {ord(c): low for c in letters if len(low := c.lower()) == 1 and low != c}
     for k, v in LOOKALIKES.items():
         t[ord(k)] = t[ord(k.upper())] = v
     t |= {ord(k): v for k, v in DIGITS.items()}
@@ -70,37 +75,46 @@ class Lexicon:
     fitted: bool = False
     soft: frozenset[str] = frozenset()  # terms whose first hit is excused
 
+    @cached_property
+    def machine(self) -> ahocorasick.Automaton:
+        return automaton(self.terms, self.exceptions)
 
-@lru_cache(maxsize=2)
-def automaton(terms: tuple[str, ...], exceptions: tuple[str, ...]):
-    a = ahocorasick.Automaton()
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "machine"}
+
+
+def automaton(terms: Iterable[str], exceptions: Iterable[str]) -> ahocorasick.Automaton:
+    """Of letters, with all that they mean: a start of a word, the whole word, an exception, or several of these."""
+    meant: dict[str, list[tuple[str, bool]]] = {}
     for t in terms:
-        a.add_word(t.strip(), (t, None))
+        meant.setdefault(t.strip(), []).append((t, False))
     for e in exceptions:
-        a.add_word(e, (e, len(e)))
+        meant.setdefault(e, []).append((e, True))
+    a = ahocorasick.Automaton()
+    for letters, meanings in meant.items():
+        a.add_word(letters, (len(letters), meanings))
     if len(a):
         a.make_automaton()
     return a
 
 
-def hits(text: str, terms: dict[str, float], exceptions: tuple[str, ...]) -> list[tuple[int, str]]:
+def hits(text: str, a: ahocorasick.Automaton) -> list[tuple[int, str]]:
     """(start, term) of the lexicon's hits at word starts, without those inside exceptions."""
-    a = automaton(tuple(terms), exceptions)
     if not len(a):
         return []
     f, n = fold(text), len(text)
     found, spared = [], []
-    for end, (t, phrase) in a.iter(f):
-        size = len(t.strip())
+    for end, (size, meanings) in a.iter(f):
         start, after = end - size + 1, end + 1
         if start and (text[start - 1].isalnum()):
             continue
         closed = after >= n or not text[after].isalnum()
-        if phrase is not None:
-            if closed:
-                spared.append((start, after))
-        elif closed or not t.endswith(" "):
-            found.append((start, t))
+        for t, excepted in meanings:
+            if excepted:
+                if closed:
+                    spared.append((start, after))
+            elif closed or not t.endswith(" "):
+                found.append((start, t))
     if not spared:
         return found
     spared.sort()
@@ -113,7 +127,7 @@ def weight(text: str | None, lex: Lexicon) -> float:
     if not text or not lex.terms:
         return 0.0
     best: dict[int, str] = {}
-    for s, t in hits(text, lex.terms, lex.exceptions):
+    for s, t in hits(text, lex.machine):
         if s not in best or lex.terms[t] > lex.terms[best[s]]:
             best[s] = t
     if not best:
@@ -190,7 +204,7 @@ def chosen(rows: list[list[str]], good: dict[str, Candidate]) -> dict[str, float
             members.setdefault(f, set()).add(i)
     terms: dict[str, float] = {}
     least = max(3, 0.004 * n1)
-    while members and len(terms) < TERMS:
+    while members:  # each explains so many more rows that there are 250 at most
         # the term that explains most; of equals the longest, which says most
         f = min(members, key=lambda f: (-len(members[f]), -len(f), f))
         if len(members[f]) < least:
@@ -202,21 +216,26 @@ def chosen(rows: list[list[str]], good: dict[str, Candidate]) -> dict[str, float
     common = [f for f, c in good.items() if c.rows >= max(8, 0.02 * n1)]
     longer = {f for g in common for k in range(3, len(g)) if (f := g[:k]) in good and good[g].rows >= 0.9 * good[f].rows}
     for f in sorted(set(common) - longer, key=lambda f: (len(f), f)):
-        if len(terms) < 4 * TERMS and not any(f.startswith(t) for t in terms):
+        if not any(f.startswith(t) for t in terms):
             terms[f] = good[f].weight
     return terms
 
 
-def phrases(text: str, terms: dict[str, float]) -> Counter[str]:
-    """A hit's word and the word after it."""
+def phrases(text: str, a: ahocorasick.Automaton) -> Counter[str]:
+    """A hit's word and the word after it; once a hit, whatever it means."""
     f, out = fold(text), Counter()
-    for s, _ in hits(text, terms, ()):
+    for s in sorted({s for s, _ in hits(text, a)}):
         e = re.compile(r"\W|$").search(f, s).start()
         if near := re.compile(r" \w+").match(f, e):
             out[f[s:e] + near[0]] += 1
     return out
 
 
+def counted_phrases(texts: list[str], terms: dict[str, float]) -> list[tuple[str, int]]:
+    plain = automaton(terms, ())
+    return list(sum((phrases(x, plain) for x in texts), Counter()).items())
+
+
 def with_exceptions(terms: dict[str, float], good: dict[str, Candidate], clean: dict[str, int], toxic: Iterable[str], exceptions: tuple[str, ...]) -> Lexicon:
     bad = set(toxic)
     learned = sorted(p for p, n in clean.items() if n >= 3 and p not in bad)
@@ -249,7 +268,8 @@ def learn(rows: list[tuple[str, int]], exceptions: tuple[str, ...] = EXCEPTIONS)
     names = common_terms(toxic, len(texts[0]))
     good = candidates({f: toxic[f] for f in names}, tally(texts[1], names), len(texts[0]), len(texts[1]))
     terms = chosen([explained(t, good) for t in texts[0]], good)
-    seen = [sum((phrases(t, terms) for t in x), Counter()) for x in texts]
+    plain = automaton(terms, ())
+    seen = [sum((phrases(t, plain) for t in x), Counter()) for x in texts]
     lex = with_exceptions(terms, good, seen[1], seen[0], exceptions)
     lex.curve = curve([(weight(t, lex), y) for t, y in rows])
     return lex
@@ -289,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tu
         return {r["f"]: [r["n"], r["m"]] for r in told.groupBy("f").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n") >= least).collect()}
 
     def phrased(part: DataFrame, least: int) -> dict[str, int]:
-        told = each(part, "p string, n bigint", lambda t: list(sum((phrases(x, terms) for x in t), Counter()).items()))
+        told = each(part, "p string, n bigint", lambda t: counted_phrases(t, terms))
         return {r["p"]: r["n"] for r in told.groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
 
     found = counted(toxic, None, max(3, 0.004 * n1))

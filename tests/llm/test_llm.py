@@ -190,6 +190,23 @@ def test_toxicity_learns_folds_and_spares():
     assert toxicity.learn([("a", 0)]).terms == {} and toxicity.score("x", toxicity.learn([])) == 0.0
 
 
+def test_one_pattern_means_several_things():
+    """The start of a word, the whole word and an exception of the same letters, whatever their order."""
+    for terms in ({"moron ": 5.0, "moron": 4.0}, {"moron": 4.0, "moron ": 5.0}):
+        lex = toxicity.Lexicon(terms, (), (1.0, 0.0), True)
+        assert toxicity.weight("moron " + "x " * 79, lex) == 5.0 and toxicity.weight("moronic " + "x " * 79, lex) == 4.0 and toxicity.weight("oxymoron", lex) == 0.0
+    spared = toxicity.Lexicon({"moron ": 5.0, "moron": 4.0}, ("moron",), (1.0, 0.0), True)
+    assert toxicity.weight("moron", spared) == 0.0 and toxicity.weight("moronic " + "x " * 79, spared) == 4.0
+
+
+def test_case_is_folded_in_every_script():
+    for c in map(chr, range(0x20000)):
+        low = c.lower()
+        if c.isalpha() and len(low) == 1 and low not in toxicity.LOOKALIKES:
+            assert toxicity.fold(c) == toxicity.fold(low), c
+    assert toxicity.fold("ДОМ") == toxicity.fold("дом") and len(toxicity.fold("İẞ漢")) == 3
+
+
 def test_toxicity_from_long_texts_and_repeats(spark):
     """The executors' counts give the lexicon that learn gives; long labelled texts count."""
     texts = [(t + " " + prose(4000, 7000 + k) * (k % 50 == 0), y) for k, (t, y) in enumerate(toxic_rows(300))]
@@ -570,7 +587,7 @@ def test_long_texts_take_time_in_proportion():
 def test_exceptions_cancel_what_they_cover():
     fish = toxicity.fold("fish ")
     t = "clown fish clown. fish and clown fish"
-    assert toxicity.hits(t, {"clown ": 1.0, fish: 1.0}, (toxicity.fold("clown fish"),)) == [(11, "clown "), (18, fish)]
+    assert toxicity.hits(t, toxicity.automaton(["clown ", fish], (toxicity.fold("clown fish"),))) == [(11, "clown "), (18, fish)]
 
 
 def test_personal_data(docs, none):
