@@ -273,6 +273,7 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
           r AS (SELECT doc_id, table_no, row_no, '{{' || string_agg(j, ', ' ORDER BY col_no) || '}}' AS j, string_agg(col_name, ',' ORDER BY col_no) AS h FROM p GROUP BY ALL) SELECT doc_id, table_no, first(h ORDER BY row_no) AS headers, count(*)::INT AS n_rows, '[' || string_agg(j, ', ' ORDER BY row_no) || ']' AS rows FROM r GROUP BY ALL""",
         "value_distribution": f"WITH {CELLS}, v AS (SELECT col_name, cell, count(*) AS n FROM cell WHERE cell <> '' GROUP BY 1, 2) SELECT * FROM v WHERE col_name IN (SELECT col_name FROM v GROUP BY 1 HAVING count(*) <= 20)",
         "boundaries": f"WITH {MD}, e AS ({edges}), p AS (SELECT doc_id, family, k, coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS position FROM e, unnest(range(1, len(h) + 1)) AS t(i)) SELECT doc_id, position::INT AS position, arg_min(family, k) AS family FROM p GROUP BY 1, 2",
+        "boundary_pages": f"SELECT b.*, pos // 300 + 1 AS page_num FROM (WITH {MD}, e AS ({edges}), p AS (SELECT doc_id, family, k, coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS position FROM e, unnest(range(1, len(h) + 1)) AS t(i)) SELECT doc_id, position::INT AS position, arg_min(family, k) AS family FROM p GROUP BY 1, 2) b JOIN (WITH {MD} SELECT doc_id, pos, length(text) AS n FROM md, unnest(range(0, length(text), 300)) AS t(pos)) p ON p.doc_id = b.doc_id AND position >= pos AND position < least(pos + 300, n)",
         "chunk_plan": f"WITH {plan} SELECT * FROM plan",
         "chunk_sizes": f"WITH {plan} SELECT doc_id, section_id, token_count, unnest(string_split(sizes, ',')) AS size, {model('token_count')} AS model FROM plan",
         "chunk_manifest": f"WITH {plan} SELECT section_type, count(*) AS sections, sum(token_count)::BIGINT AS tokens, sum(len(string_split(sizes, ',')))::BIGINT AS chunks, max(priority) AS priority FROM plan GROUP BY 1",

@@ -8,6 +8,7 @@ from .. import api
 from ..functions import text as T
 from ..operators import analysis as A
 from ..operators import chunks as C
+from ..operators import intervals as I
 from ..operators import lines as L
 from ..operators import refs as R
 from ..operators import reports as P
@@ -50,7 +51,13 @@ def token_tiers(s, d):
 
 def _vectors(s, d):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return C.chunk_facts(C.pack(_docs(s, d))).join(v, "doc_id")
+    return C.chunk_facts(C.pack(_docs(s, d))).join(v, "doc_id", "left")
+
+
+def _boundary_pages(s, d):
+    """The pages, of 300 signs, that boundaries stand on."""
+    pages = A.page_offsets(S.pages_fixed(_md(s, d), 300)).select("doc_id", "page_num", "start", F.col("end").alias("stop"))
+    return I.points_in_intervals(C.boundaries(_md(s, d)), pages, ["doc_id"], "position", "start", "stop").drop("start", "stop")
 
 
 def _page_md(s, d):
@@ -218,6 +225,7 @@ QUERIES = {
     "table_json": lambda s, d: B.table_json(B.table_cells(_md(s, d))),
     "table_embedding": lambda s, d: B.embedding_text(B.table_cells(_md(s, d))),
     "boundaries": lambda s, d: C.boundaries(_md(s, d)),
+    "boundary_pages": _boundary_pages,
     "rag_chunks": lambda s, d: C.chunk_facts(C.pack(_docs(s, d))),
     "chunk_pages": lambda s, d: C.chunk_pages(C.pack(_docs(s, d))),
     "chunk_plan": lambda s, d: C.chunk_plan(_typed(s, d)),
