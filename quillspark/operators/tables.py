@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,11 +70,44 @@ def table_json(cells: DataFrame) -> DataFrame:
     return t.select("doc_id", "table_no", F.array_join("h", ",").alias("headers"), F.size("r").alias("n_rows"), F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["j"]), ", "), F.lit("]")).alias("rows"))
 
 
-def value_distribution(cells: DataFrame, most: int = 20) -> DataFrame:
-    """col_name, cell, n of columns with at most `most` different values over all tables."""
-    counts = cells.where(F.col("cell") != "").groupBy("col_name", "cell").agg(F.count(F.lit(1)).alias("n"))
-    width = counts.groupBy("col_name").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= most).select("col_name")
-    return counts.join(width, "col_name", "left_semi")
+def value_distribution(cells: DataFrame, most: int = 20, keys: tuple[str, ...] = ("col_name",)) -> DataFrame:
+    """keys, cell, n of columns with at most `most` different values: by name over all tables, or with the keys of
+    table_cells for each table's own columns."""
+    counts = cells.where(F.col("cell") != "").groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"))
+    width = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") <= most)
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return counts.alias("a").join(width.alias("b"), reduce(lambda x, y: x & y, same), "left_semi")
+
+
+#: Registers of the distinct sketch (2^14: a standard error of 0.8 %) and values that the frequency sketch tracks.
+REGISTERS, TRACKED = 14, 10_000
+
+
+def column_sketches(cells: DataFrame) -> DataFrame:
+    """One row for each column of each table: n, nulls, the counts of kinds, and two sketches to be stored and merged
+    (`merged`) whatever comes later: different values, and frequent values."""
+    kind = T.cell_kind(F.col("cell"))
+    k = cells.select("doc_id", "table_no", "col_no", "col_name", F.when(kind != "null", F.col("cell")).alias("cell"), kind.alias("kind"))
+    counts = [F.count_if(F.col("kind") == x).alias(x) for x in KINDS]
+    return k.groupBy("doc_id", "table_no", "col_no", "col_name").agg(F.count(F.lit(1)).alias("n"), *counts, F.hll_sketch_agg("cell", F.lit(REGISTERS)).alias("different"), F.expr(f"approx_top_k_accumulate(cell, {TRACKED})").alias("frequent"))
+
+
+def merged(sketches: DataFrame, *keys: str) -> DataFrame:
+    """The same of the union of all columns with equal keys: of column_sketches or of what was merged before."""
+    counts = [F.sum(x).alias(x) for x in ("n", *KINDS)]
+    return sketches.groupBy(*keys).agg(*counts, F.hll_union_agg("different").alias("different"), F.expr(f"approx_top_k_combine(frequent, {TRACKED})").alias("frequent"))
+
+
+def sketched(sketches: DataFrame, most: int = 3, among: int = 1000) -> DataFrame:
+    """Keys, n, nulls, n_unique, mode_kind (the commonest; of equals by KINDS) and top (value:count of the `most` frequent,
+    of equals by value). n_unique is exact for small numbers, else within 0.8 % in two cases of three and 2.4 % in all but
+    a few of a thousand. A count is exact while at most TRACKED values differ, else too high by at most 3.5 n / 16384."""
+    other = [c for c in sketches.columns if c not in ("n", *KINDS, "different", "frequent")]
+    mode = F.reduce(F.array(*[F.struct(F.col(x).alias("n"), F.lit(x).alias("kind")) for x in KINDS]), F.expr("named_struct('n', -1L, 'kind', '')"), lambda a, x: F.when(x["n"] > a["n"], x).otherwise(a))["kind"]
+    values = F.filter(F.expr(f"approx_top_k_estimate(frequent, {among})"), lambda x: x["item"].isNotNull())  # null is counted as a value
+    found = F.array_sort(F.transform(values, lambda x: F.struct((-x["count"]).alias("c"), x["item"].alias("v"))))
+    top = F.array_join(F.transform(F.slice(found, 1, most), lambda x: F.concat(x["v"], F.lit(":"), (-x["c"]).cast("string"))), ",")
+    return sketches.select(*other, "n", F.col("null").alias("nulls"), F.hll_sketch_estimate("different").alias("n_unique"), mode.alias("mode_kind"), top.alias("top"))
 
 
 def embedding_text(cells: DataFrame) -> DataFrame:

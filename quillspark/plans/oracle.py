@@ -271,6 +271,11 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         "table_json": f"""WITH {CELLS}, v AS (SELECT *, {DIGITS} AS number FROM kinds),
           p AS (SELECT *, to_json(col_name)::VARCHAR || ': ' || CASE kind WHEN 'null' THEN 'null' WHEN 'bool' THEN CASE WHEN lower(cell) IN ({', '.join(map(q, V.TRUE_CELLS))}) THEN 'true' ELSE 'false' END WHEN 'str' THEN to_json(cell)::VARCHAR ELSE number END AS j FROM v),
           r AS (SELECT doc_id, table_no, row_no, '{{' || string_agg(j, ', ' ORDER BY col_no) || '}}' AS j, string_agg(col_name, ',' ORDER BY col_no) AS h FROM p GROUP BY ALL) SELECT doc_id, table_no, first(h ORDER BY row_no) AS headers, count(*)::INT AS n_rows, '[' || string_agg(j, ', ' ORDER BY row_no) || ']' AS rows FROM r GROUP BY ALL""",
+        **{name: f"""WITH {CELLS}, v AS (SELECT {keys}, cell, kind, count(*) AS k FROM kinds GROUP BY ALL), w AS (SELECT {keys}, cell, sum(k) AS k FROM v WHERE kind <> 'null' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY k DESC, cell) AS r FROM w),
+          t AS (SELECT {keys}, count(*) AS u, string_agg(cell || ':' || k, ',' ORDER BY r) FILTER (r <= 3) AS top FROM r GROUP BY ALL), c AS (SELECT {keys}, kind, sum(k) AS k FROM v GROUP BY ALL),
+          m AS (SELECT {keys}, sum(k)::BIGINT AS n, coalesce(sum(k) FILTER (kind = 'null'), 0)::BIGINT AS nulls, first(kind ORDER BY k DESC, list_position(['bool', 'int', 'float', 'str', 'null'], kind)) AS mode_kind FROM c GROUP BY ALL)
+          SELECT m.*, coalesce(u, 0)::BIGINT AS n_unique, coalesce(top, '') AS top FROM m LEFT JOIN t USING ({keys})""" for name, keys in (("column_sketches", "doc_id, table_no, col_no, col_name"), ("corpus_columns", "col_name"))},
+        "value_counts": f"WITH {CELLS}, v AS (SELECT doc_id, table_no, col_no, col_name, cell, count(*) AS n FROM cell WHERE cell <> '' GROUP BY ALL) SELECT v.* FROM v JOIN (SELECT doc_id, table_no, col_no, col_name FROM v GROUP BY ALL HAVING count(*) <= 20) USING (doc_id, table_no, col_no, col_name)",
         "value_distribution": f"WITH {CELLS}, v AS (SELECT col_name, cell, count(*) AS n FROM cell WHERE cell <> '' GROUP BY 1, 2) SELECT * FROM v WHERE col_name IN (SELECT col_name FROM v GROUP BY 1 HAVING count(*) <= 20)",
         "boundaries": f"WITH {MD}, e AS ({edges}), p AS (SELECT doc_id, family, k, coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS position FROM e, unnest(range(1, len(h) + 1)) AS t(i)) SELECT doc_id, position::INT AS position, arg_min(family, k) AS family FROM p GROUP BY 1, 2",
         "boundary_pages": f"SELECT b.*, pos // 300 + 1 AS page_num FROM (WITH {MD}, e AS ({edges}), p AS (SELECT doc_id, family, k, coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS position FROM e, unnest(range(1, len(h) + 1)) AS t(i)) SELECT doc_id, position::INT AS position, arg_min(family, k) AS family FROM p GROUP BY 1, 2) b JOIN (WITH {MD} SELECT doc_id, pos, length(text) AS n FROM md, unnest(range(0, length(text), 300)) AS t(pos)) p ON p.doc_id = b.doc_id AND position >= pos AND position < least(pos + 300, n)",

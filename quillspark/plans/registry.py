@@ -222,6 +222,9 @@ QUERIES = {
     "table_profile": lambda s, d: B.profile(B.table_cells(_md(s, d))),
     "table_notes": lambda s, d: B.table_notes(B.profile(B.table_cells(_md(s, d)))),
     "value_distribution": lambda s, d: B.value_distribution(B.table_cells(_md(s, d))),
+    "column_sketches": lambda s, d: B.sketched(B.column_sketches(B.table_cells(_md(s, d)))),
+    "corpus_columns": lambda s, d: B.sketched(B.merged(B.column_sketches(B.table_cells(_md(s, d))), "col_name")),
+    "value_counts": lambda s, d: B.value_distribution(B.table_cells(_md(s, d)), keys=("doc_id", "table_no", "col_no", "col_name")),
     "table_json": lambda s, d: B.table_json(B.table_cells(_md(s, d))),
     "table_embedding": lambda s, d: B.embedding_text(B.table_cells(_md(s, d))),
     "boundaries": lambda s, d: C.boundaries(_md(s, d)),
