@@ -40,22 +40,31 @@ def definition(content, term, plain):
     return F.coalesce(hit(r"\s+is\s+([^\n]+?)\.", " is "), hit(r"\s*:\s*([^\n]+?)\.", ":", " :"), hit(r"\s*-\s*([^\n]+?)\.", "-", " -"), hit(r"\s+refers to\s+([^\n]+?)\.", " refers to "), hit(r"\s+means\s+([^\n]+?)\.", " means "))
 
 
+def occurrences(terms: DataFrame) -> DataFrame:
+    """doc_id, term (in lower case), form, section_id, title, ctx (around its first place), def: what each section says of
+    a term."""
+    return terms.select("doc_id", F.lower("term").alias("term"), F.col("term").alias("form"), "section_id", "title", F.nullif(T.context(F.col("content"), F.col("term")), F.lit("")).alias("ctx"), definition(F.col("content"), F.col("term"), F.col("plain")).alias("def"))
+
+
+def scored(facts: DataFrame) -> DataFrame:
+    """Facts with category and score, kept if they score over 2 or come more than once."""
+    g = facts.withColumn("category", category(F.col("term")))
+    bonus = F.when(F.col("category").isin("api_concepts", "security_concepts", "http_concepts"), 3.0).when(F.col("category") != "general", 1.0).otherwise(0.0)
+    score = F.least(F.col("frequency") * 0.5, F.lit(5.0)) + F.least(F.col("n_sections") * 1.0, F.lit(5.0)) + bonus + F.when(F.col("n_definitions") > 0, 2.0).otherwise(0.0) + F.when(F.col("n_contexts") > 1, 1.0).otherwise(0.0)
+    return g.withColumn("score", score).where((F.col("score") > 2) | (F.col("frequency") > 1))
+
+
 def term_facts(terms: DataFrame) -> DataFrame:
     """doc_id, term, frequency, n_sections, category, n_contexts, n_definitions, score, definition (of
     the first section that has one), context (the shortest), sections (titles); kept if it scores over
     2 or comes more than once."""
-    key = F.lower("term")
-    d = terms.select("doc_id", key.alias("term"), F.col("term").alias("form"), "section_id", "title", F.nullif(T.context(F.col("content"), F.col("term")), F.lit("")).alias("ctx"), definition(F.col("content"), F.col("term"), F.col("plain")).alias("def"))
     different = lambda c: F.size(F.collect_set(c)).cast("bigint")  # noqa: E731 - few within a document; distinct counts would multiply the rows
-    g = d.groupBy("doc_id", "term").agg(
+    g = occurrences(terms).groupBy("doc_id", "term").agg(
         F.count(F.lit(1)).alias("frequency"), different("title").alias("n_sections"), different("ctx").alias("n_contexts"), different("def").alias("n_definitions"),
         F.min(F.when(F.col("def").isNotNull(), F.struct("section_id", "form", "def")))["def"].alias("definition"), F.min(F.when(F.col("ctx").isNotNull(), F.struct(F.length("ctx").alias("n"), "ctx")))["ctx"].alias("context"),
         F.array_join(F.array_sort(F.collect_set("title")), ", ").alias("sections"),
     )
-    g = g.withColumn("category", category(F.col("term")))
-    bonus = F.when(F.col("category").isin("api_concepts", "security_concepts", "http_concepts"), 3.0).when(F.col("category") != "general", 1.0).otherwise(0.0)
-    score = F.least(F.col("frequency") * 0.5, F.lit(5.0)) + F.least(F.col("n_sections") * 1.0, F.lit(5.0)) + bonus + F.when(F.col("n_definitions") > 0, 2.0).otherwise(0.0) + F.when(F.col("n_contexts") > 1, 1.0).otherwise(0.0)
-    return g.withColumn("score", score).where((F.col("score") > 2) | (F.col("frequency") > 1))
+    return scored(g)
 
 
 def term_scores(terms: DataFrame) -> DataFrame:
