@@ -45,7 +45,31 @@ f AS (SELECT o.doc_id, text, left(md5(o.doc_id::VARCHAR), 12) || '_chunk_0000' A
     kws = f"list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(text, '(?i)\\b(?:{'|'.join(V.TECH_WORDS)})\\b'), lambda x: upper(x)), list_filter(regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b'), lambda x: length(x) > 3))))[1:20]"
     quality = f"""greatest(0::DOUBLE, least(1::DOUBLE, 0.5::DOUBLE + {one('length(text) > 100', 0.1)} + {one(f"regexp_matches({t}, '[.!?]$')", 0.1)} + {one(f"regexp_matches({t}, '^[A-Z]')", 0.1)} + {one(n_of('[.]') + ' > 1', 0.1)} + {one("regexp_matches(text, '\\b(?:def|class|function|import|return)\\b')", 0.1)} - {one('length(text) < 50', 0.2)} - {one(n_of(chr(10)) + ' / greatest(length(text), 1) > 0.3', 0.1)}))"""
     chunk = chunk.replace("\nf AS (SELECT", f"\nkws AS (SELECT doc_id, {kws} AS kw FROM one), quals AS (SELECT doc_id, {quality} AS quality FROM one),\nf AS (SELECT")
+    # the packer on whole documents: segments in order, one after the other; over-long ones by words; what chunks overlap with
+    every = " UNION ALL ".join(f"SELECT doc_id, {q(n)} AS kind, {k} AS k, regexp_extract_all(text, {q(p)}) AS h, regexp_split_to_array(text, {q(p)}) AS s FROM documents" for k, (n, p) in enumerate((n, r"\n\n[A-Z]" if n == "paragraph" else p) for n, p in V.BOUNDARIES))
+    tail = lambda c: f"(SELECT array_to_string(w[len(w) - len(list_filter(range(1, len(w) + 1), lambda j: list_sum(list_transform(w[len(w) - j + 1:], lambda z: (length(z) + 1) // 4)) <= 128)) + 1:], ' ') FROM (SELECT regexp_split_to_array({strip(c)}, '\\s+') AS w))"
+    packed = f"""e AS ({every}), spot AS (SELECT doc_id, kind, k, list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS pos FROM e, unnest(range(1, len(h) + 1)) AS t(i)),
+mark AS (SELECT doc_id, pos, arg_min(kind, k) AS kind FROM spot WHERE pos > 0 GROUP BY 1, 2), cuts AS (SELECT doc_id, pos FROM mark UNION SELECT doc_id, 0 FROM documents),
+part AS (SELECT doc_id, pos, {strip("substr(text, (pos + 1)::BIGINT, (coalesce(lead(pos) OVER w, length(text)) - pos)::BIGINT)")} AS s, lead(pos) OVER w AS upto FROM cuts JOIN documents USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+seg AS (SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.pos) AS i, s, length(s) // 4 AS t, coalesce(m.kind, 'text') AS kind, (p.pos // 3000 + 1)::INT AS page FROM part p LEFT JOIN mark m ON m.doc_id = p.doc_id AND m.pos = p.upto WHERE s <> ''),
+fold AS (SELECT doc_id, 0::BIGINT AS i, '' AS held, 0::BIGINT AS n, 0::BIGINT AS k, []::INT[] AS pages, ''::VARCHAR AS e_kind, ''::VARCHAR AS e_text, 0::BIGINT AS e_k, []::INT[] AS e_pages, false AS big FROM documents UNION ALL
+  SELECT doc_id, i, CASE WHEN fits THEN CASE WHEN k > 0 THEN held || {two} || s ELSE s END WHEN big THEN '' ELSE over || {two} || s END, CASE WHEN fits THEN n + t WHEN big THEN 0 ELSE length(over) // 4 + t END, CASE WHEN fits THEN k + 1 WHEN big THEN 0 ELSE 2 END,
+    CASE WHEN fits THEN list_append(pages, page) WHEN big THEN []::INT[] ELSE [page] END, kind, CASE WHEN fits THEN '' ELSE held END, CASE WHEN fits THEN 0 ELSE k END, CASE WHEN fits THEN []::INT[] ELSE pages END, big
+  FROM (SELECT f.doc_id, x.i, held, n, k, pages, x.s, x.t, x.kind, x.page, n + x.t <= 768 AS fits, x.t > 768 AS big, CASE WHEN n + x.t > 768 AND x.t <= 768 THEN {tail('held')} ELSE '' END AS over FROM fold f JOIN seg x ON x.doc_id = f.doc_id AND x.i = f.i + 1)),
+word AS (SELECT doc_id, i, regexp_split_to_array(s, '\\s+') AS ws FROM seg WHERE t > 768), sums AS (SELECT doc_id, i, ws, list(c ORDER BY j) AS ps FROM (SELECT doc_id, i, ws, j, sum((length(ws[j]) + 1) // 4) OVER (PARTITION BY doc_id, i ORDER BY j) AS c FROM word, unnest(range(1, len(ws) + 1)) AS u(j)) GROUP BY doc_id, i, ws),
+piece AS (SELECT doc_id, i, ws, ps, 1::BIGINT AS p, 1::BIGINT AS a, greatest(2, len(list_filter(ps, lambda v: v <= 768)) + 1)::BIGINT AS b FROM sums UNION ALL
+  SELECT doc_id, i, ws, ps, p + 1, b, greatest(b + 1, len(list_filter(ps, lambda v: v <= ps[b - 1] + 768)) + 1)::BIGINT FROM piece WHERE b <= len(ws)),
+told AS (SELECT doc_id, i, 0::BIGINT AS p, e_kind AS content_type, e_text AS text, e_k AS n_segments, e_pages AS pages FROM fold WHERE e_k > 0 UNION ALL
+  SELECT piece.doc_id, i, p, kind, array_to_string(ws[a:b - 1], ' '), 1, [page] FROM piece JOIN seg USING (doc_id, i) UNION ALL
+  SELECT doc_id, i + 1, 0, 'text', held, k, pages FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS r FROM fold) WHERE r = 1 AND k > 0),
+chunk AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, p) - 1)::INT AS chunk_index, content_type, text, n_segments::INT AS n_segments, list_sort(list_distinct(pages)) AS source_pages FROM told)"""
+    # a word's end is told by letters of all scripts: those beyond ASCII count as letters of no class
+    mask = "regexp_replace(text, '[À-ÖØ-öø-ɏ]', '_', 'g')"
+    masked = lambda x: x.replace("regexp_extract_all(text, '(?i)\\b", f"regexp_extract_all({mask}, '(?i)\\b").replace("regexp_extract_all(text, '\\b[A-Z]", f"regexp_extract_all({mask}, '\\b[A-Z]").replace("regexp_matches(text, '\\b", f"regexp_matches({mask}, '\\b")
     out = {
+        "rag_chunks": f"WITH RECURSIVE {packed} SELECT *, left(md5(doc_id::VARCHAR), 12) || '_chunk_' || lpad(chunk_index::VARCHAR, 4, '0') AS chunk_id, {tokens('text')}::BIGINT AS token_count, length(text)::INT AS char_count, {masked(kws)} AS keywords, {masked(quality)} AS quality, contains(text, '```') AS has_code, contains(text, '|') AS has_table FROM chunk",
+        "chunk_pages": f"WITH RECURSIVE {packed} SELECT doc_id, chunk_index, list_min(source_pages) AS first_page, list_max(source_pages) AS last_page FROM chunk",
+        "chunk_embeddings": f"WITH RECURSIVE {packed} SELECT doc_id, left(md5(doc_id::VARCHAR), 12) || '_chunk_' || lpad(chunk_index::VARCHAR, 4, '0') AS chunk_id, embedding FROM chunk LEFT JOIN embeddings ON vec_id = doc_id",
         "term_in_section": f"WITH {inside} SELECT * FROM hit",
         "document_pairs": f"WITH {pairs} SELECT * FROM pair",
         "category_terms": f"WITH {scores} SELECT doc_id, category, string_agg(DISTINCT term, ',' ORDER BY term) AS terms FROM scores GROUP BY 1, 2",
