@@ -50,38 +50,39 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def dense_shares(kept: DataFrame, vocabulary: DataFrame, groups: DataFrame) -> DataFrame:
-    """lang, source, term, p of every source and kept term of each language."""
-    every = vocabulary.select("lang", "term").join(groups.select("lang", "source", "total", "kept"), "lang")
-    return every.join(kept, ["lang", "source", "term"], "left").select("lang", "source", "term", F.expr(SHARE.format(count="coalesce(n, 0)", total="total")).alias("p"))
+    """id, group, p of every kept term (of a language) and source of its language."""
+    every = vocabulary.select("id", "lang").join(groups.select("lang", "group", "total", "kept"), "lang")
+    return every.join(kept.select("id", "group", "n"), ["id", "group"], "left").select("id", "group", F.expr(SHARE.format(count="coalesce(n, 0)", total="total")).alias("p"))
 
 
 def source_pairs(dense: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item (another source), value of every two sources of a language."""
-    a, b = dense.select("lang", "term", "source", "p"), dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    sums = a.join(b, ["lang", "term"]).where("source < item").groupBy("lang", "source", "item").agg(F.sum(F.expr(DISTANCE)).alias("value"))
-    two = F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))
-    both = sums.select("lang", "value", F.inline(two))
-    others = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
-    return others.join(both, ["lang", "source", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+    other = dense.select("id", F.col("group").alias("other"), F.col("p").alias("q"))
+    sums = dense.join(other, "id").where("group < other").groupBy("group", "other").agg(F.sum(F.expr(DISTANCE)).alias("value"))
+    both = sums.select("value", F.inline(F.array(F.struct("group", "other"), F.struct(F.col("other").alias("group"), F.col("group").alias("other")))))
+    pairs = groups.select("lang", "source", "group").join(groups.select("lang", F.col("source").alias("item"), F.col("group").alias("other")), "lang").where("group <> other")
+    return pairs.join(both, ["group", "other"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).alias("value"))
 
 
-def marked_terms(kept: DataFrame, vocabulary: DataFrame, groups: DataFrame) -> DataFrame:
+def marked_terms(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item (a term that the source has above its language's share), value."""
-    mine = kept.join(groups, ["lang", "source"]).join(vocabulary.select("lang", "term", F.col("n").alias("all")), ["lang", "term"])
-    shares = mine.select("lang", "source", F.col("term").alias("item"), F.expr(SHARE.format(count="n", total="total")).alias("p"), F.expr(SHARE.format(count="all", total="whole")).alias("q"))
+    mine = kept.join(groups, "group")
+    shares = mine.select("lang", "source", F.col("term").alias("item"), F.expr(SHARE.format(count="n", total="total")).alias("p"), F.expr(SHARE.format(count="every", total="whole")).alias("q"))
     return shares.where("p > q").select("lang", "source", "item", F.expr(DISTANCE).alias("value"))
 
 
 def audit(docs: DataFrame, least: int = LEAST, shown: int = SHOWN) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank."""
     counts = stash(term_counts(docs))
-    vocabulary = stash(counts.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term", "n"))
-    kept = stash(counts.join(vocabulary.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n"))
-    of_lang = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("n").alias("whole"))
-    of_group = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = named(docs).select("lang", "source").distinct().join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left")
-    groups = stash(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "kept", "whole")]))
+    # numbers stand for a language's term and a language's source from here on: the joins move no strings
+    known = counts.groupBy("lang", "term").agg(F.sum("n").alias("every"), F.sum("docs").alias("docs")).where(F.col("docs") >= least)
+    vocabulary = stash(known.select("lang", "term", "every", F.monotonically_increasing_id().alias("id")))
+    names = stash(named(docs).select("lang", "source").distinct().withColumn("group", F.monotonically_increasing_id()))
+    kept = stash(counts.join(vocabulary, ["lang", "term"]).join(names, ["lang", "source"]).select("group", "id", "term", "n", "every"))
+    of_lang = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("every").alias("whole"))
+    groups = names.join(kept.groupBy("group").agg(F.sum("n").alias("total")), "group", "left").join(of_lang, "lang", "left")
+    groups = stash(groups.select("lang", "source", "group", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "kept", "whole")]))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
     pairs = ranked(source_pairs(stash(dense_shares(kept, vocabulary, groups)), groups), "pair")
-    return pairs.unionByName(ranked(marked_terms(kept, vocabulary, groups), "term").where(F.col("rank") <= shown))
+    return pairs.unionByName(ranked(marked_terms(kept, groups), "term").where(F.col("rank") <= shown))
