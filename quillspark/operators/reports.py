@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocab as V
 from .analysis import guidance
+from .chunks import split_sections
 
 NAME = {"summaries": "summaries", "concepts": "concepts", "tables": "tables", "chunked": "chunks", "references": "references", "sections": "sections"}
 
@@ -139,11 +140,17 @@ def summary_index(summaries: DataFrame) -> DataFrame:
     return _file(d, "summaries/README.md", cat("# Summaries of this document\n\n## Which there are\n\n", F.col("body")))
 
 
-def word_sections(sections: DataFrame, kind: Column) -> DataFrame:
-    """sections/NN-<title>.md with type, level, tokens and reading time; parts come from split_large."""
-    n = T.tokens(F.col("content"))
-    body = cat("# ", F.col("title"), "\n\nKind: ", kind, "\nDepth: ", F.col("level"), "\nTokens: ", n, "\nMinutes to read: ", F.greatest(F.lit(1), F.floor(n / 250)), "\n\n---\n\n", F.col("content"))
-    return _file(sections, cat("sections/", F.format_string("%02d", F.col("section_id")), "-", T.safe_filename(F.col("title")), ".md"), body)
+def word_sections(sections: DataFrame, kind: Column, limit: int = 20_000, part: int = 7500) -> DataFrame:
+    """sections/NN-<title>.md with type, level, tokens and reading time; sections of over `limit` tokens in -partNN files
+    of about `part` tokens, cut before headings."""
+    d, n = sections.withColumn("kind", kind), T.tokens(F.coalesce("content", F.lit("")))
+    whole = d.where(n <= limit).select("doc_id", "section_id", "title", "level", "kind", F.lit(1).alias("part"), F.lit(1).alias("parts"), F.coalesce("content", F.lit("")).alias("content"))
+    cut = split_sections(d.where(n > limit), "semantic", part, ["title", "level", "kind"])
+    files, n = whole.unionByName(cut), T.tokens(F.col("content"))
+    several = F.col("parts") > 1
+    body = cat("# ", F.col("title"), F.when(several, cat(" (", F.col("part"), " of ", F.col("parts"), ")")), "\n\nKind: ", F.col("kind"), "\nDepth: ", F.col("level"), "\nTokens: ", n, "\nMinutes to read: ", F.greatest(F.lit(1), F.floor(n / 250)), "\n\n---\n\n", F.col("content"))
+    path = cat("sections/", F.format_string("%02d", F.col("section_id")), "-", T.safe_filename(F.col("title")), F.when(several, cat("-part", F.format_string("%02d", F.col("part")))), ".md")
+    return _file(files, path, body)
 
 
 def word_navigation(sections: DataFrame) -> DataFrame:

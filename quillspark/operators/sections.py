@@ -29,12 +29,12 @@ def sections_from_markdown(docs: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def sections_from_headers(docs: DataFrame) -> DataFrame:
-    """doc_id, section_id, title, n_lines: runs of lines opened by header-like lines."""
+    """doc_id, section_id, title, n_lines, content: runs of lines opened by header-like lines."""
     lines = F.split("text", "\n", -1)
     numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), T.strip(x).alias("line"), T.is_header(x).alias("head"))), lambda x: x["head"])
-    d = docs.select("doc_id", F.size(lines).alias("n"), numbered.alias("heads"))
+    d = docs.select("doc_id", lines.alias("lines"), F.size(lines).alias("n"), numbered.alias("heads"))
     upto = lambda k: F.coalesce(F.get("heads", k + 1)["i"], F.col("n"))
-    own = F.transform("heads", lambda h, k: F.struct((k + 1).cast("int").alias("section_id"), h["line"].alias("title"), (upto(k) - h["i"] - 1).cast("int").alias("n_lines")))
+    own = F.transform("heads", lambda h, k: F.struct((k + 1).cast("int").alias("section_id"), h["line"].alias("title"), (upto(k) - h["i"] - 1).cast("int").alias("n_lines"), T.strip(F.array_join(F.slice("lines", h["i"] + 2, upto(k) - h["i"] - 1), "\n")).alias("content")))
     return d.select("doc_id", F.explode(own).alias("s")).select("doc_id", "s.*")
 
 
@@ -135,9 +135,13 @@ def related_by_mention(typed: DataFrame) -> DataFrame:
     return met.unionByName(met.select("doc_id", F.col("related_id").alias("section_id"), F.col("section_id").alias("related_id"))).distinct()
 
 
+def purpose(section_type):
+    return reduce(lambda acc, x: acc.when(section_type == x[0], x[1]), list(V.PURPOSES.items())[1:], F.when(section_type == "introduction", V.PURPOSES["introduction"])).otherwise(V.PURPOSE_REST)
+
+
 def document_map(typed: DataFrame) -> DataFrame:
-    """doc_id, map: one bullet for each section, in order."""
-    line = F.concat(F.lit("- ["), "title", F.lit("](sections/"), file_name(F.col("title"), F.col("section_type"), F.col("section_id")), F.lit(") - "), "section_type", F.lit(", "), F.col("token_count").cast("string"), F.lit(" tokens"))
+    """doc_id, map: one bullet for each section, in order, with what it is for."""
+    line = F.concat(F.lit("- ["), "title", F.lit("](sections/"), file_name(F.col("title"), F.col("section_type"), F.col("section_id")), F.lit(") - "), purpose(F.col("section_type")), F.lit(", "), F.col("token_count").cast("string"), F.lit(" tokens"))
     rows = typed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_id", line.alias("line")))).alias("s"))
     return rows.select("doc_id", F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("map"))
 
@@ -156,14 +160,19 @@ def section_files(typed: DataFrame, limit: int = 32_000, target: int = 28_000) -
 
 
 def readme(typed: DataFrame) -> DataFrame:
-    """doc_id, path, body of README.md: the document map as the way in."""
-    d = document_map(typed)
-    return d.select("doc_id", F.lit("README.md").alias("path"), F.concat(F.lit("# Map of the document\n\n## Sections\n\n"), "map", F.lit("\n")).alias("body"))
+    """doc_id, path, body of README.md: what the document is about, and its map as the way in."""
+    d = document_map(typed).join(consolidated(typed), "doc_id")
+    return d.select("doc_id", F.lit("README.md").alias("path"), F.concat(F.lit("# Map of the document\n\n"), "summary", F.lit("\n\n## Sections\n\n"), "map", F.lit("\n")).alias("body"))
 
 
 def consolidated(typed: DataFrame) -> DataFrame:
-    """doc_id, n_sections, n_tokens, kinds (sorted section types)."""
-    return typed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("token_count").alias("n_tokens"), F.array_join(F.array_sort(F.collect_set("section_type")), ",").alias("kinds"))
+    """doc_id, n_sections, n_tokens, kinds (sorted section types), summary (a sentence on what it is, one on what it covers)."""
+    g = typed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("token_count").alias("n_tokens"), F.array_sort(F.collect_set("section_type")).alias("k"))
+    has = lambda kind: F.array_contains("k", kind)
+    about = reduce(lambda acc, x: acc.when(has(x[0]), x[1]), V.ABOUT[1:], F.when(has(V.ABOUT[0][0]), V.ABOUT[0][1])).otherwise(F.concat(F.lit("A technical text in "), F.col("n_sections").cast("string"), F.lit(" sections.")))
+    areas = F.array_compact(F.array(*[F.when(has(kind), name) for kind, name in V.AREAS]))
+    summary = F.concat_ws(" ", about, F.when(F.size(areas) > 0, F.concat(F.lit("It covers "), F.array_join(areas, ", "), F.lit("."))))
+    return g.select("doc_id", "n_sections", "n_tokens", F.array_join("k", ",").alias("kinds"), summary.alias("summary"))
 
 
 def split_large(sections: DataFrame, limit: int = 32_000, target: int = 28_000, header_tokens: int = 50) -> DataFrame:

@@ -40,6 +40,11 @@ def sentences(c: str) -> str:
 
 
 MD = "md AS (" + MARKDOWN.replace("{customer}", "customer") + ")"
+PURPOSE = "CASE section_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in V.PURPOSES.items()) + f" ELSE {q(V.PURPOSE_REST)} END"
+_AREAS = "list_filter([" + ", ".join(f"CASE WHEN list_contains(ks, {q(k)}) THEN {q(v)} END" for k, v in V.AREAS) + "], lambda x: x IS NOT NULL)"
+_LEAD = "CASE " + " ".join(f"WHEN list_contains(ks, {q(k)}) THEN {q(v)}" for k, v in V.ABOUT) + " ELSE 'A technical text in ' || n_sections || ' sections.' END"
+ABOUT = f"""kinds AS (SELECT doc_id, count(*) AS n_sections, sum(token_count)::BIGINT AS n_tokens, list(DISTINCT section_type) AS ks FROM typed GROUP BY doc_id),
+about AS (SELECT doc_id, n_sections, n_tokens, array_to_string(list_sort(ks), ',') AS kinds, {_LEAD} || CASE WHEN len({_AREAS}) > 0 THEN ' It covers ' || array_to_string({_AREAS}, ', ') || '.' ELSE '' END AS summary FROM kinds)"""
 TREE = """n AS (SELECT (p_partkey - 1) // 60 AS doc_id, p_partkey::BIGINT AS node, (p_partkey - 1) % 60 AS i, (-p_partkey % 3)::BIGINT AS ord, p_name AS title,
   CASE WHEN i = 0 AND doc_id % 7 = 3 THEN node + 1 WHEN i = 0 THEN NULL WHEN i % 5 = 4 THEN node - 1 - i % 4 ELSE node - 1 END AS parent FROM part),
 t AS (SELECT n.*, 0 AS level, [{'o': ord, 'n': node}] AS way FROM n WHERE parent IS NULL OR parent NOT IN (SELECT node FROM n m WHERE m.doc_id = n.doc_id)
@@ -213,7 +218,7 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         "document_ids": "SELECT doc_id, left(md5('doc-' || doc_id::VARCHAR), 12) AS hash FROM documents",
         "header_lines": rf"""WITH {MD}, {LINES.format('md')} SELECT doc_id, line_no, (CASE WHEN s LIKE '#%' THEN least(6, {count('s', '#')}) WHEN s LIKE 'Chapter%' THEN 1 WHEN s LIKE 'Section%' THEN 2 WHEN regexp_matches(s, '^\d+\.\d+') THEN 3
           WHEN regexp_matches(s, '^\d+\.') THEN 2 WHEN length(s) < 30 THEN 2 WHEN length(s) < 50 THEN 3 ELSE 4 END)::INT AS level FROM line WHERE s <> '' AND {head_rules}""",
-        "sections_headers": f"WITH {MD}, {LINES.format('md')}, h AS (SELECT doc_id, line_no, s, len(l) AS n FROM line WHERE s <> '' AND {head_rules}) SELECT doc_id, row_number() OVER w::INT AS section_id, s AS title, (coalesce(lead(line_no) OVER w, n) - line_no - 1)::INT AS n_lines FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)",
+        "sections_headers": f"WITH {MD}, {LINES.format('md')}, h AS (SELECT doc_id, line_no, s, l, len(l) AS n FROM line WHERE s <> '' AND {head_rules}) SELECT doc_id, row_number() OVER w::INT AS section_id, s AS title, (coalesce(lead(line_no) OVER w, n) - line_no - 1)::INT AS n_lines, {strip("array_to_string(l[line_no + 2:coalesce(lead(line_no) OVER w, n)], chr(10))")} AS content FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)",
         "code_starts": rf"""WITH {MD}, {LINES.format('md')}, c AS (SELECT doc_id, line_no, s LIKE '```%' OR {any_of('lower(line)', V.CODE_WORDS)} OR len(list_filter(l[line_no + 2:line_no + 4], lambda x: {any_of('lower(x)', V.CODE_WORDS)})) > 0 AS opens, lower(line || ' ' || coalesce(array_to_string(l[line_no + 2:line_no + 6], ' '), '')) AS t FROM line)
           SELECT doc_id, line_no, coalesce({first_class('t', CODE_RULES)}, CASE WHEN contains(t, 'json') OR contains(t, '{{') AND contains(t, '"') THEN 'json' END, CASE WHEN {any_of('t', ['sql', 'select ', 'from ', 'where '])} THEN 'sql' END, 'text') AS code_type FROM c WHERE opens""",
         "code_ends": f"WITH {MD}, {LINES.format('md')} SELECT doc_id, line_no FROM line WHERE s LIKE '%```' OR s = '' AND coalesce({strip('l[line_no + 2]')}, '') <> ''",
@@ -255,10 +260,10 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         "docx_section_types": f"WITH {SEC} SELECT doc_id, section_id, {first_class('lower(title)', V.WORD_SECTION_TITLES, q('content'))} AS kind FROM sec",
         "related_by_type": f"WITH {TYPED}, rel(a, b) AS (VALUES {rel}) SELECT x.doc_id, x.section_id, y.section_id AS related_id FROM typed x JOIN rel ON x.section_type = a JOIN typed y ON y.doc_id = x.doc_id AND y.section_type = b AND y.section_id <> x.section_id",
         "related_by_mention": f"WITH typed AS ({MENTIONS.replace('{customer}', 'customer')}) SELECT x.doc_id, x.section_id, y.section_id AS related_id FROM typed x JOIN typed y ON y.doc_id = x.doc_id AND y.section_id <> x.section_id WHERE contains(lower(y.content), lower(x.title)) OR contains(lower(x.content), lower(y.title))",
-        "document_map": f"WITH {TYPED} SELECT doc_id, string_agg('- [' || title || '](sections/' || {PATH} || ') - ' || section_type || ', ' || token_count || ' tokens', chr(10) ORDER BY section_id) AS map FROM typed GROUP BY doc_id",
+        "document_map": f"WITH {TYPED} SELECT doc_id, string_agg('- [' || title || '](sections/' || {PATH} || ') - ' || {PURPOSE} || ', ' || token_count || ' tokens', chr(10) ORDER BY section_id) AS map FROM typed GROUP BY doc_id",
         "section_files": f"WITH {TYPED} SELECT doc_id, 'sections/' || {PATH} AS path, '# ' || title || chr(10) || chr(10) || '> ' || section_type || ', ' || token_count || ' tokens' || chr(10) || chr(10) || content || chr(10) AS body FROM typed",
         "section_index": f"WITH {TYPED}, f AS (SELECT doc_id, 'sections/' || {PATH} AS path FROM typed) SELECT doc_id, string_agg('- [' || path || '](' || path || ')', chr(10) ORDER BY path) AS index FROM f GROUP BY doc_id",
-        "consolidated_summary": f"WITH {TYPED} SELECT doc_id, count(*) AS n_sections, sum(token_count)::BIGINT AS n_tokens, string_agg(DISTINCT section_type, ',' ORDER BY section_type) AS kinds FROM typed GROUP BY doc_id",
+        "consolidated_summary": f"WITH {TYPED}, {ABOUT} SELECT * FROM about",
         "md_tables": rf"""WITH {MD}, r AS (SELECT doc_id, regexp_extract_all(chr(10) || text || chr(10), '(?:\n[^\n]*[|][^\n]*){{3,}}') AS rs FROM md) SELECT doc_id, i::INT AS table_no, ({count('rs[i]', chr(10))} - 2)::INT AS n_rows, ({count("regexp_extract(rs[i], '^\\n([^\\n]*)', 1)", '[|]')} - 1)::INT AS n_cols FROM r, unnest(range(1, len(rs) + 1)) AS t(i)""",
         "cell_types": f"WITH {CELLS}, v AS (SELECT *, {NUMBER} AS number, {DIGITS} AS digits FROM kinds) SELECT doc_id, table_no, row_no, col_no, col_name, kind, number, CASE kind WHEN 'null' THEN '' WHEN 'bool' THEN CASE WHEN lower(cell) IN ({', '.join(map(q, V.TRUE_CELLS))}) THEN 'Yes' ELSE 'No' END WHEN 'str' THEN cell ELSE CASE WHEN contains(digits, '.') THEN format('{{:.2f}}', number) ELSE digits END END AS shown FROM v",
         "table_profile": f"""WITH {CELLS} SELECT *, CASE WHEN has_bool THEN 'boolean' WHEN has_number THEN 'number' WHEN n_unique <= 10 THEN 'categorical' ELSE 'text' END AS column_type,

@@ -99,7 +99,7 @@ chunk AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, p)
         "section_chunks": f"WITH {TYPED}, {plan} SELECT * FROM ch",
         "chunk_manifest_md": f"""WITH {TYPED}, {plan}, k AS (SELECT doc_id, section_id, title, token_count, priority, count(*) AS k FROM ch GROUP BY ALL) SELECT doc_id, 'chunked/chunk-manifest.md' AS path, '# Chunks of this document' || {two} || 'Sections: ' || count(*) || {nl} || 'Chunks: ' || sum(k) || {two} || '| No. | Begins | Tokens | Files |' || {nl} || '|---|---|---|---|' || {nl}
           || string_agg('| ' || section_id || ' | ' || left(title, 30) || '... | ' || token_count || ' | ' || k || ' |', {nl} ORDER BY priority DESC, section_id) AS body FROM k GROUP BY 1""",
-        "document_readme": f"SELECT doc_id, 'README.md' AS path, '# Map of the document' || {two} || '## Sections' || {two} || map || {nl} AS body FROM ({known['document_map']})",
+        "document_readme": f"WITH m AS ({known['document_map']}), c AS ({known['consolidated_summary']}) SELECT doc_id, 'README.md' AS path, '# Map of the document' || {two} || summary || {two} || '## Sections' || {two} || map || {nl} AS body FROM m JOIN c USING (doc_id)",
         "analyze": f"WITH s AS ({known['document_stats'].replace('FROM md', 'FROM documents').replace('WITH ' + MD + ' ', '')}) SELECT s.*, document_type FROM s JOIN ({known['doc_structure_documents']}) USING (doc_id)",
         "master_index": f"""WITH {files}, g AS (SELECT doc_id, category, list(path ORDER BY path) AS p FROM filed GROUP BY 1, 2), l AS (SELECT doc_id, category, '### ' || {title('category')} || ' (' || len(p) || ' files)' || {two} || CASE WHEN len(p) <= 10 THEN {shown('p')} ELSE {shown('p[1:5]')} || {nl} || '- ... (' || (len(p) - 8) || ' others)' || {nl} || {shown('p[-3:]')} END || {nl} AS b FROM g)
           SELECT doc_id, 'README.md' AS path, '# What came of this document' || {two} || '## Files by kind' || {two} || string_agg(b, {nl} ORDER BY category) AS body FROM l GROUP BY 1""",
