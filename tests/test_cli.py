@@ -38,4 +38,4 @@ def test_long_word_sections_are_split(spark):
     got = {r["path"]: r["body"] for r in word_sections(s, F.lit("content"), 100, 80).collect()}
     parts = sorted(p for p in got if "Long" in p)
     assert len(parts) > 1 and parts[0] == "sections/01-Long-part01.md" and got[parts[0]].startswith(f"# Long (1 of {len(parts)})\n\nKind: content\n")
-    assert all(sum(f"## Part {k}\n" in got[p] for p in parts) == 1 for k in range(6)) and {"sections/02-Short.md", "sections/03-None.md"} < set(got)
+    assert all(sum(f"## Part {k}" in got[p] for p in parts) == 1 for k in range(6)) and {"sections/02-Short.md", "sections/03-None.md"} < set(got)
