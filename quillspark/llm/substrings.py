@@ -7,9 +7,13 @@ carried as one row: its two hashes, its document and its place. Paths whose mini
 document only cannot repeat and go. Equal paths compact into one (nonbranching stretches that all
 their documents share) through grouping and joins; only where several different paths share a
 minimiser, branches are resolved edge by edge, at every place of each distinct path within its source
-document, whatever the number of its copies in others. A repeat is told by two independent 64-bit
-hashes that agree: they stand in for a comparison of the words at the source's place, which isn't made.
-Source coordinates (document, place) only list the edges to hash. Spans of covered words go back to their documents by a join.
+document, whatever the number of its copies in others.
+
+Two 64-bit hashes that agree only claim a repeat. Each claim names its source by coordinates (document, place); the words
+there are cut from the source, go to the claiming document and are compared with its own before they are removed. Should
+any claim fail, hashes clashed, and the whole is done again with other hash functions: what is returned
+rests on compared words alone (a source of a clash that could hide a repeat has a failed claim, as its group holds two
+different texts).
 
 Defined cases: null, empty and short texts have no window and keep all words; documents with a null
 doc_id neither lose words nor are a source; rows that share a doc_id aren't smaller than each other, and
@@ -34,6 +38,8 @@ WINDOW, GRAM = 50, 12
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 KEEP = 500_000
+#: Claims on one source in one task, about, and tries with other hash functions.
+CLAIMS, TRIES = 500, 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,18 +63,19 @@ class Powers:
 
 
 class Rolling:
-    """Hashes of any word range of one document at a time."""
+    """Hashes of any word range of one document at a time; the number of the try tells the hash functions apart."""
 
-    def __init__(self):
+    def __init__(self, number: int = 0, bits: int = 64):
         self.words: dict[bytes, tuple[int, int]] = {}
         self.powers = [Powers(b) for b in BASES]
+        self.seeds, self.mask = (2 * number + 1, 2 * number + 2), np.uint64((1 << bits) - 1)
 
     def load(self, words: list[bytes]) -> None:
         known = self.words
         if len(known) > KEEP:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = (xxhash.xxh64_intdigest(w, 1), xxhash.xxh64_intdigest(w, 2))
+            known[w] = (xxhash.xxh64_intdigest(w, self.seeds[0]), xxhash.xxh64_intdigest(w, self.seeds[1]))
         h = np.array([known[w] for w in words], np.uint64)
         self.sums, self.down = [], []
         for k, p in enumerate(self.powers):
@@ -77,7 +84,7 @@ class Rolling:
             self.down.append(down)
 
     def of(self, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[k][end] - self.sums[k][start]) * self.down[k][start])
+        return mix((self.sums[k][end] - self.sums[k][start]) * self.down[k][start]) & self.mask
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -124,11 +131,11 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash int, body binary")
 
 
-def all_paths(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def all_paths(docs: DataFrame, window: int, gram: int, how: tuple[int, int]) -> DataFrame:
     """m, h1, h2, doc_id, text_hash, start, n of every super-k-mer."""
 
     def run(batches):
-        r = Rolling()
+        r = Rolling(*how)
         for b in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(7)]
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -147,55 +154,102 @@ def all_paths(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return known.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "m bigint, h1 bigint, h2 bigint, doc_id bigint, text_hash int, start int, n int")
 
 
-def edges_of(joined: DataFrame, window: int) -> DataFrame:
+def edges_of(joined: DataFrame, window: int, how: tuple[int, int]) -> DataFrame:
     """e1, e2, doc_id, text_hash, at of the edges in the listed places of each document."""
+    names = ["e1", "e2", "doc_id", "text_hash", "at"]
 
     def run(batches):
-        r, z = Rolling(), zstandard.ZstdDecompressor()
+        r, z = Rolling(*how), zstandard.ZstdDecompressor()
         for b in batches:
+            out: list[list[np.ndarray]] = [[] for _ in names]
             for d, h, body, places in zip(*(b.column(i).to_pylist() for i in range(4))):
-                words = z.decompress(body).split()
-                r.load(words)
+                r.load(z.decompress(body).split())
                 at = np.unique(np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in places]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r.of(0, at, at + window).view(np.int64)), pa.array(r.of(1, at, at + window).view(np.int64)), pa.array(np.full(len(at), d, np.int64)), pa.array(np.full(len(at), h, np.int32)), pa.array(at.astype(np.int32))],
-                    names=["e1", "e2", "doc_id", "text_hash", "at"],
-                )
+                for o, x in zip(out, (r.of(0, at, at + window).view(np.int64), r.of(1, at, at + window).view(np.int64), np.full(len(at), d, np.int64), np.full(len(at), h, np.int32), at.astype(np.int32))):
+                    o.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=names)
 
     return joined.select("doc_id", "text_hash", "body", "places").mapInArrow(run, "e1 bigint, e2 bigint, doc_id bigint, text_hash int, at int")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text_hash, spans): word ranges covered by windows that also start in a smaller document."""
+def claims(docs: DataFrame, window: int, gram: int, how: tuple[int, int]) -> DataFrame:
+    """doc_id, text_hash, from_doc, from_hash, shift, spans: word ranges covered by windows that, by their hashes, also start
+    in a smaller document, where they lie `shift` words further on."""
     path = ["m", "h1", "h2"]
-    every = stash(all_paths(docs, window, gram))
+    every = stash(all_paths(docs, window, gram, how))
     # tables on their own, so that the joins below may split the partition of a hot key
     shared = stash(every.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m"))
     found = stash(every.join(shared, "m"))
     drop(every, shared)
     # compaction: equal paths are one, whose source is its smallest document
     unit = stash(found.groupBy(*path).agg(F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("source")))
+    claim = lambda s, e, source, at: (F.col(s).alias("s"), e.alias("e"), F.col(f"{source}.doc_id").alias("from_doc"), F.col(f"{source}.text_hash").alias("from_hash"), (F.col(at) - F.col(s)).alias("shift"))
     whole = found.join(unit, path).where(F.col("doc_id") > F.col("source.doc_id"))
-    whole = whole.select("doc_id", "text_hash", F.col("start").alias("s"), (F.col("start") + F.col("n") + F.lit(window - 1)).alias("e"))
+    whole = whole.select("doc_id", "text_hash", *claim("start", F.col("start") + F.col("n") + F.lit(window - 1), "source", "source.start"))
     # branches: different paths with one minimiser may share edges; each source tells its own, at
     # every place where it has them, as `whole` covers larger documents only
     branching = stash(unit.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("m"))
     told = unit.join(branching, "m").select(*path, F.col("source.doc_id").alias("doc_id"))
     places = found.join(told, [*path, "doc_id"]).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("places"))
-    edges = stash(edges_of(packed(docs).join(places, ["doc_id", "text_hash"]), window))
-    first = stash(edges.groupBy("e1", "e2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("e1", "e2", "lo"))
-    part = edges.join(first, ["e1", "e2"]).where("doc_id > lo").select("doc_id", "text_hash", F.col("at").alias("s"), (F.col("at") + F.lit(window)).alias("e"))
-    return whole.unionByName(part).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    edges = stash(edges_of(packed(docs).join(places, ["doc_id", "text_hash"]), window, how))
+    first = edges.groupBy("e1", "e2").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("lo"), F.max("doc_id").alias("hi")).where("lo.doc_id < hi")
+    first = stash(first.select("e1", "e2", "lo"))
+    part = edges.join(first, ["e1", "e2"]).where("doc_id > lo.doc_id").select("doc_id", "text_hash", *claim("at", F.col("at") + F.lit(window), "lo", "lo.at"))
+    return whole.unionByName(part).groupBy("doc_id", "text_hash", "from_doc", "from_hash", "shift").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+
+
+def joined_up(spans: list[dict]) -> list[tuple[int, int]]:
+    """Ranges without overlaps, in order."""
+    out: list[list[int]] = []
+    for s, e in sorted((x["s"], x["e"]) for x in spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [(s, e) for s, e in out]
+
+
+def source_words(claimed: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, s, e, said: the words that stand at each claim's source, under zstd. Many claims on one source
+    are dealt to several rows."""
+    claimed = stash(claimed)
+    source = ["from_doc", "from_hash"]
+    parts = stash(claimed.groupBy(*source).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CLAIMS))).cast("int").alias("parts")))
+    dealt = claimed.join(parts, source).withColumn("part", F.pmod(F.xxhash64("doc_id", "shift"), F.col("parts")))
+    listed = dealt.groupBy(*source, "part").agg(F.collect_list(F.struct("doc_id", "text_hash", "shift", "spans")).alias("claims"))
+    own = packed(docs).select(F.col("doc_id").alias("from_doc"), F.col("text_hash").alias("from_hash"), "body")
+
+    def run(batches):
+        z, back = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for body, claims in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = z.decompress(body).split()
+                for c in claims:
+                    for s, e in joined_up(c["spans"]):
+                        for o, x in zip(out, (c["doc_id"], c["text_hash"], s, e, back.compress(b" ".join(words[max(0, s + c["shift"]) : e + c["shift"]])))):
+                            o.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["doc_id", "text_hash", "s", "e", "said"])
+
+    return own.join(listed, source).select("body", "claims").mapInArrow(run, "doc_id bigint, text_hash int, s int, e int, said binary")
 
 
 def kept_words(joined: DataFrame, id_type: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, and failed: the claims whose words differ, which remove nothing."""
+
     def run(batches):
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            size, gone, sha = [], [], []
+            size, gone, sha, failed = [], [], [], []
             for body, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words, kept, at = z.decompress(body).split(), [], 0
-                for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+                true: dict[tuple[int, int], bool] = {}
+                for x in spans or ():
+                    key = x["s"], x["e"]
+                    true[key] = true.get(key, False) or b" ".join(words[x["s"] : x["e"]]) == z.decompress(x["said"])
+                for s, e in sorted(k for k, ok in true.items() if ok):
                     if s > at:
                         kept += words[at:s]
                     at = max(at, e)
@@ -203,12 +257,20 @@ def kept_words(joined: DataFrame, id_type: str) -> DataFrame:
                 size.append(len(words))
                 gone.append(len(words) - len(kept))
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return joined.select("doc_id", "body", "spans").mapInArrow(run, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_sha256 string")
-
-
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row of docs."""
-    joined = packed(docs).join(repeated_spans(docs, window, gram), ["doc_id", "text_hash"], "left")
-    return kept_words(joined, docs.schema["doc_id"].dataType.simpleString())
+                failed.append(sum(not ok for ok in true.values()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(failed, pa.int64())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "failed"])
+
+    return joined.select("doc_id", "body", "spans").mapInArrow(run, f"doc_id {id_type}, n_words bigint, n_removed bigint, kept_sha256 string, failed bigint")
+
+
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = 64) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row of docs. bits: those of the first try's hashes."""
+    for number in range(TRIES):
+        said = source_words(claims(docs, window, gram, (number, bits if number == 0 else 64)), docs)
+        spans = said.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("s", "e", "said")).alias("spans"))
+        joined = packed(docs).join(spans, ["doc_id", "text_hash"], "left")
+        out = stash(kept_words(joined, docs.schema["doc_id"].dataType.simpleString()))
+        if out.where("failed > 0").isEmpty():
+            return out.drop("failed")
+        drop(out)
+    raise RuntimeError(f"hashes clashed {TRIES} times")
