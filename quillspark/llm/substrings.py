@@ -173,7 +173,7 @@ def edges_of(joined: DataFrame, window: int, how: tuple[int, int]) -> DataFrame:
     return joined.select("doc_id", "text_hash", "body", "places").mapInArrow(run, "e1 bigint, e2 bigint, doc_id bigint, text_hash int, at int")
 
 
-def claims(docs: DataFrame, window: int, gram: int, how: tuple[int, int]) -> DataFrame:
+def claims(docs: DataFrame, bodies: DataFrame, window: int, gram: int, how: tuple[int, int]) -> DataFrame:
     """doc_id, text_hash, from_doc, from_hash, shift, spans: word ranges covered by windows that, by their hashes, also start
     in a smaller document, where they lie `shift` words further on."""
     path = ["m", "h1", "h2"]
@@ -192,7 +192,7 @@ def claims(docs: DataFrame, window: int, gram: int, how: tuple[int, int]) -> Dat
     branching = stash(unit.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("m"))
     told = unit.join(branching, "m").select(*path, F.col("source.doc_id").alias("doc_id"))
     places = found.join(told, [*path, "doc_id"]).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("places"))
-    edges = stash(edges_of(packed(docs).join(places, ["doc_id", "text_hash"]), window, how))
+    edges = stash(edges_of(bodies.join(places, ["doc_id", "text_hash"]), window, how))
     first = edges.groupBy("e1", "e2").agg(F.min(F.struct("doc_id", "text_hash", "at")).alias("lo"), F.max("doc_id").alias("hi")).where("lo.doc_id < hi")
     first = stash(first.select("e1", "e2", "lo"))
     part = edges.join(first, ["e1", "e2"]).where("doc_id > lo.doc_id").select("doc_id", "text_hash", *claim("at", F.col("at") + F.lit(window), "lo", "lo.at"))
@@ -210,7 +210,7 @@ def joined_up(spans: list[dict]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def source_words(claimed: DataFrame, docs: DataFrame) -> DataFrame:
+def source_words(claimed: DataFrame, bodies: DataFrame) -> DataFrame:
     """doc_id, text_hash, s, e, said: the words that stand at each claim's source, under zstd. Many claims on one source
     are dealt to several rows."""
     claimed = stash(claimed)
@@ -218,7 +218,7 @@ def source_words(claimed: DataFrame, docs: DataFrame) -> DataFrame:
     parts = stash(claimed.groupBy(*source).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CLAIMS))).cast("int").alias("parts")))
     dealt = claimed.join(parts, source).withColumn("part", F.pmod(F.xxhash64("doc_id", "shift"), F.col("parts")))
     listed = dealt.groupBy(*source, "part").agg(F.collect_list(F.struct("doc_id", "text_hash", "shift", "spans")).alias("claims"))
-    own = packed(docs).select(F.col("doc_id").alias("from_doc"), F.col("text_hash").alias("from_hash"), "body")
+    own = bodies.select(F.col("doc_id").alias("from_doc"), F.col("text_hash").alias("from_hash"), "body")
 
     def run(batches):
         z, back = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
@@ -265,12 +265,14 @@ def kept_words(joined: DataFrame, id_type: str) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs. bits: those of the first try's hashes."""
+    bodies = stash(packed(docs))
     for number in range(TRIES):
-        said = source_words(claims(docs, window, gram, (number, bits if number == 0 else 64)), docs)
+        said = source_words(claims(docs, bodies, window, gram, (number, bits if number == 0 else 64)), bodies)
         spans = said.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("s", "e", "said")).alias("spans"))
-        joined = packed(docs).join(spans, ["doc_id", "text_hash"], "left")
+        joined = bodies.join(spans, ["doc_id", "text_hash"], "left")
         out = stash(kept_words(joined, docs.schema["doc_id"].dataType.simpleString()))
         if out.where("failed > 0").isEmpty():
+            drop(bodies)
             return out.drop("failed")
         drop(out)
     raise RuntimeError(f"hashes clashed {TRIES} times")

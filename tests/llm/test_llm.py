@@ -487,7 +487,7 @@ def test_planted_clashes_are_found_by_the_words(spark, docs, bits, monkeypatch):
     """With hashes of a few bits many windows seem equal that aren't: their words differ at the source, and the whole is done again."""
     tries = []
     real = substrings.claims
-    monkeypatch.setattr(substrings, "claims", lambda d, w, g, how: tries.append(how) or real(d, w, g, how))
+    monkeypatch.setattr(substrings, "claims", lambda *a: tries.append(a[-1]) or real(*a))
     want = sorted(map(str, rows(substrings.dedup_substrings(docs))))
     assert sorted(map(str, rows(substrings.dedup_substrings(docs, bits=bits)))) == want and tries[0] == (0, 64) and tries[1:] == [(0, bits), (1, 64)]
 
