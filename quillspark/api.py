@@ -18,6 +18,7 @@ from .operators import summaries as U
 from .operators import terms as M
 from .sources import files as named
 from .sources import sinks
+from .sources.shared import cut
 
 
 def extract_content(docs: DataFrame, bullet_indicators: list[str] | None = None) -> dict[str, DataFrame]:
@@ -42,9 +43,10 @@ def analyze(docs: DataFrame) -> DataFrame:
 def convert(docs: DataFrame, tables: bool = True, images: bool = True, concepts: bool = True, summaries: bool = True, output: str | None = None, buckets: int | None = None) -> DataFrame:
     """doc_id, path, body of every file that a document turns into, with a README.md that lists them; written under
     their names if `output` is given."""
-    sections = S.sections_from_markdown(docs)
-    typed = S.with_types(sections)
-    known = R.resolution(sections)
+    # sections, references and terms are derived once and kept; every file comes from one of them
+    typed = cut(S.with_types(S.sections_from_markdown(docs)))
+    sections = typed.drop("section_type", "token_count")
+    known = cut(R.resolution(sections))
     refs, found, pieces = known.drop("known"), R.resolved(known), C.section_chunks(typed)
     parts = [S.section_files(typed), P.word_navigation(sections), P.chunk_files(pieces), P.chunk_manifest(typed, pieces), P.internal_references(found), P.external_references(refs), P.broken_references(R.broken(known)), P.link_mapping(R.link_map(known.where("known or type = 'url'")))]
     t = A.tables_with_text(docs)
@@ -53,7 +55,7 @@ def convert(docs: DataFrame, tables: bool = True, images: bool = True, concepts:
     if images:
         i = docs.select("doc_id", F.explode(T.images(F.col("text"))).alias("i")).select("doc_id", "i.alt", "i.url")
         parts.append(P.image_catalog(i))
-    facts = M.term_facts(M.section_terms(sections))
+    facts = cut(M.term_facts(M.section_terms(sections))) if concepts or summaries else None
     if concepts:
         parts += [P.glossary(facts), P.category_glossaries(facts), P.concept_map(facts, M.document_pairs(M.contained(facts, sections)))]
     if summaries:

@@ -27,8 +27,8 @@ def repair_bullets(c: Column, marks: str = MARKS) -> Column:
     return F.regexp_replace(F.substring(joined, 2, 2147483647), r"[ \t]+(?=\n|$)", "")
 
 
-def convert_bullets(docs: DataFrame, indicators: list[str] | None = None) -> DataFrame:
-    """doc_id, line_no, line: marker lines become `• text` where the seven lines around name a list
+def bulleted(docs: DataFrame, indicators: list[str] | None = None) -> DataFrame:
+    """doc_id, ls (lines): marker lines become `• text` where the seven lines around name a list
     or hold another line with the same marker."""
     words = indicators or V.BULLET_INDICATORS
 
@@ -40,7 +40,18 @@ def convert_bullets(docs: DataFrame, indicators: list[str] | None = None) -> Dat
         indent = F.regexp_extract(line, r"^(\s*)", 1)
         return F.when(turn, F.concat(indent, F.lit("• "), T.strip(F.substring(F.regexp_replace(line, "^[ \t]+", ""), 3, 2147483647)))).otherwise(line)
 
-    return docs.select("doc_id", F.split("text", "\n", -1).alias("ls")).select("doc_id", F.posexplode(F.transform("ls", converted)).alias("line_no", "line"))
+    return docs.select("doc_id", F.split("text", "\n", -1).alias("ls")).select("doc_id", F.transform("ls", converted).alias("ls"))
+
+
+def convert_bullets(docs: DataFrame, indicators: list[str] | None = None) -> DataFrame:
+    """doc_id, line_no, line, with bullets as bulleted has them."""
+    return bulleted(docs, indicators).select("doc_id", F.posexplode("ls").alias("line_no", "line"))
+
+
+def processed(docs: DataFrame, indicators: list[str] | None = None) -> DataFrame:
+    """doc_id, processed: signs fixed, bullets that stand alone joined with their lines, bullets converted."""
+    fixed = docs.select("doc_id", T.process_text(F.col("text")).alias("text"))
+    return bulleted(fixed, indicators).select("doc_id", F.array_join("ls", "\n").alias("processed"))
 
 
 def line_flags(line: Column) -> dict[str, Column]:

@@ -40,6 +40,9 @@ def sentences(c: str) -> str:
 
 
 MD = "md AS (" + MARKDOWN.replace("{customer}", "customer") + ")"
+BULLETS = rf"""n AS (SELECT doc_id, line_no, line, s, l[greatest(line_no - 3, 0) + 1:line_no + 4] AS near FROM line),
+t AS (SELECT *, NOT contains(line, '•') AND regexp_matches(s, '^[l\-*·‣▪▫] ') AND ({any_of("lower(array_to_string(near, ''))", V.BULLET_INDICATORS)} OR len(list_filter(near, lambda x: starts_with({strip('x')}, left(s, 2)))) > 1) AS turn FROM n)"""
+BULLET = rf"""CASE WHEN turn THEN regexp_extract(line, '^(\s*)', 1) || '• ' || {strip("regexp_replace(line, '^[ \t]+', '')[3:]")} ELSE line END"""
 PURPOSE = "CASE section_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in V.PURPOSES.items()) + f" ELSE {q(V.PURPOSE_REST)} END"
 _AREAS = "list_filter([" + ", ".join(f"CASE WHEN list_contains(ks, {q(k)}) THEN {q(v)} END" for k, v in V.AREAS) + "], lambda x: x IS NOT NULL)"
 _LEAD = "CASE " + " ".join(f"WHEN list_contains(ks, {q(k)}) THEN {q(v)}" for k, v in V.ABOUT) + " ELSE 'A technical text in ' || n_sections || ' sections.' END"
@@ -222,15 +225,13 @@ field AS (SELECT *, CASE WHEN regexp_full_match({strip('content')}, '\d+') THEN
         "code_starts": rf"""WITH {MD}, {LINES.format('md')}, c AS (SELECT doc_id, line_no, s LIKE '```%' OR {any_of('lower(line)', V.CODE_WORDS)} OR len(list_filter(l[line_no + 2:line_no + 4], lambda x: {any_of('lower(x)', V.CODE_WORDS)})) > 0 AS opens, lower(line || ' ' || coalesce(array_to_string(l[line_no + 2:line_no + 6], ' '), '')) AS t FROM line)
           SELECT doc_id, line_no, coalesce({first_class('t', CODE_RULES)}, CASE WHEN contains(t, 'json') OR contains(t, '{{') AND contains(t, '"') THEN 'json' END, CASE WHEN {any_of('t', ['sql', 'select ', 'from ', 'where '])} THEN 'sql' END, 'text') AS code_type FROM c WHERE opens""",
         "code_ends": f"WITH {MD}, {LINES.format('md')} SELECT doc_id, line_no FROM line WHERE s LIKE '%```' OR s = '' AND coalesce({strip('l[line_no + 2]')}, '') <> ''",
-        "bullets": rf"""WITH {MD}, {LINES.format('md')}, n AS (SELECT doc_id, line_no, line, s, l[greatest(line_no - 3, 0) + 1:line_no + 4] AS near FROM line),
-          t AS (SELECT *, NOT contains(line, '•') AND regexp_matches(s, '^[l\-*·‣▪▫] ') AND ({any_of("lower(array_to_string(near, ''))", V.BULLET_INDICATORS)} OR len(list_filter(near, lambda x: starts_with({strip('x')}, left(s, 2)))) > 1) AS turn FROM n)
-          SELECT doc_id, line_no, CASE WHEN turn THEN regexp_extract(line, '^(\s*)', 1) || '• ' || {strip("regexp_replace(line, '^[ \t]+', '')[3:]")} ELSE line END AS line FROM t""",
+        "bullets": rf"""WITH {MD}, {LINES.format('md')}, {BULLETS} SELECT doc_id, line_no, {BULLET} AS line FROM t""",
         "fields_generic": rf"""WITH {LINES.format('documents')}, h AS (SELECT doc_id, line_no, s, s <> '' AND length(s) < 100 AND (upper(s) = s AND lower(s) <> s OR regexp_matches(s, '^[^\p{{L}}]*\p{{Lu}}\p{{Ll}}*(?:[^\p{{L}}]+\p{{Lu}}\p{{Ll}}*)*[^\p{{L}}]*$')) AND NOT regexp_matches(s, '^[•\-*]') AS head FROM line),
           a AS (SELECT *, last_value(CASE WHEN head THEN s END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM h)
           SELECT doc_id, line_no, coalesce(replace(lower(above), ' ', '_'), 'content') AS section, s AS content FROM a WHERE length(s) > 10 AND NOT head""",
         "keywords": f"SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: regexp_full_match(x, '[A-Za-z]{{3,}}')), lambda x: lower(x)), lambda x: x NOT IN ({', '.join(map(q, V.STOP_WORDS))})))) AS keywords FROM documents",
         "repaired": f"WITH {MD} SELECT doc_id, {repaired('text')} AS repaired FROM md",
-        "processed": f"WITH {MD} SELECT doc_id, {repaired(fixes)} AS processed FROM md",
+        "processed": f"WITH {MD}, fixed AS (SELECT doc_id, {repaired(fixes)} AS text FROM md), {LINES.format('fixed')}, {BULLETS} SELECT doc_id, string_agg({BULLET}, chr(10) ORDER BY line_no) AS processed FROM t GROUP BY doc_id",
         "trimmed": f"SELECT doc_id, {trimmed('text', '100')} AS trimmed FROM documents",
         "page_markdown": f"SELECT page_id AS doc_id, {page_text} AS text FROM pages",
         "table_rows": f"WITH {LINES.format('documents')} SELECT doc_id, line_no, CASE WHEN s LIKE '|%|' THEN s WHEN contains(s, chr(9)) THEN '| ' || array_to_string(string_split(s, chr(9)), ' | ') || ' |' WHEN contains(s, '  ') THEN '| ' || array_to_string(regexp_split_to_array(s, '\\s{{2,}}'), ' | ') || ' |' ELSE '| ' || s || ' |' END AS row FROM line WHERE {count('s', '[|]')} >= 2 OR {count('s', chr(9))} >= 2",

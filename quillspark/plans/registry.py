@@ -18,6 +18,7 @@ from ..operators import tables as B
 from ..operators import terms as M
 from ..operators import trees as N
 from ..sources import docx, pdf, sinks
+from ..sources.shared import cut
 from ..sources.tables import MENTIONS, html_to_markdown, markdown, table
 from ..streaming import events as E
 from . import oracle
@@ -109,13 +110,19 @@ def _links(s, d):
     return R.link_map(_known(s, d).where("known or type = 'url'"))
 
 
+def _mapped(s, d):
+    """Scored terms, derived once, and the pairs of a document's sections."""
+    scores = cut(_scores(s, d))
+    return scores, M.document_pairs(M.contained(scores, _sec(s, d)))
+
+
 def _important(s, d):
     t = _tables(s, d)
     return t.join(A.important_tables(t).select("doc_id", "table_no", "rank"), ["doc_id", "table_no"])
 
 
 def _summaries(s, d):
-    return U.all_summaries(_typed(s, d), A.priority_concepts(_term_facts(s, d), keep=("definition",)), _important(s, d))
+    return U.all_summaries(cut(_typed(s, d)), A.priority_concepts(_term_facts(s, d), keep=("definition",)), _important(s, d))
 
 
 def _outline(s, d):
@@ -173,8 +180,9 @@ QUERIES = {
     **dict([
         _text("clean_text", T.clean_text), _text("fixed_text", T.fix_chars), _text("plain_text", T.strip_markdown, _md), _text("n_sentences", lambda c: F.size(T.sentences(c))), _text("keywords", T.keywords),
         _text("rag_keywords", T.rag_keywords, _md), _text("urls", T.urls, _md), _text("emails", T.emails, _md), _text("has_toc", T.has_toc), _text("safe_name", T.safe_filename, _names), _text("folder_name", T.sanitize_folder, _names),
-        _text("anchor", T.anchor, _names), _text("trimmed", lambda c: T.trim_to_tokens(c, 100)), _text("context", lambda c: T.context(c, F.lit("json")), _md), _text("quality", T.quality), _text("repaired", L.repair_bullets, _md), _text("processed", T.process_text, _md),
+        _text("anchor", T.anchor, _names), _text("trimmed", lambda c: T.trim_to_tokens(c, 100)), _text("context", lambda c: T.context(c, F.lit("json")), _md), _text("quality", T.quality), _text("repaired", L.repair_bullets, _md),
     ]),
+    "processed": lambda s, d: L.processed(_md(s, d)),
     "images": lambda s, d: _md(s, d).select("doc_id", F.explode(T.images(F.col("text"))).alias("i")).select("doc_id", F.col("i.alt").alias("alt"), F.col("i.url").alias("url")),
     "token_costs": lambda s, d: _docs(s, d).select("doc_id", T.tokens(F.col("text")).alias("tokens"), T.recommend_model(T.tokens(F.col("text"))).alias("model"), T.cost(T.tokens(F.col("text"))).alias("cost"), (T.tokens(F.col("text")) <= 4000).alias("fits")),
     "document_ids": lambda s, d: _docs(s, d).select("doc_id", F.left(F.md5(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).cast("binary")), F.lit(12)).alias("hash")),
@@ -245,9 +253,9 @@ QUERIES = {
     "document_pairs": lambda s, d: M.document_pairs(M.contained(_scores(s, d), _sec(s, d))),
     "category_terms": lambda s, d: M.category_terms(_scores(s, d)),
     "section_clusters": lambda s, d: M.section_clusters(M.section_terms(_sec(s, d))),
-    "graph_json": lambda s, d: M.graph_json(_scores(s, d), M.document_pairs(M.contained(_scores(s, d), _sec(s, d)))),
+    "graph_json": lambda s, d: M.graph_json(*_mapped(s, d)),
     "glossary_json": lambda s, d: M.glossary_json(_term_facts(s, d), M.concept_definitions(_sec(s, d))),
-    "concept_map_md": lambda s, d: P.concept_map(_scores(s, d), M.document_pairs(M.contained(_scores(s, d), _sec(s, d)))),
+    "concept_map_md": lambda s, d: P.concept_map(*_mapped(s, d)),
     "term_degrees": lambda s, d: M.degrees(_pairs(s, d)),
     "term_graph_edges": lambda s, d: M.graph(_scores(s, d), _pairs(s, d))[1],
     "term_graph_nodes": lambda s, d: M.graph(_scores(s, d), _pairs(s, d))[0],
