@@ -204,13 +204,14 @@ def with_master_index(files: DataFrame) -> DataFrame:
     return g.select("doc_id", F.explode(F.concat("f", F.array(own))).alias("x")).select("doc_id", "x.path", "x.body")
 
 
-def conversion_metadata(files: DataFrame) -> DataFrame:
-    """conversion-metadata.json: numbers, sizes and tokens of a document's files by category, without a wall clock."""
+def conversion_metadata(files: DataFrame, stamp: str | None = None) -> DataFrame:
+    """conversion-metadata.json: numbers, sizes and tokens of a document's files by category; with the time that the
+    caller gives, as nothing here reads a clock."""
     d = files.select("doc_id", file_category(F.col("path")).alias("category"), F.length("body").alias("n"), T.tokens(F.col("body")).alias("k"))
     d = d.groupBy("doc_id", "category").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("characters"), F.sum("k").alias("tokens"))
     line = cat('"', F.col("category"), '": {"files": ', F.col("files"), ', "characters": ', F.col("characters"), ', "tokens": ', F.col("tokens"), "}")
     g = listing(d, [F.col("category")], line, sep=", ", total=F.sum("files"))
-    return _file(g, "conversion-metadata.json", cat('{"total_files": ', F.col("total"), ', "categories": {', F.col("body"), "}}"))
+    return _file(g, "conversion-metadata.json", cat("{", F.when(F.lit(stamp).isNotNull(), cat('"converted": ', T.json_text(F.lit(stamp).cast("string")), ", ")), '"total_files": ', F.col("total"), ', "categories": {', F.col("body"), "}}"))
 
 
 def concept_map(facts: DataFrame, pairs: DataFrame) -> DataFrame:

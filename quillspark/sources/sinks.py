@@ -21,8 +21,19 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+#: How the payload of each layout goes into its store.
+INSTRUCTIONS = {
+    "pinecone": "Each line is one vector: fill `values` from your embedding model (1536 numbers), then upsert by `namespace` with `id` and `metadata`.",
+    "chromadb": "Each line is one collection: create `collection_name`, then add `ids`, `documents` and `metadatas` together.",
+    "weaviate": "Each line is one object of class DocumentChunk: define its properties, then import `properties` under `id` in batches.",
+    "qdrant": "Each line is one point: create `collection_name` for your vector size, fill `vector`, then upsert `id`, `vector` and `payload`.",
+    "generic": "Each line is one document: read `chunks` in order, embed `text`, and keep `metadata` beside the vector.",
+}
+
+
 def write_rag(chunks: DataFrame, payload: DataFrame, path: str, kind: str) -> None:
-    """chunks, the payload in its layout, and the totals."""
+    """chunks, the payload in its layout, the totals, and how to load the payload."""
+    chunks.sparkSession.createDataFrame([(INSTRUCTIONS[kind],)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/instructions")
     write_json(chunks, f"{path}/chunks")
     write_json(payload, f"{path}/{kind}_format")
     write_json(chunks.agg(F.count(F.lit(1)).alias("total_chunks"), F.countDistinct("doc_id").alias("documents"), F.sum("token_count").alias("tokens")), f"{path}/metadata")

@@ -117,3 +117,11 @@ def test_bucketed_files(spark, tmp_path):
     sinks.write_text(spark.createDataFrame(rows, "doc_id bigint, path string, body string"), f"{tmp_path}/out", buckets=4)
     assert len(list(tmp_path.glob("out/bucket=*"))) <= 4
     assert sorted((r["doc_id"], r["path"], r["body"]) for r in spark.read.json(f"{tmp_path}/out").collect()) == rows
+
+
+def test_metadata_takes_its_time_from_the_caller(spark):
+    import json
+
+    f = spark.createDataFrame([(1, "sections/a.md", "x" * 8), (1, "README.md", "y")], "doc_id bigint, path string, body string")
+    plain, stamped = (json.loads(P.conversion_metadata(f, t).collect()[0]["body"]) for t in (None, '2020-01-01 "x"'))
+    assert stamped.pop("converted") == '2020-01-01 "x"' and stamped == plain and plain["total_files"] == 2
