@@ -1,7 +1,7 @@
 """Ranked lexical search over term-bucketed postings, in whole numbers.
 
 Postings hold one row for each document and term with its score before the term's weight; terms share
-buckets by hash, and a term of many documents is dealt to several files of its bucket. Items join them on
+buckets by hash, and a bucket's documents are dealt to as many files as the session's shuffle partitions give it. Items join them on
 their terms, matches are summed by item and document, and a window ranks each item's documents.
 
 An item's frequent words match nearly every document, so the matches are many times the postings. They don't move:
@@ -28,8 +28,6 @@ from .common import stash
 from .words import strings, texts, words
 
 TOP, BUCKETS = 20, 16
-#: Postings of a term in one file, about.
-TERM_ROWS = 200_000
 
 
 def totals(docs: DataFrame) -> tuple[int, int]:
@@ -90,9 +88,10 @@ def postings(docs: DataFrame, n_docs: int, n_terms: int, terms: DataFrame | None
         f = f.join(terms, "term", "left_semi")
     m = f"100 - 25 + ((25 * n * {n_docs}L) div {max(1, n_terms)}L)"
     dealt = f.select(bucket(F.col("term")).alias("bucket"), "term", "row", "doc_id", F.expr(f"(1000000000 * tf) div (1000 * tf + 12 * ({m}))").alias("part"))
-    parts = max(1, -(-n_docs // TERM_ROWS))
-    dealt = dealt.repartition(BUCKETS * min(parts, 64), "bucket", F.pmod(F.xxhash64("row"), F.lit(parts)))
-    return stash(dealt, by="bucket")
+    # as many tasks as the session shuffles with, whole buckets or equal parts of one each
+    parts = max(1, -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS))
+    part = F.col("bucket") * parts + F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
+    return stash(dealt.repartitionById(BUCKETS * parts, part), by="bucket")
 
 
 def weighted(terms: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:

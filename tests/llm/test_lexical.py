@@ -159,7 +159,7 @@ def test_search(tables, top):
 
 def test_search_of_hot_terms_is_dealt(tables, monkeypatch):
     docs, items, d, i = tables
-    monkeypatch.setattr(search, "TERM_ROWS", 7)
+    monkeypatch.setattr(search, "BUCKETS", 2)  # two parts of each, with four shuffle partitions
     assert sorted(map(repr, (tuple(r) for r in search.search(d, i).collect()))) == sorted(map(repr, brute_search(docs, items)))
 
 
