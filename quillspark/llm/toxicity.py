@@ -52,7 +52,8 @@ WORDS = re.compile(r"[^\W_]+")
 
 def fold_table() -> dict[int, str]:
     letters = (chr(c) for c in range(0x1F000))  # beyond, no letter has case
-    t = {ord(c): low for c in letters if len(low := c.lower()) == 1 and low != c}
+    # common signs stand for themselves: translate is slow on what the table lacks
+    t = {ord(c): low for c in letters if len(low := c.lower()) == 1 and (low != c or c < "\u0250")}
     for k, v in LOOKALIKES.items():
         t[ord(k)] = t[ord(k.upper())] = v
     t |= {ord(k): v for k, v in DIGITS.items()}
