@@ -1,11 +1,14 @@
 """Scalars and row-local operators on small inputs, awkward ones included."""
 
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions import vocab as V
 from quillspark.operators import chunks, lines, refs, sections, summaries, tables, terms
 
 
@@ -225,3 +228,27 @@ def test_every_table_counts(spark):
     cells = tables.table_cells(docs(spark, text, "", None))
     assert [(r["table_no"], r["rows"]) for r in tables.table_json(cells).orderBy("table_no").collect()] == [(1, '[{"a": true, "b": "x"}]'), (2, '[{"c": 2}, {"c": null}]')]
     assert [r["text"] for r in tables.embedding_text(cells).orderBy("table_no").collect()] == ["Table with columns: a, b\na: 1 | b: x", "Table with columns: c\nc: 2\nc: N/A"]
+
+def test_term_facts_in_one_buffer(spark):
+    """Term facts need one sum a term, whose rows are neither sorted nor merged for each of them, and a category once."""
+    s = spark.createDataFrame([(1, 1, "A", "The authToken is a signed value.  JSON  is given."), (1, 2, "B", "authToken: some opaque string.\tAuthToken"), (1, 3, "A", None)], "doc_id int, section_id int, title string, content string")
+    facts = terms.term_facts(terms.section_terms(s))
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and plan.count("endpoint") == 1
+    r = facts.where("term = 'authtoken'").first()
+    assert (r["frequency"], r["n_sections"], r["n_contexts"], r["n_definitions"], r["definition"], r["sections"]) == (3, 2, 2, 2, "a signed value", "A, B")
+
+
+def test_term_cues(spark):
+    """A cue stands in every match of its pattern: texts without it have none."""
+    words = ["restAPI", "myapi", "HTTP", "xhttpx", "useJSON", "xmlText", "authService", "myservice", "aToken", "xtoken", "camelCase", "snake_case", "_x", "AB", "Word", "plain", "x9_", "Ab", "aBC"]
+    s = spark.createDataFrame([(k, 1, "t", f"some {w} here") for k, w in enumerate(words)], "doc_id int, section_id int, title string, content string")
+    got = {(r["doc_id"], r["term"]) for r in terms.section_terms(s).collect()}
+    want = {(k, m.group()) for k, w in enumerate(words) for p, least in zip(V.TERM_PATTERNS, (2, 1, 1, 1, 1, 1, 1, 3)) for m in re.finditer(p, f"some {w} here") if len(m.group()) > least}
+    assert got == want
+
+
+def test_strip_signs(spark):
+    c = F.col("c")
+    r = spark.createDataFrame([(" \t\n\x0b\f\r a \n b\xa0\r\n ",), ("   ",), ("",), (None,)], "c string").select(T.strip(c).alias("c")).collect()
+    assert [x["c"] for x in r] == ["a \n b\xa0", "", "", None]
