@@ -125,3 +125,14 @@ def test_metadata_takes_its_time_from_the_caller(spark):
     f = spark.createDataFrame([(1, "sections/a.md", "x" * 8), (1, "README.md", "y")], "doc_id bigint, path string, body string")
     plain, stamped = (json.loads(P.conversion_metadata(f, t).collect()[0]["body"]) for t in (None, '2020-01-01 "x"'))
     assert stamped.pop("converted") == '2020-01-01 "x"' and stamped == plain and plain["total_files"] == 2
+
+
+def test_documents_meet_without_a_broadcast(spark):
+    """Small estimates of rows made from few columns must not send a side through the driver."""
+    from quillspark.operators import refs, terms
+
+    s = spark.createDataFrame([(1, 1, "A", "The Data Model. See Data Model."), (2, 1, "B", "")], "doc_id int, section_id int, title string, content string")
+    scores = terms.term_scores(terms.section_terms(s))
+    for df in (refs.concept_links(refs.references(s), scores), terms.graph_json(scores, terms.document_pairs(terms.contained(scores, s))), P.concept_map(scores, terms.document_pairs(terms.contained(scores, s)))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
