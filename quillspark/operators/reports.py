@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -39,18 +39,21 @@ def _file(rows: DataFrame, path, body: Column) -> DataFrame:
 
 def glossary(facts: DataFrame, most: int = 20, per_category: int = 10) -> DataFrame:
     """concepts/glossary.md: terms of score 5 and over, then the frequent terms of each category."""
-    from .analysis import top
-
-    head = top(facts.where("score >= 5"), ["doc_id"], [F.desc("score"), "term"], most)
+    # facts are read once: both ranks stand beside each term, and one sum a document takes the lines
+    over = lambda keys, *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    ranked = facts.select("*", over(["doc_id"], F.desc("score"), "term").alias("rank"), over(["doc_id", "category"], F.desc("frequency"), "term").alias("rank_in"))
     high = cat("### ", title(F.col("term")), "\nClass: ", title(F.col("category")), "\nFound: ", F.col("frequency"), " times\nIn: ", F.col("sections"), "\n",
                F.when(F.col("definition").isNotNull(), cat("Meaning: ", F.col("definition"), "\n")), F.when(F.col("context").isNotNull(), cat("Where: ...", F.col("context"), "...\n")))
-    head = listing(head, [F.col("rank")], high).select("doc_id", F.col("body").alias("high"))
-    by = top(facts.where("category <> 'general'"), ["doc_id", "category"], [F.desc("frequency"), "term"], per_category)
     line = cat("- **", title(F.col("term")), "** (", F.col("frequency"), "x)", F.when(F.col("definition").isNotNull(), cat(": ", F.left("definition", F.lit(100)), "...")))
-    by = listing(by, [F.col("rank")], line, ("doc_id", "category"))
-    by = listing(by, [F.col("category")], cat("## Of class ", title(F.col("category")), "\n\n", F.col("body"), "\n")).select("doc_id", F.col("body").alias("by"))
-    d = facts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("category").alias("k"))
-    d = meet(meet(d, head, ["doc_id"], "left"), by, ["doc_id"], "left")
+    is_high, is_by = (F.col("score") >= 5) & (F.col("rank") <= most), (F.col("category") != "general") & (F.col("rank_in") <= per_category)
+    g = ranked.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.size(F.collect_set("category")).alias("k"), F.array_sort(F.collect_list(F.when(is_high, F.struct("rank", high.alias("line"))))).alias("hs"),
+        F.array_sort(F.collect_list(F.when(is_by, F.struct("category", "rank_in", line.alias("line"))))).alias("bs"),
+    )
+    lines = lambda xs: F.array_join(F.transform(xs, lambda x: x["line"]), "\n")
+    block = lambda c: cat("## Of class ", title(c), "\n\n", lines(F.filter("bs", lambda x: x["category"] == c)), "\n")
+    by = F.array_join(F.transform(F.array_distinct(F.transform("bs", lambda x: x["category"])), block), "\n")
+    d = g.select("doc_id", "n", "k", lines(F.col("hs")).alias("high"), by.alias("by"))
     return _file(d, "concepts/glossary.md", cat("# Terms of this document\n\nTerms: ", F.col("n"), "\nClasses: ", F.col("k"), "\n\n## Weightiest\n\n", F.col("high"), "\n", F.col("by")))
 
 

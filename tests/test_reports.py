@@ -136,3 +136,14 @@ def test_documents_meet_without_a_broadcast(spark):
     for df in (refs.concept_links(refs.references(s), scores), terms.graph_json(scores, terms.document_pairs(terms.contained(scores, s))), P.concept_map(scores, terms.document_pairs(terms.contained(scores, s)))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_glossary_reads_its_facts_once(spark):
+    from quillspark.operators import terms
+
+    s = spark.createDataFrame([(1, 1, "A", "The authToken is a signed value. JSON is given."), (1, 2, "B", "authToken and JSON.")], "doc_id int, section_id int, title string, content string")
+    g = P.glossary(terms.term_facts(terms.section_terms(s)))
+    plan = g._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(array_distinct") == 1 and "Join" not in plan
+    body = g.first()["body"]
+    assert "Terms: 2\n" in body and body.index("## Weightiest") < body.index("## Of class Data Concepts") < body.index("## Of class Security Concepts") and "Meaning: a signed value" in body
