@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
+from ..sources.shared import portions
 
 SIZE, OVERLAP = 768, 128
 APPROACHES = {"semantic_split": "semantic", "preserve_structure": "structure", "preserve_rows": "rows", "preserve_context": "tokens"}
@@ -128,7 +129,7 @@ def pack(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, page: int =
             if held:
                 yield "text", "\n\n".join(held), len(held), sorted(pages)
 
-        for b in batches:
+        for b in portions(batches):
             lengths = b.column(2).to_pylist() if paged else [None] * b.num_rows
             rows = [(d, i, *c) for d, t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), lengths) for i, c in enumerate(chunks(t, x))]
             if rows:

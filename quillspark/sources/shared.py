@@ -19,3 +19,10 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillspark-"))
     return df.checkpoint()
+
+
+def portions(batches, rows: int = 200):
+    """Arrow batches in portions of so many rows: what Python holds of a batch, and makes of it, stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)

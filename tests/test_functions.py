@@ -252,3 +252,13 @@ def test_strip_signs(spark):
     c = F.col("c")
     r = spark.createDataFrame([(" \t\n\x0b\f\r a \n b\xa0\r\n ",), ("   ",), ("",), (None,)], "c string").select(T.strip(c).alias("c")).collect()
     assert [x["c"] for x in r] == ["a \n b\xa0", "", "", None]
+
+
+def test_portions_of_batches():
+    import pyarrow as pa
+
+    from quillspark.sources.shared import portions
+
+    b = pa.RecordBatch.from_pydict({"a": list(range(450))})
+    got = list(portions([b, b.slice(0, 0)]))
+    assert [x.num_rows for x in got] == [200, 200, 50] and sum((x.column(0).to_pylist() for x in got), []) == list(range(450))
