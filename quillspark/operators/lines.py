@@ -89,12 +89,14 @@ DEFINITIONS = [r"([A-Z][^:]+):\s*(.+)", r"([A-Z]\w+)\s+([a-z]+\s+\d+)", r"([A-Z0
 
 def lines_in_context(docs: DataFrame, around: int = 2) -> DataFrame:
     """doc_id, line_no, line, context: each line with the stripped lines up to `around` before and after it that aren't blank."""
+    stripped = docs.select("doc_id", F.split("text", "\n", -1).alias("ls")).select("doc_id", "ls", F.transform("ls", T.strip).alias("ss"))
+
     def row(line: Column, i: Column) -> Column:
         start = F.greatest(i - around, F.lit(0))
-        near = F.filter(F.transform(F.slice("ls", start + 1, i + around + 1 - start), T.strip), lambda x: x != "")
+        near = F.filter(F.slice("ss", start + 1, i + around + 1 - start), lambda x: x != "")
         return F.struct(line.alias("line"), F.array_join(near, " ").alias("context"))
 
-    return docs.select("doc_id", F.split("text", "\n", -1).alias("ls")).select("doc_id", F.posexplode(F.transform("ls", row)).alias("line_no", "x")).select("doc_id", "line_no", "x.*")
+    return stripped.select("doc_id", F.posexplode(F.transform("ls", row)).alias("line_no", "x")).select("doc_id", "line_no", "x.*")
 
 
 def structured_fields(docs: DataFrame, context: bool = False) -> DataFrame:
@@ -103,11 +105,13 @@ def structured_fields(docs: DataFrame, context: bool = False) -> DataFrame:
     more = ["context"] if context else []
     d = (lines_in_context(docs) if context else lines(docs)).withColumn("s", T.strip(F.col("line")))
     name, content = T.strip(F.regexp_extract("s", r"^([^:]*):", 1)), T.strip(F.regexp_extract("s", r"^[^:]*:(.*)$", 1))
-    colon = F.when(F.contains("s", F.lit(":")) & (F.length("s") < 500) & (name != "") & (content != ""), F.struct(F.lit(0).alias("rule"), name.alias("name"), content.alias("content")))
+    colon = F.when(F.contains("s", F.lit(":")) & (F.length("s") < 500), F.struct(F.lit(0).alias("rule"), name.alias("name"), content.alias("content")))
     hit = lambda p: F.struct(F.lit(1).alias("rule"), T.strip(F.regexp_extract("s", p, 1)).alias("name"), T.strip(F.regexp_extract("s", p, 2)).alias("content"))
-    first = reduce(lambda acc, p: acc.when(F.col("s").rlike(p), hit(p)), DEFINITIONS[1:], F.when(F.col("s").rlike(DEFINITIONS[0]), hit(DEFINITIONS[0])))
-    first = F.when((F.length("s") < 300) & (first["name"] != "") & (first["content"] != "") & (first["name"] != first["content"]), first)
-    out = d.select("doc_id", "line_no", *more, F.explode(F.filter(F.array(colon, first), lambda x: x.isNotNull())).alias("f"))
+    tried = lambda k: F.contains("s", F.lit(":")) & F.col("s").rlike(DEFINITIONS[0]) if k == 0 else F.col("s").rlike(DEFINITIONS[k])
+    first = F.when(F.length("s") < 300, reduce(lambda acc, k: acc.when(tried(k), hit(DEFINITIONS[k])), range(1, len(DEFINITIONS)), F.when(tried(0), hit(DEFINITIONS[0]))))
+    # tested where they are bound: a test beside the patterns would run them again for each part that it names
+    whole = lambda f: f.isNotNull() & (f["name"] != "") & (f["content"] != "") & ((f["rule"] == 0) | (f["name"] != f["content"]))
+    out = d.select("doc_id", "line_no", *more, F.explode(F.filter(F.array(colon, first), whole)).alias("f"))
     return out.select("doc_id", "line_no", "f.rule", "f.name", "f.content", T.infer_type(F.col("f.content")).alias("type"), *more)
 
 
