@@ -67,13 +67,14 @@ def category_glossaries(facts: DataFrame, least: int = 3) -> DataFrame:
 
 def internal_references(resolved: DataFrame) -> DataFrame:
     """references/internal-references.md: counts by family, then the section resolved."""
-    d = resolved.where(F.col("type").isin("section", "page", "figure", "table", "concept"))
-    counts = listing(d.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("k")), [F.col("type")], cat("- **", title(F.col("type")), ": ", F.col("k"), " resolved"))
+    # references are read once: one sum a document has the counts and the rows
+    kinds, kind = ("concept", "figure", "page", "section", "table"), F.col("type")
     row = cat("| §", F.col("section_id"), " | §", F.col("target"), " | ", F.col("text"), " |")
-    rows = listing(d.where("type = 'section'"), [F.col("section_id"), F.col("target"), F.col("text")], row).select("doc_id", F.col("n").alias("k"), F.col("body").alias("rows"))
-    j = meet(counts, rows, ["doc_id"], "left")
-    table = F.when(F.col("k") > 0, cat("\n\n### To sections (", F.col("k"), ")\n\n| From | To | Words |\n|---|---|---|\n", F.col("rows")))
-    return _file(j, "references/internal-references.md", cat("# References within the document\n\n## Counts\n\n", F.col("body"), table))
+    rows = F.array_sort(F.collect_list(F.when(kind == "section", F.struct("section_id", "target", "text", row.alias("line")))))
+    g = resolved.where(kind.isin(*kinds)).groupBy("doc_id").agg(*[F.count_if(kind == k).alias(k) for k in kinds], rows.alias("rows"))
+    counts = F.concat_ws("\n", *[F.when(F.col(k) > 0, cat("- **", title(F.lit(k)), ": ", F.col(k), " resolved")) for k in kinds])
+    table = F.when(F.col("section") > 0, cat("\n\n### To sections (", F.col("section"), ")\n\n| From | To | Words |\n|---|---|---|\n", F.array_join(F.transform("rows", lambda x: x["line"]), "\n")))
+    return _file(g, "references/internal-references.md", cat("# References within the document\n\n## Counts\n\n", counts, table))
 
 
 def external_references(refs: DataFrame) -> DataFrame:
@@ -173,12 +174,12 @@ def image_catalog(images: DataFrame) -> DataFrame:
     return _file(d, "images/image-catalog.md", cat("# Pictures\n\nPictures: ", F.col("n"), "\n\n", F.col("body")))
 
 
-def file_category(path: Column) -> Column:
 def let(value: Column, make) -> Column:
     """make(value), with the value made once however often it is used."""
     return F.transform(F.array(value), make)[0]
 
 
+def file_category(path: Column) -> Column:
     """Category of a file by its folder, then its name."""
     name = F.substring_index(path, "/", -1)
     folder = F.when(F.contains(path, F.lit("/")) & (name != ""), F.substring_index(F.substring_index(path, "/", -2), "/", 1)).otherwise("")
