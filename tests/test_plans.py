@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillspark import api
 from quillspark.operators import lines, matching, refs, reports, sections, terms
 from quillspark.plans import registry
 
@@ -56,3 +57,26 @@ def test_concept_links_try_concept_patterns_alone(spark):
     s = spark.createDataFrame([(1, 1, "A", "See section 2 of the API at https://a.example.com.")], SECTIONS)
     assert {r["type"] for r in refs.references(s, ("concept",)).select(F.col("type")).collect()} == {"concept"}
     assert "https?" not in plan(registry.queries()["refs_concepts"](spark, "/root/testdata/sf0.001"))
+
+
+def longest_plan(spark, run):
+    """Length of the longest plan that the driver has told of while `run` ran."""
+    told = lambda: [x for x in (lambda s: [s.apply(k) for k in range(s.size())])(spark._jsparkSession.sharedState().statusStore().executionsList())]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = {x.executionId() for x in told()}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return max(len(x.physicalPlanDescription()) for x in told() if x.executionId() not in before)
+
+
+def test_no_plan_holds_all_of_a_conversion(spark):
+    d = spark.createDataFrame([(1, "# A\nThe API is a thing of use. See section 2.\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n## B\nThe API is here.")], DOCS)
+    assert longest_plan(spark, lambda: api.convert(d).write.format("noop").mode("overwrite").save()) < 250_000
+
+
+def test_literal_titles_are_not_left_to_the_driver(spark):
+    files = spark.createDataFrame([(1, "main_a/x.md", ""), (1, "x.md", "")], "doc_id int, path string, body string")
+    d = reports.master_index(files)
+    assert "initcap" not in d._jdf.queryExecution().analyzed().toString() and "### Main Documents (" in d.collect()[0]["body"]
+    s = spark.createDataFrame([(1, 1, "A", "See section 2, section 1 and page 3."), (1, 2, "B", "On page 3.")], SECTIONS)
+    assert "initcap" not in reports.internal_references(refs.resolved(refs.resolution(s)))._jdf.queryExecution().analyzed().toString()
