@@ -74,6 +74,10 @@ def test_no_plan_holds_all_of_a_conversion(spark):
     assert longest_plan(spark, lambda: api.convert(d).write.format("noop").mode("overwrite").save()) < 250_000
 
 
+def test_no_plan_holds_all_of_the_summaries(spark):
+    assert longest_plan(spark, lambda: registry.queries()["summary_files"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()) < 250_000
+
+
 def test_literal_titles_are_not_left_to_the_driver(spark):
     files = spark.createDataFrame([(1, "main_a/x.md", ""), (1, "x.md", "")], "doc_id int, path string, body string")
     d = reports.master_index(files)
