@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from quillspark import api
-from quillspark.operators import lines, matching, refs, reports, sections, terms
+from quillspark.functions import text as T
+from quillspark.functions import vocab
+from quillspark.operators import lines, matching, refs, reports, sections, summaries, terms
 from quillspark.plans import registry
 
 DOCS = "doc_id bigint, text string"
@@ -84,3 +86,41 @@ def test_literal_titles_are_not_left_to_the_driver(spark):
     assert "initcap" not in d._jdf.queryExecution().analyzed().toString() and "### Main Documents (" in d.collect()[0]["body"]
     s = spark.createDataFrame([(1, 1, "A", "See section 2, section 1 and page 3."), (1, 2, "B", "On page 3.")], SECTIONS)
     assert "initcap" not in reports.internal_references(refs.resolved(refs.resolution(s)))._jdf.queryExecution().analyzed().toString()
+
+
+def test_bodies_are_not_moved_for_the_index(spark):
+    files = spark.createDataFrame([(1, "sections/a.md", "A"), (1, "tables/t.md", "T"), (2, "x.md", None)], "doc_id int, path string, body string")
+    d = reports.with_master_index(files)
+    assert "Generate" not in plan(d) and plan(d).count("Aggregate") == 1
+    got = {(r["doc_id"], r["path"]): r["body"] for r in d.collect()}
+    assert len(got) == 5 and got[1, "sections/a.md"] == "A" and {k: got[k, "README.md"] for k in (1, 2)} == {r["doc_id"]: r["body"] for r in reports.master_index(files).collect()}
+
+
+def test_facts_of_documents_are_summed_once(spark):
+    rows = [(1, 1, "Getting started", "The API has a method, a token and JSON. Configuration of the API."), (1, 2, "API", None), (1, 3, "Setup", "how to install; policy and schema"), (2, 1, "A", ""), (3, 1, "", None), (4, 2, "Steps", "database error")]
+    typed = sections.with_types(spark.createDataFrame(rows, SECTIONS))
+    d = summaries.document_facts(typed)
+    assert plan(d).count("Aggregate") == 1
+    of = lambda df, c: {r["doc_id"]: r[c] for r in df.collect()}
+    named = {}
+    for r in sorted(summaries.themes(typed).collect(), key=lambda r: (r["doc_id"], r["rank"])):
+        named.setdefault(r["doc_id"], []).append(r["theme"])
+    got = d.collect()
+    assert {r["doc_id"]: r["document_type"] for r in got} == of(summaries.document_type(typed), "document_type") and {r["doc_id"]: r["depth"] for r in got} == of(summaries.technical_depth(typed), "depth")
+    assert {r["doc_id"]: r["structure_type"] for r in got} == of(summaries.structure_type(typed), "structure_type") and {r["doc_id"]: r["themes"] for r in got if r["themes"]} == named
+
+
+def test_terms_with_defining_words_within_keep_their_definitions(spark):
+    s = spark.createDataFrame([(1, 1, "A", "Data Is is a thing of some use. And Truth Means Power: a saying of old times. The userToken means a signed value of it.\nSome Item - a piece of the whole.")], SECTIONS)
+    d = terms.occurrences(terms.section_terms(s))
+    got = {r["form"]: r["def"] for r in d.collect()}
+    assert got["Data Is"] == "a thing of some use" and got["And Truth Means Power"] == "a saying of old times" and got["userToken"] == "a signed value of it" and got["Some Item"] == "a piece of the whole"
+    assert plan(terms.term_facts(terms.section_terms(s))).count("lower(term") < 20  # once for each word of each class before
+
+
+def test_first_signs_of_references_lose_no_match(spark):
+    import re
+
+    text = "See Section 2, part 3, IN chapter 4; Refer to section 5 on Page 6, see page 7. As shown in Figure 1, see figure 2, the diagram in figure 3, diagram 9. See table 1, in Table 2, the following table 3, as shown in table 4. GET /a put /b. REST api HTTP JSON xml OAuth JWT SSL TLS CRUD authentication Endpoint middleware payload database query schema index migration transaction framework library module package dependency"
+    for (_, p, _), first in zip(vocab.REFERENCES, vocab.REFERENCE_STARTS, strict=True):
+        assert [m.group() for m in re.finditer(T.starting(p, first), text)] == [m.group() for m in re.finditer(p, text)]
